@@ -68,3 +68,31 @@ def revenue_yoy_panel(revenue: DataFrame, created: str | None = None) -> DataFra
         )
         .filter(F.col("yoy").isNotNull() | F.col("cum_yoy").isNotNull())
     )
+
+
+def monthly_revenue(revenue: DataFrame) -> DataFrame:
+    """Growth on the year, on the month and cumulative, per revenue month."""
+    w = Window.partitionBy("stock_id").orderBy("__m")
+    ytd = revenue_year_to_date(revenue).withColumn("__m", F.col("year") * 12 + F.col("month"))
+    before = F.when(F.lag("__m").over(w) == F.col("__m") - 1, F.lag("revenue").over(w))
+    return ytd.select(
+        "stock_id", "year", "month", "revenue",
+        pct("revenue", "prior").alias("yoy"), pct("revenue", before).alias("mom"), pct("cum", "cum_prior").alias("cum_yoy"),
+    )
+
+
+def latest_revenue(revenue: DataFrame) -> DataFrame:
+    """Newest revenue month of each instrument in the form the momentum screen reads."""
+    w = Window.partitionBy("stock_id").orderBy("__m")
+    ytd = revenue_year_to_date(revenue).withColumn("__m", F.col("year") * 12 + F.col("month"))
+    before = F.when(F.lag("__m").over(w) == F.col("__m") - 1, F.lag("revenue").over(w))
+    cum_yoy = F.when(F.col("n_prior") == F.col("month"), pct_simple("cum", "cum_prior"))
+    rows = ytd.select(
+        "stock_id", "__m",
+        F.date_format(F.make_date("year", "month", F.lit(1)), "yyyy-MM").alias("ym"),
+        F.round(pct_simple("revenue", "prior"), 2).alias("yoy"), F.round(cum_yoy, 2).alias("cum_yoy"),
+        F.round(pct_simple("revenue", before), 1).alias("mom"),
+    ).filter(F.col("yoy").isNotNull() | F.col("cum_yoy").isNotNull())
+    return rows.groupBy("stock_id").agg(
+        F.max_by(F.struct("ym", "yoy", "cum_yoy", "mom"), "__m").alias("last")
+    ).select("stock_id", "last.*")
