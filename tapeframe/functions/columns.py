@@ -36,6 +36,12 @@ def pct_simple(a: str | Column, b: str | Column) -> Column:
     return F.when(b > 0, ratio(a - b, b) * 100)
 
 
+def half_up(c: str | Column, digits: int) -> Column:
+    """Half-up rounding that ignores noise in the last bits of a computed mean."""
+    scale = 10.0**digits
+    return F.floor(F.round(col(c) * scale, 4) + 0.5) / scale
+
+
 def clip(c: str | Column, lo: float | None = None, hi: float | None = None) -> Column:
     """Bound c from below and above; null stays null."""
     c = out = col(c)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LOT_SHARES
-from ..functions.columns import ratio
+from ..functions.columns import half_up, ratio
 from ..functions.windows import diff, newest_first, ordered, rows_back, sma, top_rows, true_range
 
 YEAR_ROWS, HALF_YEAR_ROWS = 240, 120
@@ -78,7 +78,7 @@ def position_sizing(
 ) -> DataFrame:
     """Lots for every (account_id, stock_id, account): by risk per share, capped by position size."""
     joined = requests.join(levels.select("stock_id", F.col("close").alias("entry"), "atr"), "stock_id")
-    stop = F.round(F.col("entry") - F.round(F.col("atr"), 2) * atr_mult, 2)
+    stop = F.round(F.col("entry") - half_up("atr", 2) * atr_mult, 2)
     s = joined.withColumn("stop", stop).withColumn("risk", F.col("entry") - F.col("stop")).filter("risk > 0")
     by_risk = F.floor(F.floor(F.col("account") * risk_pct / 100 / F.col("risk")) / LOT_SHARES)
     by_size = F.floor(F.col("account") * max_position_pct / 100 / (F.col("entry") * LOT_SHARES))

@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from . import screens, signals  # noqa: F401
+from . import brokers, screens, signals  # noqa: F401

@@ -419,8 +419,8 @@ def risk_levels(m: MarketTables) -> DataFrame:
        FROM (SELECT *, least(by_risk, by_size) AS lots FROM (SELECT *,
                CAST(floor(floor(account * 1 / 100 / risk) / 1000) AS BIGINT) AS by_risk,
                CAST(floor(account * 25 / 100 / (entry * 1000)) AS BIGINT) AS by_size
-             FROM (SELECT account_id, stock_id, account, close AS entry, round(close - round(atr, 2) * 2, 2) AS stop,
-                          close - round(close - round(atr, 2) * 2, 2) AS risk FROM d_requests JOIN risk USING (stock_id)) WHERE risk > 0))""",
+             FROM (SELECT account_id, stock_id, account, close AS entry, round(close - (floor(round(atr * 100, 4) + 0.5) / 100) * 2, 2) AS stop,
+                          close - round(close - (floor(round(atr * 100, 4) + 0.5) / 100) * 2, 2) AS risk FROM d_requests JOIN risk USING (stock_id)) WHERE risk > 0))""",
     risk=RISK,
 )
 def position_sizing(m: MarketTables) -> DataFrame:
