@@ -80,8 +80,8 @@ TABLES: dict[str, str] = {
         SELECT stock_id,
                CAST(make_date(year, month, 1) + INTERVAL 1 MONTH + INTERVAL 9 DAY AS DATE) AS pub_date,
                strftime(make_date(year, month, 1), '%Y-%m') AS ym,
-               round(CASE WHEN prior > 0 THEN (revenue - prior) / prior * 100 END, 2) AS yoy,
-               round(CASE WHEN n_prior = month AND cum_prior > 0 THEN (cum - cum_prior) / cum_prior * 100 END, 2) AS cum_yoy
+               round(CASE WHEN prior > 0 THEN (revenue - prior) / prior * 100 END, 2) + 0e0 AS yoy,
+               round(CASE WHEN n_prior = month AND cum_prior > 0 THEN (cum - cum_prior) / cum_prior * 100 END, 2) + 0e0 AS cum_yoy
         FROM d_revcum
         WHERE prior > 0 OR (n_prior = month AND cum_prior > 0)""",
     "d_val": """

@@ -34,8 +34,14 @@ def last_dates(calendar: DataFrame, n: int) -> DataFrame:
 
 
 def on_last_dates(df: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
-    """Rows on the n newest dates; prunes date partitions of a stored table."""
-    return df.join(F.broadcast(last_dates(calendar, n)), "date", "left_semi")
+    """Rows on the n newest dates.
+
+    The lower bound is a scalar subquery, which a file scan applies to row groups; the
+    semi join with at most n dates makes the result exact.
+    """
+    dates = last_dates(calendar, n)
+    oldest = dates.agg(F.min("date").alias("d")).select("d").scalar()
+    return df.filter(F.col("date") >= oldest).join(F.broadcast(dates), "date", "left_semi")
 
 
 def on_latest_date(df: DataFrame) -> DataFrame:

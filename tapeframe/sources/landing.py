@@ -34,10 +34,23 @@ def _when(cond: Column, value: Column) -> Column:
 
 
 class MarketTables:
-    """Lazy domain tables over one landing folder."""
+    """Domain tables over one landing folder.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    With ``keep`` (the default) the tables that cost a pass over the facts are written
+    to the shared folder at first use, in date order, and every later query reads the
+    compact columnar copy: date filters skip row groups, and the planner knows real
+    sizes.  Without it they stay lazy.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: bool = True):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+
+    def _kept(self, name: str, df: DataFrame, *order: str) -> DataFrame:
+        if not self.keep:
+            return df
+        if order:
+            df = df.repartitionByRange(order[0]).sortWithinPartitions(*order)
+        return cut_lineage(df, name)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -70,7 +83,7 @@ class MarketTables:
         """
         slot = F.col("dow") * DAY_SLOT + F.col("tick")
         flag, signed, qty = F.col("flag"), F.col("signed"), F.col("qty")
-        return self.trades.groupBy("stock_id", "date").agg(
+        weekly = self.trades.groupBy("stock_id", "date").agg(
             ((F.min(slot) % DAY_SLOT) / 100.0).alias("open"),
             (F.max("tick") / 100.0).alias("high"),
             (F.min("tick") / 100.0).alias("low"),
@@ -85,6 +98,7 @@ class MarketTables:
             _when(F.col("status") == "O", qty).alias("dt_vol"),
             _when(flag == "N", qty).alias("sbl_balance"),
         )
+        return self._kept("panel", weekly, "date", "stock_id")
 
     def _project(self, *cols: str) -> DataFrame:
         return self.panel.select("stock_id", "date", *cols)
@@ -117,12 +131,12 @@ class MarketTables:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        """The trading calendar, written once to the shared folder.
+        """The trading calendar.
 
-        Its file size is known to the planner, so joins with it broadcast by Spark's
-        own size check and the fact table is not scanned again for its dates.
+        Stored, its file size is known to the planner: joins with it broadcast by
+        Spark's own size check and no fact table is scanned again for its dates.
         """
-        return cut_lineage(trading_calendar(self.trading_dates).coalesce(1), "calendar")
+        return self._kept("calendar", trading_calendar(self.trading_dates))
 
     @cached_property
     def stock_info(self) -> DataFrame:
@@ -174,7 +188,7 @@ class MarketTables:
     def broker_net(self) -> DataFrame:
         from .normalize import broker_net_from_trades
 
-        return broker_net_from_trades(self.broker_trades)
+        return self._kept("broker_net", broker_net_from_trades(self.broker_trades), "date", "stock_id")
 
     # ---- fundamentals -------------------------------------------------
 
@@ -204,12 +218,10 @@ class MarketTables:
 
     @cached_property
     def revenue(self) -> DataFrame:
-        return (
-            self.order_lines.groupBy(
-                "stock_id", F.year("ordered").alias("year"), F.month("ordered").alias("month")
-            )
-            .agg((F.sum("value") / 10000.0).alias("revenue"))
-        )
+        monthly = self.order_lines.groupBy(
+            "stock_id", F.year("ordered").alias("year"), F.month("ordered").alias("month")
+        ).agg((F.sum("value") / 10000.0).alias("revenue"))
+        return self._kept("revenue", monthly)
 
     @cached_property
     def revenue_panel(self) -> DataFrame:
@@ -241,9 +253,10 @@ class MarketTables:
             "stock_id", F.trunc("ordered", "MM").alias("date"), level.alias("level")
         ).agg(F.sum("qty").alias("q"))
         month = Window.partitionBy("stock_id", "date")
-        return by_level.select(
+        shares = by_level.select(
             "date", "stock_id", "level", (F.col("q") * 100 / F.sum("q").over(month)).alias("percent")
         )
+        return self._kept("holder_tiers", shares)
 
     @cached_property
     def big_holders(self) -> DataFrame:
@@ -256,7 +269,7 @@ class MarketTables:
         q = F.trunc("ordered", "quarter")
         value, qty, cents = F.col("value"), F.col("qty"), F.col("cents")
         zero = F.lit(0)
-        return self.order_lines.groupBy(
+        sums = self.order_lines.groupBy(
             "stock_id", F.date_sub(F.add_months(q, 3), 1).alias("date")
         ).agg(
             F.sum(value).alias("v"),
@@ -266,6 +279,7 @@ class MarketTables:
             F.sum(qty).alias("q"),
             F.sum(F.when(F.col("flag") == "N", qty).otherwise(F.lit(0.0))).alias("q_n"),
         )
+        return self._kept("quarter_sums", sums)
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -274,6 +288,9 @@ class MarketTables:
         ytd = (
             Window.partitionBy("stock_id", "y").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         )
+        s = s.withColumns(
+            {"cash_ytd": F.sum(F.col("v") - F.col("v_r")).over(ytd), "spent_ytd": F.sum("v_o").over(ytd)}
+        )
         items = {
             "revenue": F.col("v") / 10000.0,
             "gross_profit": (F.col("v") - F.col("v_r")) / 10000.0,
@@ -286,8 +303,8 @@ class MarketTables:
             "current_assets": F.col("q") * 1000.0,
             "current_liabilities": F.when(F.col("q_n") > 0, F.col("q_n") * 2000.0),
             "capital_stock": F.col("q") * 500.0,
-            "operating_cash_flow": F.sum(F.col("v") - F.col("v_r")).over(ytd) / 20000.0,
-            "capital_expenditure": F.sum(F.col("v_o")).over(ytd) / -40000.0,
+            "operating_cash_flow": F.col("cash_ytd") / 20000.0,
+            "capital_expenditure": F.col("spent_ytd") / -40000.0,
         }
         packed = F.array(
             *[F.struct(F.lit(k).alias("type"), v.cast("double").alias("value")) for k, v in items.items()]
