@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from . import brokers, fundamentals, screens, signals  # noqa: F401
+from . import brokers, evaluate, fundamentals, screens, signals  # noqa: F401
