@@ -49,17 +49,24 @@ def broker_main_net(nets: DataFrame, top: int = 15) -> DataFrame:
     )
 
 
-def buyer_follow_up(nets: DataFrame, calendar: DataFrame, top: int) -> DataFrame:
-    """Every top buy with the same broker's net on the next calendar date.
-
-    Only pairs whose instrument has broker rows on both adjacent dates count; a broker
-    absent on the second date has net 0 there.
-    """
+def adjacent_steps(nets: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(stock_id, date, next_date) where both adjacent calendar dates have broker rows."""
     present = nets.select("stock_id", "date").distinct()
+    return next_date_pairs(present, present, calendar, ["stock_id"], "inner")
+
+
+def available_steps(nets: DataFrame) -> DataFrame:
+    """(stock_id, date, next_date) between an instrument's own dates, over calendar gaps."""
+    w = Window.partitionBy("stock_id").orderBy("date")
+    days = nets.select("stock_id", "date").distinct()
+    return days.withColumn("next_date", F.lead("date").over(w)).filter("next_date is not null")
+
+
+def follow_up(nets: DataFrame, steps: DataFrame, top: int) -> DataFrame:
+    """Every top buy with the same broker's net on the step's next date; absent counts as 0."""
     buys = top_buyers(nets, top).select("stock_id", "date", "broker", F.col("net").alias("bought"))
-    stepped = next_date_pairs(buys, present, calendar, ["stock_id"], "inner")
     after = nets.select("stock_id", F.col("date").alias("next_date"), "broker", F.col("net").alias("after"))
-    joined = stepped.join(after, ["stock_id", "next_date", "broker"], "left")
+    joined = buys.join(steps, ["stock_id", "date"]).join(after, ["stock_id", "next_date", "broker"], "left")
     sold = F.coalesce("after", F.lit(0.0)) < 0
     return joined.select(
         "stock_id", "broker", F.col("date").alias("buy_date"), F.col("next_date").alias("sell_date"), "bought",
@@ -68,6 +75,11 @@ def buyer_follow_up(nets: DataFrame, calendar: DataFrame, top: int) -> DataFrame
     )
 
 
+def buyer_follow_up(nets: DataFrame, calendar: DataFrame, top: int) -> DataFrame:
+    """Top buys and what followed on the next calendar date."""
+    return follow_up(nets, adjacent_steps(nets, calendar), top)
+
+
 def flip_pressure(nets: DataFrame, price: DataFrame, calendar: DataFrame, top: int = 15) -> DataFrame:
     """Yesterday's top buyers' sales today, capped at what they bought, over today's volume."""
     pairs = buyer_follow_up(nets, calendar, top).groupBy("stock_id", F.col("sell_date").alias("date")).agg(
@@ -139,28 +151,15 @@ def _pressure(buys: DataFrame, price: DataFrame, p: Broker) -> DataFrame:
     )
 
 
-def flips_between_available_dates(nets: DataFrame, top: int) -> DataFrame:
-    """Top buys followed by a sale on the instrument's next date that has broker rows.
+def flip_regulars(nets: DataFrame, calendar: DataFrame, lookback: int = 8, top: int = 15, min_hits: int = 2) -> DataFrame:
+    """Brokers that repeatedly buy and sell the next day within the newest dates, per instrument.
 
-    Unlike the profile this steps over missing calendar dates.
+    Steps go from one available date to the next, unlike those of the profile.
     """
-    days = nets.select("stock_id", "date").distinct()
-    w = Window.partitionBy("stock_id").orderBy("date")
-    steps = days.withColumn("next_date", F.lead("date").over(w)).filter("next_date is not null")
-    buys = top_buyers(nets, top).select("stock_id", "date", "broker", F.col("net").alias("bought"))
-    after = nets.select("stock_id", F.col("date").alias("next_date"), "broker", F.col("net").alias("after"))
-    return (
-        buys.join(steps, ["stock_id", "date"]).join(after.filter("after < 0"), ["stock_id", "next_date", "broker"])
-        .withColumn("dumped", F.least("bought", -F.col("after")))
-    )
-
-
-def flip_regulars(nets: DataFrame, calendar: DataFrame, lookback: int = 8, top: int = 15, min_hits: int = 2) -> DataFrame:
-    """Brokers that repeatedly buy and sell the next day within the newest dates, per instrument."""
     window = nets.join(
         F.broadcast(calendar.filter(F.col("age") <= lookback + 1).select("date")), "date", "left_semi"
     )
-    flips = flips_between_available_dates(window, top)
+    flips = follow_up(window, available_steps(window), top).filter("flip = 1")
     return flips.groupBy("stock_id", "broker").agg(
         F.count(F.lit(1)).alias("hits"), F.sum("dumped").alias("dumped")
     ).filter(F.col("hits") >= min_hits)
@@ -240,3 +239,20 @@ def profile_rates_by_date(counters: DataFrame, p: Broker) -> DataFrame:
         F.round(ratio("flips", "ops") * 100, 1).alias("flip_rate"),
         F.when(F.col("bought") > 0, F.round(ratio("dumped", "bought") * 100, 1)).otherwise(0.0).alias("dump_ratio"),
     )
+
+
+def regular_hits(nets: DataFrame, calendar: DataFrame, lookback: int = 8, top: int = 15) -> DataFrame:
+    """(stock_id, broker, date, hits): flips inside the window of ``lookback`` dates up to each date.
+
+    A flip counts for every date from its sale until its purchase leaves the window, so
+    it is laid out at most ``lookback`` times and counted by key.
+    """
+    idx = calendar.select("date", "idx")
+    flips = (
+        follow_up(nets, available_steps(nets), top).filter("flip = 1")
+        .join(idx.select(F.col("date").alias("buy_date"), F.col("idx").alias("b")), "buy_date")
+        .join(idx.select(F.col("date").alias("sell_date"), F.col("idx").alias("s")), "sell_date")
+        .filter(F.col("s") <= F.col("b") + lookback)
+    )
+    seen = flips.select("stock_id", "broker", F.explode(F.sequence("s", F.col("b") + lookback)).alias("idx"))
+    return seen.groupBy("stock_id", "broker", "idx").agg(F.count(F.lit(1)).alias("hits")).join(idx, "idx").drop("idx")
