@@ -107,3 +107,32 @@ def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "bin", bin_wi
     # number of inner edges strictly below v, plus one
     below = F.size(F.filter(F.slice(F.col("__edges"), 2, bins), lambda e: e < v))
     return placed.withColumn(out, (below + 1).cast("int")).drop("__edges")
+
+
+def global_rank(df: DataFrame, *order: str) -> DataFrame:
+    """Adds ``rank`` 1..n over the whole table without putting it into one task.
+
+    Rows are range-partitioned and sorted, numbered inside their partition, and shifted
+    by the sizes of the partitions before (one row per partition).
+    """
+    from ..session import cut_lineage
+
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(
+        placed.withColumn("__id", F.monotonically_increasing_id()), "rank"
+    )
+    part, pos = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
+    ranked = placed.withColumn("__p", part).join(offsets, "__p")
+    return ranked.withColumn("rank", pos + F.col("__offset") + 1).drop("__p", "__id", "__offset")
+
+
+def rank_bins(df: DataFrame, bins: int, *order: str, out: str = "bin") -> DataFrame:
+    """Equal-count bins of the rank, for values with too many ties for value edges."""
+    ranked = global_rank(df, *order)
+    n = ranked.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    return ranked.withColumn(
+        out, F.greatest(F.lit(1), F.ceil((F.col("rank") - 1) * bins / F.greatest(n - 1, F.lit(1)))).cast("int")
+    )

@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from . import brokers, evaluate, fundamentals, report, screens, signals, study, tables  # noqa: F401
+from . import brokers, evaluate, fundamentals, primitives, report, screens, signals, study, tables  # noqa: F401
