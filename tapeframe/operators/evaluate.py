@@ -20,15 +20,16 @@ from ..functions.windows import cumulative_growth, drawdown, normalised, ordered
 NO_STOP = {"stop_kind": "none", "stop_param": 0.0}
 
 
-def bar_paths(bars: DataFrame, calendar: DataFrame, holds: Sequence[int], atr_rows: int = 14) -> DataFrame:
-    """Every bar as a possible entry, with what happens next.
-
-    ``path``: the instrument's bars from this one to the longest hold, by calendar
-    index.  ``exit_<hold>``: its first bar at or after ``hold`` dates.  A bar without a
-    positive close is a missing quote and is skipped.  Both come from one sort per
-    instrument, with no range join.
+def entry_paths(bars: DataFrame, entries: DataFrame, calendar: DataFrame, holds: Sequence[int], atr_rows: int = 14) -> DataFrame:
+    """Every wanted entry bar with what happens next.
+
+    ``entries``: stock_id, date and ``cfgs``.  ``path``: the instrument's bars from the
+    entry to the longest hold, by calendar index.  ``exit_<hold>``: its first bar at or
+    after ``hold`` dates.  A bar without a positive close is a missing quote and is
+    skipped.  One sort per instrument and no range join; paths leave the window only
+    for wanted bars and are never shuffled.
     """
-    base = bars.filter("close > 0").join(calendar.select("date", "idx"), "date")
+    base = bars.filter("close > 0").join(calendar.select("date", "idx"), "date").join(entries, ["stock_id", "date"], "left")
     w = ordered("stock_id", by="idx")
     bar = F.struct("idx", "date", "open", "low", "close")
     newest_first = Window.partitionBy("stock_id").orderBy(F.col("idx").desc())
@@ -37,13 +38,13 @@ def bar_paths(bars: DataFrame, calendar: DataFrame, holds: Sequence[int], atr_ro
     )
     out = base.withColumn("tr", true_range(w))
     return out.select(
-        "stock_id", "date", "idx", "open", "close", atr.alias("atr"),
+        "stock_id", "date", "idx", "open", "close", "cfgs", atr.alias("atr"),
         F.collect_list(bar).over(w.rangeBetween(0, max(holds))).alias("path"),
         *[
             F.last(bar).over(newest_first.rangeBetween(Window.unboundedPreceding, -hold)).alias(f"exit_{hold}")
             for hold in holds
         ],
-    )
+    ).filter("cfgs is not null AND open > 0")
 
 
 def stop_price(entry: Column, atr: Column, kind: Column, param: Column) -> Column:
@@ -64,13 +65,14 @@ def signal_trades(
     entry bar on; a bar that opens below it fills at the open.  Trades still open at
     the end of the panel have no exit.  ``path`` lists the held bars.
     """
-    steps = calendar.select("date", "next_date", "idx")
-    entered = (
-        signals.join(steps, "date").filter("next_date is not null")
-        .withColumnRenamed("date", "signal_date").withColumnRenamed("next_date", "date")
-        .withColumnRenamed("idx", "signal_idx")
-        .join(bar_paths(bars, calendar, holds), ["stock_id", "date"]).filter("open > 0")
+    cfg = F.struct("curve_id", "hold", "stop_kind", "stop_param", F.col("date").alias("signal_date"), F.col("idx").alias("signal_idx"))
+    # at most one entry per configuration and bar
+    entries = (
+        signals.join(calendar.select("date", "next_date", "idx"), "date").filter("next_date is not null")
+        .groupBy("stock_id", F.col("next_date").alias("date")).agg(F.collect_list(cfg).alias("cfgs"))
     )
+    entered = entry_paths(bars, entries, calendar, holds).withColumn("cfg", F.explode("cfgs"))
+    entered = entered.select("*", "cfg.*").drop("cfg", "cfgs")
     timed = F.lit(None).cast(entered.schema[f"exit_{holds[0]}"].dataType)
     for hold in holds:
         timed = F.when(F.col("hold") == hold, F.col(f"exit_{hold}")).otherwise(timed)
@@ -222,7 +224,7 @@ def expand_grid(signals: DataFrame, grid: Sequence[dict], gate: DataFrame | None
     w = Window.partitionBy(*(["signal"] if "signal" in names else []), "date").orderBy(F.col("score").desc(), "stock_id")
     ranked = top_rows(signals, w, max(g["max_positions"] for g in grid))
     if gate is not None:
-        ranked = ranked.join(gate.select("date", "regime_ok"), "date", "left")
+        ranked = ranked.join(F.broadcast(gate.select("date", "regime_ok")), "date", "left")  # one row per date
         ok = (F.col("cfg.regime") == 0) | F.coalesce("regime_ok", F.lit(True))
     else:
         ok = F.lit(True)

@@ -28,7 +28,7 @@ def chart_context(price: DataFrame, inst: DataFrame, margin: DataFrame, holders:
     market = on_last_dates(price, calendar, p.lookback + 1).groupBy("stock_id").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("close", "date").alias("c0"), F.max_by("close", "date").alias("c1")
     ).filter("n >= 2 AND c0 > 0").select((ratio(F.col("c1") - F.col("c0"), F.col("c0")) * 100).alias("ret"))
-    own = with_scalar(own, exact_median(market, "ret", bin_width=0.1), "median")
+    own = with_scalar(own, exact_median(market, "ret"), "median")
     rel = F.when(
         (F.least(F.lit(p.lookback), F.col("rows") - 1) >= 5) & (F.col("base") > 0),
         ratio(F.col("close") - F.col("base"), F.col("base")) * 100 - F.coalesce("median", F.lit(0.0)),

@@ -284,7 +284,7 @@ def day_trade_bias(
         F.coalesce(ratio(F.col("c1") - F.col("c0"), F.col("c0")) * 100, F.lit(0.0)).alias("ret"),
         F.when(F.col("n") >= 20, F.col("mean")).alias("ma20"),
     )
-    market = exact_median(ctx, "ret", bin_width=0.1)
+    market = exact_median(ctx, "ret")
     picked = with_scalar(enrich(enrich(candidates, ctx), force.select("stock_id", "inst_pct", "holder_change", "margin_change_pct")), market, "median")
     margin = F.col("margin_change_pct")
     votes = (

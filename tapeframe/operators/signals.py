@@ -43,7 +43,7 @@ def relative_strength_signals(
     med = exact_median(rets, "ret", ["date"])
     banded = rets.filter(F.col("ret").between(params.min_return, params.max_return))
     excess = F.col("ret") - F.col("median")
-    out = banded.join(med, "date")
+    out = banded.join(F.broadcast(med), "date")  # one row per trading date
     if rank == "rs":
         score = excess
     else:

@@ -73,14 +73,14 @@ def pressure_study(price: DataFrame, nets: DataFrame, universe: DataFrame | None
     )
 
 
-def factor_buckets(panel: DataFrame, factor: str, outcome: str, bins: int = 5, bin_width: float = 0.01) -> DataFrame:
+def factor_buckets(panel: DataFrame, factor: str, outcome: str, bins: int = 5) -> DataFrame:
     """Equal-count groups of the factor: size, factor median, mean outcome, share below zero."""
-    placed = quantile_bins(panel.filter(F.col(outcome).isNotNull()), factor, bins, bin_width=bin_width)
+    placed = quantile_bins(panel.filter(F.col(outcome).isNotNull()), factor, bins)
     stats = placed.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(factor).alias("factor_mean"), F.avg(outcome).alias("outcome_mean"),
         (F.avg((F.col(outcome) < 0).cast("double")) * 100).alias("below_zero_pct"),
     )
-    medians = exact_median(placed, factor, ["bin"], bin_width).withColumnRenamed("median", "factor_median")
+    medians = exact_median(placed, factor, ["bin"]).withColumnRenamed("median", "factor_median")
     return stats.join(medians, "bin")
 
 
@@ -113,9 +113,9 @@ def mask_groups(panel: DataFrame, masks: dict[str, Column], outcomes: Sequence[s
     return panel.withColumn("mask", F.explode(names)).groupBy("mask").agg(F.count(F.lit(1)).alias("n"), *aggs).filter(F.col("n") >= min_size)
 
 
-def upper_tail(panel: DataFrame, factor: str, prob: float = 0.8, bin_width: float = 0.01) -> DataFrame:
+def upper_tail(panel: DataFrame, factor: str, prob: float = 0.8) -> DataFrame:
     """Rows whose factor is at or above its own quantile."""
-    q = exact_quantiles(panel, factor, [prob], bin_width=bin_width).select(F.col("q")[0].alias("__cut"))
+    q = exact_quantiles(panel, factor, [prob]).select(F.col("q")[0].alias("__cut"))
     return with_scalar(panel, q, "__cut").filter(F.col(factor) >= F.col("__cut")).drop("__cut")
 
 

@@ -138,7 +138,7 @@ def revenue_ytd(m: MarketTables) -> DataFrame:
 
 @query("cross_section_median", "SELECT date, round(median(close), 6) AS median FROM d_bars GROUP BY date")
 def median(m: MarketTables) -> DataFrame:
-    return rounded(exact_median(m.bars, "close", ["date"], bin_width=50.0), "median")
+    return rounded(exact_median(m.bars, "close", ["date"]), "median")
 
 
 @query(
@@ -161,7 +161,7 @@ def advance_decline(m: MarketTables) -> DataFrame:
        FROM d_bars, (SELECT list_distinct(quantile_cont(volume, [0, 0.25, 0.5, 0.75, 1])) AS e FROM d_bars)""",
 )
 def quantile(m: MarketTables) -> DataFrame:
-    return quantile_bins(m.bars.select("stock_id", "date", "volume"), "volume", 4, bin_width=1.0)
+    return quantile_bins(m.bars.select("stock_id", "date", "volume"), "volume", 4)
 
 
 @query(
@@ -182,7 +182,7 @@ def ranks(m: MarketTables) -> DataFrame:
 def factor_buckets(m: MarketTables) -> DataFrame:
     w = fw.ordered("stock_id")
     panel = m.panel.select("stock_id", "date", (fc.ratio("dt_vol", "volume") * 100).alias("dt"), fc.pct_simple(F.lead("close").over(w), "close").alias("cc"))
-    out = study.factor_buckets(panel, "dt", "cc", 4, bin_width=0.1)
+    out = study.factor_buckets(panel, "dt", "cc", 4)
     return rounded(out, "factor_mean", "outcome_mean", "below_zero_pct", "factor_median")
 
 

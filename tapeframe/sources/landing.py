@@ -49,7 +49,7 @@ class MarketTables:
         if not self.keep:
             return df
         if order:
-            df = df.repartitionByRange(order[0]).sortWithinPartitions(*order)
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         return cut_lineage(df, name)
 
     def raw(self, name: str) -> DataFrame:
@@ -126,7 +126,9 @@ class MarketTables:
 
     @cached_property
     def trading_dates(self) -> DataFrame:
-        """Distinct dates straight from the fact column: bounded by the calendar."""
+        """Distinct dates: from the stored panel's date column, else from the facts'."""
+        if self.keep:
+            return self.panel.select("date").distinct()
         return self.raw("lineitem").select(week_of("l_shipdate").alias("date")).distinct()
 
     @cached_property
@@ -233,13 +235,14 @@ class MarketTables:
     def valuation(self) -> DataFrame:
         """Monthly: yield, per, pbr at the month's first trading date."""
         month = F.trunc("date", "MM")
-        first = self.trading_dates.groupBy(month.alias("m")).agg(F.min("date").alias("date"))
+        first = self.calendar.groupBy(month.alias("m")).agg(F.min("date").alias("date"))
         sums = self.trades.groupBy("stock_id", month.alias("m")).agg(
             (F.sum("disc") / F.count("disc")).alias("yield"),
             (F.sum("qty") / F.count("qty")).alias("per"),
             (F.sum("tax") * 0.5 / F.count("tax")).alias("pbr"),
         )
-        return sums.join(first, "m").select("date", "stock_id", "yield", "per", "pbr")
+        monthly = sums.join(F.broadcast(first), "m")  # one row per month
+        return self._kept("valuation", monthly.select("date", "stock_id", "yield", "per", "pbr"))
 
     @cached_property
     def holder_tiers(self) -> DataFrame:

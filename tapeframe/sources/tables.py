@@ -13,9 +13,9 @@ from ..session import cut_lineage
 from .calendar import trading_calendar
 
 
-def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A stored table; additive columns of newer files are merged into one schema."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def read_table(spark: SparkSession, path: str, *columns: str, merge_schema: bool = False) -> DataFrame:
+    """A stored table.  ``merge_schema`` reads every footer to find columns added later."""
+    df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -45,12 +45,12 @@ def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 
 
 def write_dates(df: DataFrame, path: str) -> None:
-    """Overwrite only the dates present in ``df``; one shuffle puts a date's rows together.
+    """Overwrite only the dates present in ``df``.
 
-    Rows of a date spread over tasks by instrument, so no writer gets a whole hot date.
+    The rebalance hint groups rows by date and lets adaptive execution split a large
+    date and join small ones at the advisory size.
     """
-    spread = df.repartition("date", F.pmod(F.xxhash64("stock_id"), F.lit(8)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def upsert(path: str, new: DataFrame, keys: Sequence[str]) -> None:
@@ -61,7 +61,12 @@ def upsert(path: str, new: DataFrame, keys: Sequence[str]) -> None:
     """
     spark = new.sparkSession
     dates = new.select("date").distinct()
-    touched = read_table(spark, path).join(dates, "date", "left_semi")
+    span = new.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    # the scalar bounds prune partitions, the semi join is exact
+    stored = read_table(spark, path).filter(
+        F.col("date").between(span.select("lo").scalar(), span.select("hi").scalar())
+    )
+    touched = stored.join(dates, "date", "left_semi")
     write_dates(cut_lineage(merge(touched, new, keys), "upsert"), path)
 
 
