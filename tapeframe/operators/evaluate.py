@@ -110,14 +110,20 @@ def trade_days(trades: DataFrame, costs: Costs = COSTS) -> DataFrame:
     value = F.when(last, F.col("exit_price") * (1 - costs.sell)).otherwise(F.col("bar.close"))
     return days.select(
         *[c for c in trades.columns if c != "path"],
-        F.col("bar.date").alias("date"), F.col("bar.idx").alias("idx"), (ratio(value, before) - 1).alias("day_ret"),
+        F.col("bar.date").alias("date"), F.col("bar.idx").alias("idx"), "k", (ratio(value, before) - 1).alias("day_ret"),
     )
 
 
 def cohort_returns(days: DataFrame, keys: Sequence[str] = ("curve_id",)) -> DataFrame:
-    """Equal weight over the trades open on each date."""
+    """Equal weight over the trades open on each date.
+
+    Closed trades are counted on their first day, so trade statistics need no second
+    pass over the trades.
+    """
+    closed = (F.col("k") == 0) & F.col("ret").isNotNull()
     return days.groupBy(*keys, "date", "idx").agg(
-        F.avg("day_ret").alias("day_ret"), F.count(F.lit(1)).alias("n_open")
+        F.avg("day_ret").alias("day_ret"), F.count(F.lit(1)).alias("n_open"), F.count_if(closed).alias("n_closed"),
+        F.count_if(closed & (F.col("ret") > 0)).alias("n_won"), F.sum(F.when(closed, F.col("ret")).otherwise(0.0)).alias("sum_ret"),
     )
 
 
@@ -130,19 +136,31 @@ def equity_curve(returns: DataFrame, calendar: DataFrame, curves: DataFrame, key
     dates = curves.withColumn("idx", F.explode(F.sequence("lo_idx", "hi_idx"))).drop("lo_idx", "hi_idx")
     filled = dates.join(calendar.select("idx", "date"), "idx").join(
         returns.drop("date"), [*keys, "idx"], "left"
-    ).withColumns({"day_ret": F.coalesce("day_ret", F.lit(0.0)), "n_open": F.coalesce("n_open", F.lit(0))})
+    ).fillna({c: 0 for c in ("day_ret", "n_open", "n_closed", "n_won", "sum_ret")})
     w = Window.partitionBy(*keys).orderBy("idx")
     return filled.withColumn("equity", cumulative_growth("day_ret", w))
 
 
 def curve_metrics(curve: DataFrame, keys: Sequence[str] = ("curve_id",), periods: int = PERIODS_PER_YEAR, by: str = "date") -> DataFrame:
-    """Growth, drawdown, Sharpe and volatility of each equity curve."""
+    """Growth, drawdown, Sharpe and volatility of each equity curve.
+
+    A curve that carries cohort counts also gets its trade statistics and exposure.
+    """
     w = Window.partitionBy(*keys).orderBy(by)
     prev = F.lag("equity").over(w)
+    cohort = [c for c in ("n_open", "n_closed", "n_won", "sum_ret") if c in curve.columns]
     step = curve.select(
-        *keys, by, "equity", F.when(prev > 0, ratio("equity", prev) - 1).alias("r"), drawdown("equity", w).alias("dd")
+        *keys, by, "equity", *cohort, F.when(prev > 0, ratio("equity", prev) - 1).alias("r"), drawdown("equity", w).alias("dd")
     )
+    extra, stats = [], []
+    if len(cohort) == 4:
+        extra = [F.avg((F.col("n_open") > 0).cast("double")).alias("open"), *[F.sum(c).alias(c) for c in cohort[1:]]]
+        stats = [
+            F.col("n_closed").alias("n_trades"), (ratio("n_won", "n_closed") * 100).alias("win_rate_pct"),
+            ratio("sum_ret", "n_closed").alias("mean_ret"), (F.col("open") * 100).alias("exposure_pct"),
+        ]
     s = step.groupBy(*keys).agg(
+        *extra,
         F.count(F.lit(1)).alias("n"), F.min_by("equity", by).alias("first"), F.max_by("equity", by).alias("last"),
         F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("dd"),
     )
@@ -155,6 +173,7 @@ def curve_metrics(curve: DataFrame, keys: Sequence[str] = ("curve_id",), periods
         (F.coalesce("dd", F.lit(0.0)) * 100).alias("max_drawdown_pct"),
         F.when(moves, F.col("mean") / F.col("sd") * F.sqrt(F.lit(float(periods)))).otherwise(0.0).alias("sharpe"),
         F.when(moves, F.col("sd") * F.sqrt(F.lit(float(periods))) * 100).otherwise(0.0).alias("volatility_pct"),
+        *stats,
     )
 
 
@@ -167,10 +186,6 @@ def trade_stats(trades: DataFrame, keys: Sequence[str] = ("curve_id",)) -> DataF
     )
 
 
-def exposure(curve: DataFrame, keys: Sequence[str] = ("curve_id",)) -> DataFrame:
-    return curve.groupBy(*keys).agg((F.avg((F.col("n_open") > 0).cast("double")) * 100).alias("exposure_pct"))
-
-
 def buy_hold_curve(bars: DataFrame) -> DataFrame:
     """Mean over instruments of closes normalised to each one's first close."""
     w = ordered("stock_id")
@@ -248,13 +263,9 @@ def compare(
     signals: DataFrame, grid: Sequence[dict], bars: DataFrame, calendar: DataFrame, gate: DataFrame | None = None,
     periods: int = PERIODS_PER_YEAR,
 ) -> DataFrame:
-    """One row of metrics per configuration."""
-    trades, curves = grid_curves(signals, grid, bars, calendar, gate)
-    return (
-        curve_metrics(curves, periods=periods)
-        .join(trade_stats(trades), "curve_id", "left").join(exposure(curves), "curve_id", "left")
-        .withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
-    )
+    """One row of metrics per configuration, from one pass over the trades."""
+    _, curves = grid_curves(signals, grid, bars, calendar, gate)
+    return curve_metrics(curves, periods=periods)
 
 
 def fold_curves(trades: DataFrame, calendar: DataFrame, grid: Sequence[dict], k: int = 3) -> DataFrame:

@@ -290,7 +290,8 @@ def period_split(m: MarketTables) -> DataFrame:
         F.lit("all"), F.when(F.col("idx") <= mid, "first half"), F.when(F.col("idx") >= mid, "second half")
     ))
     split = curves.withColumn("part", F.explode(parts)).withColumn("curve_id", F.concat_ws(" ", "curve_id", "part"))
-    return rounded(log_growth(ev.curve_metrics(split, periods=WEEKS)), *METRIC_COLS, digits=4)
+    out = log_growth(ev.curve_metrics(split, periods=WEEKS)).select("curve_id", "n", "log_growth", *METRIC_COLS)
+    return rounded(out, *METRIC_COLS, digits=4)
 
 
 STRATEGIES = [
