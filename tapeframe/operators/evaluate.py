@@ -288,8 +288,12 @@ def fold_curves(trades: DataFrame, calendar: DataFrame, grid: Sequence[dict], k:
 
 
 def best_by(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Configuration with the highest (Sharpe, growth) per key; ties go to the smaller id."""
-    w = Window.partitionBy(*keys).orderBy(F.round("sharpe", 6).desc(), F.round("cagr_pct", 6).desc(), "curve_id")
+    """Configuration with the highest (Sharpe, growth) per key; ties go to the smaller id.
+
+    Growth compares as a logarithm, so equal curves tie at any size.
+    """
+    growth = F.round(F.log1p(F.col("cagr_pct") / 100), 6)
+    w = Window.partitionBy(*keys).orderBy(F.round("sharpe", 6).desc(), growth.desc(), "curve_id")
     return top_rows(metrics, w, 1).drop("rank")
 
 

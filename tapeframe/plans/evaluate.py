@@ -194,7 +194,7 @@ WALK = {
     "e_fcurve": """SELECT curve_id, fold, role, idx, date, coalesce(r, 0) AS day_ret, exp(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY curve_id, fold, role ORDER BY idx)) AS equity
         FROM (SELECT curve_id, fold, role, idx, date FROM e_cfg, e_windows, d_cal WHERE idx BETWEEN lo AND hi) LEFT JOIN e_fret USING (curve_id, fold, role, idx)""",
     "e_fmetrics": metrics_sql("e_fcurve", "curve_id, fold, role"),
-    "e_chosen": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(sharpe, 6) DESC, round(cagr_pct, 6) DESC, curve_id) AS k
+    "e_chosen": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(sharpe, 6) DESC, round(ln(1 + cagr_pct / 100), 6) DESC, curve_id) AS k
         FROM e_fmetrics WHERE role = 'train') WHERE k = 1""",
 }
 
