@@ -101,32 +101,37 @@ def signal_trades(
 
 
 def trade_days(trades: DataFrame, costs: Costs = COSTS) -> DataFrame:
-    """Daily return of every open trade; costs fall on the first and the last day."""
-    days = trades.select(
-        *[c for c in trades.columns if c != "path"], F.posexplode("path").alias("k", "bar"), "path"
-    )
-    before = F.when(F.col("k") == 0, F.col("entry_price") * (1 + costs.buy)).otherwise(F.get("path", F.col("k") - 1).close)
-    last = F.col("bar.idx") == F.col("exit_idx")
-    value = F.when(last, F.col("exit_price") * (1 - costs.sell)).otherwise(F.col("bar.close"))
-    return days.select(
-        *[c for c in trades.columns if c != "path"],
-        F.col("bar.date").alias("date"), F.col("bar.idx").alias("idx"), "k", (ratio(value, before) - 1).alias("day_ret"),
-    )
+    """Daily return of every open trade; costs fall on the first and the last day.
+
+    Returns are formed inside the path array, so the exploded rows stay narrow.
+    """
 
+    def day(bar: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.col("entry_price") * (1 + costs.buy)).otherwise(F.get(F.col("path"), k - 1).close)
+        value = F.when(bar.idx == F.col("exit_idx"), F.col("exit_price") * (1 - costs.sell)).otherwise(bar.close)
+        return F.struct(k.alias("k"), bar.date.alias("date"), bar.idx.alias("idx"), (ratio(value, before) - 1).alias("day_ret"))
 
-def cohort_returns(days: DataFrame, keys: Sequence[str] = ("curve_id",)) -> DataFrame:
-    """Equal weight over the trades open on each date.
+    return trades.select("curve_id", "signal_idx", "ret", F.inline(F.transform("path", day)))
+
+
+def cohort_sums(days: DataFrame, *keys: str | Column) -> DataFrame:
+    """Additive parts of the cohort statistics per date.
 
     Closed trades are counted on their first day, so trade statistics need no second
     pass over the trades.
     """
     closed = (F.col("k") == 0) & F.col("ret").isNotNull()
-    return days.groupBy(*keys, "date", "idx").agg(
-        F.avg("day_ret").alias("day_ret"), F.count(F.lit(1)).alias("n_open"), F.count_if(closed).alias("n_closed"),
+    return days.groupBy(*keys, "idx").agg(
+        F.sum("day_ret").alias("sum_day"), F.count(F.lit(1)).alias("n_open"), F.count_if(closed).alias("n_closed"),
         F.count_if(closed & (F.col("ret") > 0)).alias("n_won"), F.sum(F.when(closed, F.col("ret")).otherwise(0.0)).alias("sum_ret"),
     )
 
 
+def cohort_returns(days: DataFrame) -> DataFrame:
+    """Equal weight over the trades open on each date."""
+    return cohort_sums(days, "curve_id").withColumn("day_ret", ratio("sum_day", "n_open")).drop("sum_day")
+
+
 def equity_curve(returns: DataFrame, calendar: DataFrame, curves: DataFrame, keys: Sequence[str] = ("curve_id",)) -> DataFrame:
     """Compounded equity on every calendar date of each curve; idle dates earn nothing.
 
@@ -135,7 +140,7 @@ def equity_curve(returns: DataFrame, calendar: DataFrame, curves: DataFrame, key
     """
     dates = curves.withColumn("idx", F.explode(F.sequence("lo_idx", "hi_idx"))).drop("lo_idx", "hi_idx")
     filled = dates.join(calendar.select("idx", "date"), "idx").join(
-        returns.drop("date"), [*keys, "idx"], "left"
+        returns, [*keys, "idx"], "left"
     ).fillna({c: 0 for c in ("day_ret", "n_open", "n_closed", "n_won", "sum_ret")})
     w = Window.partitionBy(*keys).orderBy("idx")
     return filled.withColumn("equity", cumulative_growth("day_ret", w))
@@ -269,22 +274,39 @@ def compare(
 
 
 def fold_curves(trades: DataFrame, calendar: DataFrame, grid: Sequence[dict], k: int = 3) -> DataFrame:
-    """Equity of every (configuration, fold, role): only signals and days inside its window."""
-    n = F.col("n_dates")
-    roles = []
-    for i in range(k):
-        b = fold_bounds(n, F.lit(i), k)
-        for role, lo, hi in (("train", F.lit(0).cast("long"), b["train_hi"]), ("test", b["test_lo"], b["test_hi"])):
-            roles.append(F.struct(F.lit(f"F{i + 1}").alias("fold"), F.lit(role).alias("role"), lo.alias("lo_idx"), hi.alias("hi_idx")))
+    """Equity of every (configuration, fold, role): only signals and days inside its window.
+
+    Trades are summed per configuration, date and segment of their signal date between
+    the cuts.  Folds then add up segments, so no trade is copied per fold: training is
+    every segment below its cut, a test is the one segment behind it.
+    """
     size = calendar.agg(F.count(F.lit(1)).alias("n_dates"))
-    windows = size.withColumn("w", F.explode(F.array(*roles))).select("w.*").filter("hi_idx > lo_idx")
-    curves = windows.withColumn("curve_id", F.explode(F.array(*[F.lit(g["curve_id"]) for g in grid])))
-    days = with_scalar(trade_days(trades), size, "n_dates").withColumn("w", F.explode(F.array(*roles)))
-    inside = days.filter(
-        (F.col("signal_idx") >= F.col("w.lo_idx")) & (F.col("signal_idx") < F.col("w.hi_idx")) & (F.col("idx") <= F.col("w.hi_idx"))
-    ).withColumns({"fold": F.col("w.fold"), "role": F.col("w.role")})
+    bounds = [fold_bounds(F.col("n_dates"), F.lit(i), k) for i in range(k)]
+    cuts = [b["train_hi"] for b in bounds]
+    signal = F.col("signal_idx")
+    segment = sum(((signal >= c).cast("int") + (signal > c).cast("int") for c in cuts), F.lit(0))
+    roles = []
+    for i, b in enumerate(bounds):
+        name = F.lit(f"F{i + 1}").alias("fold")
+        roles.append(F.struct(
+            name, F.lit("train").alias("role"), F.lit(0).cast("long").alias("lo_idx"), b["train_hi"].alias("hi_idx"),
+            F.lit(0).alias("seg_lo"), F.lit(2 * i).alias("seg_hi"),
+        ))
+        roles.append(F.struct(
+            name, F.lit("test").alias("role"), b["test_lo"].alias("lo_idx"), b["test_hi"].alias("hi_idx"),
+            F.lit(2 * i + 2).alias("seg_lo"), F.lit(2 * i + 2).alias("seg_hi"),
+        ))
+    windows = size.select(F.inline(F.array(*roles))).filter("hi_idx > lo_idx")
+    curves = windows.drop("seg_lo", "seg_hi").withColumn("curve_id", F.explode(F.array(*[F.lit(g["curve_id"]) for g in grid])))
+    parts = cohort_sums(with_scalar(trade_days(trades), size, "n_dates"), "curve_id", "n_dates", segment.alias("segment"))
     keys = ("curve_id", "fold", "role")
-    return equity_curve(cohort_returns(inside, keys), calendar, curves, keys)
+    returns = (
+        parts.select("*", F.inline(F.array(*roles)))
+        .filter(F.col("segment").between(F.col("seg_lo"), F.col("seg_hi")) & (F.col("idx") <= F.col("hi_idx")))
+        .groupBy(*keys, "idx").agg(*[F.sum(c).alias(c) for c in ("sum_day", "n_open", "n_closed", "n_won", "sum_ret")])
+        .withColumn("day_ret", ratio("sum_day", "n_open")).drop("sum_day")
+    )
+    return equity_curve(returns, calendar, curves, keys)
 
 
 def best_by(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -310,17 +332,20 @@ def grid_walk_forward(
     trades = signal_trades(expand_grid(signals, grid, gate), bars, calendar, holds)
     curves = fold_curves(trades, calendar, grid, k)
     metrics = curve_metrics(curves, ("curve_id", "fold", "role"), periods)
-    chosen = best_by(metrics.filter("role = 'train'"), ["fold"]).select(
-        "fold", "curve_id", F.col("sharpe").alias("train_sharpe"), F.col("cagr_pct").alias("train_cagr_pct")
-    )
-    test = metrics.filter("role = 'test'").select(
-        "fold", "curve_id", F.col("sharpe").alias("test_sharpe"), F.col("cagr_pct").alias("test_cagr_pct"),
-        F.col("max_drawdown_pct").alias("test_drawdown_pct"),
-    )
-    picked = curves.filter("role = 'test'").join(chosen.select("fold", "curve_id"), ["fold", "curve_id"])
+    # both roles side by side: the choice and its test come from the same rows
+    sides = metrics.groupBy("fold", "curve_id").agg(*[
+        F.max(F.when(F.col("role") == role, F.col(c))).alias(out)
+        for role, c, out in (
+            ("train", "sharpe", "sharpe"), ("train", "cagr_pct", "cagr_pct"),
+            ("test", "sharpe", "test_sharpe"), ("test", "cagr_pct", "test_cagr_pct"), ("test", "max_drawdown_pct", "test_drawdown_pct"),
+        )
+    ])
+    chosen = best_by(sides, ["fold"]).withColumnsRenamed({"sharpe": "train_sharpe", "cagr_pct": "train_cagr_pct"})
+    # one row per fold
+    picked = curves.filter("role = 'test'").join(F.broadcast(chosen.select("fold", "curve_id")), ["fold", "curve_id"])
     w = Window.orderBy("idx")  # test windows do not overlap: one row per date
     stitched = picked.select(
         F.lit("oos").alias("curve_id"), "fold", F.col("curve_id").alias("config"), "idx", "date", "day_ret",
         cumulative_growth("day_ret", w).alias("equity"),
     )
-    return chosen.join(test, ["fold", "curve_id"]), stitched
+    return chosen, stitched
