@@ -131,7 +131,8 @@ def expected_pressure(
 ) -> DataFrame:
     """Tomorrow's likely selling: each frequent flipper's buy times its usual dump ratio.
 
-    A bar without such buyers gets 0, not null.
+    A bar without such buyers gets 0, not null.  ``profile`` is best a stored table: the
+    planner then knows that it is small and no broker becomes a hot join key.
     """
     rates = profile.select("broker", "flip_rate", "dump_ratio")
     buys = top_buyers(nets, p.top).join(rates, "broker", "left")

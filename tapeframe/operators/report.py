@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import LOT_SHARES, Broker, LockScreen
 from ..functions.columns import detail_map, pct_simple, ratio, vote
 from ..functions.windows import newest_first, ordered, top_rows
+from ..session import cut_lineage
 from ..sources.calendar import on_last_dates
 from . import brokers
 from .joins import enrich
@@ -160,7 +161,8 @@ def lock_screen(
     main_today = brokers.broker_main_net(of_today, b.top).select("stock_id", F.col("main_net").alias("main_net_today"))
     main_prev = brokers.broker_main_net(of_prev, b.top).select("stock_id", F.col("main_net").alias("main_net_prev"))
     pressure = brokers.flip_pressure(of_prev.unionByName(of_today), price, calendar, b.top).select("stock_id", "flip_pressure_pct")
-    profile = brokers.broker_profile(nets, calendar, b)
+    # a stored table of one row per broker: its real size decides whether joins broadcast it
+    profile = cut_lineage(brokers.broker_profile(nets, calendar, b), "profile")
     expected = brokers.expected_pressure(of_today, profile, price, b).select("stock_id", "expected_lots", "expected_pct")
     own_history = nets.join(today.select("stock_id"), "stock_id", "left_semi")
     regulars = brokers.flip_regulars(own_history, calendar, p.lookback, b.top, p.min_hits).select("stock_id", "broker", "hits")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Broker
 from ..operators import brokers
+from ..session import cut_lineage
 from ..sources import normalize
 from ..sources.landing import MarketTables
 from .registry import query, rounded
@@ -54,6 +55,10 @@ FOLLOW = {
 }
 
 
+def stored_profile(m: MarketTables) -> DataFrame:
+    return cut_lineage(brokers.broker_profile(m.broker_net, m.calendar, P), "profile")
+
+
 @query("broker_net_from_trades", "SELECT stock_id, date, broker, net FROM d_broker")
 def broker_net(m: MarketTables) -> DataFrame:
     return m.broker_net
@@ -98,8 +103,7 @@ def profile_before(m: MarketTables) -> DataFrame:
     **FOLLOW,
 )
 def expected(m: MarketTables) -> DataFrame:
-    prof = brokers.broker_profile(m.broker_net, m.calendar, P)
-    return rounded(brokers.expected_pressure(m.broker_net, prof, m.bars, P), "expected_lots", "expected_pct")
+    return rounded(brokers.expected_pressure(m.broker_net, stored_profile(m), m.bars, P), "expected_lots", "expected_pct")
 
 
 @query("flip_regulars", "SELECT stock_id, broker, hits, dumped FROM b_regulars", **FOLLOW)
@@ -116,7 +120,7 @@ def regulars(m: MarketTables) -> DataFrame:
     **FOLLOW,
 )
 def branches(m: MarketTables) -> DataFrame:
-    return brokers.top_branches(m.broker_net, brokers.broker_profile(m.broker_net, m.calendar, P), TOP)
+    return brokers.top_branches(m.broker_net, stored_profile(m), TOP)
 
 
 @query(
