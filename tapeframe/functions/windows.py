@@ -81,12 +81,31 @@ def cumulative_growth(r: str | Column, w: WindowSpec) -> Column:
     return F.exp(F.sum(F.log1p(col(r))).over(running(w)))
 
 
-def range_position(c: str | Column, w: WindowSpec, n: int, min_rows: int) -> Column:
-    """Place of c in the range of its last n rows, 0 to 100."""
-    frame = trailing(w, n)
-    hi, lo = F.max(col(c)).over(frame), F.min(col(c)).over(frame)
-    enough = F.count(F.lit(1)).over(frame) >= min_rows
-    return F.when(enough & (hi > lo), ratio(col(c) - lo, hi - lo) * 100)
+def with_sliding_range(df: DataFrame, c: str, n: int, hi: str, lo: str, key: str = "stock_id", by: str = "date") -> DataFrame:
+    """Adds the highest and lowest of the last n rows at constant work per row.
+
+    Rows fall into blocks of n.  A trailing frame is the tail of one block and the head
+    of the next, so running extremes from both ends of the blocks cover it; a plain
+    frame would look at n rows again for every row.
+    """
+    w = ordered(key, by=by)
+    block = Window.partitionBy(key, "__block")
+    head, tail = running(block.orderBy(by)), running(block.orderBy(F.col(by).desc()))
+    out = df.withColumn("__block", F.floor(row_index(w) / n)).withColumns({
+        "__head_hi": F.max(c).over(head), "__head_lo": F.min(c).over(head),
+        "__tail_hi": F.max(c).over(tail), "__tail_lo": F.min(c).over(tail),
+    })
+    return out.withColumns({
+        hi: F.greatest("__head_hi", F.lag("__tail_hi", n - 1).over(w)), lo: F.least("__head_lo", F.lag("__tail_lo", n - 1).over(w)),
+    }).drop("__block", "__head_hi", "__head_lo", "__tail_hi", "__tail_lo")
+
+
+def with_range_position(df: DataFrame, c: str, n: int, min_rows: int, out: str, key: str = "stock_id", by: str = "date") -> DataFrame:
+    """Adds the place of c in the range of its last n rows, 0 to 100."""
+    hi, lo = F.col("__hi"), F.col("__lo")
+    ranged = with_sliding_range(df, c, n, "__hi", "__lo", key, by)
+    enough = F.row_number().over(ordered(key, by=by)) >= min_rows
+    return ranged.withColumn(out, F.when(enough & (hi > lo), ratio(col(c) - lo, hi - lo) * 100)).drop("__hi", "__lo")
 
 
 def normalised(c: str | Column, w: WindowSpec) -> Column:

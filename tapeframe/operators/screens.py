@@ -52,8 +52,9 @@ def accumulation_screen(
     asof = flows.groupBy("type").agg(F.max("date").alias("d")).agg(F.min("d").alias("d")).select("d").scalar()
     dates = inst.filter(F.col("date") <= asof).select("date").distinct()
     dates = dates.orderBy(F.col("date").desc()).limit(p.lookback)
+    oldest = dates.agg(F.min("date").alias("d")).select("d").scalar()
 
-    window = price.join(F.broadcast(dates), "date", "left_semi").groupBy("stock_id").agg(
+    window = price.filter(F.col("date") >= oldest).join(F.broadcast(dates), "date", "left_semi").groupBy("stock_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("volume").alias("avg_volume"),
         F.sum("volume").alias("total_volume"),
@@ -61,7 +62,7 @@ def accumulation_screen(
         F.max_by("close", "date").alias("close"),
     )
     net = F.when(F.col("type") == "tpex", F.col("foreign_net")).otherwise(F.col("trust_net"))
-    chosen = flows.withColumn("net", net).join(F.broadcast(dates), "date", "left_semi")
+    chosen = flows.filter(F.col("date") >= oldest).withColumn("net", net).join(F.broadcast(dates), "date", "left_semi")
     streak = latest_streaks(chosen, "stock_id", {"net": "streak"})
     bought = chosen.groupBy("stock_id").agg(F.sum("net").alias("cum_net"))
     balances = margin.groupBy("stock_id").agg(

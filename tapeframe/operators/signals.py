@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Accumulation, QuietAccumulation, RelativeStrength, RevenueMomentum, Value
 from ..functions.columns import clip, ratio
 from ..functions.quantiles import exact_median
-from ..functions.windows import buy_streak, ordered, return_n, row_index, sma, trailing
+from ..functions.windows import buy_streak, ordered, return_n, row_index, sma, trailing, with_sliding_range
 from .joins import asof_join
 
 
@@ -108,10 +108,11 @@ def accumulation_signals(panel: DataFrame, params: Accumulation = Accumulation()
 def quiet_accumulation_signals(panel: DataFrame, p: QuietAccumulation = QuietAccumulation()) -> DataFrame:
     """Persistent buying while the price rests: flat, near its mean, on thin volume."""
     w = ordered("stock_id")
-    win, year = trailing(w, p.window), trailing(w, p.year_rows)
+    win = trailing(w, p.window)
+    panel = with_sliding_range(panel, "close", p.year_rows, "__hi", "__lo")
     vol = F.sum("volume").over(win)
     start = F.lag("close", p.window - 1).over(w)
-    hi, lo = F.max("close").over(year), F.min("close").over(year)
+    hi, lo = F.col("__hi"), F.col("__lo")
     v60 = F.avg("volume").over(trailing(w, 60))
     f = panel.select(
         "stock_id", "date", "close",

@@ -69,6 +69,13 @@ def true_range_atr(m: MarketTables) -> DataFrame:
     return rounded(tr.withColumn("atr", fw.sma("tr", w, 14)), "tr", "atr")
 
 
+@query(
+    "sliding_range", f"SELECT stock_id, date, max(high) OVER f AS hi, min(high) OVER f AS lo FROM d_bars WINDOW {frame(20)}",
+)
+def sliding_range(m: MarketTables) -> DataFrame:
+    return fw.with_sliding_range(m.bars.select("stock_id", "date", "high"), "high", 20, "hi", "lo").drop("high")
+
+
 @query("drawdown", f"SELECT stock_id, date, max(close) OVER w AS peak, round(close / max(close) OVER w - 1, 6) + 0e0 AS drawdown FROM d_bars {W}")
 def drawdown(m: MarketTables) -> DataFrame:
     w = fw.ordered("stock_id")
@@ -115,8 +122,8 @@ def latest_streaks(m: MarketTables) -> DataFrame:
         FROM d_bars WINDOW {frame(240)}""",
 )
 def range_position(m: MarketTables) -> DataFrame:
-    w = fw.ordered("stock_id")
-    return rounded(m.bars.select("stock_id", "date", fw.range_position("close", w, 240, 120).alias("position")), "position")
+    out = fw.with_range_position(m.bars.select("stock_id", "date", "close"), "close", 240, 120, "position")
+    return rounded(out.drop("close"), "position")
 
 
 @query(
