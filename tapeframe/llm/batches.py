@@ -7,6 +7,7 @@ and memory is bounded by a batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,14 +35,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def add_columns(df: DataFrame, fields: dict[str, T.DataType], compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """``df`` and the columns that ``compute`` makes of each of its batches."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields.items())])
+def add_columns(df: DataFrame, fields: dict[str, T.DataType], compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without ``drop``, and the columns that ``compute`` makes of each of its batches."""
+    keep = [f for f in df.schema.fields if f.name not in drop]
+    schema = T.StructType([*keep, *(T.StructField(n, t) for n, t in fields.items())])
+    places = [i for i, f in enumerate(df.schema.fields) if f.name not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *compute(part)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -67,6 +70,23 @@ def byte_slices(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.Reco
     yield from byte_slices(batch.slice(half), limit)
 
 
+BUILT: dict[str, object] = {}
+
+
+class Shared:
+    """A broadcast of bounded data; calling it in a task gives what ``build`` makes of it, once in each Python worker."""
+
+    def __init__(self, spark: SparkSession, value: object, build: Callable = lambda x: x) -> None:
+        self.key, self.data, self.build = uuid.uuid4().hex, spark.sparkContext.broadcast(value), build
+
+    def __call__(self):
+        if self.key not in BUILT:
+            while len(BUILT) > 3:
+                BUILT.pop(next(iter(BUILT)))
+            BUILT[self.key] = self.build(self.data.value)
+        return BUILT[self.key]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

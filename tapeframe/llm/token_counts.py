@@ -28,9 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapeframe.llm.batches import column, map_batches
+from tapeframe.llm.batches import Shared, column, map_batches
 
 CHUNK = 1 << 16
 # The white space of the Unicode property and the piece patterns of the vocabulary's library.
@@ -201,39 +200,28 @@ class Transducer:
         return self.count(m[0]) + m[1] + self.count(m[2] or "")
 
 
-MACHINES: dict[int, Transducer] = {}
-
-
-def machine(shared) -> Transducer:
-    """One machine in each Python worker."""
-    if shared.id not in MACHINES:
-        MACHINES.clear()
-        MACHINES[shared.id] = Transducer(**shared.value)
-    return MACHINES[shared.id]
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row; ``path`` names the tokenizer file.
 
     A null or empty text has no bytes and no tokens; a null doc_id stays null; repeated
     rows give repeated results; other columns of ``docs`` are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    machine = Shared(docs.sparkSession, load(path), lambda parts: Transducer(**parts))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, texts = machine(shared), column(batch, "text")
+        m, texts = machine(), column(batch, "text")
         return pa.RecordBatch.from_arrays(
             [column(batch, "doc_id"), pa.array([len(t.as_buffer()) for t in texts], pa.int64()), pa.array([m.count(t) for t in texts.to_pylist()], pa.int64())],
             names=["doc_id", "n_bytes", "n_tokens"],
         )
 
     counts = map_batches(rows.filter(F.length("text") <= chunk), "doc_id long, n_bytes long, n_tokens long", whole)
-    counts = counts.unionByName(chunked(rows.filter(F.length("text") > chunk), shared, chunk))
+    counts = counts.unionByName(chunked(rows.filter(F.length("text") > chunk), machine, chunk))
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def chunked(rows: DataFrame, shared, chunk: int) -> DataFrame:
+def chunked(rows: DataFrame, machine, chunk: int) -> DataFrame:
     """Counts of long texts from the maps of their chunks; equal rows are counted once and laid out again."""
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
     parts = rows.select(
@@ -242,7 +230,7 @@ def chunked(rows: DataFrame, shared, chunk: int) -> DataFrame:
     fields = "doc_id long, n_bytes long, digest string, pos int, head string, n long, tail string"
 
     def mapped(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = machine(shared)
+        m = machine()
         maps = [m.chunk_map(t) for t in column(batch, "part").to_pylist()]
         head, n, tail = (zip(*maps)) if maps else ((), (), ())
         return pa.RecordBatch.from_arrays(
@@ -256,7 +244,7 @@ def chunked(rows: DataFrame, shared, chunk: int) -> DataFrame:
     texts = maps.groupBy("doc_id", "n_bytes", "digest").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("pos", "map"))).alias("maps"))
 
     def composed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = machine(shared)
+        m = machine()
         lists = [[(x["map"]["head"], x["map"]["n"], x["map"]["tail"]) for x in maps] for maps in column(batch, "maps").to_pylist()]
         counts = pa.array([m.finish(m.compose(x)) for x in lists], pa.int64())
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), counts, column(batch, "copies")], names=["doc_id", "n_bytes", "n_tokens", "copies"])
