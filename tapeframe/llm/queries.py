@@ -8,6 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeframe.llm.batches import documents
 from tapeframe.llm.decontaminate import contamination
+from tapeframe.llm.line_dedup import line_report
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir, "doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), common AS (
+  SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT l.doc_id, l.i, l.line, c.k IS NOT NULL AND l.doc_id <> c.keeper AS dropped FROM lines l LEFT JOIN common c ON l.k = c.k
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +70,8 @@ FROM words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_i
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
