@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeframe.llm.batches import documents
 from tapeframe.llm.decontaminate import contamination
 from tapeframe.llm.line_dedup import line_report
+from tapeframe.llm.mixing import mix_report
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,42 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sizes GROUP BY source
+), weighted AS (
+  SELECT source, source_size, 3 * source_size AS cap, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS weight FROM sums
+), rounds(round, capped, level) AS (
+  SELECT 0, 0::BIGINT, (SELECT sum(source_size) / sum(weight) FROM weighted)
+  UNION ALL
+  SELECT round + 1,
+    (SELECT count(*) FROM weighted WHERE r.level * weight > cap),
+    ((SELECT sum(source_size) FROM weighted) - coalesce((SELECT sum(cap) FROM weighted WHERE r.level * weight > cap), 0))
+      / (SELECT sum(weight) FROM weighted WHERE r.level * weight <= cap)
+  FROM rounds r
+  WHERE (SELECT count(*) FROM weighted WHERE r.level * weight > cap) > r.capped
+), level AS (
+  SELECT max(level) AS level FROM rounds
+), targets AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target FROM weighted, level
+), tape AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('42:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(least(start + size, take) - start, 0) + greatest(least(start + source_size + size, take) - start - source_size, 0)
+    + greatest(least(start + 2 * source_size + size, take) - start - 2 * source_size, 0) AS BIGINT) AS taken
+FROM tape
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +108,8 @@ FROM words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_i
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_mixing": op2_mixing,
     "op7_token_counts": op7_token_counts,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op10_decontamination": OP10_SQL}
