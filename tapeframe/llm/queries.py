@@ -11,6 +11,8 @@ from tapeframe.llm.decontaminate import contamination
 from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
 
+from tapeframe.llm.url_filter import judge
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir, "doc_id", "text"))
@@ -67,6 +69,30 @@ FROM tape
 """
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+OP5_SQL = """
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r FROM pages
+), placed AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(r, length(regexp_extract(r, '^[^/]*')) + 1) AS path
+  FROM rest
+), hits AS (
+  SELECT d.host, d.path, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY d.host, d.path ORDER BY length(r.h || r.p) DESC, length(r.h) DESC, r.v DESC) AS n
+  FROM (SELECT DISTINCT host, path FROM placed) d JOIN rules r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p)
+)
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.v, 'allow') AS verdict
+FROM placed p LEFT JOIN hits h ON p.host = h.host AND p.path = h.path AND h.n = 1
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -109,7 +135,8 @@ FROM words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_i
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_url_filter": OP5_SQL, "op10_decontamination": OP10_SQL}
