@@ -11,6 +11,7 @@ from tapeframe.llm.decontaminate import contamination
 from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
 
+from tapeframe.llm.secret_scan import secret_spans
 from tapeframe.llm.url_filter import judge
 
 
@@ -69,6 +70,10 @@ FROM tape
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir, "doc_id", "text"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -135,6 +140,7 @@ FROM words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_i
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_secret_scan": op3_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
     "op10_decontamination": op10_decontamination,
