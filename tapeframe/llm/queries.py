@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeframe.llm.batches import documents
 from tapeframe.llm.decontaminate import contamination
+from tapeframe.llm.language_id import language_report
 from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
 
@@ -106,6 +107,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_url_filter": OP5_SQL, "op10_decontamination": OP10_SQL}
