@@ -12,6 +12,7 @@ from tapeframe.llm.language_id import language_report
 from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
 
+from tapeframe.llm.near_dedup import near_report
 from tapeframe.llm.secret_scan import secret_spans
 from tapeframe.llm.url_filter import judge
 
@@ -99,6 +100,10 @@ FROM placed p LEFT JOIN hits h ON p.host = h.host AND p.path = h.path AND h.n =
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
