@@ -14,6 +14,7 @@ from tapeframe.llm.mixing import mix_report
 
 from tapeframe.llm.near_dedup import near_report
 from tapeframe.llm.secret_scan import secret_spans
+from tapeframe.llm.substring_dedup import passage_report
 from tapeframe.llm.url_filter import judge
 
 
@@ -112,6 +113,29 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(documents(spark, sf_dir, "doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (
+  SELECT win, min(doc_id) AS least FROM windows GROUP BY win
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM (SELECT x.doc_id, x.i FROM windows x JOIN firsts f ON x.win = f.win AND f.least < x.doc_id)
+), places AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words
+), kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) AS listed, count(*) AS n FROM places a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY a.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.listed, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
@@ -154,7 +178,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_url_filter": OP5_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_url_filter": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
