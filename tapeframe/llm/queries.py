@@ -13,6 +13,7 @@ from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
 
 from tapeframe.llm.near_dedup import near_report
+from tapeframe.llm.neighbours import neighbours
 from tapeframe.llm.secret_scan import secret_spans
 from tapeframe.llm.substring_dedup import passage_report
 from tapeframe.llm.url_filter import judge
@@ -77,6 +78,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -175,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
