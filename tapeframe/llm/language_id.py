@@ -102,16 +102,20 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def parse_table(symbols: list[int]) -> np.ndarray:
-    """Next state of each state and symbol, as the place of its row; its complement where a new phrase starts."""
+    """Next state of each state and symbol, as the place of its row; its complement where a new phrase starts.
+
+    The last state stands before any phrase and after a symbol that the sequence lacks.
+    """
     moves = automaton(symbols)
-    root = np.zeros(SYMBOLS, np.int32)
+    outside = len(moves) * SYMBOLS
+    root = np.full(SYMBOLS, outside, np.int32)
     for s, to in moves[0].items():
         root[s] = to * SYMBOLS
-    table = np.tile(~root, (len(moves), 1))
+    table = np.tile(~root, (len(moves) + 1, 1))
     for state, out in enumerate(moves):
         for s, to in out.items():
             table[state, s] = to * SYMBOLS
-    table[:, END] = 0
+    table[:, END] = outside
     return table.ravel()
 
 
@@ -151,7 +155,7 @@ class Parser:
             lanes = padded[at[None, :] + np.arange(BLOCK)[:, None]]
             lanes[np.arange(BLOCK)[:, None] >= size[None, :]] = END
             for k, table in enumerate(self.tables):
-                state, found = np.zeros(len(at), np.int32), np.ones(len(at), np.int32)
+                state, found = np.full(len(at), len(table) - SYMBOLS, np.int32), np.zeros(len(at), np.int32)
                 for step in lanes[: size.max()]:
                     state = table[state + step]
                     found -= state >> 31

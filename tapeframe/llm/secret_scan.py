@@ -46,17 +46,16 @@ CONTEXT = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 STEMS = (b"pass", b"pwd", b"secret", b"token", b"api", b"auth", b"credential", b"login", b"private")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d|(?:19|20)\d\d")
+DAY, MONTH = r"(?:3[01]|[12]\d|0?[1-9])", r"(?:1[0-2]|0?[1-9])"
+DATE = re.compile(rf"(?:19|20)\d\d[-/.]?{MONTH}[-/.]?{DAY}|{DAY}[-/.]{MONTH}[-/.](?:19|20)?\d\d|(?:19|20)\d\d")
 KINDS = ("assign", "access", "hex", "guess")
 
 
-def beside() -> dict[str, set[str]]:
-    """Keys next to each other on the keyboard; a row is shifted by half a key."""
-    near: dict[str, set[str]] = {}
-    for y, row in enumerate(ROWS):
-        for x, key in enumerate(row):
-            near[key] = {ROWS[y + dy][x + dx] for dy, dx in ((0, -1), (0, 1), (-1, 0), (-1, 1), (1, -1), (1, 0)) if 0 <= y + dy < len(ROWS) and 0 <= x + dx < len(ROWS[y + dy])}
-    return near
+def beside() -> dict[tuple[str, str], tuple[int, int]]:
+    """Direction from each key to each one next to it; a row is shifted by half a key."""
+    place = {key: (x, y) for y, row in enumerate(ROWS) for x, key in enumerate(row)}
+    steps = ((-1, 0), (1, 0), (0, -1), (1, -1), (-1, 1), (0, 1))
+    return {(a, b): (u - x, v - y) for a, (x, y) in place.items() for b, (u, v) in place.items() if (u - x, v - y) in steps}
 
 
 class GuessCost:
@@ -85,6 +84,7 @@ class GuessCost:
                 if m:
                     dates.setdefault(m.end(), []).append(i)
         walk = turns = 0
+        way = None
         same = [0] * 5
         for i in range(1, n + 1):
             part = 0.3  # a guesser must also choose where segments end
@@ -100,13 +100,15 @@ class GuessCost:
                     cost = min(cost, best[j] + part + rank + extra + case)
             for j in dates.get(i, ()):
                 cost = min(cost, best[j] + part + (math.log10(365 * 120) if i - j > 4 else math.log10(120)))
-            if i > 1 and low[i - 1] in self.near.get(low[i - 2], ()):
-                turns += i > 2 and walk > 0 and ord(low[i - 1]) - ord(low[i - 2]) != ord(low[i - 2]) - ord(low[i - 3])
+            step = self.near.get((low[i - 2], low[i - 1])) if i > 1 else None
+            if step:
+                turns += way is not None and step != way
                 walk += 1
                 if walk >= 3:
                     cost = min(cost, best[i - 1 - walk] + part + math.log10(47 * (walk + 1)) + 0.4 * turns)
             else:
                 walk = turns = 0
+            way = step
             for p in range(1, 5):
                 same[p] = same[p] + 1 if i > p and value[i - 1] == value[i - 1 - p] else 0
                 times = same[p] // p + 1
