@@ -9,7 +9,7 @@ from ..config import COSTS, LOT_SHARES, Costs
 
 # Offset of the local calendar year, text patterns of landed files.
 LOCAL_YEAR_OFFSET = 1911
-COMMON_STOCK = r"^[1-9]\d{3}$"
+COMMON_SHARE = r"^[1-9]\d{3}$"
 PERIOD_SEPARATOR = "[～~—－-]"
 DETAIL_SEPARATOR = "、"
 DETAIL_ENTRY = r"^(.+)\+(-?\d+)$"

@@ -81,7 +81,7 @@ def cumulative_growth(r: str | Column, w: WindowSpec) -> Column:
     return F.exp(F.sum(F.log1p(col(r))).over(running(w)))
 
 
-def with_sliding_range(df: DataFrame, c: str, n: int, hi: str, lo: str, key: str = "stock_id", by: str = "date") -> DataFrame:
+def with_sliding_range(df: DataFrame, c: str, n: int, hi: str, lo: str, key: str = "instrument_id", by: str = "date") -> DataFrame:
     """Adds the highest and lowest of the last n rows at constant work per row.
 
     Rows fall into blocks of n.  A trailing frame is the tail of one block and the head
@@ -100,7 +100,7 @@ def with_sliding_range(df: DataFrame, c: str, n: int, hi: str, lo: str, key: str
     }).drop("__block", "__head_hi", "__head_lo", "__tail_hi", "__tail_lo")
 
 
-def with_range_position(df: DataFrame, c: str, n: int, min_rows: int, out: str, key: str = "stock_id", by: str = "date") -> DataFrame:
+def with_range_position(df: DataFrame, c: str, n: int, min_rows: int, out: str, key: str = "instrument_id", by: str = "date") -> DataFrame:
     """Adds the place of c in the range of its last n rows, 0 to 100."""
     hi, lo = F.col("__hi"), F.col("__lo")
     ranged = with_sliding_range(df, c, n, "__hi", "__lo", key, by)

@@ -1,6 +1,6 @@
 """Broker behaviour: who buys today and sells tomorrow, per instrument and across all.
 
-Input is the long form (stock_id, date, broker, net).  The rows of one (stock_id,
+Input is the long form (instrument_id, date, broker, net).  The rows of one (instrument_id,
 date) are its brokers, a bounded set; everything across instruments is aggregated
 per broker with partial sums first, so a broker that trades everything is no hot key.
 """
@@ -18,11 +18,11 @@ from .joins import next_date_pairs
 
 
 def _by_bar(*order) -> Window:
-    return Window.partitionBy("stock_id", "date").orderBy(*order)
+    return Window.partitionBy("instrument_id", "date").orderBy(*order)
 
 
 def top_buyers(nets: DataFrame, top: int) -> DataFrame:
-    """The largest positive nets of each (stock, date); ties go by broker name."""
+    """The largest positive nets of each (instrument, date); ties go by broker name."""
     return top_rows(nets.filter("net > 0"), _by_bar(F.col("net").desc(), "broker"), top)
 
 
@@ -31,7 +31,7 @@ def top_sellers(nets: DataFrame, top: int) -> DataFrame:
 
 
 def broker_main_net(nets: DataFrame, top: int = 15) -> DataFrame:
-    """Net of the largest buyers and sellers per (stock, date), with counts and totals.
+    """Net of the largest buyers and sellers per (instrument, date), with counts and totals.
 
     Ranks among buyers and among sellers come from one sort of the group.
     """
@@ -41,7 +41,7 @@ def broker_main_net(nets: DataFrame, top: int = 15) -> DataFrame:
     buy = (F.col("b") <= top) & (F.col("net") > 0)
     sell = (F.col("s") <= top) & (F.col("net") < 0)
     zero = F.lit(0.0)
-    return ranked.groupBy("stock_id", "date").agg(
+    return ranked.groupBy("instrument_id", "date").agg(
         F.sum(F.when(buy | sell, F.col("net")).otherwise(zero)).alias("main_net"),
         F.sum(F.when(buy, F.col("net")).otherwise(zero)).alias("main_buy"),
         F.sum(F.when(sell, F.col("net")).otherwise(zero)).alias("main_sell"),
@@ -50,26 +50,26 @@ def broker_main_net(nets: DataFrame, top: int = 15) -> DataFrame:
 
 
 def adjacent_steps(nets: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(stock_id, date, next_date) where both adjacent calendar dates have broker rows."""
-    present = nets.select("stock_id", "date").distinct()
-    return next_date_pairs(present, present, calendar, ["stock_id"], "inner")
+    """(instrument_id, date, next_date) where both adjacent calendar dates have broker rows."""
+    present = nets.select("instrument_id", "date").distinct()
+    return next_date_pairs(present, present, calendar, ["instrument_id"], "inner")
 
 
 def available_steps(nets: DataFrame) -> DataFrame:
-    """(stock_id, date, next_date) between an instrument's own dates, over calendar gaps."""
-    w = Window.partitionBy("stock_id").orderBy("date")
-    days = nets.select("stock_id", "date").distinct()
+    """(instrument_id, date, next_date) between an instrument's own dates, over calendar gaps."""
+    w = Window.partitionBy("instrument_id").orderBy("date")
+    days = nets.select("instrument_id", "date").distinct()
     return days.withColumn("next_date", F.lead("date").over(w)).filter("next_date is not null")
 
 
 def follow_up(nets: DataFrame, steps: DataFrame, top: int) -> DataFrame:
     """Every top buy with the same broker's net on the step's next date; absent counts as 0."""
-    buys = top_buyers(nets, top).select("stock_id", "date", "broker", F.col("net").alias("bought"))
-    after = nets.select("stock_id", F.col("date").alias("next_date"), "broker", F.col("net").alias("after"))
-    joined = buys.join(steps, ["stock_id", "date"]).join(after, ["stock_id", "next_date", "broker"], "left")
+    buys = top_buyers(nets, top).select("instrument_id", "date", "broker", F.col("net").alias("bought"))
+    after = nets.select("instrument_id", F.col("date").alias("next_date"), "broker", F.col("net").alias("after"))
+    joined = buys.join(steps, ["instrument_id", "date"]).join(after, ["instrument_id", "next_date", "broker"], "left")
     sold = F.coalesce("after", F.lit(0.0)) < 0
     return joined.select(
-        "stock_id", "broker", F.col("date").alias("buy_date"), F.col("next_date").alias("sell_date"), "bought",
+        "instrument_id", "broker", F.col("date").alias("buy_date"), F.col("next_date").alias("sell_date"), "bought",
         sold.cast("long").alias("flip"),
         F.when(sold, F.least("bought", -F.col("after"))).otherwise(0.0).alias("dumped"),
     )
@@ -82,11 +82,11 @@ def buyer_follow_up(nets: DataFrame, calendar: DataFrame, top: int) -> DataFrame
 
 def flip_pressure(nets: DataFrame, price: DataFrame, calendar: DataFrame, top: int = 15) -> DataFrame:
     """Yesterday's top buyers' sales today, capped at what they bought, over today's volume."""
-    pairs = buyer_follow_up(nets, calendar, top).groupBy("stock_id", F.col("sell_date").alias("date")).agg(
+    pairs = buyer_follow_up(nets, calendar, top).groupBy("instrument_id", F.col("sell_date").alias("date")).agg(
         F.sum("dumped").alias("overlap")
     )
-    return pairs.join(price.select("stock_id", "date", "volume"), ["stock_id", "date"]).filter("volume > 0").select(
-        "stock_id", "date", "overlap", (ratio("overlap", "volume") * 100).alias("flip_pressure_pct")
+    return pairs.join(price.select("instrument_id", "date", "volume"), ["instrument_id", "date"]).filter("volume > 0").select(
+        "instrument_id", "date", "overlap", (ratio("overlap", "volume") * 100).alias("flip_pressure_pct")
     )
 
 
@@ -98,12 +98,12 @@ def _class(rate: str, p: Broker):
 
 
 def profile_rates(counters: DataFrame, p: Broker = Broker()) -> DataFrame:
-    """Rates and class of (broker, ops, flips, bought, dumped, n_stocks) counters."""
+    """Rates and class of (broker, ops, flips, bought, dumped, n_instruments) counters."""
     return (
         counters.filter(F.col("ops") >= p.min_ops)
         .withColumn("flip_rate", F.round(ratio("flips", "ops") * 100, 1))
         .withColumn("dump_ratio", F.when(F.col("bought") > 0, F.round(ratio("dumped", "bought") * 100, 1)).otherwise(0.0))
-        .select("broker", "ops", "flips", "flip_rate", "dump_ratio", "n_stocks", _class("flip_rate", p).alias("broker_class"))
+        .select("broker", "ops", "flips", "flip_rate", "dump_ratio", "n_instruments", _class("flip_rate", p).alias("broker_class"))
     )
 
 
@@ -115,13 +115,13 @@ def broker_profile(nets: DataFrame, calendar: DataFrame, p: Broker = Broker(), b
     pairs = buyer_follow_up(nets, calendar, p.top)
     if before is not None:
         pairs = pairs.filter(F.col("sell_date") < F.lit(before).cast("date"))
-    per_stock = pairs.groupBy("broker", "stock_id").agg(
+    per_instrument = pairs.groupBy("broker", "instrument_id").agg(
         F.count(F.lit(1)).alias("ops"), F.sum("flip").alias("flips"),
         F.sum("bought").alias("bought"), F.sum("dumped").alias("dumped"),
     )
-    counters = per_stock.groupBy("broker").agg(
+    counters = per_instrument.groupBy("broker").agg(
         F.sum("ops").alias("ops"), F.sum("flips").alias("flips"), F.sum("bought").alias("bought"),
-        F.sum("dumped").alias("dumped"), F.count(F.lit(1)).alias("n_stocks"),
+        F.sum("dumped").alias("dumped"), F.count(F.lit(1)).alias("n_instruments"),
     )
     return profile_rates(counters, p)
 
@@ -141,14 +141,14 @@ def expected_pressure(
 
 def _pressure(buys: DataFrame, price: DataFrame, p: Broker) -> DataFrame:
     hot = F.col("flip_rate") >= p.mid
-    est = buys.groupBy("stock_id", "date").agg(
+    est = buys.groupBy("instrument_id", "date").agg(
         F.sum(F.when(hot, F.col("net") * F.col("dump_ratio") / 100).otherwise(0.0)).alias("expected_lots"),
         F.count_if(hot).alias("n_flippers"),
     )
-    volume = price.select("stock_id", "date", "volume")
+    volume = price.select("instrument_id", "date", "volume")
     share = F.when(F.col("n_flippers") == 0, 0.0).when(F.col("volume") > 0, ratio("expected_lots", "volume") * 100)
-    return est.join(volume, ["stock_id", "date"], "left").select(
-        "stock_id", "date", "expected_lots", "n_flippers", share.alias("expected_pct")
+    return est.join(volume, ["instrument_id", "date"], "left").select(
+        "instrument_id", "date", "expected_lots", "n_flippers", share.alias("expected_pct")
     )
 
 
@@ -161,18 +161,18 @@ def flip_regulars(nets: DataFrame, calendar: DataFrame, lookback: int = 8, top:
         F.broadcast(calendar.filter(F.col("age") <= lookback + 1).select("date")), "date", "left_semi"
     )
     flips = follow_up(window, available_steps(window), top).filter("flip = 1")
-    return flips.groupBy("stock_id", "broker").agg(
+    return flips.groupBy("instrument_id", "broker").agg(
         F.count(F.lit(1)).alias("hits"), F.sum("dumped").alias("dumped")
     ).filter(F.col("hits") >= min_hits)
 
 
 def top_branches(nets: DataFrame, profile: DataFrame, n: int = 10) -> DataFrame:
-    """The n largest buyers and sellers of each (stock, date) with their class."""
+    """The n largest buyers and sellers of each (instrument, date) with their class."""
     buy = top_buyers(nets, n).withColumn("side", F.lit("buy"))
     sell = top_sellers(nets, n).withColumn("side", F.lit("sell"))
     info = profile.select("broker", "flip_rate", "ops", "broker_class")
     return buy.unionByName(sell).join(info, "broker", "left").select(
-        "stock_id", "date", "side", "rank", "broker", "net", "flip_rate", "ops", "broker_class"
+        "instrument_id", "date", "side", "rank", "broker", "net", "flip_rate", "ops", "broker_class"
     )
 
 
@@ -184,9 +184,9 @@ def profile_listing(profile: DataFrame, n: int = 10) -> DataFrame:
 
 
 def broker_timeline(nets: DataFrame, price: DataFrame, calendar: DataFrame, top: int = 15) -> DataFrame:
-    """Main net and flip pressure per (stock, date)."""
-    pressure = flip_pressure(nets, price, calendar, top).select("stock_id", "date", "flip_pressure_pct")
-    return broker_main_net(nets, top).select("stock_id", "date", "main_net").join(pressure, ["stock_id", "date"], "left")
+    """Main net and flip pressure per (instrument, date)."""
+    pressure = flip_pressure(nets, price, calendar, top).select("instrument_id", "date", "flip_pressure_pct")
+    return broker_main_net(nets, top).select("instrument_id", "date", "main_net").join(pressure, ["instrument_id", "date"], "left")
 
 
 def profile_history(nets: DataFrame, calendar: DataFrame, p: Broker = Broker()) -> DataFrame:
@@ -196,18 +196,18 @@ def profile_history(nets: DataFrame, calendar: DataFrame, p: Broker = Broker())
     running sum, so a broker's partition holds at most one row per trading date.
     """
     pairs = buyer_follow_up(nets, calendar, p.top)
-    per_stock = pairs.groupBy("broker", "stock_id", "sell_date").agg(
+    per_instrument = pairs.groupBy("broker", "instrument_id", "sell_date").agg(
         F.count(F.lit(1)).alias("ops"), F.sum("flip").alias("flips"),
         F.sum("bought").alias("bought"), F.sum("dumped").alias("dumped"),
     )
-    first = Window.partitionBy("broker", "stock_id").orderBy("sell_date")
+    first = Window.partitionBy("broker", "instrument_id").orderBy("sell_date")
     daily = (
-        per_stock.withColumn("new_stock", (F.row_number().over(first) == 1).cast("long"))
+        per_instrument.withColumn("new_instrument", (F.row_number().over(first) == 1).cast("long"))
         .groupBy("broker", F.col("sell_date").alias("date"))
-        .agg(*[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")], F.sum("new_stock").alias("n_stocks"))
+        .agg(*[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")], F.sum("new_instrument").alias("n_instruments"))
     )
     run = Window.partitionBy("broker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select("broker", "date", *[F.sum(c).over(run).alias(c) for c in ("ops", "flips", "bought", "dumped", "n_stocks")])
+    return daily.select("broker", "date", *[F.sum(c).over(run).alias(c) for c in ("ops", "flips", "bought", "dumped", "n_instruments")])
 
 
 def history_as_of(history: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def profile_rates_by_date(counters: DataFrame, p: Broker) -> DataFrame:
 
 
 def regular_hits(nets: DataFrame, calendar: DataFrame, lookback: int = 8, top: int = 15) -> DataFrame:
-    """(stock_id, broker, date, hits): flips inside the window of ``lookback`` dates up to each date.
+    """(instrument_id, broker, date, hits): flips inside the window of ``lookback`` dates up to each date.
 
     A flip counts for every date from its sale until its purchase leaves the window, so
     it is laid out at most ``lookback`` times and counted by key.
@@ -255,5 +255,5 @@ def regular_hits(nets: DataFrame, calendar: DataFrame, lookback: int = 8, top: i
         .join(idx.select(F.col("date").alias("sell_date"), F.col("idx").alias("s")), "sell_date")
         .filter(F.col("s") <= F.col("b") + lookback)
     )
-    seen = flips.select("stock_id", "broker", F.explode(F.sequence("s", F.col("b") + lookback)).alias("idx"))
-    return seen.groupBy("stock_id", "broker", "idx").agg(F.count(F.lit(1)).alias("hits")).join(idx, "idx").drop("idx")
+    seen = flips.select("instrument_id", "broker", F.explode(F.sequence("s", F.col("b") + lookback)).alias("idx"))
+    return seen.groupBy("instrument_id", "broker", "idx").agg(F.count(F.lit(1)).alias("hits")).join(idx, "idx").drop("idx")

@@ -23,22 +23,22 @@ NO_STOP = {"stop_kind": "none", "stop_param": 0.0}
 def entry_paths(bars: DataFrame, entries: DataFrame, calendar: DataFrame, holds: Sequence[int], atr_rows: int = 14) -> DataFrame:
     """Every wanted entry bar with what happens next.
 
-    ``entries``: stock_id, date and ``cfgs``.  ``path``: the instrument's bars from the
+    ``entries``: instrument_id, date and ``cfgs``.  ``path``: the instrument's bars from the
     entry to the longest hold, by calendar index.  ``exit_<hold>``: its first bar at or
     after ``hold`` dates.  A bar without a positive close is a missing quote and is
     skipped.  One sort per instrument and no range join; paths leave the window only
     for wanted bars and are never shuffled.
     """
-    base = bars.filter("close > 0").join(calendar.select("date", "idx"), "date").join(entries, ["stock_id", "date"], "left")
-    w = ordered("stock_id", by="idx")
+    base = bars.filter("close > 0").join(calendar.select("date", "idx"), "date").join(entries, ["instrument_id", "date"], "left")
+    w = ordered("instrument_id", by="idx")
     bar = F.struct("idx", "date", "open", "low", "close")
-    newest_first = Window.partitionBy("stock_id").orderBy(F.col("idx").desc())
+    newest_first = Window.partitionBy("instrument_id").orderBy(F.col("idx").desc())
     atr = F.when(
         F.count(F.lit(1)).over(trailing(w, atr_rows)) == atr_rows, F.avg("tr").over(trailing(w, atr_rows))
     )
     out = base.withColumn("tr", true_range(w))
     return out.select(
-        "stock_id", "date", "idx", "open", "close", "cfgs", atr.alias("atr"),
+        "instrument_id", "date", "idx", "open", "close", "cfgs", atr.alias("atr"),
         F.collect_list(bar).over(w.rangeBetween(0, max(holds))).alias("path"),
         *[
             F.last(bar).over(newest_first.rangeBetween(Window.unboundedPreceding, -hold)).alias(f"exit_{hold}")
@@ -60,7 +60,7 @@ def signal_trades(
 ) -> DataFrame:
     """One trade per signal: in at the next date's open, out at the stop or after the hold.
 
-    ``signals`` carries curve_id, date, stock_id, hold, stop_kind and stop_param; holds
+    ``signals`` carries curve_id, date, instrument_id, hold, stop_kind and stop_param; holds
     must be listed in ``holds``.  The stop is checked before the time exit, from the
     entry bar on; a bar that opens below it fills at the open.  Trades still open at
     the end of the panel have no exit.  ``path`` lists the held bars.
@@ -69,7 +69,7 @@ def signal_trades(
     # at most one entry per configuration and bar
     entries = (
         signals.join(calendar.select("date", "next_date", "idx"), "date").filter("next_date is not null")
-        .groupBy("stock_id", F.col("next_date").alias("date")).agg(F.collect_list(cfg).alias("cfgs"))
+        .groupBy("instrument_id", F.col("next_date").alias("date")).agg(F.collect_list(cfg).alias("cfgs"))
     )
     entered = entry_paths(bars, entries, calendar, holds).withColumn("cfg", F.explode("cfgs"))
     entered = entered.select("*", "cfg.*").drop("cfg", "cfgs")
@@ -90,7 +90,7 @@ def signal_trades(
     exit_price = F.when(stopped, F.least(F.col("hit.open"), F.col("stop"))).otherwise(F.col("timed.close"))
     out = entered.withColumn("exit_idx", exit_idx).withColumn("exit_price", exit_price)
     return out.select(
-        "curve_id", "stock_id", "signal_date", "signal_idx", F.col("date").alias("entry_date"), F.col("open").alias("entry_price"),
+        "curve_id", "instrument_id", "signal_date", "signal_idx", F.col("date").alias("entry_date"), F.col("open").alias("entry_price"),
         F.when(stopped, F.col("hit.date")).otherwise(F.col("timed.date")).alias("exit_date"),
         "exit_price",
         F.when(F.col("exit_price").isNotNull(), round_trip_return("open", "exit_price", costs)).alias("ret"),
@@ -193,7 +193,7 @@ def trade_stats(trades: DataFrame, keys: Sequence[str] = ("curve_id",)) -> DataF
 
 def buy_hold_curve(bars: DataFrame) -> DataFrame:
     """Mean over instruments of closes normalised to each one's first close."""
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     first = F.first("close").over(running(w))
     norm = bars.withColumn("first", first).filter("first > 0").withColumn("norm", normalised("close", w))
     return norm.groupBy("date").agg(F.avg("norm").alias("equity"))
@@ -241,7 +241,7 @@ def expand_grid(signals: DataFrame, grid: Sequence[dict], gate: DataFrame | None
     """
     names = list(grid[0])
     cfg = F.array(*[F.struct(*[F.lit(g[n]).alias(n) for n in names]) for g in grid])
-    w = Window.partitionBy(*(["signal"] if "signal" in names else []), "date").orderBy(F.col("score").desc(), "stock_id")
+    w = Window.partitionBy(*(["signal"] if "signal" in names else []), "date").orderBy(F.col("score").desc(), "instrument_id")
     ranked = top_rows(signals, w, max(g["max_positions"] for g in grid))
     if gate is not None:
         ranked = ranked.join(F.broadcast(gate.select("date", "regime_ok")), "date", "left")  # one row per date
@@ -250,7 +250,7 @@ def expand_grid(signals: DataFrame, grid: Sequence[dict], gate: DataFrame | None
         ok = F.lit(True)
     match = F.col("cfg.signal") == F.col("signal") if "signal" in names else F.lit(True)
     exploded = ranked.withColumn("cfg", F.explode(cfg)).filter(match & (F.col("rank") <= F.col("cfg.max_positions")) & ok)
-    return exploded.select("date", "stock_id", "score", *[F.col(f"cfg.{n}").alias(n) for n in names if n != "signal"])
+    return exploded.select("date", "instrument_id", "score", *[F.col(f"cfg.{n}").alias(n) for n in names if n != "signal"])
 
 
 def grid_curves(

@@ -15,14 +15,14 @@ STRONG_STREAK = 5
 
 
 def last_two(df: DataFrame, calendar: DataFrame, *columns: str) -> DataFrame:
-    """(stock_id, c, prev_c …): values on the two newest dates; null where a date is missing."""
+    """(instrument_id, c, prev_c …): values on the two newest dates; null where a date is missing."""
     newest = calendar.agg(F.max("date").alias("d")).select("d").scalar()
     two = on_last_dates(df, calendar, 2)
     cur = F.col("date") == newest
     aggs = []
     for c in columns:
         aggs += [F.max(F.when(cur, F.col(c))).alias(c), F.max(F.when(~cur, F.col(c))).alias(f"prev_{c}")]
-    return two.groupBy("stock_id").agg(*aggs)
+    return two.groupBy("instrument_id").agg(*aggs)
 
 
 def chip_signals(
@@ -31,15 +31,15 @@ def chip_signals(
 ) -> DataFrame:
     """Streaks of three investor classes, dominance, volume ratio, margin and short shares, label."""
     streaks = latest_streaks(
-        on_last_dates(inst, calendar, streak_dates), "stock_id",
+        on_last_dates(inst, calendar, streak_dates), "instrument_id",
         {"foreign_net": "foreign_streak", "trust_net": "trust_streak", "dealer_net": "dealer_streak"},
     )
-    today = on_last_dates(inst, calendar, 1).select("stock_id", "date", *FLOWS)
+    today = on_last_dates(inst, calendar, 1).select("instrument_id", "date", *FLOWS)
     today = today.join(
-        price.select("stock_id", "date", F.col("volume").alias("volume_same")), ["stock_id", "date"], "left"
+        price.select("instrument_id", "date", F.col("volume").alias("volume_same")), ["instrument_id", "date"], "left"
     ).drop("date")
     newest = calendar.agg(F.max("date").alias("d")).select("d").scalar()
-    volume = on_last_dates(price, calendar, 20).groupBy("stock_id").agg(
+    volume = on_last_dates(price, calendar, 20).groupBy("instrument_id").agg(
         F.max(F.when(F.col("date") == newest, F.col("volume"))).alias("volume_today"),
         F.avg("volume").alias("volume_mean"),
     )
@@ -53,9 +53,9 @@ def chip_signals(
         flags.append((s >= STRONG_STREAK, F.concat(F.lit(f"{who} buys "), s.cast("string"))))
         flags.append((s <= -STRONG_STREAK, F.concat(F.lit(f"{who} sells "), F.abs(s).cast("string"))))
     return (
-        streaks.join(today, "stock_id", "left").join(volume, "stock_id", "left").join(balance, "stock_id", "left")
+        streaks.join(today, "instrument_id", "left").join(volume, "instrument_id", "left").join(balance, "instrument_id", "left")
         .select(
-            "stock_id", "foreign_streak", "trust_streak", "dealer_streak",
+            "instrument_id", "foreign_streak", "trust_streak", "dealer_streak",
             F.when(
                 F.col("volume_same") > 0, ratio(f + t + F.col("dealer_net"), F.col("volume_same")) * 100
             ).alias("dominance_pct"),
@@ -74,16 +74,16 @@ def flow_windows(inst: DataFrame, margin: DataFrame, dates: int = 10, suffix: st
 
     Each measure looks at the last dates on which any instrument has it.
     """
-    flows = on_last_dates(inst, trading_calendar(inst), dates).groupBy("stock_id").agg(
+    flows = on_last_dates(inst, trading_calendar(inst), dates).groupBy("instrument_id").agg(
         *[F.sum(c).alias(f"{c}{suffix}") for c in FLOWS]
     )
     out = flows
     for c in ("margin_balance", "short_balance"):
-        have = margin.filter(F.col(c).isNotNull()).select("stock_id", "date", c)
-        change = on_last_dates(have, trading_calendar(have), dates).groupBy("stock_id").agg(
+        have = margin.filter(F.col(c).isNotNull()).select("instrument_id", "date", c)
+        change = on_last_dates(have, trading_calendar(have), dates).groupBy("instrument_id").agg(
             (F.max_by(c, "date") - F.min_by(c, "date")).alias(c.replace("balance", "change") + suffix)
         )
-        out = out.join(change, "stock_id", "left")
+        out = out.join(change, "instrument_id", "left")
     return out
 
 
@@ -91,16 +91,16 @@ def day_flows(inst: DataFrame, margin: DataFrame, calendar: DataFrame, offset: i
     """Flows of one date and balance changes into it, ``offset`` dates before the newest."""
     day = calendar.filter(F.col("age") == 1 + offset).select("date")
     flow = inst.join(F.broadcast(day), "date", "left_semi").select(
-        "stock_id", *[F.col(c).alias(f"{c}{suffix}") for c in FLOWS]
+        "instrument_id", *[F.col(c).alias(f"{c}{suffix}") for c in FLOWS]
     )
     shifted = calendar.filter(F.col("age") > offset).withColumn("age", F.col("age") - offset)
     pair = last_two(margin, shifted, "margin_balance", "short_balance")
     change = pair.filter(F.col("margin_balance").isNotNull()).select(
-        "stock_id",
+        "instrument_id",
         (F.col("margin_balance") - F.col("prev_margin_balance")).alias(f"margin_change{suffix}"),
         (F.col("short_balance") - F.col("prev_short_balance")).alias(f"short_change{suffix}"),
     )
-    return flow.join(change, "stock_id", "outer")
+    return flow.join(change, "instrument_id", "outer")
 
 
 def today_price(price: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -108,26 +108,26 @@ def today_price(price: DataFrame, calendar: DataFrame) -> DataFrame:
     pair = last_two(price, calendar, "close").filter(F.col("close").isNotNull())
     prev = F.col("prev_close")
     return pair.select(
-        "stock_id", F.col("close").alias("close_today"),
+        "instrument_id", F.col("close").alias("close_today"),
         F.when(prev > 0, ratio(F.col("close") - prev, prev) * 100).alias("change_today_pct"),
     )
 
 
 def day_trade_ratio(day_trade: DataFrame, price: DataFrame, calendar: DataFrame) -> DataFrame:
     """Day-trade share of volume on the newest date."""
-    both = on_last_dates(price, calendar, 1).join(day_trade, ["stock_id", "date"])
+    both = on_last_dates(price, calendar, 1).join(day_trade, ["instrument_id", "date"])
     return both.filter("volume > 0").select(
-        "stock_id", (ratio("dt_vol", "volume") * 100).alias("day_trade_pct")
+        "instrument_id", (ratio("dt_vol", "volume") * 100).alias("day_trade_pct")
     )
 
 
 def day_trade_trend(day_trade: DataFrame, price: DataFrame, n: int = 5) -> DataFrame:
     """Mean share of the last n rows and whether the newest runs hot or cool against the rest."""
-    joined = day_trade.join(price.select("stock_id", "date", "volume"), ["stock_id", "date"]).filter("volume > 0")
+    joined = day_trade.join(price.select("instrument_id", "date", "volume"), ["instrument_id", "date"]).filter("volume > 0")
     rows = top_rows(
-        joined.select("stock_id", "date", (ratio("dt_vol", "volume") * 100).alias("share")), newest_first("stock_id"), n
+        joined.select("instrument_id", "date", (ratio("dt_vol", "volume") * 100).alias("share")), newest_first("instrument_id"), n
     )
-    stats = rows.groupBy("stock_id").agg(
+    stats = rows.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("share").alias("day_trade_mean_pct"),
         F.max(F.when(F.col("rank") == 1, F.col("share"))).alias("today"),
@@ -138,7 +138,7 @@ def day_trade_trend(day_trade: DataFrame, price: DataFrame, n: int = 5) -> DataF
         F.when((base > 0) & (F.col("today") > base * 1.2), "heating")
         .when((base > 0) & (F.col("today") < base * 0.8), "cooling").otherwise("steady")
     )
-    return stats.filter("rows >= 2").select("stock_id", "day_trade_mean_pct", heat.alias("day_trade_heat"))
+    return stats.filter("rows >= 2").select("instrument_id", "day_trade_mean_pct", heat.alias("day_trade_heat"))
 
 
 def sbl_latest(sbl: DataFrame, calendar: DataFrame, max_stale: int = MAX_STALE_DAYS) -> DataFrame:
@@ -146,8 +146,8 @@ def sbl_latest(sbl: DataFrame, calendar: DataFrame, max_stale: int = MAX_STALE_D
 
     A balance more than ``max_stale`` trading dates old is dropped, never shown as current.
     """
-    two = top_rows(sbl, newest_first("stock_id"), 2)
-    latest = two.groupBy("stock_id").agg(
+    two = top_rows(sbl, newest_first("instrument_id"), 2)
+    latest = two.groupBy("instrument_id").agg(
         F.max_by("sbl_balance", "date").alias("sbl_balance"),
         F.when(F.count(F.lit(1)) == 2, F.max_by("sbl_balance", "date") - F.min_by("sbl_balance", "date")).alias("sbl_change"),
         F.max("date").alias("date"),
@@ -155,39 +155,39 @@ def sbl_latest(sbl: DataFrame, calendar: DataFrame, max_stale: int = MAX_STALE_D
     return (
         latest.join(calendar.select("date", (F.col("age") - 1).alias("stale_dates")), "date")
         .filter(F.col("stale_dates") <= max_stale)
-        .select("stock_id", "sbl_balance", "sbl_change", F.col("date").alias("sbl_date"), "stale_dates")
+        .select("instrument_id", "sbl_balance", "sbl_change", F.col("date").alias("sbl_date"), "stale_dates")
     )
 
 
 def holder_trend(holders: DataFrame) -> DataFrame:
     """Every report with the change of the top-tier share on the instrument's previous one."""
-    w = Window.partitionBy("stock_id").orderBy("date")
+    w = Window.partitionBy("instrument_id").orderBy("date")
     return holders.select(
-        "stock_id", "date", "pct_1000", "pct_400",
+        "instrument_id", "date", "pct_1000", "pct_400",
         F.round(F.col("pct_1000") - F.lag("pct_1000").over(w), 2).alias("pct_1000_change"),
     )
 
 
 def holder_change(holders: DataFrame) -> DataFrame:
-    """(stock_id, holder_pct, holder_change) between the two newest reports of the whole table."""
+    """(instrument_id, holder_pct, holder_change) between the two newest reports of the whole table."""
     pair = last_two(holders, trading_calendar(holders), "pct_1000").filter(F.col("pct_1000").isNotNull())
     return pair.select(
-        "stock_id", F.round("pct_1000", 2).alias("holder_pct"),
+        "instrument_id", F.round("pct_1000", 2).alias("holder_pct"),
         F.round(F.col("pct_1000") - F.col("prev_pct_1000"), 2).alias("holder_change"),
     )
 
 
 def holder_change_own(holders: DataFrame) -> DataFrame:
     """Change between each instrument's own two newest reports."""
-    two = top_rows(holders, newest_first("stock_id"), 2)
-    return two.groupBy("stock_id").agg(
+    two = top_rows(holders, newest_first("instrument_id"), 2)
+    return two.groupBy("instrument_id").agg(
         F.max_by("pct_1000", "date").alias("holder_pct"),
         F.when(F.count(F.lit(1)) == 2, F.round(F.max_by("pct_1000", "date") - F.min_by("pct_1000", "date"), 2)).alias("holder_change"),
     )
 
 
 def share_stats(shareholding: DataFrame, price: DataFrame, calendar: DataFrame, tries: int = 3) -> DataFrame:
-    """Foreign share, market value and turnover of share stock at the newest date.
+    """Foreign share, market value and turnover of shares outstanding at the newest date.
 
     The report date falls back up to ``tries`` - 1 days when nothing is out yet.
     """
@@ -196,10 +196,10 @@ def share_stats(shareholding: DataFrame, price: DataFrame, calendar: DataFrame,
     report = recent.agg(F.max("date").alias("d")).select("d").scalar()
     shares = F.col("shares_issued")
     return (
-        shareholding.filter(F.col("date") == report).select("stock_id", "foreign_pct", "shares_issued")
-        .join(on_last_dates(price, calendar, 1).select("stock_id", "close", "volume"), "stock_id")
+        shareholding.filter(F.col("date") == report).select("instrument_id", "foreign_pct", "shares_issued")
+        .join(on_last_dates(price, calendar, 1).select("instrument_id", "close", "volume"), "instrument_id")
         .select(
-            "stock_id", "foreign_pct",
+            "instrument_id", "foreign_pct",
             F.when(shares > 0, F.col("close") * shares / 1e8).alias("market_value"),
             F.when(shares > 0, ratio("volume", shares / LOT_SHARES) * 100).alias("turnover_pct"),
         )

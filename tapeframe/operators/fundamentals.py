@@ -12,7 +12,7 @@ from .joins import enrich, previous_year, wide
 # Statement items the metrics read.
 INCOME_ITEMS = ("revenue", "gross_profit", "operating_income", "net_income", "eps")
 BALANCE_ITEMS = (
-    "total_assets", "liabilities", "current_assets", "current_liabilities", "equity", "capital_stock",
+    "total_assets", "liabilities", "current_assets", "current_liabilities", "equity", "share_capital",
 )
 CASH_ITEMS = ("operating_cash_flow", "capital_expenditure")
 PAR_VALUE = 10
@@ -21,11 +21,11 @@ PAR_VALUE = 10
 def revenue_year_to_date(revenue: DataFrame) -> DataFrame:
     """Adds prior (same month last year), cum, cum_prior and n_prior.
 
-    A stock-year is packed into one row of at most twelve months, so last year's
+    A instrument-year is packed into one row of at most twelve months, so last year's
     cumulative value needs neither a self-join nor the month itself to exist.
     """
-    w = Window.partitionBy("stock_id").orderBy("year")
-    years = revenue.groupBy("stock_id", "year").agg(
+    w = Window.partitionBy("instrument_id").orderBy("year")
+    years = revenue.groupBy("instrument_id", "year").agg(
         F.sort_array(F.collect_list(F.struct("month", "revenue"))).alias("months")
     )
     last = F.when(F.lag("year").over(w) == F.col("year") - 1, F.lag("months").over(w))
@@ -41,7 +41,7 @@ def revenue_year_to_date(revenue: DataFrame) -> DataFrame:
 
     exact = F.get(F.filter("before", lambda x: x.month == month), F.lit(0))
     return rows.select(
-        "stock_id", "year", month.alias("month"), F.col("cur.revenue").alias("revenue"),
+        "instrument_id", "year", month.alias("month"), F.col("cur.revenue").alias("revenue"),
         exact.getField("revenue").alias("prior"),
         total(upto("months")).alias("cum"),
         F.when(F.size(upto("before")) > 0, total(upto("before"))).alias("cum_prior"),
@@ -50,7 +50,7 @@ def revenue_year_to_date(revenue: DataFrame) -> DataFrame:
 
 
 def revenue_yoy_panel(revenue: DataFrame, created: str | None = None) -> DataFrame:
-    """(stock_id, pub_date, ym, yoy, cum_yoy) per revenue month.
+    """(instrument_id, pub_date, ym, yoy, cum_yoy) per revenue month.
 
     Cumulative growth needs every month of last year up to this one.  Published on
     the 10th of the next month.
@@ -60,7 +60,7 @@ def revenue_yoy_panel(revenue: DataFrame, created: str | None = None) -> DataFra
     first = F.make_date("year", "month", F.lit(1))
     return (
         ytd.select(
-            "stock_id",
+            "instrument_id",
             F.date_add(F.add_months(first, 1), 9).alias("pub_date"),
             F.date_format(first, "yyyy-MM").alias("ym"),
             F.round(pct_simple("revenue", "prior"), 2).alias("yoy"),
@@ -72,56 +72,56 @@ def revenue_yoy_panel(revenue: DataFrame, created: str | None = None) -> DataFra
 
 def monthly_revenue(revenue: DataFrame) -> DataFrame:
     """Growth on the year, on the month and cumulative, per revenue month."""
-    w = Window.partitionBy("stock_id").orderBy("__m")
+    w = Window.partitionBy("instrument_id").orderBy("__m")
     ytd = revenue_year_to_date(revenue).withColumn("__m", F.col("year") * 12 + F.col("month"))
     before = F.when(F.lag("__m").over(w) == F.col("__m") - 1, F.lag("revenue").over(w))
     return ytd.select(
-        "stock_id", "year", "month", "revenue",
+        "instrument_id", "year", "month", "revenue",
         pct("revenue", "prior").alias("yoy"), pct("revenue", before).alias("mom"), pct("cum", "cum_prior").alias("cum_yoy"),
     )
 
 
 def latest_revenue(revenue: DataFrame) -> DataFrame:
     """Newest revenue month of each instrument in the form the momentum screen reads."""
-    w = Window.partitionBy("stock_id").orderBy("__m")
+    w = Window.partitionBy("instrument_id").orderBy("__m")
     ytd = revenue_year_to_date(revenue).withColumn("__m", F.col("year") * 12 + F.col("month"))
     before = F.when(F.lag("__m").over(w) == F.col("__m") - 1, F.lag("revenue").over(w))
     cum_yoy = F.when(F.col("n_prior") == F.col("month"), pct_simple("cum", "cum_prior"))
     rows = ytd.select(
-        "stock_id", "__m",
+        "instrument_id", "__m",
         F.date_format(F.make_date("year", "month", F.lit(1)), "yyyy-MM").alias("ym"),
         F.round(pct_simple("revenue", "prior"), 2).alias("yoy"), F.round(cum_yoy, 2).alias("cum_yoy"),
         F.round(pct_simple("revenue", before), 1).alias("mom"),
     ).filter(F.col("yoy").isNotNull() | F.col("cum_yoy").isNotNull())
-    return rows.groupBy("stock_id").agg(
+    return rows.groupBy("instrument_id").agg(
         F.max_by(F.struct("ym", "yoy", "cum_yoy", "mom"), "__m").alias("last")
-    ).select("stock_id", "last.*")
+    ).select("instrument_id", "last.*")
 
 
 def revenue_summary(revenue: DataFrame) -> DataFrame:
-    """(stock_id, revenue_month, last_yoy, mean3_yoy) from the months that have a base."""
+    """(instrument_id, revenue_month, last_yoy, mean3_yoy) from the months that have a base."""
     months = revenue_year_to_date(revenue).filter("prior > 0").select(
-        "stock_id", (F.col("year") * 12 + F.col("month")).alias("m"),
+        "instrument_id", (F.col("year") * 12 + F.col("month")).alias("m"),
         F.date_format(F.make_date("year", "month", F.lit(1)), "yyyy/MM").alias("ym"),
         pct_simple("revenue", "prior").alias("yoy"),
     )
-    last3 = Window.partitionBy("stock_id").orderBy(F.col("m").desc())
+    last3 = Window.partitionBy("instrument_id").orderBy(F.col("m").desc())
     ranked = months.withColumn("rank", F.row_number().over(last3)).filter("rank <= 3")
-    return ranked.groupBy("stock_id").agg(
+    return ranked.groupBy("instrument_id").agg(
         F.max_by("ym", "m").alias("revenue_month"), F.max_by("yoy", "m").alias("last_yoy"), F.avg("yoy").alias("mean3_yoy"),
     )
 
 
 def profitability(statements: DataFrame) -> DataFrame:
     """Margins per report and earnings against four reports earlier."""
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     q = wide(statements, INCOME_ITEMS).filter("revenue is not null or eps is not null")
 
     def margin(item: str) -> Column:
         return ratio(F.col(item) * 100, F.col("revenue"))
 
     return q.select(
-        "stock_id", "date",
+        "instrument_id", "date",
         margin("gross_profit").alias("gross_margin"), margin("operating_income").alias("operating_margin"),
         margin("net_income").alias("net_margin"), "eps", pct("eps", F.lag("eps", 4).over(w)).alias("eps_yoy"),
     )
@@ -129,23 +129,23 @@ def profitability(statements: DataFrame) -> DataFrame:
 
 def single_quarter(c: str) -> Column:
     """Year-to-date value to the quarter's own: difference within the year, the first quarter as is."""
-    w = Window.partitionBy("stock_id", F.year("date")).orderBy("date")
+    w = Window.partitionBy("instrument_id", F.year("date")).orderBy("date")
     return F.when(F.month("date") <= 3, F.col(c)).otherwise(F.col(c) - F.lag(c).over(w))
 
 
 def financial_health(statements: DataFrame) -> DataFrame:
     """Return on equity over four quarters, leverage, liquidity, book value and cash quality."""
     q = wide(statements, (*BALANCE_ITEMS, *CASH_ITEMS, "net_income"))
-    four = trailing(ordered("stock_id"), 4)
+    four = trailing(ordered("instrument_id"), 4)
     ttm = F.when(F.count("net_income").over(four) == 4, F.sum("net_income").over(four))
-    # the quarter windows refine the stock windows' partitioning, so all share one shuffle
+    # the quarter windows refine the instrument windows' partitioning, so all share one shuffle
     f = q.withColumns({"ttm": ttm, "ocf": single_quarter("operating_cash_flow"), "capex": single_quarter("capital_expenditure")})
     return f.select(
-        "stock_id", "date",
+        "instrument_id", "date",
         (ratio("ttm", "equity") * 100).alias("roe"),
         (ratio("liabilities", "total_assets") * 100).alias("debt_ratio"),
         (ratio("current_assets", "current_liabilities") * 100).alias("current_ratio"),
-        ratio(F.col("equity") * PAR_VALUE, "capital_stock").alias("book_value"),
+        ratio(F.col("equity") * PAR_VALUE, "share_capital").alias("book_value"),
         F.col("ocf").alias("operating_cash"), (ratio("ocf", "net_income") * 100).alias("cash_quality"),
         (F.col("ocf") + F.col("capex")).alias("free_cash"),
     )
@@ -154,8 +154,8 @@ def financial_health(statements: DataFrame) -> DataFrame:
 def three_rates_label(profit: DataFrame) -> DataFrame:
     """Whether all three margins rose or fell between the two newest reports."""
     rates = ("gross_margin", "operating_margin", "net_margin")
-    w = newest_first("stock_id")
-    two = profit.select("stock_id", "date", *[F.round(c, 1).alias(c) for c in rates]).withColumn("k", F.row_number().over(w)).filter("k <= 2")
+    w = newest_first("instrument_id")
+    two = profit.select("instrument_id", "date", *[F.round(c, 1).alias(c) for c in rates]).withColumn("k", F.row_number().over(w)).filter("k <= 2")
     ups, known = F.lit(0), F.lit(True)
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in rates:
@@ -166,23 +166,23 @@ def three_rates_label(profit: DataFrame) -> DataFrame:
         F.when((F.col("n") < 2) | ~known, "-").when(ups == 3, "all up").when(ups == 0, "all down")
         .otherwise(F.concat(ups.cast("string"), F.lit(" up "), (3 - ups).cast("string"), F.lit(" down")))
     )
-    return two.groupBy("stock_id").agg(*aggs).select("stock_id", label.alias("three_rates"))
+    return two.groupBy("instrument_id").agg(*aggs).select("instrument_id", label.alias("three_rates"))
 
 
 def eps_ttm_growth(statements: DataFrame) -> DataFrame:
     """Sum of the newest four quarterly earnings and its growth on the four before."""
-    w = newest_first("stock_id")
+    w = newest_first("instrument_id")
     eps = statements.filter(F.col("type") == "eps").withColumn("k", F.row_number().over(w)).filter("k <= 8")
-    s = eps.groupBy("stock_id").agg(
+    s = eps.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("k") <= 4, F.col("value"))).alias("eps_ttm"),
         F.sum(F.when(F.col("k") > 4, F.col("value"))).alias("before"),
     )
     growth = F.when((F.col("n") >= 8), pct("eps_ttm", "before"))
-    return s.filter("n >= 4").select("stock_id", "eps_ttm", growth.alias("eps_growth"))
+    return s.filter("n >= 4").select("instrument_id", "eps_ttm", growth.alias("eps_growth"))
 
 
 def valuation_latest(valuation: DataFrame) -> DataFrame:
-    return valuation.groupBy("stock_id").agg(F.max_by(F.struct("per", "pbr", "yield"), "date").alias("v")).select("stock_id", "v.*")
+    return valuation.groupBy("instrument_id").agg(F.max_by(F.struct("per", "pbr", "yield"), "date").alias("v")).select("instrument_id", "v.*")
 
 
 def valuation_position(valuation: DataFrame, days: int = 400, min_values: int = 20) -> DataFrame:
@@ -190,28 +190,28 @@ def valuation_position(valuation: DataFrame, days: int = 400, min_values: int =
     newest = valuation.agg(F.max("date").alias("d")).select("d").scalar()
     recent = valuation.filter(F.col("date") >= F.date_sub(newest, days))
     per = F.when(F.col("per") != 0, F.col("per"))
-    s = recent.groupBy("stock_id").agg(
+    s = recent.groupBy("instrument_id").agg(
         F.max_by(F.struct("per", "pbr", "yield"), "date").alias("v"),
         F.count(per).alias("n"), F.max(per).alias("hi"), F.min(per).alias("lo"),
     )
     ok = (F.col("n") >= min_values) & (F.col("v.per") != 0) & (F.col("hi") > F.col("lo"))
     return s.select(
-        "stock_id", "v.per", "v.pbr", "v.yield",
+        "instrument_id", "v.per", "v.pbr", "v.yield",
         F.when(ok, ratio(F.col("v.per") - F.col("lo"), F.col("hi") - F.col("lo")) * 100).alias("per_position"),
     )
 
 
 def dividend_years(dividends: DataFrame) -> DataFrame:
-    """Cash and stock dividends per year; quarterly rows of one local-calendar year add up."""
+    """Cash and share dividends per year; quarterly rows of one local-calendar year add up."""
     return dividends.withColumn("y", local_year("year")).filter(F.col("y").isNotNull()).groupBy(
-        "stock_id", F.col("y").alias("year")
-    ).agg(F.sum(F.coalesce("cash", F.lit(0.0))).alias("cash"), F.sum(F.coalesce("stock", F.lit(0.0))).alias("stock"))
+        "instrument_id", F.col("y").alias("year")
+    ).agg(F.sum(F.coalesce("cash", F.lit(0.0))).alias("cash"), F.sum(F.coalesce("share_dividend", F.lit(0.0))).alias("share_dividend"))
 
 
 def dividend_streak(dividends: DataFrame) -> DataFrame:
     """Years in a row, counted back from the newest, with a cash dividend."""
-    streak = latest_streaks(dividend_years(dividends), "stock_id", {"cash": "streak"}, by="year")
-    return streak.select("stock_id", F.greatest("streak", F.lit(0)).alias("dividend_years"))
+    streak = latest_streaks(dividend_years(dividends), "instrument_id", {"cash": "streak"}, by="year")
+    return streak.select("instrument_id", F.greatest("streak", F.lit(0)).alias("dividend_years"))
 
 
 def fundamental_note(df: DataFrame, yoy: str = "last_yoy", per: str = "per") -> DataFrame:
@@ -231,7 +231,7 @@ def fundamental_note(df: DataFrame, yoy: str = "last_yoy", per: str = "per") ->
 
 def fundamental_shortlist(ids: DataFrame, revenue: DataFrame, valuation: DataFrame) -> DataFrame:
     """Newest growth and valuation of the given instruments, with a note."""
-    picked = enrich(enrich(ids.select("stock_id"), revenue_summary(revenue)), valuation_latest(valuation))
+    picked = enrich(enrich(ids.select("instrument_id"), revenue_summary(revenue)), valuation_latest(valuation))
     return fundamental_note(picked)
 
 
@@ -239,9 +239,9 @@ def fundamental_vote(
     summary: DataFrame, eps: DataFrame, health: DataFrame, rates: DataFrame, flags: DataFrame
 ) -> DataFrame:
     """Votes from margins, growth, earnings, cash quality and red flags."""
-    quality = health.filter("cash_quality is not null").groupBy("stock_id").agg(F.max_by("cash_quality", "date").alias("cash_quality"))
+    quality = health.filter("cash_quality is not null").groupBy("instrument_id").agg(F.max_by("cash_quality", "date").alias("cash_quality"))
     j = rates
-    for other in (summary, eps, quality, flags.select("stock_id", "n_fund_flags")):
+    for other in (summary, eps, quality, flags.select("instrument_id", "n_fund_flags")):
         j = enrich(j, other)
     votes = (
         F.when(F.col("three_rates") == "all up", 1).when(F.col("three_rates") == "all down", -1).otherwise(0)
@@ -249,7 +249,7 @@ def fundamental_vote(
         + F.when(F.col("cash_quality") >= 80, 1).when(F.col("cash_quality") < 40, -1).otherwise(0)
         - F.when(F.col("n_fund_flags") > 0, 1).otherwise(0)
     )
-    return j.select("stock_id", "three_rates", "last_yoy", "eps_growth", "cash_quality", votes.alias("fund_votes"))
+    return j.select("instrument_id", "three_rates", "last_yoy", "eps_growth", "cash_quality", votes.alias("fund_votes"))
 
 
 def industry_peers(price: DataFrame, info: DataFrame, n: int = 5) -> DataFrame:
@@ -259,28 +259,28 @@ def industry_peers(price: DataFrame, info: DataFrame, n: int = 5) -> DataFrame:
     """
     newest = price.agg(F.max("date").alias("d")).select("d").scalar()
     traded = price.filter((F.col("date") == newest) & (F.col("volume") > 0)).select(
-        F.col("stock_id"), (F.col("close") * F.col("volume")).alias("amount")
+        F.col("instrument_id"), (F.col("close") * F.col("volume")).alias("amount")
     )
-    lead = Window.partitionBy("industry").orderBy(F.col("amount").desc(), "stock_id")
+    lead = Window.partitionBy("industry").orderBy(F.col("amount").desc(), "instrument_id")
     leaders = (
-        info.filter(F.col("industry").isNotNull()).join(traded, "stock_id")
+        info.filter(F.col("industry").isNotNull()).join(traded, "instrument_id")
         .withColumn("k", F.row_number().over(lead)).filter(F.col("k") <= n + 1)
-        .select("industry", F.col("stock_id").alias("peer_id"), F.col("stock_name").alias("peer_name"), "k")
+        .select("industry", F.col("instrument_id").alias("peer_id"), F.col("instrument_name").alias("peer_name"), "k")
     )
-    own = Window.partitionBy("stock_id").orderBy("k")
+    own = Window.partitionBy("instrument_id").orderBy("k")
     return (
-        info.select("stock_id", "industry").join(leaders, "industry").filter("peer_id <> stock_id")
+        info.select("instrument_id", "industry").join(leaders, "industry").filter("peer_id <> instrument_id")
         .withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= n)
-        .select("stock_id", "industry", "rank", "peer_id", "peer_name")
+        .select("instrument_id", "industry", "rank", "peer_id", "peer_name")
     )
 
 
 def peer_table(peers: DataFrame, info: DataFrame, revenue: DataFrame, valuation: DataFrame) -> DataFrame:
     """Each instrument (rank 0) beside its peers: valuation and newest revenue growth."""
-    rows = peers.select("stock_id", "rank", "peer_id", "peer_name").unionByName(
-        peers.select("stock_id").distinct().join(info, "stock_id").select(
-            "stock_id", F.lit(0).alias("rank"), F.col("stock_id").alias("peer_id"), F.col("stock_name").alias("peer_name")
+    rows = peers.select("instrument_id", "rank", "peer_id", "peer_name").unionByName(
+        peers.select("instrument_id").distinct().join(info, "instrument_id").select(
+            "instrument_id", F.lit(0).alias("rank"), F.col("instrument_id").alias("peer_id"), F.col("instrument_name").alias("peer_name")
         )
     )
-    metrics = enrich(valuation_latest(valuation), revenue_summary(revenue).select("stock_id", "last_yoy"))
-    return enrich(rows, metrics.withColumnRenamed("stock_id", "peer_id"), "peer_id")
+    metrics = enrich(valuation_latest(valuation), revenue_summary(revenue).select("instrument_id", "last_yoy"))
+    return enrich(rows, metrics.withColumnRenamed("instrument_id", "peer_id"), "peer_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import ordered
 
 
-def enrich(df: DataFrame, signals: DataFrame, on: str | Sequence[str] = "stock_id") -> DataFrame:
+def enrich(df: DataFrame, signals: DataFrame, on: str | Sequence[str] = "instrument_id") -> DataFrame:
     """Left join that keeps the left side's columns where names clash."""
     keys = [on] if isinstance(on, str) else list(on)
     clash = [c for c in signals.columns if c in df.columns and c not in keys]
@@ -25,9 +25,9 @@ def panel_from_flows(
     A missing flow is 0; a missing margin balance stays null.
     """
     joined = (
-        price.join(institutional.select("stock_id", "date", "foreign_net", "trust_net"), ["stock_id", "date"], "left")
-        .join(margin.select("stock_id", "date", "margin_balance"), ["stock_id", "date"], "left")
-        .join(info.select("stock_id", "type"), "stock_id", "left")
+        price.join(institutional.select("instrument_id", "date", "foreign_net", "trust_net"), ["instrument_id", "date"], "left")
+        .join(margin.select("instrument_id", "date", "margin_balance"), ["instrument_id", "date"], "left")
+        .join(info.select("instrument_id", "type"), "instrument_id", "left")
     )
     net = F.when(F.col("type") == "tpex", F.col("foreign_net")).otherwise(F.col("trust_net"))
     return joined.select(*price.columns, F.coalesce(net, F.lit(0.0)).alias("inst_net"), "margin_balance")
@@ -38,7 +38,7 @@ def asof_join(
     right: DataFrame,
     left_time: str,
     right_time: str,
-    key: str = "stock_id",
+    key: str = "instrument_id",
     tie_break: Sequence[str] = (),
     strict: bool = False,
 ) -> DataFrame:
@@ -95,7 +95,7 @@ def next_date_pairs(
     return stepped.join(other, [*keys, "next_date"], how)
 
 
-def previous_year(df: DataFrame, value: str, out: str, key: str = "stock_id") -> DataFrame:
+def previous_year(df: DataFrame, value: str, out: str, key: str = "instrument_id") -> DataFrame:
     """Adds the value of the same month one year earlier; null when that month is missing.
 
     Months of one calendar position are ordered by year, so no self-join is needed.
@@ -113,9 +113,9 @@ def explode_grid(df: DataFrame, grid: Sequence[dict], out: str = "cfg") -> DataF
 
 
 def wide(statements: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Long (stock_id, date, type, value) statements to one row per report date."""
-    return statements.groupBy("stock_id", "date").pivot("type", list(types)).agg(F.first("value"))
+    """Long (instrument_id, date, type, value) statements to one row per report date."""
+    return statements.groupBy("instrument_id", "date").pivot("type", list(types)).agg(F.first("value"))
 
 
 def lag_by(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(ordered("stock_id"))
+    return F.lag(c, n).over(ordered("instrument_id"))

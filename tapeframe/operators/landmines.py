@@ -19,13 +19,13 @@ FUND_FLAGS = ("revenue slump", "revenue crash", "earnings collapse", "four-quart
 
 
 def chart_context(price: DataFrame, inst: DataFrame, margin: DataFrame, holders: DataFrame, info: DataFrame, calendar: DataFrame, p: Landmine) -> DataFrame:
-    rows = top_rows(price.select("stock_id", "date", "close"), newest_first("stock_id"), p.ma_long)
-    own = rows.groupBy("stock_id").agg(
+    rows = top_rows(price.select("instrument_id", "date", "close"), newest_first("instrument_id"), p.ma_long)
+    own = rows.groupBy("instrument_id").agg(
         F.max_by("close", "date").alias("close"), F.count(F.lit(1)).alias("rows"), F.avg("close").alias("mean"),
         # the close min(lookback, rows - 1) steps back
         F.min_by(F.when(F.col("rank") <= p.lookback + 1, F.col("close")), F.when(F.col("rank") <= p.lookback + 1, F.col("date"))).alias("base"),
     )
-    market = on_last_dates(price, calendar, p.lookback + 1).groupBy("stock_id").agg(
+    market = on_last_dates(price, calendar, p.lookback + 1).groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("close", "date").alias("c0"), F.max_by("close", "date").alias("c1")
     ).filter("n >= 2 AND c0 > 0").select((ratio(F.col("c1") - F.col("c0"), F.col("c0")) * 100).alias("ret"))
     own = with_scalar(own, exact_median(market, "ret"), "median")
@@ -35,32 +35,32 @@ def chart_context(price: DataFrame, inst: DataFrame, margin: DataFrame, holders:
     )
     net = F.when(F.col("type") == "tpex", F.col("foreign_net")).otherwise(F.col("trust_net"))
     selling = latest_streaks(
-        inst.join(info.select("stock_id", "type"), "stock_id", "left").select("stock_id", "date", net.alias("net")), "stock_id", {"net": "streak"}
+        inst.join(info.select("instrument_id", "type"), "instrument_id", "left").select("instrument_id", "date", net.alias("net")), "instrument_id", {"net": "streak"}
     )
-    balance = margin.groupBy("stock_id").agg(
+    balance = margin.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("mn"), F.min_by("margin_balance", "date").alias("m0"), F.max_by("margin_balance", "date").alias("m1")
     )
     surge = F.when((F.col("mn") >= 2) & (F.col("m0") > 0), ratio(F.col("m1") - F.col("m0"), F.col("m0")))
     return (
         own.withColumn("vs_market_pct", rel)
         .withColumn("ma_long", F.when(F.col("rows") >= p.ma_long, F.col("mean")))
-        .join(selling, "stock_id", "left")
-        .join(balance.select("stock_id", surge.alias("margin_growth")), "stock_id", "left")
-        .join(holder_change_own(holders), "stock_id", "left")
-        .select("stock_id", "close", "ma_long", "vs_market_pct", "streak", "margin_growth", "holder_pct", "holder_change")
+        .join(selling, "instrument_id", "left")
+        .join(balance.select("instrument_id", surge.alias("margin_growth")), "instrument_id", "left")
+        .join(holder_change_own(holders), "instrument_id", "left")
+        .select("instrument_id", "close", "ma_long", "vs_market_pct", "streak", "margin_growth", "holder_pct", "holder_change")
     )
 
 
 def fundamental_context(revenue: DataFrame, statements: DataFrame) -> DataFrame:
     q = wide(statements, INCOME_ITEMS)
     q = q.withColumn("gm", ratio(F.col("gross_profit") * 100, F.col("revenue")))
-    last = q.groupBy("stock_id").agg(
+    last = q.groupBy("instrument_id").agg(
         F.max_by(F.struct("date", "net_income", "gm"), "date").alias("q"), F.count("eps").alias("n_eps")
-    ).select("stock_id", "q.*", "n_eps")
-    year_ago = q.select("stock_id", F.add_months("date", 12).alias("date"), F.col("gm").alias("gm_before"))
+    ).select("instrument_id", "q.*", "n_eps")
+    year_ago = q.select("instrument_id", F.add_months("date", 12).alias("date"), F.col("gm").alias("gm_before"))
     return (
-        last.join(year_ago, ["stock_id", "date"], "left")
-        .join(revenue_summary(revenue), "stock_id", "outer").join(eps_ttm_growth(statements), "stock_id", "left")
+        last.join(year_ago, ["instrument_id", "date"], "left")
+        .join(revenue_summary(revenue), "instrument_id", "outer").join(eps_ttm_growth(statements), "instrument_id", "left")
     )
 
 
@@ -70,7 +70,7 @@ def landmine_flags(
 ) -> DataFrame:
     """Every given instrument with its flags, their number and a level."""
     ctx = enrich(
-        enrich(ids.select("stock_id"), chart_context(price, inst, margin, holders, info, calendar, p)),
+        enrich(ids.select("instrument_id"), chart_context(price, inst, margin, holders, info, calendar, p)),
         fundamental_context(revenue, statements),
     )
     chart = tags(*zip(
@@ -93,7 +93,7 @@ def landmine_flags(
     score = F.size("chart") + F.size("fund")
     level = F.when(score >= p.severe, "severe").when(score >= p.high, "high").when(score >= p.mid, "mid").otherwise("low")
     return out.select(
-        "stock_id", score.alias("risk_score"), level.alias("risk_level"), F.size("fund").alias("n_fund_flags"),
+        "instrument_id", score.alias("risk_score"), level.alias("risk_level"), F.size("fund").alias("n_fund_flags"),
         tag_text(F.concat("chart", "fund"), "; ").alias("red_flags"),
         "close", "vs_market_pct", "holder_pct", "last_yoy", "mean3_yoy", "eps_ttm", "eps_growth", F.col("gm").alias("gross_margin"),
     )

@@ -47,16 +47,16 @@ def tech_snapshot(tech: DataFrame, chip: DataFrame, fund: DataFrame | None = Non
     out = verdict_vote(enrich(tech, chip))
     if fund is None:
         return out
-    out = enrich(out, fund.select("stock_id", "fund_votes"))
+    out = enrich(out, fund.select("instrument_id", "fund_votes"))
     total = F.col("verdict_votes") + F.coalesce("fund_votes", F.lit(0))
     return out.withColumn("total_votes", total).withColumn("verdict", verdict_label("total_votes"))
 
 
 def move_attribution(price: DataFrame, inst: DataFrame, margin: DataFrame, rows: int = 5) -> DataFrame:
     """Why each instrument moved: its newest row against the one before, as rule texts."""
-    key = ["stock_id", "date"]
-    w = ordered("stock_id")
-    recent = top_rows(price.select(*key, "close", "volume"), newest_first("stock_id"), rows + 1)
+    key = ["instrument_id", "date"]
+    w = ordered("instrument_id")
+    recent = top_rows(price.select(*key, "close", "volume"), newest_first("instrument_id"), rows + 1)
     m = recent.join(inst.select(*key, "foreign_net", "trust_net", "dealer_net"), key, "left").join(
         margin.select(*key, "margin_balance", "short_balance"), key, "left"
     )
@@ -68,10 +68,10 @@ def move_attribution(price: DataFrame, inst: DataFrame, margin: DataFrame, rows:
         "margin_change": F.col("margin_balance") - F.lag("margin_balance").over(w),
         "short_change": F.col("short_balance") - F.lag("short_balance").over(w),
     })
-    t = m.groupBy("stock_id").agg(
+    t = m.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("rank") > 1, F.col("volume"))).alias("usual"),
         F.max_by(F.struct("date", "volume", "foreign_net", "trust_net", "dealer_net", "change_pct", "margin_change", "short_change"), "date").alias("t"),
-    ).filter("n >= 2").select("stock_id", "usual", "t.*")
+    ).filter("n >= 2").select("instrument_id", "usual", "t.*")
     net = F.col("foreign_net") + F.col("trust_net") + F.col("dealer_net")
     up = F.round("change_pct", 2) > 0
     mc, sc = F.coalesce("margin_change", F.lit(0.0)), F.coalesce("short_change", F.lit(0.0))
@@ -105,27 +105,27 @@ def move_attribution(price: DataFrame, inst: DataFrame, margin: DataFrame, rows:
         .otherwise("pullback without institutional selling")
     )
     return t.select(
-        "stock_id", "date", "change_pct", net.alias("inst_net"), "margin_change", "short_change", vr.alias("volume_ratio"),
+        "instrument_id", "date", "change_pct", net.alias("inst_net"), "margin_change", "short_change", vr.alias("volume_ratio"),
         tone.alias("flow_tone"), lead.alias("flow_lead"), margin_text.alias("margin_note"), short_text.alias("short_note"),
         volume_text.alias("volume_note"), one_line.alias("one_line"),
     )
 
 
 def holdings_attribution(holdings: DataFrame, attribution: DataFrame) -> DataFrame:
-    return attribution.join(holdings.select("stock_id"), "stock_id", "left_semi").select("stock_id", "one_line")
+    return attribution.join(holdings.select("instrument_id"), "instrument_id", "left_semi").select("instrument_id", "one_line")
 
 
 def holding_status(holdings: DataFrame, price: DataFrame, info: DataFrame, calendar: DataFrame) -> DataFrame:
     """Value, profit and alert of every holding at the newest close; the stop is checked first."""
-    latest = on_last_dates(price, calendar, 1).select("stock_id", F.col("close").alias("price"))
-    h = holdings.join(latest, "stock_id", "left").join(info.select("stock_id", "stock_name"), "stock_id", "left")
+    latest = on_last_dates(price, calendar, 1).select("instrument_id", F.col("close").alias("price"))
+    h = holdings.join(latest, "instrument_id", "left").join(info.select("instrument_id", "instrument_name"), "instrument_id", "left")
     p, cost = F.col("price"), F.col("cost")
     alert = (
         F.when(p <= F.col("stop"), "stop hit").when(p >= F.col("target"), "target hit")
         .when(p.isNotNull() & F.col("stop").isNotNull(), "above stop").otherwise("")
     )
     return h.select(
-        "stock_id", "stock_name", "lots", "cost", "price", pct_simple(p, cost).alias("profit_pct"),
+        "instrument_id", "instrument_name", "lots", "cost", "price", pct_simple(p, cost).alias("profit_pct"),
         ((p - cost) * F.col("lots") * LOT_SHARES).alias("profit"),
         (cost * F.col("lots") * LOT_SHARES).alias("cost_value"),
         F.when(alert == "above stop", ratio(p - F.col("stop"), p) * 100).alias("to_stop_pct"), alert.alias("alert"),
@@ -155,21 +155,21 @@ def lock_screen(
     itself among today's top buyers, and only where the main brokers are net buyers.
     """
     cands = limit_up_candidates(price, calendar, p)
-    today, prev = cands.select("stock_id", "date"), cands.select("stock_id", F.col("prev_date").alias("date"))
-    of_today = nets.join(today, ["stock_id", "date"], "left_semi")
-    of_prev = nets.join(prev, ["stock_id", "date"], "left_semi")
-    main_today = brokers.broker_main_net(of_today, b.top).select("stock_id", F.col("main_net").alias("main_net_today"))
-    main_prev = brokers.broker_main_net(of_prev, b.top).select("stock_id", F.col("main_net").alias("main_net_prev"))
-    pressure = brokers.flip_pressure(of_prev.unionByName(of_today), price, calendar, b.top).select("stock_id", "flip_pressure_pct")
+    today, prev = cands.select("instrument_id", "date"), cands.select("instrument_id", F.col("prev_date").alias("date"))
+    of_today = nets.join(today, ["instrument_id", "date"], "left_semi")
+    of_prev = nets.join(prev, ["instrument_id", "date"], "left_semi")
+    main_today = brokers.broker_main_net(of_today, b.top).select("instrument_id", F.col("main_net").alias("main_net_today"))
+    main_prev = brokers.broker_main_net(of_prev, b.top).select("instrument_id", F.col("main_net").alias("main_net_prev"))
+    pressure = brokers.flip_pressure(of_prev.unionByName(of_today), price, calendar, b.top).select("instrument_id", "flip_pressure_pct")
     # a stored table of one row per broker: its real size decides whether joins broadcast it
     profile = cut_lineage(brokers.broker_profile(nets, calendar, b), "profile")
-    expected = brokers.expected_pressure(of_today, profile, price, b).select("stock_id", "expected_lots", "expected_pct")
-    own_history = nets.join(today.select("stock_id"), "stock_id", "left_semi")
-    regulars = brokers.flip_regulars(own_history, calendar, p.lookback, b.top, p.min_hits).select("stock_id", "broker", "hits")
+    expected = brokers.expected_pressure(of_today, profile, price, b).select("instrument_id", "expected_lots", "expected_pct")
+    own_history = nets.join(today.select("instrument_id"), "instrument_id", "left_semi")
+    regulars = brokers.flip_regulars(own_history, calendar, p.lookback, b.top, p.min_hits).select("instrument_id", "broker", "hits")
 
     buyers = (
         brokers.top_buyers(of_today, b.top)
-        .join(profile.select("broker", "flip_rate"), "broker", "left").join(regulars, ["stock_id", "broker"], "left")
+        .join(profile.select("broker", "flip_rate"), "broker", "left").join(regulars, ["instrument_id", "broker"], "left")
         .withColumn("lots", F.bround("net").cast("long"))
         .withColumn("market", F.coalesce(F.col("flip_rate") >= b.mid, F.lit(False))).withColumn("own", F.col("hits").isNotNull())
     )
@@ -179,14 +179,14 @@ def lock_screen(
         "rank", "net", "lots", "market", "own", name.alias("plain"),
         F.concat(name, F.lit(" "), F.floor("flip_rate").cast("string"), F.lit("%")).alias("rated"),
     )
-    lists = buyers.groupBy("stock_id").agg(F.sort_array(F.collect_list(entry)).alias("buys"))
+    lists = buyers.groupBy("instrument_id").agg(F.sort_array(F.collect_list(entry)).alias("buys"))
 
     def pick(cond, field: str) -> Column:
         return F.transform(F.filter("buys", cond), lambda x: x[field])
 
     named = F.slice(F.filter("buys", lambda x: x.market | x.own), 1, p.detail_top)
     lists = lists.select(
-        "stock_id",
+        "instrument_id",
         _listing(pick(lambda x: x.market, "rated"), 2).alias("market_blacklist"),
         _listing(pick(lambda x: x.own, "plain"), 2).alias("own_blacklist"),
         F.when(F.size(named) > 0, F.aggregate(named, F.lit(0).cast("long"), lambda acc, x: acc + x.lots)).alias("blacklist_lots"),
@@ -194,24 +194,24 @@ def lock_screen(
     )
     locked = F.col("main_net_today") > 0
     out = (
-        cands.join(info, "stock_id", "left").join(day_trade, ["stock_id", "date"], "left")
-        .join(main_prev, "stock_id", "left").join(main_today, "stock_id", "left").join(pressure, "stock_id", "left")
-        .join(expected, "stock_id", "left").join(lists, "stock_id", "left")
+        cands.join(info, "instrument_id", "left").join(day_trade, ["instrument_id", "date"], "left")
+        .join(main_prev, "instrument_id", "left").join(main_today, "instrument_id", "left").join(pressure, "instrument_id", "left")
+        .join(expected, "instrument_id", "left").join(lists, "instrument_id", "left")
     )
     only_locked = [
         F.when(locked, F.col(c)).alias(c)
         for c in ("expected_lots", "expected_pct", "market_blacklist", "own_blacklist", "blacklist_lots", "blacklist_detail")
     ]
     return out.select(
-        "date", "stock_id", "rank", "stock_name", F.col("type").alias("market"), "industry", "close", "change_pct", "turnover",
+        "date", "instrument_id", "rank", "instrument_name", F.col("type").alias("market"), "industry", "close", "change_pct", "turnover",
         (ratio("dt_vol", "volume") * 100).alias("day_trade_pct"), "main_net_prev", "main_net_today", "flip_pressure_pct", *only_locked,
     )
 
 
 def save_picks(tracks: DataFrame, n: int = 15) -> DataFrame:
-    """The first n rows of each track and date with their rank; ``tracks`` has track, date, stock_id, score."""
-    w = Window.partitionBy("track", "date").orderBy(F.col("score").desc(), "stock_id")
-    return top_rows(tracks, w, n).select("date", "track", "rank", "stock_id")
+    """The first n rows of each track and date with their rank; ``tracks`` has track, date, instrument_id, score."""
+    w = Window.partitionBy("track", "date").orderBy(F.col("score").desc(), "instrument_id")
+    return top_rows(tracks, w, n).select("date", "track", "rank", "instrument_id")
 
 
 def prior_picks(picks: DataFrame, today: str | Column) -> DataFrame:
@@ -224,8 +224,8 @@ def prior_picks(picks: DataFrame, today: str | Column) -> DataFrame:
 
 def follow_through(picks: DataFrame, attribution: DataFrame, today: str | Column) -> DataFrame:
     """How the last recorded picks moved, and why."""
-    moves = attribution.select("stock_id", "change_pct", "one_line")
-    return prior_picks(picks, today).join(moves, "stock_id").select("date", "track", "rank", "stock_id", "change_pct", "one_line")
+    moves = attribution.select("instrument_id", "change_pct", "one_line")
+    return prior_picks(picks, today).join(moves, "instrument_id").select("date", "track", "rank", "instrument_id", "change_pct", "one_line")
 
 
 def follow_stats(moves: DataFrame) -> DataFrame:
@@ -239,34 +239,34 @@ def lock_follow_up(
 ) -> DataFrame:
     """Open-to-close course of earlier lock picks on the newest date, against what was planned.
 
-    ``picks`` is one recorded day: date, rank, stock_id, main_net, expected_pct, detail.
+    ``picks`` is one recorded day: date, rank, instrument_id, main_net, expected_pct, detail.
     Its label may fall on a closed day; the last trading date at or before it counts.
     """
     label = picks.agg(F.max("date").alias("d")).select("d").scalar()
     newest = calendar.agg(F.max("date").alias("d")).select("d").scalar()
     ref = calendar.filter(F.col("date") <= label).agg(F.max("date").alias("d")).select("d").scalar()
-    picked = price.join(picks.select("stock_id"), "stock_id", "left_semi")
+    picked = price.join(picks.select("instrument_id"), "instrument_id", "left_semi")
     cur = picked.filter(F.col("date") == newest)
-    before = picked.filter(F.col("date") == ref).select("stock_id", F.col("close").alias("prev_close"))
-    usual = top_rows(picked.filter(F.col("date") < newest).select("stock_id", "date", "volume"), newest_first("stock_id"), 20)
-    usual = usual.groupBy("stock_id").agg(F.avg("volume").alias("usual"), F.count(F.lit(1)).alias("n_usual"))
-    mine = nets.join(picks.select("stock_id"), "stock_id", "left_semi")
-    steps = mine.filter(F.col("date") == ref).select("stock_id", "date").distinct().withColumn("next_date", newest)
-    realised = brokers.follow_up(mine, steps, top).groupBy("stock_id").agg(F.sum("dumped").alias("overlap"))
+    before = picked.filter(F.col("date") == ref).select("instrument_id", F.col("close").alias("prev_close"))
+    usual = top_rows(picked.filter(F.col("date") < newest).select("instrument_id", "date", "volume"), newest_first("instrument_id"), 20)
+    usual = usual.groupBy("instrument_id").agg(F.avg("volume").alias("usual"), F.count(F.lit(1)).alias("n_usual"))
+    mine = nets.join(picks.select("instrument_id"), "instrument_id", "left_semi")
+    steps = mine.filter(F.col("date") == ref).select("instrument_id", "date").distinct().withColumn("next_date", newest)
+    realised = brokers.follow_up(mine, steps, top).groupBy("instrument_id").agg(F.sum("dumped").alias("overlap"))
     today_nets = mine.filter(F.col("date") == newest)
-    main = brokers.broker_main_net(today_nets, top).select("stock_id", "main_net")
-    names = picks.select("stock_id", F.explode(detail_map("detail")).alias("broker", "bought"))
-    sold = names.join(today_nets.select("stock_id", "broker", "net"), ["stock_id", "broker"], "left").groupBy("stock_id").agg(
+    main = brokers.broker_main_net(today_nets, top).select("instrument_id", "main_net")
+    names = picks.select("instrument_id", F.explode(detail_map("detail")).alias("broker", "bought"))
+    sold = names.join(today_nets.select("instrument_id", "broker", "net"), ["instrument_id", "broker"], "left").groupBy("instrument_id").agg(
         F.sum("bought").alias("blacklist_bought"),
         F.sum(F.when(F.bround("net") < 0, -F.bround("net")).otherwise(0.0)).cast("long").alias("blacklist_sold"),
     )
     o, h, low, c, pc = (F.col(x) for x in ("open", "high", "low", "close", "prev_close"))
     return (
-        picks.drop("date").withColumnRenamed("main_net", "locked_net").join(cur, "stock_id").join(before, "stock_id").filter((pc > 0) & (o > 0))
-        .join(usual, "stock_id", "left").join(realised, "stock_id", "left").join(main, "stock_id", "left").join(sold, "stock_id", "left")
-        .join(day_trade, ["stock_id", "date"], "left")
+        picks.drop("date").withColumnRenamed("main_net", "locked_net").join(cur, "instrument_id").join(before, "instrument_id").filter((pc > 0) & (o > 0))
+        .join(usual, "instrument_id", "left").join(realised, "instrument_id", "left").join(main, "instrument_id", "left").join(sold, "instrument_id", "left")
+        .join(day_trade, ["instrument_id", "date"], "left")
         .select(
-            "rank", "stock_id", ref.alias("ref_date"), F.col("date").alias("trade_date"), "locked_net", "expected_pct",
+            "rank", "instrument_id", ref.alias("ref_date"), F.col("date").alias("trade_date"), "locked_net", "expected_pct",
             F.when(F.col("volume") > 0, ratio("overlap", "volume") * 100).alias("realised_pct"), F.col("main_net").alias("main_net_today"),
             "blacklist_bought", "blacklist_sold", (ratio("blacklist_sold", "blacklist_bought") * 100).alias("sold_pct"),
             pct_simple(c, pc).alias("change_pct"), pct_simple(o, pc).alias("gap_pct"), pct_simple(c, o).alias("intraday_pct"),
@@ -286,9 +286,9 @@ def lock_stats(rows: DataFrame) -> DataFrame:
 
 def main_force_branches(ranked: DataFrame, nets: DataFrame, calendar: DataFrame, n: int = 10, top: int = 15) -> DataFrame:
     """Adds the newest date's top-broker totals to the n best rows; the others stay null."""
-    best = ranked.orderBy(F.col("score").desc(), "stock_id").limit(n).select("stock_id")
-    today = on_last_dates(nets, calendar, 1).join(F.broadcast(best), "stock_id", "left_semi")
-    totals = brokers.broker_main_net(today, top).select("stock_id", "main_buy", "main_sell", "main_net")
+    best = ranked.orderBy(F.col("score").desc(), "instrument_id").limit(n).select("instrument_id")
+    today = on_last_dates(nets, calendar, 1).join(F.broadcast(best), "instrument_id", "left_semi")
+    totals = brokers.broker_main_net(today, top).select("instrument_id", "main_buy", "main_sell", "main_net")
     return enrich(ranked, totals)
 
 

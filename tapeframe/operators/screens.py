@@ -29,9 +29,9 @@ def _liquid(avg: str, floor: float, floor_tpex: float) -> Column:
 
 
 def last_rows_mean(bars: DataFrame, n: int, c: str = "close") -> DataFrame:
-    """(stock_id, ma, last_close, avg_volume): newest n rows per instrument; ma needs all n."""
-    rows = top_rows(bars.select("stock_id", "date", c, "volume"), newest_first("stock_id"), n)
-    return rows.groupBy("stock_id").agg(
+    """(instrument_id, ma, last_close, avg_volume): newest n rows per instrument; ma needs all n."""
+    rows = top_rows(bars.select("instrument_id", "date", c, "volume"), newest_first("instrument_id"), n)
+    return rows.groupBy("instrument_id").agg(
         F.when(F.count(F.lit(1)) >= n, F.avg(c)).alias("ma"),
         F.max_by(c, "date").alias("last_close"),
         F.avg("volume").alias("avg_volume"),
@@ -48,13 +48,13 @@ def accumulation_screen(
     over the whole margin history.  A smaller ``min_streak`` gives a superset.
     """
     need = p.min_streak if min_streak is None else min_streak
-    flows = inst.join(info.select("stock_id", "type"), "stock_id", "left")
+    flows = inst.join(info.select("instrument_id", "type"), "instrument_id", "left")
     asof = flows.groupBy("type").agg(F.max("date").alias("d")).agg(F.min("d").alias("d")).select("d").scalar()
     dates = inst.filter(F.col("date") <= asof).select("date").distinct()
     dates = dates.orderBy(F.col("date").desc()).limit(p.lookback)
     oldest = dates.agg(F.min("date").alias("d")).select("d").scalar()
 
-    window = price.filter(F.col("date") >= oldest).join(F.broadcast(dates), "date", "left_semi").groupBy("stock_id").agg(
+    window = price.filter(F.col("date") >= oldest).join(F.broadcast(dates), "date", "left_semi").groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("volume").alias("avg_volume"),
         F.sum("volume").alias("total_volume"),
@@ -63,25 +63,25 @@ def accumulation_screen(
     )
     net = F.when(F.col("type") == "tpex", F.col("foreign_net")).otherwise(F.col("trust_net"))
     chosen = flows.filter(F.col("date") >= oldest).withColumn("net", net).join(F.broadcast(dates), "date", "left_semi")
-    streak = latest_streaks(chosen, "stock_id", {"net": "streak"})
-    bought = chosen.groupBy("stock_id").agg(F.sum("net").alias("cum_net"))
-    balances = margin.groupBy("stock_id").agg(
+    streak = latest_streaks(chosen, "instrument_id", {"net": "streak"})
+    bought = chosen.groupBy("instrument_id").agg(F.sum("net").alias("cum_net"))
+    balances = margin.groupBy("instrument_id").agg(
         F.min_by("margin_balance", "date").alias("m0"),
         F.max_by("margin_balance", "date").alias("m1"),
         F.count(F.lit(1)).alias("mn"),
     )
-    ma = last_rows_mean(price.filter(F.col("date") <= asof), 20).select("stock_id", "ma")
+    ma = last_rows_mean(price.filter(F.col("date") <= asof), 20).select("instrument_id", "ma")
     first, last = F.col("first_close"), F.col("close")
     joined = (
         window.filter((F.col("rows") >= p.lookback - p.allowed_missing) & (first > 0))
-        .join(info, "stock_id", "left")
+        .join(info, "instrument_id", "left")
         .filter(_liquid("avg_volume", p.min_avg_volume, p.min_avg_volume_tpex))
         .withColumn("gain", ratio(last - first, first))
         .filter((F.col("gain") < p.max_gain) & (F.col("gain") >= p.min_gain))
-        .join(streak.filter(F.col("streak") >= need), "stock_id")
-        .join(bought, "stock_id")
-        .join(balances, "stock_id", "left")
-        .join(ma, "stock_id", "left")
+        .join(streak.filter(F.col("streak") >= need), "instrument_id")
+        .join(bought, "instrument_id")
+        .join(balances, "instrument_id", "left")
+        .join(ma, "instrument_id", "left")
     )
     change = F.when(
         (F.col("mn") >= 2) & (F.col("m0") != 0), ratio(F.col("m1") - F.col("m0"), F.abs("m0"))
@@ -92,7 +92,7 @@ def accumulation_screen(
         joined.withColumn("buy_ratio", buy_ratio).withColumn("margin_change", change)
         .filter((F.col("buy_ratio") >= p.min_buy_ratio) & (F.col("margin_change") <= p.max_margin_increase) & near)
         .select(
-            "stock_id", "stock_name", F.col("type").alias("market"),
+            "instrument_id", "instrument_name", F.col("type").alias("market"),
             F.when(F.col("type") == "tpex", "foreign").otherwise("trust").alias("investor"),
             asof.alias("asof_date"), "close",
             (F.col("gain") * 100).alias("gain_pct"), "streak", "cum_net",
@@ -109,7 +109,7 @@ def relative_strength_screen(
     """Window return against the market median, over the last global dates."""
     rets = (
         on_last_dates(price, calendar, p.lookback)
-        .groupBy("stock_id")
+        .groupBy("instrument_id")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min_by("close", "date").alias("c0"), F.max_by("close", "date").alias("c1"),
@@ -121,10 +121,10 @@ def relative_strength_screen(
     market = exact_median(rets, "ret")
     out = with_scalar(rets.filter(F.col("ret").between(p.min_return, p.max_return)), market, "median")
     return (
-        out.join(info, "stock_id", "left")
+        out.join(info, "instrument_id", "left")
         .filter(_liquid("avg_volume", p.min_avg_volume, p.min_avg_volume_tpex))
         .select(
-            "stock_id", "stock_name", F.col("type").alias("market"),
+            "instrument_id", "instrument_name", F.col("type").alias("market"),
             (F.col("ret") * 100).alias("return_pct"),
             ((F.col("ret") - F.col("median")) * 100).alias("vs_market_pct"), "avg_volume",
         )
@@ -139,12 +139,12 @@ def revenue_momentum_screen(
     above = F.coalesce(F.col("last_close") >= F.col("ma"), F.lit(False))
     return (
         latest_revenue.filter(revenue_gate(p))
-        .join(info, "stock_id", "left")
+        .join(info, "instrument_id", "left")
         .filter(~contains_any("industry", p.exclude_industries))
-        .join(ctx, "stock_id")
+        .join(ctx, "instrument_id")
         .filter((F.col("last_close") >= p.min_close) & (F.col("avg_volume") >= p.min_avg_volume))
         .select(
-            "stock_id", "stock_name", F.col("type").alias("market"), "industry",
+            "instrument_id", "instrument_name", F.col("type").alias("market"), "industry",
             F.col("last_close").alias("close"), "ym", "yoy", "cum_yoy", "mom",
             (F.col("yoy") - F.col("cum_yoy")).alias("acceleration"), above.alias("above_ma20"),
             (revenue_score(p) + F.when(above, p.ma_bonus).otherwise(0.0)).alias("score"),
@@ -170,7 +170,7 @@ def value_screen(
         .withColumn("roe_est", F.round(roe, 1))
         .filter(roe >= p.min_roe)
         .withColumn("rank_key", ratio("yield", F.greatest(F.col("per"), F.lit(1.0))))
-        .orderBy(F.col("rank_key").desc(), "stock_id")
+        .orderBy(F.col("rank_key").desc(), "instrument_id")
         .limit(p.shortlist)
     )
     lumpy = contains_any("industry", p.lumpy_industries)
@@ -179,10 +179,10 @@ def value_screen(
     )
     eps_part = clip(F.coalesce(F.col("eps_growth"), F.lit(0.0)), -30, 60) * 0.3
     scored = (
-        coarse.join(dividend_years, "stock_id", "left")
+        coarse.join(dividend_years, "instrument_id", "left")
         .filter(F.col("dividend_years") >= p.min_dividend_years)
-        .join(revenue_yoy, "stock_id", "left").join(eps_growth, "stock_id", "left")
-        .join(info, "stock_id", "left").withColumn("lumpy", lumpy)
+        .join(revenue_yoy, "instrument_id", "left").join(eps_growth, "instrument_id", "left")
+        .join(info, "instrument_id", "left").withColumn("lumpy", lumpy)
         .withColumn(
             "score",
             F.col("yield") * 3 + F.lit(100.0) / F.greatest(F.col("per"), F.lit(1.0)) + F.col("roe_est") * 1.5
@@ -190,14 +190,14 @@ def value_screen(
         )
     )
     return capped_category(scored, "lumpy", "score", p.max_lumpy).select(
-        "stock_id", "stock_name", "industry", "yield", "per", "pbr", "roe_est", "last_yoy",
+        "instrument_id", "instrument_name", "industry", "yield", "per", "pbr", "roe_est", "last_yoy",
         "eps_ttm", "eps_growth", "dividend_years", "lumpy", "score",
     )
 
 
 def capped_category(df: DataFrame, flag: str, score: str, cap: int) -> DataFrame:
     """All rows without the flag, the best ``cap`` rows with it."""
-    best = df.filter(flag).orderBy(F.col(score).desc(), "stock_id").limit(cap)
+    best = df.filter(flag).orderBy(F.col(score).desc(), "instrument_id").limit(cap)
     return df.filter(~F.col(flag)).unionByName(best)
 
 
@@ -205,12 +205,12 @@ def day_trade_candidates(
     price: DataFrame, info: DataFrame, calendar: DataFrame, p: DayTrade = DayTrade()
 ) -> DataFrame:
     """Liquid instruments with wide daily ranges over the last global dates."""
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     prev = F.lag("close").over(w)
     window = on_last_dates(price, calendar, p.lookback).withColumn(
         "amp", F.when(prev > 0, ratio(F.col("high") - F.col("low"), prev) * 100)
     )
-    stats = window.groupBy("stock_id").agg(
+    stats = window.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("volume").alias("avg_volume"),
         F.avg("amp").alias("avg_amp"),
@@ -219,11 +219,11 @@ def day_trade_candidates(
     surge = F.when(F.col("avg_volume") > 0, ratio("last.volume", "avg_volume")).otherwise(0.0)
     return (
         stats.filter((F.col("rows") >= p.min_rows) & (F.col("avg_amp") >= p.min_avg_amplitude))
-        .join(info, "stock_id", "left")
+        .join(info, "instrument_id", "left")
         .filter(_liquid("avg_volume", p.min_avg_volume, p.min_avg_volume_tpex))
         .withColumn("surge", surge)
         .select(
-            "stock_id", "stock_name", F.col("type").alias("market"), F.col("last.close").alias("close"),
+            "instrument_id", "instrument_name", F.col("type").alias("market"), F.col("last.close").alias("close"),
             F.col("last.amp").alias("amp_today"), "avg_amp", "surge", "avg_volume",
             (
                 F.col("avg_amp") * F.log10(F.greatest(F.floor("avg_volume"), F.lit(10)))
@@ -238,26 +238,26 @@ def main_force_score(
     calendar: DataFrame, p: MainForce = MainForce(),
 ) -> DataFrame:
     """Institutional share of volume, big-holder change and margin retreat in one score."""
-    bars = on_last_dates(price, calendar, p.lookback).groupBy("stock_id").agg(
+    bars = on_last_dates(price, calendar, p.lookback).groupBy("instrument_id").agg(
         F.max_by("close", "date").alias("close"), F.avg("volume").alias("avg_volume"), F.sum("volume").alias("vol")
     )
-    flows = on_last_dates(inst, calendar, p.lookback).groupBy("stock_id").agg(
+    flows = on_last_dates(inst, calendar, p.lookback).groupBy("instrument_id").agg(
         F.sum(F.col("foreign_net") + F.col("trust_net") + F.col("dealer_net")).alias("inst_net")
     )
-    balances = margin.groupBy("stock_id").agg(
+    balances = margin.groupBy("instrument_id").agg(
         F.min_by("margin_balance", "date").alias("m0"), F.max_by("margin_balance", "date").alias("m1"),
         F.count(F.lit(1)).alias("mn"),
     )
     margin_pct = F.when((F.col("mn") >= 2) & (F.col("m0") > 0), ratio(F.col("m1") - F.col("m0"), F.col("m0")) * 100)
     return (
         bars.filter((F.col("close") >= p.min_close) & (F.col("avg_volume") >= p.min_avg_volume) & (F.col("vol") > 0))
-        .join(flows, "stock_id", "left").join(holders, "stock_id", "left").join(balances, "stock_id", "left")
-        .join(info, "stock_id", "left")
+        .join(flows, "instrument_id", "left").join(holders, "instrument_id", "left").join(balances, "instrument_id", "left")
+        .join(info, "instrument_id", "left")
         .withColumn("inst_net", F.coalesce("inst_net", F.lit(0.0)))
         .withColumn("inst_pct", ratio("inst_net", "vol") * 100)
         .withColumn("margin_change_pct", F.coalesce(margin_pct, F.lit(0.0)))
         .select(
-            "stock_id", "stock_name", F.col("type").alias("market"), "close", "inst_net", "inst_pct",
+            "instrument_id", "instrument_name", F.col("type").alias("market"), "close", "inst_net", "inst_pct",
             "holder_pct", "holder_change", "margin_change_pct",
             (
                 F.col("inst_pct") * p.w_inst
@@ -275,18 +275,18 @@ def day_trade_bias(
 
     The return base is the oldest of the last ``lookback`` rows.
     """
-    rows = top_rows(price.select("stock_id", "date", "close"), newest_first("stock_id"), lookback)
-    ctx = rows.groupBy("stock_id").agg(
+    rows = top_rows(price.select("instrument_id", "date", "close"), newest_first("instrument_id"), lookback)
+    ctx = rows.groupBy("instrument_id").agg(
         F.min_by("close", "date").alias("c0"), F.max_by("close", "date").alias("c1"),
         F.avg(F.when(F.col("rank") <= 20, F.col("close"))).alias("mean"),
         F.count(F.when(F.col("rank") <= 20, 1)).alias("n"),
     ).select(
-        "stock_id",
+        "instrument_id",
         F.coalesce(ratio(F.col("c1") - F.col("c0"), F.col("c0")) * 100, F.lit(0.0)).alias("ret"),
         F.when(F.col("n") >= 20, F.col("mean")).alias("ma20"),
     )
     market = exact_median(ctx, "ret")
-    picked = with_scalar(enrich(enrich(candidates, ctx), force.select("stock_id", "inst_pct", "holder_change", "margin_change_pct")), market, "median")
+    picked = with_scalar(enrich(enrich(candidates, ctx), force.select("instrument_id", "inst_pct", "holder_change", "margin_change_pct")), market, "median")
     margin = F.col("margin_change_pct")
     votes = (
         vote("inst_pct", 3, -3) + vote("holder_change", 0.3, -0.3)
@@ -306,9 +306,9 @@ def day_trade_bias(
 
 def market_breadth(price: DataFrame, calendar: DataFrame) -> DataFrame:
     """One row: advances and declines of the newest date, share above the 20-row mean, posture."""
-    two = on_last_dates(price.select("stock_id", "date", "close"), calendar, 2)
+    two = on_last_dates(price.select("instrument_id", "date", "close"), calendar, 2)
     last = calendar.agg(F.max("date").alias("d")).select("d").scalar()
-    change = two.groupBy("stock_id").agg(
+    change = two.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("n"),
         (F.max_by("close", "date") - F.min_by("close", "date")).alias("diff"),
     ).filter("n = 2")
@@ -358,10 +358,10 @@ def limit_up_candidates(price: DataFrame, calendar: DataFrame, p: LockScreen = L
 
     With ``every_date`` the same rule runs for each date of the panel.
     """
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     dates = calendar if every_date else calendar.filter("age = 1")
     prev_close, prev_date = F.lag("close").over(w), F.lag("date").over(w)
-    src = price.select("stock_id", "date", "open", "close", "volume")
+    src = price.select("instrument_id", "date", "open", "close", "volume")
     if not every_date:
         src = on_last_dates(src, calendar, 2)
     moved = (
@@ -372,7 +372,7 @@ def limit_up_candidates(price: DataFrame, calendar: DataFrame, p: LockScreen = L
         .filter(F.col("change_pct") >= p.min_gain)
         .withColumn("turnover", F.col("close") * F.col("volume") / 1e5)
     )
-    rank = Window.partitionBy("date").orderBy(F.col("turnover").desc(), "stock_id")
+    rank = Window.partitionBy("date").orderBy(F.col("turnover").desc(), "instrument_id")
     return top_rows(moved, rank, p.top_n).select(
-        "date", "prev_date", "stock_id", "open", "close", "volume", "change_pct", "turnover", "rank"
+        "date", "prev_date", "instrument_id", "open", "close", "volume", "change_pct", "turnover", "rank"
     )

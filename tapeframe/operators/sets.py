@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def double_signal(a: DataFrame, b: DataFrame, key: str = "stock_id") -> DataFrame:
+def double_signal(a: DataFrame, b: DataFrame, key: str = "instrument_id") -> DataFrame:
     """Instruments that pass both screens."""
     return a.select(key).intersect(b.select(key))
 
 
-def soft_only(soft: DataFrame, strict: DataFrame, key: str = "stock_id") -> DataFrame:
+def soft_only(soft: DataFrame, strict: DataFrame, key: str = "instrument_id") -> DataFrame:
     """Rows of the soft screen that the strict one does not have."""
     return soft.join(strict.select(key), key, "left_anti")
 

@@ -1,6 +1,6 @@
 """Point-in-time signals: every row sees only its own past.
 
-All functions return (date, stock_id, score, ...) for every date at once.
+All functions return (date, instrument_id, score, ...) for every date at once.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from .joins import asof_join
 
 
 def relative_strength_returns(bars: DataFrame, lookback: int, vol_window: int = 20) -> DataFrame:
-    """(stock_id, date, ret, sigma): trailing return and deviation of row returns."""
-    w = ordered("stock_id")
+    """(instrument_id, date, ret, sigma): trailing return and deviation of row returns."""
+    w = ordered("instrument_id")
     step = bars.select(
-        "stock_id", "date", "close",
+        "instrument_id", "date", "close",
         return_n("close", w, lookback).alias("ret"),
         F.coalesce(return_n("close", w, 1), F.lit(0.0)).alias("r1"),
         row_index(w).alias("i"),
@@ -49,12 +49,12 @@ def relative_strength_signals(
     else:
         out = out.filter(F.col("sigma") > 0)
         score = -F.col("sigma") if rank == "lowvol" else ratio(excess, F.col("sigma"))
-    return out.select("date", "stock_id", "ret", F.col("median").alias("market_ret"), score.alias("score"))
+    return out.select("date", "instrument_id", "ret", F.col("median").alias("market_ret"), score.alias("score"))
 
 
 def accumulation_features(panel: DataFrame, lookback: int) -> DataFrame:
     """Trailing-window measures the accumulation gates compare, for every row."""
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     frame = trailing(w, lookback)
     first = F.first("close").over(frame)
     margin = F.col("margin_balance")
@@ -63,7 +63,7 @@ def accumulation_features(panel: DataFrame, lookback: int) -> DataFrame:
     net, vol = F.sum("inst_net").over(frame), F.sum("volume").over(frame)
     ma20 = sma("close", w, 20)
     return panel.select(
-        "stock_id", "date", "close",
+        "instrument_id", "date", "close",
         F.count(F.lit(1)).over(frame).alias("rows"),
         F.when(first > 0, ratio(F.col("close") - first, first)).alias("gain"),
         buy_streak("inst_net", w).alias("streak"),
@@ -100,14 +100,14 @@ def accumulation_signals(panel: DataFrame, params: Accumulation = Accumulation()
     """
     passed = accumulation_gates(accumulation_features(panel, params.lookback), params)
     return passed.select(
-        "date", "stock_id", "gain", "streak", "buy_ratio",
+        "date", "instrument_id", "gain", "streak", "buy_ratio",
         (F.col("buy_days") * 3 + F.col("buy_ratio") * 100 * 2).alias("score"),
     )
 
 
 def quiet_accumulation_signals(panel: DataFrame, p: QuietAccumulation = QuietAccumulation()) -> DataFrame:
     """Persistent buying while the price rests: flat, near its mean, on thin volume."""
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     win = trailing(w, p.window)
     panel = with_sliding_range(panel, "close", p.year_rows, "__hi", "__lo")
     vol = F.sum("volume").over(win)
@@ -115,7 +115,7 @@ def quiet_accumulation_signals(panel: DataFrame, p: QuietAccumulation = QuietAcc
     hi, lo = F.col("__hi"), F.col("__lo")
     v60 = F.avg("volume").over(trailing(w, 60))
     f = panel.select(
-        "stock_id", "date", "close",
+        "instrument_id", "date", "close",
         row_index(w).alias("i"),
         F.when(vol > 0, ratio(F.sum("inst_net").over(win), vol)).alias("buy_ratio"),
         F.sum(F.when(F.col("inst_net") > 0, 1).otherwise(0)).over(win).alias("buy_days"),
@@ -133,7 +133,7 @@ def quiet_accumulation_signals(panel: DataFrame, p: QuietAccumulation = QuietAcc
         & (F.col("squeeze") <= p.volume_squeeze)
         & (F.col("position").isNull() | (F.col("position") <= p.max_position))
     )
-    return f.filter(ok).select("date", "stock_id", "ret", "squeeze", "position", F.col("buy_ratio").alias("score"))
+    return f.filter(ok).select("date", "instrument_id", "ret", "squeeze", "position", F.col("buy_ratio").alias("score"))
 
 
 def revenue_gate(p: RevenueMomentum):
@@ -161,12 +161,12 @@ def revenue_momentum_signals(
     Several months published on one day: the latest month counts.
     """
     known = asof_join(
-        bars.select("stock_id", "date"),
-        revenue_panel.select("stock_id", "pub_date", "ym", "yoy", "cum_yoy"),
+        bars.select("instrument_id", "date"),
+        revenue_panel.select("instrument_id", "pub_date", "ym", "yoy", "cum_yoy"),
         "date", "pub_date", tie_break=["ym"],
     )
     return known.filter(revenue_gate(p)).select(
-        "date", "stock_id", "ym", "pub_date", "yoy", "cum_yoy", revenue_score(p).alias("score")
+        "date", "instrument_id", "ym", "pub_date", "yoy", "cum_yoy", revenue_score(p).alias("score")
     )
 
 
@@ -179,8 +179,8 @@ def value_signals(valuation: DataFrame, universe: DataFrame, p: Value = Value())
         & (F.col("pbr") > 0) & (F.col("pbr") <= p.max_pbr)
     )
     cheap = valuation.filter(ok).withColumn("roe_est", roe).filter(F.col("roe_est") >= p.min_roe)
-    return cheap.join(universe.select("stock_id"), "stock_id", "left_semi").select(
-        "date", "stock_id", "roe_est",
+    return cheap.join(universe.select("instrument_id"), "instrument_id", "left_semi").select(
+        "date", "instrument_id", "roe_est",
         (F.col("yield") * 3 + F.lit(100.0) / F.greatest(F.col("per"), F.lit(1.0)) + F.col("roe_est") * 1.5).alias("score"),
     )
 
@@ -190,7 +190,7 @@ def regime_gate(bars: DataFrame, calendar: DataFrame, threshold: float = 45.0, m
 
     A date without enough history is open.
     """
-    mean = sma("close", ordered("stock_id"), ma)
+    mean = sma("close", ordered("instrument_id"), ma)
     day = (
         bars.select("date", "close", mean.alias("m"))
         .groupBy("date")

@@ -25,19 +25,19 @@ def lock_study(price: DataFrame, nets: DataFrame, calendar: DataFrame, p: LockSc
     """
     cands = limit_up_candidates(price, calendar, p, every_date=True)
     nxt = price.select(
-        "stock_id", F.col("date").alias("next_date"), F.col("open").alias("next_open"), F.col("close").alias("next_close")
+        "instrument_id", F.col("date").alias("next_date"), F.col("open").alias("next_open"), F.col("close").alias("next_close")
     )
-    rows = cands.select("date", "stock_id", "close", "change_pct").join(calendar.select("date", "next_date", "idx"), "date")
-    rows = rows.filter(F.col("idx") >= p.lookback).join(nxt, ["stock_id", "next_date"]).filter("next_open > 0 AND next_close > 0")
-    main = brokers.broker_main_net(nets, top).select("stock_id", "date", "main_net")
+    rows = cands.select("date", "instrument_id", "close", "change_pct").join(calendar.select("date", "next_date", "idx"), "date")
+    rows = rows.filter(F.col("idx") >= p.lookback).join(nxt, ["instrument_id", "next_date"]).filter("next_open > 0 AND next_close > 0")
+    main = brokers.broker_main_net(nets, top).select("instrument_id", "date", "main_net")
     regular = brokers.top_buyers(nets, top).join(
-        brokers.regular_hits(nets, calendar, p.lookback, top), ["stock_id", "broker", "date"]
-    ).groupBy("stock_id", "date").agg(F.max("hits").alias("hits"), F.max((F.col("rank") <= 5).cast("int")).alias("hit_top5"))
-    joined = rows.join(main, ["stock_id", "date"]).join(regular, ["stock_id", "date"], "left")
+        brokers.regular_hits(nets, calendar, p.lookback, top), ["instrument_id", "broker", "date"]
+    ).groupBy("instrument_id", "date").agg(F.max("hits").alias("hits"), F.max((F.col("rank") <= 5).cast("int")).alias("hit_top5"))
+    joined = rows.join(main, ["instrument_id", "date"]).join(regular, ["instrument_id", "date"], "left")
     locked = F.col("main_net") > 0
     o, c = F.col("next_open"), F.col("close")
     return joined.select(
-        "date", "stock_id", "change_pct", "main_net", locked.cast("int").alias("locked"),
+        "date", "instrument_id", "change_pct", "main_net", locked.cast("int").alias("locked"),
         F.when(locked, F.coalesce("hits", F.lit(0))).otherwise(0).cast("long").alias("hits"),
         F.when(locked, F.coalesce("hit_top5", F.lit(0))).otherwise(0).alias("hit_top5"),
         pct_simple(o, c).alias("gap"), pct_simple("next_close", o).alias("oc"), pct_simple("next_close", c).alias("cc"),
@@ -50,24 +50,24 @@ def pressure_study(price: DataFrame, nets: DataFrame, universe: DataFrame | None
     Bars step along the instrument's own dates and need one on either side.
     """
     if universe is not None:
-        price = price.join(universe.select("stock_id"), "stock_id", "left_semi")
-        nets = nets.join(universe.select("stock_id"), "stock_id", "left_semi")
-    w = ordered("stock_id")
+        price = price.join(universe.select("instrument_id"), "instrument_id", "left_semi")
+        nets = nets.join(universe.select("instrument_id"), "instrument_id", "left_semi")
+    w = ordered("instrument_id")
     prev, nxt = F.lag("close").over(w), F.lead("close").over(w)
     rets = price.select(
-        "stock_id", "date", "volume", pct_simple("close", prev).alias("ret_same"),
+        "instrument_id", "date", "volume", pct_simple("close", prev).alias("ret_same"),
         F.when(F.col("close") > 0, ratio(nxt - F.col("close"), "close") * 100).alias("ret_next"),
     ).filter("ret_same is not null AND ret_next is not null AND volume > 0")
     overlap = brokers.follow_up(nets, brokers.available_steps(nets), top).groupBy(
-        "stock_id", F.col("sell_date").alias("date")
+        "instrument_id", F.col("sell_date").alias("date")
     ).agg(F.sum("dumped").alias("overlap"))
     # a bar whose previous date had no buyer at all has no pressure, not a missing one
-    stepped = brokers.available_steps(nets).select("stock_id", F.col("next_date").alias("date"))
-    main = brokers.broker_main_net(nets, top).select("stock_id", "date", "main_net")
+    stepped = brokers.available_steps(nets).select("instrument_id", F.col("next_date").alias("date"))
+    main = brokers.broker_main_net(nets, top).select("instrument_id", "date", "main_net")
     return (
-        rets.join(stepped, ["stock_id", "date"]).join(overlap, ["stock_id", "date"], "left").join(main, ["stock_id", "date"])
+        rets.join(stepped, ["instrument_id", "date"]).join(overlap, ["instrument_id", "date"], "left").join(main, ["instrument_id", "date"])
         .select(
-            "stock_id", "date", (ratio(F.coalesce("overlap", F.lit(0.0)), "volume") * 100).alias("pressure"),
+            "instrument_id", "date", (ratio(F.coalesce("overlap", F.lit(0.0)), "volume") * 100).alias("pressure"),
             "main_net", "ret_same", "ret_next",
         )
     )
@@ -121,8 +121,8 @@ def upper_tail(panel: DataFrame, factor: str, prob: float = 0.8) -> DataFrame:
 
 def liquid_universe(price: DataFrame, n: int, min_close: float = 10.0) -> DataFrame:
     """The n instruments of highest average volume whose last close clears the floor."""
-    s = price.groupBy("stock_id").agg(F.max_by("close", "date").alias("close"), F.avg("volume").alias("avg_volume"))
-    return s.filter(F.col("close") >= min_close).orderBy(F.col("avg_volume").desc(), "stock_id").limit(n)
+    s = price.groupBy("instrument_id").agg(F.max_by("close", "date").alias("close"), F.avg("volume").alias("avg_volume"))
+    return s.filter(F.col("close") >= min_close).orderBy(F.col("avg_volume").desc(), "instrument_id").limit(n)
 
 
 def volatile_universe(
@@ -130,9 +130,9 @@ def volatile_universe(
     coverage: float = 0.7,
 ) -> DataFrame:
     """The k instruments of highest deviation of returns times log turnover, within bounds."""
-    w = ordered("stock_id")
+    w = ordered("instrument_id")
     r = on_last_dates(price, calendar, window).withColumn("r", pct_simple("close", F.lag("close").over(w)))
-    s = r.groupBy("stock_id").agg(
+    s = r.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("rows"), F.max_by("close", "date").alias("close"), F.avg("volume").alias("avg_volume"),
         F.stddev_samp("r").alias("sd"), F.avg(F.col("close") * F.col("volume")).alias("amount"),
     ).filter(
@@ -140,11 +140,11 @@ def volatile_universe(
         & (F.col("close") < max_close) & F.col("sd").isNotNull()
     )
     scored = s.withColumn("score", F.col("sd") * F.log("amount"))
-    return scored.orderBy(F.round("score", 6).desc(), "stock_id").limit(k).select("stock_id", "close", "avg_volume", "sd", "score")
+    return scored.orderBy(F.round("score", 6).desc(), "instrument_id").limit(k).select("instrument_id", "close", "avg_volume", "sd", "score")
 
 
 def pit_pressure_study(study: DataFrame, expected: DataFrame) -> DataFrame:
     """Lock study rows with the point-in-time expected pressure of their date."""
-    return enrich(study, expected.select("stock_id", "date", "expected_pct", "n_flippers"), ["stock_id", "date"]).filter(
+    return enrich(study, expected.select("instrument_id", "date", "expected_pct", "n_flippers"), ["instrument_id", "date"]).filter(
         "expected_pct is not null AND oc is not null"
     )

@@ -17,13 +17,13 @@ def tech_signals(price: DataFrame) -> DataFrame:
 
     Only the newest 240 rows of an instrument are kept, then aggregated once.
     """
-    rows = top_rows(price.select("stock_id", "date", "close", "volume"), newest_first("stock_id"), YEAR_ROWS)
+    rows = top_rows(price.select("instrument_id", "date", "close", "volume"), newest_first("instrument_id"), YEAR_ROWS)
 
     def mean(n: int):
         value = F.avg(F.when(F.col("rank") <= n, F.col("close")))
         return F.when(F.count(F.when(F.col("rank") <= n, 1)) == n, value).alias(f"ma{n}")
 
-    s = rows.groupBy("stock_id").agg(
+    s = rows.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("rows"), F.max("close").alias("hi"), F.min("close").alias("lo"),
         F.max_by("close", "date").alias("c"), F.max_by("volume", "date").alias("v"),
         *[mean(n) for n in (5, 10, 20, 60, 120, 240)],
@@ -44,7 +44,7 @@ def tech_signals(price: DataFrame) -> DataFrame:
         (F.col("rows") >= HALF_YEAR_ROWS) & (F.col("hi") > F.col("lo")), ratio(c - F.col("lo"), F.col("hi") - F.col("lo")) * 100
     )
     return s.select(
-        "stock_id", align.alias("ma_align"), long_term.alias("long_term"), half.alias("half_year"),
+        "instrument_id", align.alias("ma_align"), long_term.alias("long_term"), half.alias("half_year"),
         F.when(ma20 > 0, ratio(c - ma20, ma20) * 100).alias("bias20_pct"),
         position.alias("year_position_pct"), (c * F.col("v") / 1e5).alias("turnover"),
     )
@@ -56,17 +56,17 @@ def risk_levels(price: DataFrame, atr_mult: float = 2.0, target_r: float = 2.0,
     A stop at or below zero is null, and with it the stop distance and the target.
     """
     rows = top_rows(
-        price.withColumn("tr", true_range(ordered("stock_id"))).select("stock_id", "date", "close", "tr"),
-        newest_first("stock_id"), period,
+        price.withColumn("tr", true_range(ordered("instrument_id"))).select("instrument_id", "date", "close", "tr"),
+        newest_first("instrument_id"), period,
     )
-    s = rows.groupBy("stock_id").agg(
+    s = rows.groupBy("instrument_id").agg(
         F.count("tr").alias("n"), F.avg("tr").alias("atr"), F.max_by("close", "date").alias("close")
     ).filter((F.col("n") >= period) & (F.col("atr") > 0))
     raw = F.col("close") - F.col("atr") * atr_mult
     s = s.withColumn("stop", F.when(raw > 0, raw))
     risk = F.col("close") - F.col("stop")
     return s.select(
-        "stock_id", "close", "atr", "stop",
+        "instrument_id", "close", "atr", "stop",
         (ratio(-risk, "close") * 100).alias("stop_pct"),
         (F.col("close") + risk * target_r).alias("target"),
     )
@@ -76,8 +76,8 @@ def position_sizing(
     requests: DataFrame, levels: DataFrame, risk_pct: float = 1.0, max_position_pct: float = 25.0,
     atr_mult: float = 2.0, target_r: float = 2.0,
 ) -> DataFrame:
-    """Lots for every (account_id, stock_id, account): by risk per share, capped by position size."""
-    joined = requests.join(levels.select("stock_id", F.col("close").alias("entry"), "atr"), "stock_id")
+    """Lots for every (account_id, instrument_id, account): by risk per share, capped by position size."""
+    joined = requests.join(levels.select("instrument_id", F.col("close").alias("entry"), "atr"), "instrument_id")
     stop = F.round(F.col("entry") - half_up("atr", 2) * atr_mult, 2)
     s = joined.withColumn("stop", stop).withColumn("risk", F.col("entry") - F.col("stop")).filter("risk > 0")
     by_risk = F.floor(F.floor(F.col("account") * risk_pct / 100 / F.col("risk")) / LOT_SHARES)
@@ -87,7 +87,7 @@ def position_sizing(
     shares = lots * LOT_SHARES
     fits = lots >= 1
     return s.select(
-        "account_id", "stock_id", "entry", "stop",
+        "account_id", "instrument_id", "entry", "stop",
         F.when(fits, lots).alias("lots"),
         F.when(fits, F.col("entry") + F.col("risk") * target_r).alias("target"),
         F.when(fits, shares * F.col("entry")).alias("position_value"),
@@ -100,9 +100,9 @@ def position_sizing(
 
 def ma_series(price: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Close with its 5, 20 and 60 row means; the last rows of each instrument if asked."""
-    w = ordered("stock_id")
-    out = price.select("stock_id", "date", "close", *[sma("close", w, n).alias(f"ma{n}") for n in (5, 20, 60)])
-    return top_rows(out, newest_first("stock_id"), n_rows).drop("rank") if n_rows else out
+    w = ordered("instrument_id")
+    out = price.select("instrument_id", "date", "close", *[sma("close", w, n).alias(f"ma{n}") for n in (5, 20, 60)])
+    return top_rows(out, newest_first("instrument_id"), n_rows).drop("rank") if n_rows else out
 
 
 def chip_timeline(price: DataFrame, inst: DataFrame, margin: DataFrame, sbl: DataFrame, n_rows: int = 30) -> DataFrame:
@@ -110,8 +110,8 @@ def chip_timeline(price: DataFrame, inst: DataFrame, margin: DataFrame, sbl: Dat
 
     Balances change against their own table's previous row.
     """
-    w = ordered("stock_id")
-    key = ["stock_id", "date"]
+    w = ordered("instrument_id")
+    key = ["instrument_id", "date"]
     px = price.select(*key, "close", "volume", (ratio(diff("close", w), rows_back("close", w)) * 100).alias("change_pct"))
     m = margin.select(*key, diff("margin_balance", w).alias("margin_change"), diff("short_balance", w).alias("short_change"))
     s = sbl.select(*key, "sbl_balance", diff("sbl_balance", w).alias("sbl_change"))
@@ -119,13 +119,13 @@ def chip_timeline(price: DataFrame, inst: DataFrame, margin: DataFrame, sbl: Dat
         px.join(inst.select(*key, "foreign_net", "trust_net", "dealer_net"), key, "left")
         .join(m, key, "left").join(s, key, "left")
     )
-    return top_rows(joined, newest_first("stock_id"), n_rows).drop("rank")
+    return top_rows(joined, newest_first("instrument_id"), n_rows).drop("rank")
 
 
 def day_trade_timeline(timeline: DataFrame, day_trade: DataFrame) -> DataFrame:
     """Day-trade share along a timeline."""
-    return timeline.join(day_trade, ["stock_id", "date"]).filter("volume > 0").select(
-        "stock_id", "date", (ratio("dt_vol", "volume") * 100).alias("day_trade_pct")
+    return timeline.join(day_trade, ["instrument_id", "date"]).filter("volume > 0").select(
+        "instrument_id", "date", (ratio("dt_vol", "volume") * 100).alias("day_trade_pct")
     )
 
 

@@ -16,42 +16,42 @@ TOP = 2
 P = Broker(top=TOP, min_ops=10, hot=26, mid=25, long=24)
 
 FOLLOW = {
-    "b_top": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, date ORDER BY net DESC, broker) AS rk
+    "b_top": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, date ORDER BY net DESC, broker) AS rk
                 FROM d_broker WHERE net > 0) WHERE rk <= {TOP}""",
-    "b_follow": """SELECT b.stock_id, b.broker, b.date AS buy_date, c.next_date AS sell_date, b.net AS bought,
+    "b_follow": """SELECT b.instrument_id, b.broker, b.date AS buy_date, c.next_date AS sell_date, b.net AS bought,
             CAST(coalesce(a.net, 0) < 0 AS BIGINT) AS flip,
             CASE WHEN a.net < 0 THEN least(b.net, -a.net) ELSE 0e0 END AS dumped
         FROM b_top b JOIN d_cal c ON b.date = c.date
-        JOIN (SELECT DISTINCT stock_id, date FROM d_broker) d ON d.stock_id = b.stock_id AND d.date = c.next_date
-        LEFT JOIN d_broker a ON a.stock_id = b.stock_id AND a.date = c.next_date AND a.broker = b.broker""",
+        JOIN (SELECT DISTINCT instrument_id, date FROM d_broker) d ON d.instrument_id = b.instrument_id AND d.date = c.next_date
+        LEFT JOIN d_broker a ON a.instrument_id = b.instrument_id AND a.date = c.next_date AND a.broker = b.broker""",
     "b_profile": """SELECT broker, ops, flips, round(100.0 * flips / ops, 1) AS flip_rate,
-            CASE WHEN bought > 0 THEN round(dumped / bought * 100, 1) ELSE 0 END AS dump_ratio, n_stocks,
+            CASE WHEN bought > 0 THEN round(dumped / bought * 100, 1) ELSE 0 END AS dump_ratio, n_instruments,
             CASE WHEN round(100.0 * flips / ops, 1) >= 26 THEN 'hot' WHEN round(100.0 * flips / ops, 1) >= 25 THEN 'mid'
                  WHEN round(100.0 * flips / ops, 1) < 24 THEN 'long' ELSE 'neutral' END AS broker_class
         FROM (SELECT broker, count(*) AS ops, CAST(sum(flip) AS BIGINT) AS flips, sum(bought) AS bought, sum(dumped) AS dumped,
-                     count(DISTINCT stock_id) AS n_stocks FROM b_follow GROUP BY broker) WHERE ops >= 10""",
-    "b_main": f"""SELECT stock_id, date,
+                     count(DISTINCT instrument_id) AS n_instruments FROM b_follow GROUP BY broker) WHERE ops >= 10""",
+    "b_main": f"""SELECT instrument_id, date,
             sum(CASE WHEN (b <= {TOP} AND net > 0) OR (s <= {TOP} AND net < 0) THEN net ELSE 0e0 END) AS main_net,
             sum(CASE WHEN b <= {TOP} AND net > 0 THEN net ELSE 0e0 END) AS main_buy,
             sum(CASE WHEN s <= {TOP} AND net < 0 THEN net ELSE 0e0 END) AS main_sell,
             count(*) FILTER (WHERE b <= {TOP} AND net > 0) AS n_buyers, count(*) FILTER (WHERE s <= {TOP} AND net < 0) AS n_sellers
-        FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, date ORDER BY net DESC, broker) AS b,
-                row_number() OVER (PARTITION BY stock_id, date ORDER BY net, broker DESC) AS s FROM d_broker) GROUP BY stock_id, date""",
-    "b_flip": """SELECT stock_id, date, overlap, overlap / volume * 100 AS flip_pressure_pct FROM
-            (SELECT stock_id, sell_date AS date, sum(dumped) AS overlap FROM b_follow GROUP BY ALL) JOIN d_bars USING (stock_id, date) WHERE volume > 0""",
-    "b_expected": """SELECT e.stock_id, e.date, lots AS expected_lots, n_flippers,
+        FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, date ORDER BY net DESC, broker) AS b,
+                row_number() OVER (PARTITION BY instrument_id, date ORDER BY net, broker DESC) AS s FROM d_broker) GROUP BY instrument_id, date""",
+    "b_flip": """SELECT instrument_id, date, overlap, overlap / volume * 100 AS flip_pressure_pct FROM
+            (SELECT instrument_id, sell_date AS date, sum(dumped) AS overlap FROM b_follow GROUP BY ALL) JOIN d_bars USING (instrument_id, date) WHERE volume > 0""",
+    "b_expected": """SELECT e.instrument_id, e.date, lots AS expected_lots, n_flippers,
             CASE WHEN n_flippers = 0 THEN 0 WHEN volume > 0 THEN lots / volume * 100 END AS expected_pct
-        FROM (SELECT t.stock_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
+        FROM (SELECT t.instrument_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
                      count(*) FILTER (WHERE flip_rate >= 25) AS n_flippers
-              FROM b_top t LEFT JOIN b_profile USING (broker) GROUP BY t.stock_id, t.date) e LEFT JOIN d_bars b ON b.stock_id = e.stock_id AND b.date = e.date""",
-    "b_flips": """SELECT b.stock_id, b.broker, b.date, least(b.net, -a.net) AS dumped
-        FROM b_wtop b JOIN (SELECT stock_id, date, lead(date) OVER (PARTITION BY stock_id ORDER BY date) AS nd
-                            FROM (SELECT DISTINCT stock_id, date FROM b_window)) d ON d.stock_id = b.stock_id AND d.date = b.date
-        JOIN b_window a ON a.stock_id = b.stock_id AND a.date = d.nd AND a.broker = b.broker AND a.net < 0""",
+              FROM b_top t LEFT JOIN b_profile USING (broker) GROUP BY t.instrument_id, t.date) e LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
+    "b_flips": """SELECT b.instrument_id, b.broker, b.date, least(b.net, -a.net) AS dumped
+        FROM b_wtop b JOIN (SELECT instrument_id, date, lead(date) OVER (PARTITION BY instrument_id ORDER BY date) AS nd
+                            FROM (SELECT DISTINCT instrument_id, date FROM b_window)) d ON d.instrument_id = b.instrument_id AND d.date = b.date
+        JOIN b_window a ON a.instrument_id = b.instrument_id AND a.date = d.nd AND a.broker = b.broker AND a.net < 0""",
     "b_window": "SELECT * FROM d_broker WHERE date IN (SELECT date FROM d_cal WHERE age <= 31)",
-    "b_wtop": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, date ORDER BY net DESC, broker) AS rk
+    "b_wtop": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, date ORDER BY net DESC, broker) AS rk
                 FROM b_window WHERE net > 0) WHERE rk <= {TOP}""",
-    "b_regulars": "SELECT stock_id, broker, count(*) AS hits, sum(dumped) AS dumped FROM b_flips GROUP BY ALL HAVING count(*) >= 2",
+    "b_regulars": "SELECT instrument_id, broker, count(*) AS hits, sum(dumped) AS dumped FROM b_flips GROUP BY ALL HAVING count(*) >= 2",
 }
 
 
@@ -59,12 +59,12 @@ def stored_profile(m: MarketTables) -> DataFrame:
     return cut_lineage(brokers.broker_profile(m.broker_net, m.calendar, P), "profile")
 
 
-@query("broker_net_from_trades", "SELECT stock_id, date, broker, net FROM d_broker")
+@query("broker_net_from_trades", "SELECT instrument_id, date, broker, net FROM d_broker")
 def broker_net(m: MarketTables) -> DataFrame:
     return m.broker_net
 
 
-@query("broker_map_round_trip", "SELECT stock_id, date, broker, net FROM d_broker")
+@query("broker_map_round_trip", "SELECT instrument_id, date, broker, net FROM d_broker")
 def broker_maps(m: MarketTables) -> DataFrame:
     return normalize.broker_rows(normalize.broker_maps(m.broker_net))
 
@@ -74,12 +74,12 @@ def main_net(m: MarketTables) -> DataFrame:
     return brokers.broker_main_net(m.broker_net, TOP)
 
 
-@query("next_date_pairs", "SELECT stock_id, broker, buy_date, sell_date, bought, flip, dumped FROM b_follow", **FOLLOW)
+@query("next_date_pairs", "SELECT instrument_id, broker, buy_date, sell_date, bought, flip, dumped FROM b_follow", **FOLLOW)
 def follow_up(m: MarketTables) -> DataFrame:
     return brokers.buyer_follow_up(m.broker_net, m.calendar, TOP)
 
 
-@query("flip_pressure", "SELECT stock_id, date, overlap, round(flip_pressure_pct, 6) AS flip_pressure_pct FROM b_flip", **FOLLOW)
+@query("flip_pressure", "SELECT instrument_id, date, overlap, round(flip_pressure_pct, 6) AS flip_pressure_pct FROM b_flip", **FOLLOW)
 def flip_pressure(m: MarketTables) -> DataFrame:
     return rounded(brokers.flip_pressure(m.broker_net, m.bars, m.calendar, TOP), "flip_pressure_pct")
 
@@ -99,23 +99,23 @@ def profile_before(m: MarketTables) -> DataFrame:
 
 @query(
     "expected_pressure",
-    "SELECT stock_id, date, round(expected_lots, 6) AS expected_lots, n_flippers, round(expected_pct, 6) AS expected_pct FROM b_expected",
+    "SELECT instrument_id, date, round(expected_lots, 6) AS expected_lots, n_flippers, round(expected_pct, 6) AS expected_pct FROM b_expected",
     **FOLLOW,
 )
 def expected(m: MarketTables) -> DataFrame:
     return rounded(brokers.expected_pressure(m.broker_net, stored_profile(m), m.bars, P), "expected_lots", "expected_pct")
 
 
-@query("flip_regulars", "SELECT stock_id, broker, hits, dumped FROM b_regulars", **FOLLOW)
+@query("flip_regulars", "SELECT instrument_id, broker, hits, dumped FROM b_regulars", **FOLLOW)
 def regulars(m: MarketTables) -> DataFrame:
     return brokers.flip_regulars(m.broker_net, m.calendar, lookback=30, top=TOP)
 
 
 @query(
     "top_branches",
-    """SELECT stock_id, date, side, CAST(rk AS INTEGER) AS rank, broker, net, flip_rate, ops, broker_class FROM (
+    """SELECT instrument_id, date, side, CAST(rk AS INTEGER) AS rank, broker, net, flip_rate, ops, broker_class FROM (
          SELECT *, 'buy' AS side FROM b_top UNION ALL
-         SELECT *, 'sell' AS side FROM (SELECT *, row_number() OVER (PARTITION BY stock_id, date ORDER BY net, broker) AS rk
+         SELECT *, 'sell' AS side FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, date ORDER BY net, broker) AS rk
                                         FROM d_broker WHERE net < 0) WHERE rk <= 2) LEFT JOIN b_profile USING (broker)""",
     **FOLLOW,
 )
@@ -135,7 +135,7 @@ def listing(m: MarketTables) -> DataFrame:
 
 @query(
     "broker_timeline",
-    "SELECT stock_id, date, main_net, round(flip_pressure_pct, 6) AS flip_pressure_pct FROM b_main LEFT JOIN b_flip USING (stock_id, date)",
+    "SELECT instrument_id, date, main_net, round(flip_pressure_pct, 6) AS flip_pressure_pct FROM b_main LEFT JOIN b_flip USING (instrument_id, date)",
     **FOLLOW,
 )
 def timeline(m: MarketTables) -> DataFrame:
@@ -148,18 +148,18 @@ PIT = {
     "b_pit": """SELECT c.date, d.broker, round(sum(flips) / sum(ops) * 100, 1) AS flip_rate,
             CASE WHEN sum(bought) > 0 THEN round(sum(dumped) / sum(bought) * 100, 1) ELSE 0 END AS dump_ratio
         FROM d_cal c JOIN b_daily d ON d.date < c.date GROUP BY ALL HAVING sum(ops) >= 10""",
-    "b_pitx": """SELECT e.stock_id, e.date, lots AS expected_lots, n_flippers,
+    "b_pitx": """SELECT e.instrument_id, e.date, lots AS expected_lots, n_flippers,
             CASE WHEN n_flippers = 0 THEN 0 WHEN volume > 0 THEN lots / volume * 100 END AS expected_pct
-        FROM (SELECT t.stock_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
+        FROM (SELECT t.instrument_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
                      count(*) FILTER (WHERE flip_rate >= 25) AS n_flippers
-              FROM b_top t LEFT JOIN b_pit p ON p.broker = t.broker AND p.date = t.date GROUP BY t.stock_id, t.date) e
-        LEFT JOIN d_bars b ON b.stock_id = e.stock_id AND b.date = e.date""",
+              FROM b_top t LEFT JOIN b_pit p ON p.broker = t.broker AND p.date = t.date GROUP BY t.instrument_id, t.date) e
+        LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
 }
 
 
 @query(
     "pit_expected_pressure",
-    "SELECT stock_id, date, round(expected_lots, 6) AS expected_lots, n_flippers, round(expected_pct, 6) AS expected_pct FROM b_pitx",
+    "SELECT instrument_id, date, round(expected_lots, 6) AS expected_lots, n_flippers, round(expected_pct, 6) AS expected_pct FROM b_pitx",
     **FOLLOW, **PIT,
 )
 def pit(m: MarketTables) -> DataFrame:
@@ -169,8 +169,8 @@ def pit(m: MarketTables) -> DataFrame:
 @query(
     "profile_history",
     """SELECT broker, date, CAST(sum(ops) OVER w AS BIGINT) AS ops, CAST(sum(flips) OVER w AS BIGINT) AS flips, sum(bought) OVER w AS bought,
-          sum(dumped) OVER w AS dumped, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS n_stocks
-       FROM b_daily LEFT JOIN (SELECT broker, date, count(*) AS n FROM (SELECT broker, stock_id, min(sell_date) AS date FROM b_follow GROUP BY ALL) GROUP BY ALL) USING (broker, date)
+          sum(dumped) OVER w AS dumped, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS n_instruments
+       FROM b_daily LEFT JOIN (SELECT broker, date, count(*) AS n FROM (SELECT broker, instrument_id, min(sell_date) AS date FROM b_follow GROUP BY ALL) GROUP BY ALL) USING (broker, date)
        WINDOW w AS (PARTITION BY broker ORDER BY date)""",
     **FOLLOW, **PIT,
 )

@@ -32,37 +32,37 @@ def cfg_sql(grid: list[dict]) -> str:
     return f"SELECT * FROM (VALUES {rows}) v(curve_id, max_positions, hold, stop_kind, stop_param, regime, signal)"
 
 
-RS_SIGNAL = "SELECT '' AS signal, date, stock_id, ret - med AS score FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3"
+RS_SIGNAL = "SELECT '' AS signal, date, instrument_id, ret - med AS score FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3"
 GATE = """SELECT date, coalesce(p >= 45, true) AS regime_ok FROM d_cal LEFT JOIN (
     SELECT date, avg(CASE WHEN close >= m THEN 1e0 ELSE 0e0 END) * 100 AS p FROM (SELECT date, close, avg(close) OVER w AS m, count(*) OVER w AS n FROM d_bars
-        WINDOW w AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20 GROUP BY date) USING (date)"""
+        WINDOW w AS (PARTITION BY instrument_id ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20 GROUP BY date) USING (date)"""
 E_TABLES = {
     **RS,
     "e_gate": GATE,
     "e_signal": RS_SIGNAL,
     "e_bars": """SELECT *, CASE WHEN count(*) OVER f = 14 THEN avg(tr) OVER f END AS atr FROM
         (SELECT b.*, idx, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr
-         FROM d_bars b JOIN d_cal USING (date) WHERE close > 0 WINDOW w AS (PARTITION BY stock_id ORDER BY date))
-        WINDOW f AS (PARTITION BY stock_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
-    "e_picks": """SELECT s.*, row_number() OVER (PARTITION BY s.signal, s.date ORDER BY score DESC, stock_id) AS rk, regime_ok
+         FROM d_bars b JOIN d_cal USING (date) WHERE close > 0 WINDOW w AS (PARTITION BY instrument_id ORDER BY date))
+        WINDOW f AS (PARTITION BY instrument_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+    "e_picks": """SELECT s.*, row_number() OVER (PARTITION BY s.signal, s.date ORDER BY score DESC, instrument_id) AS rk, regime_ok
         FROM e_signal s JOIN e_gate USING (date)""",
-    "e_entry": """SELECT g.curve_id, p.stock_id, p.date AS signal_date, c.idx AS signal_idx, b.date AS entry_date, b.idx AS e_idx, b.open AS entry_price, g.hold,
+    "e_entry": """SELECT g.curve_id, p.instrument_id, p.date AS signal_date, c.idx AS signal_idx, b.date AS entry_date, b.idx AS e_idx, b.open AS entry_price, g.hold,
             CASE WHEN stop_kind = 'pct' THEN b.open * (1 - stop_param) WHEN stop_kind = 'atr' AND atr > 0 THEN b.open - stop_param * atr END AS stop
         FROM e_picks p JOIN e_cfg g ON g.signal = p.signal AND p.rk <= g.max_positions AND (g.regime = 0 OR p.regime_ok)
-        JOIN d_cal c ON c.date = p.date JOIN e_bars b ON b.stock_id = p.stock_id AND b.date = c.next_date WHERE b.open > 0""",
-    "e_timed": """SELECT e.*, t.t_idx FROM e_entry e LEFT JOIN (SELECT curve_id, e.stock_id, signal_date, min(b.idx) AS t_idx FROM e_entry e
-        JOIN e_bars b ON b.stock_id = e.stock_id AND b.idx >= e.e_idx + e.hold GROUP BY ALL) t USING (curve_id, stock_id, signal_date)""",
-    "e_exit": """SELECT t.*, s.s_idx, coalesce(s.s_idx, t.t_idx) AS exit_idx FROM e_timed t LEFT JOIN (SELECT curve_id, t.stock_id, signal_date, min(b.idx) AS s_idx FROM e_timed t
-        JOIN e_bars b ON b.stock_id = t.stock_id AND b.idx BETWEEN t.e_idx AND coalesce(t.t_idx, t.e_idx + t.hold) AND b.low <= t.stop GROUP BY ALL) s USING (curve_id, stock_id, signal_date)""",
-    "e_trades": """SELECT x.curve_id, x.stock_id, x.signal_date, x.signal_idx, x.entry_date, x.e_idx, x.entry_price, b.date AS exit_date, x.exit_idx, x.hold, x.t_idx,
+        JOIN d_cal c ON c.date = p.date JOIN e_bars b ON b.instrument_id = p.instrument_id AND b.date = c.next_date WHERE b.open > 0""",
+    "e_timed": """SELECT e.*, t.t_idx FROM e_entry e LEFT JOIN (SELECT curve_id, e.instrument_id, signal_date, min(b.idx) AS t_idx FROM e_entry e
+        JOIN e_bars b ON b.instrument_id = e.instrument_id AND b.idx >= e.e_idx + e.hold GROUP BY ALL) t USING (curve_id, instrument_id, signal_date)""",
+    "e_exit": """SELECT t.*, s.s_idx, coalesce(s.s_idx, t.t_idx) AS exit_idx FROM e_timed t LEFT JOIN (SELECT curve_id, t.instrument_id, signal_date, min(b.idx) AS s_idx FROM e_timed t
+        JOIN e_bars b ON b.instrument_id = t.instrument_id AND b.idx BETWEEN t.e_idx AND coalesce(t.t_idx, t.e_idx + t.hold) AND b.low <= t.stop GROUP BY ALL) s USING (curve_id, instrument_id, signal_date)""",
+    "e_trades": """SELECT x.curve_id, x.instrument_id, x.signal_date, x.signal_idx, x.entry_date, x.e_idx, x.entry_price, b.date AS exit_date, x.exit_idx, x.hold, x.t_idx,
             CASE WHEN s_idx IS NOT NULL THEN least(b.open, stop) ELSE b.close END AS exit_price,
             CASE WHEN s_idx IS NOT NULL THEN 'stop' WHEN t_idx IS NOT NULL THEN 'time' END AS exit_reason,
             CASE WHEN s_idx IS NOT NULL THEN least(b.open, stop) ELSE b.close END / x.entry_price * ((1 - 0.004425e0) / (1 + 0.001425e0)) - 1 AS ret
-        FROM e_exit x LEFT JOIN e_bars b ON b.stock_id = x.stock_id AND b.idx = x.exit_idx""",
-    "e_days": """SELECT t.curve_id, t.stock_id, t.signal_date, t.signal_idx, b.date, b.idx,
+        FROM e_exit x LEFT JOIN e_bars b ON b.instrument_id = x.instrument_id AND b.idx = x.exit_idx""",
+    "e_days": """SELECT t.curve_id, t.instrument_id, t.signal_date, t.signal_idx, b.date, b.idx,
             CASE WHEN b.idx = t.exit_idx THEN exit_price * (1 - 0.004425e0) ELSE b.close END
-              / coalesce(lag(b.close) OVER (PARTITION BY t.curve_id, t.stock_id, t.signal_date ORDER BY b.idx), entry_price * (1 + 0.001425e0)) - 1 AS day_ret
-        FROM e_trades t JOIN e_bars b ON b.stock_id = t.stock_id AND b.idx BETWEEN t.e_idx AND coalesce(t.exit_idx, t.e_idx + t.hold)""",
+              / coalesce(lag(b.close) OVER (PARTITION BY t.curve_id, t.instrument_id, t.signal_date ORDER BY b.idx), entry_price * (1 + 0.001425e0)) - 1 AS day_ret
+        FROM e_trades t JOIN e_bars b ON b.instrument_id = t.instrument_id AND b.idx BETWEEN t.e_idx AND coalesce(t.exit_idx, t.e_idx + t.hold)""",
     "e_curve": """SELECT curve_id, date, idx, coalesce(r, 0) AS day_ret, coalesce(n, 0) AS n_open,
             exp(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY curve_id ORDER BY idx)) AS equity
         FROM (SELECT curve_id, date, idx FROM e_cfg, d_cal) LEFT JOIN (SELECT curve_id, idx, avg(day_ret) AS r, count(*) AS n FROM e_days GROUP BY ALL) USING (curve_id, idx)""",
@@ -91,7 +91,7 @@ def log_growth(df: DataFrame) -> DataFrame:
 
 
 def rs_signals(m: MarketTables) -> DataFrame:
-    return signals.relative_strength_signals(m.bars, RelativeStrength()).select("date", "stock_id", "score")
+    return signals.relative_strength_signals(m.bars, RelativeStrength()).select("date", "instrument_id", "score")
 
 
 def compare(m: MarketTables, sig: DataFrame, grid: list[dict], gate: DataFrame | None) -> DataFrame:
@@ -104,7 +104,7 @@ TRADE_GRID = [config("hold", 8), config("pct", 8, stop=("pct", 0.08)), config("a
 
 @query(
     "signal_trades",
-    """SELECT curve_id, stock_id, signal_date, entry_date, entry_price, exit_date, round(exit_price, 6) AS exit_price, round(ret, 6) AS ret, exit_reason FROM e_trades""",
+    """SELECT curve_id, instrument_id, signal_date, entry_date, entry_price, exit_date, round(exit_price, 6) AS exit_price, round(ret, 6) AS ret, exit_reason FROM e_trades""",
     **E_TABLES, e_cfg=cfg_sql(TRADE_GRID),
 )
 def signal_trades(m: MarketTables) -> DataFrame:
@@ -128,7 +128,7 @@ def curve_metrics(m: MarketTables) -> DataFrame:
     return compare(m, rs_signals(m), TRADE_GRID, signals.regime_gate(m.bars, m.calendar))
 
 
-BUY_HOLD = """SELECT date, avg(close / f) AS equity FROM (SELECT date, close, first_value(close) OVER (PARTITION BY stock_id ORDER BY date) AS f FROM d_bars) WHERE f > 0 GROUP BY date"""
+BUY_HOLD = """SELECT date, avg(close / f) AS equity FROM (SELECT date, close, first_value(close) OVER (PARTITION BY instrument_id ORDER BY date) AS f FROM d_bars) WHERE f > 0 GROUP BY date"""
 TIMED = """SELECT date, invested, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS equity FROM
     (SELECT date, coalesce(lag(equity) OVER w IS NOT NULL AND coalesce(lag(regime_ok) OVER w, true), false) AS invested,
         CASE WHEN lag(equity) OVER w IS NOT NULL AND coalesce(lag(regime_ok) OVER w, true) THEN equity / lag(equity) OVER w - 1 ELSE 0 END AS r
@@ -185,8 +185,8 @@ WALK = {
     **E_TABLES,
     "rs20": RS_RETURNS.replace("lag(close, 10)", "lag(close, 20)"),
     "rs20_median": RS_MEDIAN.replace("rs_returns", "rs20"),
-    "e_signal": """SELECT 'lb10' AS signal, date, stock_id, ret - med AS score FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3
-        UNION ALL SELECT 'lb20', date, stock_id, ret - med FROM rs20 JOIN rs20_median USING (date) WHERE ret BETWEEN 0 AND 0.3""",
+    "e_signal": """SELECT 'lb10' AS signal, date, instrument_id, ret - med AS score FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3
+        UNION ALL SELECT 'lb20', date, instrument_id, ret - med FROM rs20 JOIN rs20_median USING (date) WHERE ret BETWEEN 0 AND 0.3""",
     "e_cfg": cfg_sql(WALK_GRID),
     "folds": FOLDS,
     "e_windows": "SELECT fold, 'train' AS role, train_lo_idx AS lo, train_hi_idx AS hi FROM folds UNION ALL SELECT fold, 'test', test_lo_idx, test_hi_idx FROM folds",
@@ -201,7 +201,7 @@ WALK = {
 
 def walk_signals(m: MarketTables) -> DataFrame:
     sets = [
-        signals.relative_strength_signals(m.bars, RelativeStrength(lookback=lb)).select(F.lit(f"lb{lb}").alias("signal"), "date", "stock_id", "score")
+        signals.relative_strength_signals(m.bars, RelativeStrength(lookback=lb)).select(F.lit(f"lb{lb}").alias("signal"), "date", "instrument_id", "score")
         for lb in (10, 20)
     ]
     return sets[0].unionByName(sets[1])
@@ -256,7 +256,7 @@ SWEEP_GRID = [config(f"{s['knob']}={s['value']:g}", 8, 5, signal=f"{s['knob']}={
     **{
         **E_TABLES, **E_METRICS, "ac_features": ACCUM_FEATURES, "e_cfg": cfg_sql(SWEEP_GRID),
         "e_signal": " UNION ALL ".join(
-            f"""SELECT '{s['knob']}={s['value']:g}' AS signal, date, stock_id, buy_days * 3 + buy_ratio * 100 * 2 AS score FROM ac_features
+            f"""SELECT '{s['knob']}={s['value']:g}' AS signal, date, instrument_id, buy_days * 3 + buy_ratio * 100 * 2 AS score FROM ac_features
             WHERE n >= 6 AND gain >= -0.5 AND gain < {s['max_gain']} AND least(streak, n) >= {s['min_streak']} AND buy_ratio >= {s['min_buy_ratio']}
               AND (margin_increase IS NULL OR margin_increase <= 1.0) AND (above_ma20 IS NULL OR above_ma20 <= 0.5)""" for s in SWEEP
         ),
@@ -268,7 +268,7 @@ def param_sensitivity(m: MarketTables) -> DataFrame:
     swept = joins.explode_grid(feats, [{**BASE, **s} for s in SWEEP])
     named = F.concat(F.col("cfg.knob"), F.lit("="), F.regexp_replace(F.col("cfg.value").cast("string"), r"\.0$", ""))
     sig = signals.accumulation_gates(swept, cfg="cfg").select(
-        named.alias("signal"), "date", "stock_id", (F.col("buy_days") * 3 + F.col("buy_ratio") * 100 * 2).alias("score")
+        named.alias("signal"), "date", "instrument_id", (F.col("buy_days") * 3 + F.col("buy_ratio") * 100 * 2).alias("score")
     )
     return compare(m, sig, SWEEP_GRID, None)
 
@@ -297,20 +297,20 @@ def period_split(m: MarketTables) -> DataFrame:
 STRATEGIES = [
     config(f"{s} gate{g}", 8, 5, regime=g, signal=s) for s in ("accumulation", "strength", "revenue", "value") for g in (0, 1)
 ]
-REV_SIGNAL = """SELECT 'revenue' AS signal, date, stock_id, least(yoy, 150) + least(cum_yoy, 100) * 0.5 + least(yoy - cum_yoy, 100) AS score
-   FROM d_bars b ASOF JOIN d_revp r ON b.stock_id = r.stock_id AND b.date >= r.pub_date WHERE yoy BETWEEN 30 AND 300 AND cum_yoy BETWEEN 2 AND 200 AND yoy - cum_yoy >= 5"""
+REV_SIGNAL = """SELECT 'revenue' AS signal, date, instrument_id, least(yoy, 150) + least(cum_yoy, 100) * 0.5 + least(yoy - cum_yoy, 100) AS score
+   FROM d_bars b ASOF JOIN d_revp r ON b.instrument_id = r.instrument_id AND b.date >= r.pub_date WHERE yoy BETWEEN 30 AND 300 AND cum_yoy BETWEEN 2 AND 200 AND yoy - cum_yoy >= 5"""
 
 
 @query(
     "strategy_compare", COMPARE_BODY,
     **{
         **E_TABLES, **E_METRICS, "ac_features": ACCUM_FEATURES, "e_cfg": cfg_sql(STRATEGIES),
-        "e_signal": f"""SELECT 'accumulation' AS signal, date, stock_id, round(buy_days * 3 + buy_ratio * 100 * 2, 6) AS score FROM ac_features
+        "e_signal": f"""SELECT 'accumulation' AS signal, date, instrument_id, round(buy_days * 3 + buy_ratio * 100 * 2, 6) AS score FROM ac_features
             WHERE n >= 6 AND gain >= -0.5 AND gain < 0.5 AND least(streak, n) >= 2 AND buy_ratio >= 0.05
               AND (margin_increase IS NULL OR margin_increase <= 1.0) AND (above_ma20 IS NULL OR above_ma20 <= 0.5)
-            UNION ALL SELECT 'strength', date, stock_id, round(ret - med, 6) FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3
-            UNION ALL SELECT signal, date, b.stock_id, round(score, 6) FROM ({REV_SIGNAL.replace('date, stock_id,', 'date, b.stock_id,')}) b
-            UNION ALL SELECT 'value', date, stock_id, round("yield" * 3 + 100 / greatest(per, 1) + pbr / per * 100 * 1.5, 6) FROM d_val
+            UNION ALL SELECT 'strength', date, instrument_id, round(ret - med, 6) FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3
+            UNION ALL SELECT signal, date, b.instrument_id, round(score, 6) FROM ({REV_SIGNAL.replace('date, instrument_id,', 'date, b.instrument_id,')}) b
+            UNION ALL SELECT 'value', date, instrument_id, round("yield" * 3 + 100 / greatest(per, 1) + pbr / per * 100 * 1.5, 6) FROM d_val
               WHERE "yield" >= 4 AND per > 0 AND per <= 26 AND pbr > 0 AND pbr <= 2.5 AND pbr / per * 100 >= 7""",
     },
 )
@@ -323,7 +323,7 @@ def strategy_compare(m: MarketTables) -> DataFrame:
     }
     stacked = None
     for name, sig in sets.items():
-        part = sig.select(F.lit(name).alias("signal"), "date", "stock_id", F.round("score", 6).alias("score"))
+        part = sig.select(F.lit(name).alias("signal"), "date", "instrument_id", F.round("score", 6).alias("score"))
         stacked = part if stacked is None else stacked.unionByName(part)
     return compare(m, stacked, STRATEGIES, signals.regime_gate(m.bars, m.calendar))
 
@@ -335,16 +335,16 @@ RANKS = [config(r, 8, 5, signal=r) for r in ("rs", "lowvol", "riskadj")]
     "rank_compare", COMPARE_BODY,
     **{
         **E_TABLES, **E_METRICS, "e_cfg": cfg_sql(RANKS),
-        "e_signal": """SELECT 'rs' AS signal, date, stock_id, round(ret - med, 9) AS score FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3
-            UNION ALL SELECT 'lowvol', date, stock_id, round(-sigma, 9) FROM rs_returns WHERE ret BETWEEN 0 AND 0.3 AND sigma > 0
-            UNION ALL SELECT 'riskadj', date, stock_id, round((ret - med) / sigma, 9) FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3 AND sigma > 0""",
+        "e_signal": """SELECT 'rs' AS signal, date, instrument_id, round(ret - med, 9) AS score FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3
+            UNION ALL SELECT 'lowvol', date, instrument_id, round(-sigma, 9) FROM rs_returns WHERE ret BETWEEN 0 AND 0.3 AND sigma > 0
+            UNION ALL SELECT 'riskadj', date, instrument_id, round((ret - med) / sigma, 9) FROM rs_returns JOIN rs_median USING (date) WHERE ret BETWEEN 0 AND 0.3 AND sigma > 0""",
     },
 )
 def rank_compare(m: MarketTables) -> DataFrame:
     stacked = None
     for rank in ("rs", "lowvol", "riskadj"):
         part = signals.relative_strength_signals(m.bars, rank=rank).select(
-            F.lit(rank).alias("signal"), "date", "stock_id", F.round("score", 9).alias("score")
+            F.lit(rank).alias("signal"), "date", "instrument_id", F.round("score", 9).alias("score")
         )
         stacked = part if stacked is None else stacked.unionByName(part)
     return compare(m, stacked, RANKS, None)

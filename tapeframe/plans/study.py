@@ -15,22 +15,22 @@ from .report import LOCK
 STUDY_P = LockScreen(lookback=8)
 S_TABLES = {
     **LOCK, **PIT,
-    "s_steps": "SELECT stock_id, date, lead(date) OVER (PARTITION BY stock_id ORDER BY date) AS nd FROM (SELECT DISTINCT stock_id, date FROM d_broker)",
-    "s_flips": """SELECT b.stock_id, b.broker, x.idx AS bi, y.idx AS si FROM b_top b JOIN s_steps s ON s.stock_id = b.stock_id AND s.date = b.date
-        JOIN d_broker a ON a.stock_id = b.stock_id AND a.broker = b.broker AND a.date = s.nd AND a.net < 0 JOIN d_cal x ON x.date = b.date JOIN d_cal y ON y.date = s.nd""",
-    "s_hits": """SELECT h.stock_id, h.date, max(h.hits) AS hits, max(CASE WHEN h.rk <= 5 THEN 1 ELSE 0 END) AS hit_top5 FROM
-        (SELECT t.stock_id, t.date, t.broker, t.rk, count(*) AS hits FROM b_top t JOIN d_cal c ON c.date = t.date
-         JOIN s_flips f ON f.stock_id = t.stock_id AND f.broker = t.broker AND f.bi >= c.idx - 8 AND f.si <= c.idx GROUP BY ALL) h GROUP BY h.stock_id, h.date""",
-    "s_lock": """SELECT l.date, l.stock_id, l.change_pct, m.main_net, CAST(m.main_net > 0 AS INTEGER) AS locked, CASE WHEN m.main_net > 0 THEN coalesce(h.hits, 0) ELSE 0 END AS hits,
+    "s_steps": "SELECT instrument_id, date, lead(date) OVER (PARTITION BY instrument_id ORDER BY date) AS nd FROM (SELECT DISTINCT instrument_id, date FROM d_broker)",
+    "s_flips": """SELECT b.instrument_id, b.broker, x.idx AS bi, y.idx AS si FROM b_top b JOIN s_steps s ON s.instrument_id = b.instrument_id AND s.date = b.date
+        JOIN d_broker a ON a.instrument_id = b.instrument_id AND a.broker = b.broker AND a.date = s.nd AND a.net < 0 JOIN d_cal x ON x.date = b.date JOIN d_cal y ON y.date = s.nd""",
+    "s_hits": """SELECT h.instrument_id, h.date, max(h.hits) AS hits, max(CASE WHEN h.rk <= 5 THEN 1 ELSE 0 END) AS hit_top5 FROM
+        (SELECT t.instrument_id, t.date, t.broker, t.rk, count(*) AS hits FROM b_top t JOIN d_cal c ON c.date = t.date
+         JOIN s_flips f ON f.instrument_id = t.instrument_id AND f.broker = t.broker AND f.bi >= c.idx - 8 AND f.si <= c.idx GROUP BY ALL) h GROUP BY h.instrument_id, h.date""",
+    "s_lock": """SELECT l.date, l.instrument_id, l.change_pct, m.main_net, CAST(m.main_net > 0 AS INTEGER) AS locked, CASE WHEN m.main_net > 0 THEN coalesce(h.hits, 0) ELSE 0 END AS hits,
             CASE WHEN m.main_net > 0 THEN coalesce(h.hit_top5, 0) ELSE 0 END AS hit_top5, (n.open - l.close) / l.close * 100 AS gap, (n.close - n.open) / n.open * 100 AS oc,
             (n.close - l.close) / l.close * 100 AS cc
-        FROM l_cand l JOIN d_bars n ON n.stock_id = l.stock_id AND n.date = l.next_date JOIN b_main m ON m.stock_id = l.stock_id AND m.date = l.date
-        LEFT JOIN s_hits h ON h.stock_id = l.stock_id AND h.date = l.date WHERE l.idx >= 8 AND n.open > 0 AND n.close > 0""",
-    "s_over": """SELECT b.stock_id, s.nd AS date, sum(CASE WHEN a.net < 0 THEN least(b.net, -a.net) ELSE 0e0 END) AS overlap FROM b_top b JOIN s_steps s ON s.stock_id = b.stock_id AND s.date = b.date
-        LEFT JOIN d_broker a ON a.stock_id = b.stock_id AND a.broker = b.broker AND a.date = s.nd GROUP BY ALL""",
-    "s_press": """SELECT p.stock_id, p.date, coalesce(overlap, 0) / volume * 100 AS pressure, main_net, ret_same, ret_next FROM
-        (SELECT stock_id, date, volume, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret_same, (lead(close) OVER w - close) / close * 100 AS ret_next
-         FROM d_bars WINDOW w AS (PARTITION BY stock_id ORDER BY date)) p JOIN b_main m USING (stock_id, date) LEFT JOIN s_over o USING (stock_id, date)
+        FROM l_cand l JOIN d_bars n ON n.instrument_id = l.instrument_id AND n.date = l.next_date JOIN b_main m ON m.instrument_id = l.instrument_id AND m.date = l.date
+        LEFT JOIN s_hits h ON h.instrument_id = l.instrument_id AND h.date = l.date WHERE l.idx >= 8 AND n.open > 0 AND n.close > 0""",
+    "s_over": """SELECT b.instrument_id, s.nd AS date, sum(CASE WHEN a.net < 0 THEN least(b.net, -a.net) ELSE 0e0 END) AS overlap FROM b_top b JOIN s_steps s ON s.instrument_id = b.instrument_id AND s.date = b.date
+        LEFT JOIN d_broker a ON a.instrument_id = b.instrument_id AND a.broker = b.broker AND a.date = s.nd GROUP BY ALL""",
+    "s_press": """SELECT p.instrument_id, p.date, coalesce(overlap, 0) / volume * 100 AS pressure, main_net, ret_same, ret_next FROM
+        (SELECT instrument_id, date, volume, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret_same, (lead(close) OVER w - close) / close * 100 AS ret_next
+         FROM d_bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date)) p JOIN b_main m USING (instrument_id, date) LEFT JOIN s_over o USING (instrument_id, date)
         WHERE ret_same IS NOT NULL AND ret_next IS NOT NULL AND volume > 0""",
     "s_edges": "SELECT list_distinct(quantile_cont(pressure, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS e FROM s_press",
     "s_bin": "SELECT s.*, CAST(len(list_filter(list_sort(e)[2:], lambda x: x < pressure)) + 1 AS INTEGER) AS bin FROM s_press s, s_edges",
@@ -47,7 +47,7 @@ def press(m: MarketTables) -> DataFrame:
 
 @query(
     "lock_study",
-    """SELECT date, stock_id, round(change_pct, 6) AS change_pct, main_net, locked, hits, hit_top5, round(gap, 6) + 0e0 AS gap, round(oc, 6) + 0e0 AS oc, round(cc, 6) + 0e0 AS cc FROM s_lock""",
+    """SELECT date, instrument_id, round(change_pct, 6) AS change_pct, main_net, locked, hits, hit_top5, round(gap, 6) + 0e0 AS gap, round(oc, 6) + 0e0 AS oc, round(cc, 6) + 0e0 AS cc FROM s_lock""",
     **S_TABLES,
 )
 def lock_study(m: MarketTables) -> DataFrame:
@@ -56,7 +56,7 @@ def lock_study(m: MarketTables) -> DataFrame:
 
 @query(
     "pressure_study",
-    "SELECT stock_id, date, round(pressure, 6) AS pressure, main_net, round(ret_same, 6) + 0e0 AS ret_same, round(ret_next, 6) + 0e0 AS ret_next FROM s_press", **S_TABLES,
+    "SELECT instrument_id, date, round(pressure, 6) AS pressure, main_net, round(ret_same, 6) + 0e0 AS ret_same, round(ret_next, 6) + 0e0 AS ret_next FROM s_press", **S_TABLES,
 )
 def pressure_study(m: MarketTables) -> DataFrame:
     return rounded(press(m), "pressure", "ret_same", "ret_next")
@@ -115,18 +115,18 @@ def upper_tail(m: MarketTables) -> DataFrame:
 
 @query(
     "pit_pressure_study",
-    """SELECT date, stock_id, round(expected_pct, 6) AS expected_pct, n_flippers, round(gap, 6) + 0e0 AS gap, round(oc, 6) + 0e0 AS oc, round(cc, 6) + 0e0 AS cc
-       FROM s_lock JOIN b_pitx USING (stock_id, date) WHERE expected_pct IS NOT NULL""", **{**S_TABLES, **FOLLOW, **PIT},
+    """SELECT date, instrument_id, round(expected_pct, 6) AS expected_pct, n_flippers, round(gap, 6) + 0e0 AS gap, round(oc, 6) + 0e0 AS oc, round(cc, 6) + 0e0 AS cc
+       FROM s_lock JOIN b_pitx USING (instrument_id, date) WHERE expected_pct IS NOT NULL""", **{**S_TABLES, **FOLLOW, **PIT},
 )
 def pit_pressure(m: MarketTables) -> DataFrame:
     out = study.pit_pressure_study(lock_rows(m), brokers.pit_expected_pressure(m.broker_net, m.bars, m.calendar, P))
-    return rounded(out.select("date", "stock_id", "expected_pct", "n_flippers", "gap", "oc", "cc"), "expected_pct", "gap", "oc", "cc")
+    return rounded(out.select("date", "instrument_id", "expected_pct", "n_flippers", "gap", "oc", "cc"), "expected_pct", "gap", "oc", "cc")
 
 
 @query(
     "liquid_universe",
-    """SELECT stock_id, close, round(av, 6) AS avg_volume FROM (SELECT stock_id, arg_max(close, date) AS close, avg(volume) AS av FROM d_bars GROUP BY stock_id)
-       WHERE close >= 10 ORDER BY av DESC, stock_id LIMIT 15""",
+    """SELECT instrument_id, close, round(av, 6) AS avg_volume FROM (SELECT instrument_id, arg_max(close, date) AS close, avg(volume) AS av FROM d_bars GROUP BY instrument_id)
+       WHERE close >= 10 ORDER BY av DESC, instrument_id LIMIT 15""",
 )
 def liquid_universe(m: MarketTables) -> DataFrame:
     return rounded(study.liquid_universe(m.bars, 15), "avg_volume")
@@ -134,10 +134,10 @@ def liquid_universe(m: MarketTables) -> DataFrame:
 
 @query(
     "volatile_universe",
-    """SELECT stock_id, close, round(av, 6) AS avg_volume, round(sd, 6) AS sd, round(sd * ln(amt), 6) AS score FROM (SELECT stock_id, count(*) AS n, arg_max(close, date) AS close, avg(volume) AS av,
-         stddev_samp(r) AS sd, avg(close * volume) AS amt FROM (SELECT *, (close - lag(close) OVER (PARTITION BY stock_id ORDER BY date)) / lag(close) OVER (PARTITION BY stock_id ORDER BY date) * 100 AS r
-           FROM d_bars WHERE date IN (SELECT date FROM d_cal WHERE age <= 46)) GROUP BY stock_id)
-       WHERE n >= 46 * 0.7 AND av > 20 AND close > 10 AND close < 60000 AND sd IS NOT NULL ORDER BY round(sd * ln(amt), 6) DESC, stock_id LIMIT 12""",
+    """SELECT instrument_id, close, round(av, 6) AS avg_volume, round(sd, 6) AS sd, round(sd * ln(amt), 6) AS score FROM (SELECT instrument_id, count(*) AS n, arg_max(close, date) AS close, avg(volume) AS av,
+         stddev_samp(r) AS sd, avg(close * volume) AS amt FROM (SELECT *, (close - lag(close) OVER (PARTITION BY instrument_id ORDER BY date)) / lag(close) OVER (PARTITION BY instrument_id ORDER BY date) * 100 AS r
+           FROM d_bars WHERE date IN (SELECT date FROM d_cal WHERE age <= 46)) GROUP BY instrument_id)
+       WHERE n >= 46 * 0.7 AND av > 20 AND close > 10 AND close < 60000 AND sd IS NOT NULL ORDER BY round(sd * ln(amt), 6) DESC, instrument_id LIMIT 12""",
 )
 def volatile_universe(m: MarketTables) -> DataFrame:
     out = study.volatile_universe(m.bars, m.calendar, 46, 12, min_volume=20, max_close=60000)

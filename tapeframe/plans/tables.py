@@ -49,11 +49,11 @@ def latest_rows(m: MarketTables) -> DataFrame:
     return cal.on_latest_date(m.big_holders)
 
 
-@query("last_n_rows", "SELECT stock_id, date, close FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) AS k FROM d_bars) WHERE k <= 5")
+@query("last_n_rows", "SELECT instrument_id, date, close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY date DESC) AS k FROM d_bars) WHERE k <= 5")
 def last_rows(m: MarketTables) -> DataFrame:
     from ..functions.windows import newest_first, top_rows
 
-    return top_rows(m.bars.select("stock_id", "date", "close"), newest_first("stock_id"), 5).drop("rank")
+    return top_rows(m.bars.select("instrument_id", "date", "close"), newest_first("instrument_id"), 5).drop("rank")
 
 
 def revised(m: MarketTables) -> DataFrame:
@@ -61,18 +61,18 @@ def revised(m: MarketTables) -> DataFrame:
     return m.bars.filter(F.col("date") >= F.lit(CUT).cast("date")).withColumn("volume", F.col("volume") + 1)
 
 
-UPSERTED = f"SELECT stock_id, date, open, high, low, close, CASE WHEN date >= DATE '{CUT}' THEN volume + 1 ELSE volume END AS volume FROM d_bars"
+UPSERTED = f"SELECT instrument_id, date, open, high, low, close, CASE WHEN date >= DATE '{CUT}' THEN volume + 1 ELSE volume END AS volume FROM d_bars"
 
 
 @query("merge_incremental", UPSERTED)
 def merge_incremental(m: MarketTables) -> DataFrame:
-    return tables.merge(m.bars, revised(m), ["stock_id", "date"])
+    return tables.merge(m.bars, revised(m), ["instrument_id", "date"])
 
 
 @query("last_writer_wins", UPSERTED)
 def last_writer(m: MarketTables) -> DataFrame:
     both = m.bars.withColumn("load_seq", F.lit(1)).unionByName(revised(m).withColumn("load_seq", F.lit(2)))
-    return tables.latest(both, ["stock_id", "date"], "load_seq").drop("load_seq")
+    return tables.latest(both, ["instrument_id", "date"], "load_seq").drop("load_seq")
 
 
 @query("upsert_partitions", f"SELECT * FROM ({UPSERTED}) WHERE date >= DATE '2000-07-03'")
@@ -80,8 +80,8 @@ def upsert(m: MarketTables) -> DataFrame:
     """A stored table partitioned by date, then an upsert that rewrites the revised dates."""
     path = shared_folder(m.spark, "bars")
     tables.write_dates(tables.slice_panel(m.bars, "2000-07-03"), path)
-    tables.upsert(path, revised(m), ["stock_id", "date"])
-    return tables.read_table(m.spark, path, "stock_id", "date", "open", "high", "low", "close", "volume")
+    tables.upsert(path, revised(m), ["instrument_id", "date"])
+    return tables.read_table(m.spark, path, "instrument_id", "date", "open", "high", "low", "close", "volume")
 
 
 @query("rolling_retention", "SELECT * FROM d_margin WHERE date IN (SELECT date FROM d_cal WHERE age <= 60)")
@@ -90,13 +90,13 @@ def retention(m: MarketTables) -> DataFrame:
 
 
 @query(
-    "dump_and_load_history", "SELECT CAST(stock_id AS VARCHAR) AS stock_id, date, margin_balance, short_balance FROM d_margin WHERE date IN (SELECT date FROM d_cal WHERE age <= 60)",
+    "dump_and_load_history", "SELECT CAST(instrument_id AS VARCHAR) AS instrument_id, date, margin_balance, short_balance FROM d_margin WHERE date IN (SELECT date FROM d_cal WHERE age <= 60)",
 )
 def history(m: MarketTables) -> DataFrame:
     path = shared_folder(m.spark, "history")
     loads = m.margin.withColumn("seq", F.lit(1)).unionByName(m.margin.withColumns({"margin_balance": F.lit(0.0), "seq": F.lit(0)}))
-    tables.dump_history(loads, path, ["stock_id", "date"], "seq", keep=60)
-    return tables.load_history(m.spark, path, "stock_id string, date date, margin_balance double, short_balance double")
+    tables.dump_history(loads, path, ["instrument_id", "date"], "seq", keep=60)
+    return tables.load_history(m.spark, path, "instrument_id string, date date, margin_balance double, short_balance double")
 
 
 @query("broker_profile_update", "SELECT * FROM b_profile", **FOLLOW)
@@ -122,22 +122,24 @@ def last_date(m: MarketTables) -> DataFrame:
 # ---- streaming -----------------------------------------------------------
 
 Q_TABLES = {
-    "q_daily": "SELECT user_id AS symbol, CAST(ts AS DATE) AS day, arg_max(value, ts) AS c, max(value) AS h, min(value) AS l FROM events GROUP BY ALL",
-    "q_prev": "SELECT symbol, day, lag(c) OVER w AS prev_close, lag(h) OVER w AS high, lag(l) OVER w AS low FROM q_daily WINDOW w AS (PARTITION BY symbol ORDER BY day)",
-    "q_quotes": """SELECT symbol, ts, day, value AS price, prev_close, high, low, prev_close * 1.1e0 AS limit_up, prev_close * 0.9e0 AS limit_down,
+    "q_daily": "SELECT user_id AS symbol, CAST(ts AS DATE) AS day, last(value ORDER BY ts, value) AS c FROM events GROUP BY ALL",
+    "q_prev": "SELECT symbol, day, lag(c) OVER (PARTITION BY symbol ORDER BY day) AS prev_close FROM q_daily",
+    "q_quotes": """SELECT symbol, ts, day, value AS price, prev_close, prev_close * 1.1e0 AS limit_up, prev_close * 0.9e0 AS limit_down,
+        max(value) OVER w AS high, min(value) OVER w AS low,
         CASE WHEN prev_close > 0 THEN round((value - prev_close) / prev_close * 100, 2) END AS change_pct
-        FROM (SELECT user_id AS symbol, ts, CAST(ts AS DATE) AS day, value FROM events) JOIN q_prev USING (symbol, day) WHERE prev_close IS NOT NULL""",
+        FROM (SELECT user_id AS symbol, ts, CAST(ts AS DATE) AS day, value FROM events) JOIN q_prev USING (symbol, day)
+        WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, value ROWS UNBOUNDED PRECEDING)""",
 }
+Q_COLUMNS = ("symbol", "day", "price", "prev_close", "high", "low", "limit_up", "limit_down", "change_pct")
 
 
 def quote_stream(m: MarketTables) -> DataFrame:
-    return quotes.normalise(quotes.read_quotes(m.spark, m.path), quotes.previous_days(m.raw("events")))
+    return quotes.normalise(quotes.read_quotes(m.spark, m.path))
 
 
-@query("quote_normalise", "SELECT symbol, day, price, prev_close, limit_up, limit_down, change_pct FROM q_quotes", **Q_TABLES)
+@query("quote_normalise", f"SELECT {', '.join(Q_COLUMNS)} FROM q_quotes", **Q_TABLES)
 def quote_normalise(m: MarketTables) -> DataFrame:
-    stream = quote_stream(m).select("symbol", "day", "price", "prev_close", "limit_up", "limit_down", "change_pct")
-    return quotes.run_available(stream, "quotes")
+    return quotes.run_available(quote_stream(m).select(*Q_COLUMNS), "quotes")
 
 
 @query(
@@ -165,7 +167,7 @@ def watched(m: MarketTables) -> DataFrame:
 )
 def holding_guard(m: MarketTables) -> DataFrame:
     """Alerted (symbol, day) pairs: which of a day's quotes came first is not compared."""
-    return quotes.run_available(quotes.holding_guard(quote_stream(m), watched(m)).select("symbol", "day"), "guard")
+    return quotes.run_available(quotes.holding_guard(quotes.prices(quotes.read_quotes(m.spark, m.path)), watched(m)).select("symbol", "day"), "guard")
 
 
 @query(

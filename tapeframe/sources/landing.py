@@ -61,7 +61,7 @@ class MarketTables:
     def trades(self) -> DataFrame:
         qty = F.col("l_quantity")
         return self.raw("lineitem").select(
-            F.col("l_suppkey").alias("stock_id"),
+            F.col("l_suppkey").alias("instrument_id"),
             week_of("l_shipdate").alias("date"),
             F.datediff(F.to_date("l_shipdate"), week_of("l_shipdate")).cast("long").alias("dow"),
             F.floor(F.col("l_extendedprice") / qty * 100 + 0.5).alias("tick"),
@@ -75,7 +75,7 @@ class MarketTables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """All weekly measures in one row per (stock_id, date).
+        """All weekly measures in one row per (instrument_id, date).
 
         Open and close pack (day of week, price in ticks) into one long, which keeps
         the aggregation hash-based: the lowest price of the first traded day opens,
@@ -83,7 +83,7 @@ class MarketTables:
         """
         slot = F.col("dow") * DAY_SLOT + F.col("tick")
         flag, signed, qty = F.col("flag"), F.col("signed"), F.col("qty")
-        weekly = self.trades.groupBy("stock_id", "date").agg(
+        weekly = self.trades.groupBy("instrument_id", "date").agg(
             ((F.min(slot) % DAY_SLOT) / 100.0).alias("open"),
             (F.max("tick") / 100.0).alias("high"),
             (F.min("tick") / 100.0).alias("low"),
@@ -98,10 +98,10 @@ class MarketTables:
             _when(F.col("status") == "O", qty).alias("dt_vol"),
             _when(flag == "N", qty).alias("sbl_balance"),
         )
-        return self._kept("panel", weekly, "date", "stock_id")
+        return self._kept("panel", weekly, "date", "instrument_id")
 
     def _project(self, *cols: str) -> DataFrame:
-        return self.panel.select("stock_id", "date", *cols)
+        return self.panel.select("instrument_id", "date", *cols)
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -141,18 +141,18 @@ class MarketTables:
         return self._kept("calendar", trading_calendar(self.trading_dates))
 
     @cached_property
-    def stock_info(self) -> DataFrame:
+    def instruments(self) -> DataFrame:
         nation = self.raw("nation").select("n_nationkey", F.col("n_name").alias("industry"))
         supplier = self.raw("supplier").select(
-            F.col("s_suppkey").alias("stock_id"),
-            F.col("s_name").alias("stock_name"),
+            F.col("s_suppkey").alias("instrument_id"),
+            F.col("s_name").alias("instrument_name"),
             F.col("s_nationkey").alias("n_nationkey"),
         )
         return supplier.join(nation, "n_nationkey", "left").select(
-            "stock_id",
-            "stock_name",
+            "instrument_id",
+            "instrument_name",
             "industry",
-            F.when(F.col("stock_id") % 2 == 0, "tpex").otherwise("twse").alias("type"),
+            F.when(F.col("instrument_id") % 2 == 0, "tpex").otherwise("twse").alias("type"),
         )
 
     @cached_property
@@ -160,16 +160,16 @@ class MarketTables:
         """Bars with the adaptive investor class: foreign for tpex, trust otherwise."""
         from ..operators.joins import panel_from_flows
 
-        return panel_from_flows(self.bars, self.institutional, self.margin, self.stock_info)
+        return panel_from_flows(self.bars, self.institutional, self.margin, self.instruments)
 
     # ---- broker flows -------------------------------------------------
 
     @cached_property
     def broker_trades(self) -> DataFrame:
-        """(stock_id, date, broker_id, broker_name, buy, sell) in shares."""
+        """(instrument_id, date, broker_id, broker_name, buy, sell) in shares."""
         lines = self.raw("lineitem").select(
             "l_orderkey",
-            F.col("l_suppkey").alias("stock_id"),
+            F.col("l_suppkey").alias("instrument_id"),
             week_of("l_shipdate").alias("date"),
             F.when(F.col("l_linestatus") == "F", F.col("l_quantity") * 1000).otherwise(0.0).alias("buy"),
             F.when(F.col("l_linestatus") == "F", 0.0).otherwise(F.col("l_quantity") * 1000).alias("sell"),
@@ -190,7 +190,7 @@ class MarketTables:
     def broker_net(self) -> DataFrame:
         from .normalize import broker_net_from_trades
 
-        return self._kept("broker_net", broker_net_from_trades(self.broker_trades), "date", "stock_id")
+        return self._kept("broker_net", broker_net_from_trades(self.broker_trades), "date", "instrument_id")
 
     # ---- fundamentals -------------------------------------------------
 
@@ -199,7 +199,7 @@ class MarketTables:
         """Lines with their order's month; value in 1/10000 money units."""
         lines = self.raw("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"),
-            F.col("l_suppkey").alias("stock_id"),
+            F.col("l_suppkey").alias("instrument_id"),
             F.col("l_quantity").alias("qty"),
             F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"),
             F.floor(F.col("l_discount") * 100 + 0.5).alias("disc"),
@@ -221,7 +221,7 @@ class MarketTables:
     @cached_property
     def revenue(self) -> DataFrame:
         monthly = self.order_lines.groupBy(
-            "stock_id", F.year("ordered").alias("year"), F.month("ordered").alias("month")
+            "instrument_id", F.year("ordered").alias("year"), F.month("ordered").alias("month")
         ).agg((F.sum("value") / 10000.0).alias("revenue"))
         return self._kept("revenue", monthly)
 
@@ -236,28 +236,28 @@ class MarketTables:
         """Monthly: yield, per, pbr at the month's first trading date."""
         month = F.trunc("date", "MM")
         first = self.calendar.groupBy(month.alias("m")).agg(F.min("date").alias("date"))
-        sums = self.trades.groupBy("stock_id", month.alias("m")).agg(
+        sums = self.trades.groupBy("instrument_id", month.alias("m")).agg(
             (F.sum("disc") / F.count("disc")).alias("yield"),
             (F.sum("qty") / F.count("qty")).alias("per"),
             (F.sum("tax") * 0.5 / F.count("tax")).alias("pbr"),
         )
         monthly = sums.join(F.broadcast(first), "m")  # one row per month
-        return self._kept("valuation", monthly.select("date", "stock_id", "yield", "per", "pbr"))
+        return self._kept("valuation", monthly.select("date", "instrument_id", "yield", "per", "pbr"))
 
     @cached_property
     def holder_tiers(self) -> DataFrame:
-        """(date, stock_id, level, percent): share of quantity by order-value tier."""
+        """(date, instrument_id, level, percent): share of quantity by order-value tier."""
         price = F.col("o_totalprice")
         level = F.when(price >= TIER_EDGES[0][1], TIER_EDGES[0][0])
         for tier, edge in TIER_EDGES[1:]:
             level = level.when(price >= edge, tier)
         level = level.otherwise((F.floor(price / TIER_STEP) + 1).cast("int"))
         by_level = self.order_lines.groupBy(
-            "stock_id", F.trunc("ordered", "MM").alias("date"), level.alias("level")
+            "instrument_id", F.trunc("ordered", "MM").alias("date"), level.alias("level")
         ).agg(F.sum("qty").alias("q"))
-        month = Window.partitionBy("stock_id", "date")
+        month = Window.partitionBy("instrument_id", "date")
         shares = by_level.select(
-            "date", "stock_id", "level", (F.col("q") * 100 / F.sum("q").over(month)).alias("percent")
+            "date", "instrument_id", "level", (F.col("q") * 100 / F.sum("q").over(month)).alias("percent")
         )
         return self._kept("holder_tiers", shares)
 
@@ -273,7 +273,7 @@ class MarketTables:
         value, qty, cents = F.col("value"), F.col("qty"), F.col("cents")
         zero = F.lit(0)
         sums = self.order_lines.groupBy(
-            "stock_id", F.date_sub(F.add_months(q, 3), 1).alias("date")
+            "instrument_id", F.date_sub(F.add_months(q, 3), 1).alias("date")
         ).agg(
             F.sum(value).alias("v"),
             F.sum(F.when(F.col("flag") == "R", value).otherwise(zero)).alias("v_r"),
@@ -286,10 +286,10 @@ class MarketTables:
 
     @cached_property
     def statements(self) -> DataFrame:
-        """Long (stock_id, date, type, value); cash-flow items accumulate within the year."""
+        """Long (instrument_id, date, type, value); cash-flow items accumulate within the year."""
         s = self.quarter_sums.withColumn("y", F.year("date"))
         ytd = (
-            Window.partitionBy("stock_id", "y").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+            Window.partitionBy("instrument_id", "y").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         )
         s = s.withColumns(
             {"cash_ytd": F.sum(F.col("v") - F.col("v_r")).over(ytd), "spent_ytd": F.sum("v_o").over(ytd)}
@@ -305,7 +305,7 @@ class MarketTables:
             "equity": (F.col("cents") * 400 - F.col("v_o") * 2) / 10000.0,
             "current_assets": F.col("q") * 1000.0,
             "current_liabilities": F.when(F.col("q_n") > 0, F.col("q_n") * 2000.0),
-            "capital_stock": F.col("q") * 500.0,
+            "share_capital": F.col("q") * 500.0,
             "operating_cash_flow": F.col("cash_ytd") / 20000.0,
             "capital_expenditure": F.col("spent_ytd") / -40000.0,
         }
@@ -313,8 +313,8 @@ class MarketTables:
             *[F.struct(F.lit(k).alias("type"), v.cast("double").alias("value")) for k, v in items.items()]
         )
         return (
-            s.select("stock_id", "date", F.explode(packed).alias("item"))
-            .select("stock_id", "date", "item.type", "item.value")
+            s.select("instrument_id", "date", F.explode(packed).alias("item"))
+            .select("instrument_id", "date", "item.type", "item.value")
             .filter(F.col("value").isNotNull())
         )
 
@@ -323,12 +323,12 @@ class MarketTables:
         """Quarterly declarations with local-calendar year text; paid in two quarters."""
         q = F.quarter("date")
         return self.quarter_sums.select(
-            "stock_id",
+            "instrument_id",
             F.concat(
                 (F.year("date") - LOCAL_YEAR_OFFSET).cast("string"), F.lit("年第"), q.cast("string"), F.lit("季")
             ).alias("year"),
             F.when(q == 2, F.col("q") % 3).otherwise(0.0).alias("cash"),
-            F.when(q == 3, F.col("q") % 2).otherwise(0.0).alias("stock"),
+            F.when(q == 3, F.col("q") % 2).otherwise(0.0).alias("share_dividend"),
         )
 
     # ---- events and positions -----------------------------------------
@@ -347,7 +347,7 @@ class MarketTables:
             F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("ship") >= F.col("ordered"))
         )
         return urgent.select(
-            F.col("stock_id").cast("string").alias("code"),
+            F.col("instrument_id").cast("string").alias("code"),
             F.concat(text("ordered"), F.lit("～"), text("ship")).alias("period"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "restricted").otherwise("attention").alias("kind"),
         )
@@ -358,19 +358,19 @@ class MarketTables:
         picked = self.order_lines.filter(F.col("o_orderpriority") == "5-LOW")
         day = F.col("ship")
         return picked.select(
-            F.col("stock_id").cast("string").alias("code"),
+            F.col("instrument_id").cast("string").alias("code"),
             F.concat(
                 F.lpad((F.year(day) - LOCAL_YEAR_OFFSET).cast("string"), 3, "0"), F.date_format(day, "MMdd")
             ).alias("day"),
             F.when(F.col("status") == "F", F.col("qty").cast("int").cast("string")).alias("cash"),
-            F.when(F.col("flag") == "R", F.col("disc").cast("string")).alias("stock"),
+            F.when(F.col("flag") == "R", F.col("disc").cast("string")).alias("share_dividend"),
         )
 
     @cached_property
     def shareholding(self) -> DataFrame:
-        """Share stock reported the day before each trading date."""
+        """Shares outstanding reported the day before each trading date."""
         return self.panel.select(
-            "stock_id",
+            "instrument_id",
             F.date_sub("date", 1).alias("date"),
             (F.abs("foreign_net") * 100 / F.col("volume")).alias("foreign_pct"),
             (F.col("volume") * 100000.0).alias("shares_issued"),
@@ -380,21 +380,21 @@ class MarketTables:
     def holdings(self) -> DataFrame:
         """One position per instrument, bought at its first close of 2001."""
         bought = self.bars.filter(F.col("date") >= F.lit("2001-01-01").cast("date"))
-        return bought.groupBy("stock_id").agg(
+        return bought.groupBy("instrument_id").agg(
             F.min_by("volume", "date").alias("lots"),
             F.min_by("close", "date").alias("cost"),
         ).select(
-            "stock_id", "lots", "cost",
+            "instrument_id", "lots", "cost",
             (F.col("cost") * 0.8).alias("stop"), (F.col("cost") * 1.2).alias("target"),
         )
 
     @cached_property
     def sizing_requests(self) -> DataFrame:
-        """(account_id, stock_id, account): every customer with each supplier it trades."""
+        """(account_id, instrument_id, account): every customer with each supplier it trades."""
         accounts = self.raw("customer").select(
             F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") * 10000).alias("account")
         )
-        pairs = self.order_lines.select("o_custkey", "stock_id").distinct()
+        pairs = self.order_lines.select("o_custkey", "instrument_id").distinct()
         return pairs.join(accounts.filter("account > 0"), "o_custkey").withColumnRenamed("o_custkey", "account_id")
 
     @cached_property

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    COMMON_STOCK,
+    COMMON_SHARE,
     local_date,
     local_period,
     number,
@@ -15,9 +15,9 @@ from ..functions.columns import (
 )
 
 
-def common_stocks(df: DataFrame, code: str = "stock_id") -> DataFrame:
-    """Only four-digit common stock ids."""
-    return df.filter(F.trim(F.col(code)).rlike(COMMON_STOCK))
+def common_instruments(df: DataFrame, code: str = "instrument_id") -> DataFrame:
+    """Only four-digit common share ids."""
+    return df.filter(F.trim(F.col(code)).rlike(COMMON_SHARE))
 
 
 def normalize_quotes(raw: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def normalize_quotes(raw: DataFrame) -> DataFrame:
     A missing quote becomes 0, which the screens guard against.
     """
     return raw.select(
-        F.trim("code").alias("stock_id"),
+        F.trim("code").alias("instrument_id"),
         local_date("day").alias("date"),
         *[number(c).alias(c) for c in ("open", "high", "low", "close")],
         shares_to_lots(number("shares")).alias("volume"),
@@ -40,7 +40,7 @@ def normalize_flows(raw: DataFrame) -> DataFrame:
     """
     lots = {c: shares_to_lots(number(c)) for c in ("foreign_net", "trust_net", "dealer_net", "total_net")}
     return raw.select(
-        F.trim("code").alias("stock_id"), local_date("day").alias("date"),
+        F.trim("code").alias("instrument_id"), local_date("day").alias("date"),
         *[v.alias(k) for k, v in lots.items()],
     ).filter(F.col("date").isNotNull())
 
@@ -49,7 +49,7 @@ def normalize_balances(raw: DataFrame) -> DataFrame:
     """Borrowing balances in shares to lots (rounded); rows without a balance are rejected."""
     shares = F.regexp_replace(F.trim("shares"), ",", "").try_cast("double")
     return raw.select(
-        F.trim("code").alias("stock_id"), local_date("day").alias("date"),
+        F.trim("code").alias("instrument_id"), local_date("day").alias("date"),
         shares_to_lots_rounded(shares).alias("sbl_balance"),
     ).dropna(subset=["date", "sbl_balance"])
 
@@ -59,7 +59,7 @@ def normalize_revenue(raw: DataFrame) -> DataFrame:
     stated = F.substring(F.trim("created"), 1, 10).try_cast("date")
     fallback = F.date_add(F.add_months(F.make_date("year", "month", F.lit(1)), 1), 9)
     return raw.select(
-        F.trim("code").alias("stock_id"), "year", "month",
+        F.trim("code").alias("instrument_id"), "year", "month",
         number("revenue").alias("revenue"), F.coalesce(stated, fallback).alias("pub_date"),
     ).dropna(subset=["year", "month", "revenue"])
 
@@ -68,7 +68,7 @@ def normalize_notices(raw: DataFrame) -> DataFrame:
     """Restriction notices: numeric codes only, period text to two dates."""
     start, end = local_period("period")
     return raw.filter(F.col("code").rlike(r"^\d+$")).select(
-        F.col("code").cast("long").alias("stock_id"),
+        F.col("code").cast("long").alias("instrument_id"),
         start.alias("start_date"), end.alias("end_date"), "kind",
     )
 
@@ -82,7 +82,7 @@ def normalize_dividend_notices(raw: DataFrame) -> DataFrame:
 
     return (
         raw.filter(F.col("code").rlike(r"^\d+$"))
-        .select(F.col("code").cast("long").alias("stock_id"), local_date("day").alias("date"), positive("cash"), positive("stock"))
+        .select(F.col("code").cast("long").alias("instrument_id"), local_date("day").alias("date"), positive("cash"), positive("share_dividend"))
         .filter(F.col("date").isNotNull())
     )
 
@@ -93,23 +93,23 @@ def concentration_from_tiers(tiers: DataFrame) -> DataFrame:
     def share(cond):
         return F.round(F.sum(F.when(cond, F.col("percent")).otherwise(0.0)), 2)
 
-    return tiers.groupBy("date", "stock_id").agg(
+    return tiers.groupBy("date", "instrument_id").agg(
         share(F.col("level") == 15).alias("pct_1000"),
         share(F.col("level").between(12, 15)).alias("pct_400"),
     )
 
 
 def broker_net_from_trades(trades: DataFrame) -> DataFrame:
-    """Net lots per (stock, date, broker); a broker without a name goes by its id."""
+    """Net lots per (instrument, date, broker); a broker without a name goes by its id."""
     return (
-        trades.groupBy("stock_id", "date", F.coalesce("broker_name", "broker_id").alias("broker"))
+        trades.groupBy("instrument_id", "date", F.coalesce("broker_name", "broker_id").alias("broker"))
         .agg((F.sum(F.col("buy") - F.col("sell")) / 1000).alias("net"))
     )
 
 
 def broker_maps(nets: DataFrame) -> DataFrame:
-    """Long nets to one JSON map per (stock, date), the stored form."""
-    return nets.groupBy("stock_id", "date").agg(
+    """Long nets to one JSON map per (instrument, date), the stored form."""
+    return nets.groupBy("instrument_id", "date").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("broker", "net"))))).alias("nets")
     )
 
@@ -117,4 +117,4 @@ def broker_maps(nets: DataFrame) -> DataFrame:
 def broker_rows(maps: DataFrame) -> DataFrame:
     """JSON maps back to long rows."""
     parsed = F.from_json("nets", "map<string,double>")
-    return maps.select("stock_id", "date", F.explode(parsed).alias("broker", "net"))
+    return maps.select("instrument_id", "date", F.explode(parsed).alias("broker", "net"))

@@ -98,8 +98,8 @@ def load_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 # ---- additive broker counters ---------------------------------------------
 
-COUNTERS = "broker string, stock_id long, ops long, flips long, bought double, dumped double"
-LEDGER = "stock_id long, date date"
+COUNTERS = "broker string, instrument_id long, ops long, flips long, bought double, dumped double"
+LEDGER = "instrument_id long, date date"
 
 
 def empty_counters(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -111,22 +111,22 @@ def fold_broker_counters(
 ) -> tuple[DataFrame, DataFrame]:
     """Add the pairs not folded yet; running it twice changes nothing.
 
-    Counters are kept per (broker, stock): sums merge by key and the number of stocks
+    Counters are kept per (broker, instrument): sums merge by key and the number of instruments
     is a count of rows, so no broker carries a growing list.
     """
-    steps = brokers.adjacent_steps(nets, calendar).join(ledger, ["stock_id", "date"], "left_anti")
+    steps = brokers.adjacent_steps(nets, calendar).join(ledger, ["instrument_id", "date"], "left_anti")
     pairs = brokers.follow_up(nets, steps, top)
-    added = pairs.groupBy("broker", "stock_id").agg(
+    added = pairs.groupBy("broker", "instrument_id").agg(
         F.count(F.lit(1)).alias("ops"), F.sum("flip").alias("flips"), F.sum("bought").alias("bought"), F.sum("dumped").alias("dumped"),
     )
-    merged = counters.unionByName(added).groupBy("broker", "stock_id").agg(
+    merged = counters.unionByName(added).groupBy("broker", "instrument_id").agg(
         *[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")]
     )
-    return merged, ledger.unionByName(steps.select("stock_id", "date"))
+    return merged, ledger.unionByName(steps.select("instrument_id", "date"))
 
 
 def profile_from_counters(counters: DataFrame, p: Broker = Broker()) -> DataFrame:
     total = counters.groupBy("broker").agg(
-        *[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")], F.count(F.lit(1)).alias("n_stocks")
+        *[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")], F.count(F.lit(1)).alias("n_instruments")
     )
     return brokers.profile_rates(total, p)

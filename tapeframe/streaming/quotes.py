@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.columns import number_or_null, ratio
 from ..session import shared_folder
@@ -12,13 +16,14 @@ from ..session import shared_folder
 NEAR_UP, NEAR_DOWN, JUMP = 0.985, 1.015, 3.0
 
 
-def read_quotes(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
+def read_quotes(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of raw quotes: symbol, ts, last trade or best bid as text.
 
+    Every file of the landing folder that matches ``pattern`` is read, whenever it lands.
     Views carry no trade; their price is only a bid.
     """
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return raw_quotes(reader.parquet(folder))
@@ -33,18 +38,52 @@ def raw_quotes(events: DataFrame) -> DataFrame:
     )
 
 
-def normalise(raw: DataFrame, previous: DataFrame) -> DataFrame:
-    """Price (last trade, else best bid) against the previous day's close of the symbol.
+def prices(raw: DataFrame) -> DataFrame:
+    """Symbol, ts, day and price: the last trade, else the best bid."""
+    price = F.coalesce(number_or_null("z"), number_or_null(F.get(F.split("b", "_"), F.lit(0))))
+    return raw.select("symbol", "ts", F.to_date("ts").alias("day"), price.alias("price"))
+
 
-    ``previous`` is static: symbol, day, prev_close, high, low.
+def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Previous close and running range of one symbol's quotes; keeps day, close, previous close, high and low.
+
+    A quote that arrives after its day has passed gets neither and changes nothing.
     """
-    price = F.coalesce(number_or_null("z"), number_or_null(F.get(F.split("b", "_"), F.lit(0))))
-    q = raw.select("symbol", "ts", F.to_date("ts").alias("day"), price.alias("price"))
-    joined = q.join(previous, ["symbol", "day"])
+    day, close, before, high, low = state.get if state.exists else (None,) * 5
+    quotes = pd.concat(list(frames)).sort_values(["ts", "price"], kind="stable")
+    quotes["prev_close"] = quotes["high"] = quotes["low"] = None
+    for own, part in quotes.groupby("day", sort=True):
+        if day is not None and own < day:
+            continue
+        if own != day:
+            day, before, high, low = own, close, None, None
+        known = part["price"].dropna()
+        if len(known):
+            close = float(known.iloc[-1])
+        top, bottom = part["price"].cummax().ffill(), part["price"].cummin().ffill()
+        if high is not None:
+            top, bottom = top.fillna(high).clip(lower=high), bottom.fillna(low).clip(upper=low)
+        quotes.loc[part.index, "prev_close"], quotes.loc[part.index, "high"], quotes.loc[part.index, "low"] = before, top, bottom
+        high, low = (None if pd.isna(x.iloc[-1]) else float(x.iloc[-1]) for x in (top, bottom))
+    state.update((day, close, before, high, low))
+    for name in ("prev_close", "high", "low"):
+        quotes[name] = quotes[name].astype("float64")
+    yield quotes[["symbol", "ts", "day", "price", "prev_close", "high", "low"]]
+
+
+def normalise(raw: DataFrame) -> DataFrame:
+    """Prices against the close of the symbol's previous quoted day, with the day's range so far.
+
+    The state of a symbol is five values; quotes of a symbol without an earlier day keep a
+    null change.  The quotes of one symbol and trigger are held together, so
+    ``files_per_trigger`` bounds them.
+    """
+    out = "symbol long, ts timestamp, day date, price double, prev_close double, high double, low double"
+    kept = "day date, close double, prev_close double, high double, low double"
+    q = prices(raw).groupBy("symbol").applyInPandasWithState(follow, out, kept, "append", "NoTimeout")
     prev = F.col("prev_close")
-    return joined.select(
-        "symbol", "ts", "day", "price", "prev_close", "high", "low",
-        (prev * 1.1).alias("limit_up"), (prev * 0.9).alias("limit_down"),
+    return q.select(
+        "*", (prev * 1.1).alias("limit_up"), (prev * 0.9).alias("limit_down"),
         F.when(prev > 0, F.round(ratio(F.col("price") - prev, prev) * 100, 2)).alias("change_pct"),
     )
 
@@ -62,16 +101,16 @@ def alert_text(jump: float = JUMP) -> Column:
 
 
 def quote_alerts(quotes: DataFrame, jump: float = JUMP) -> DataFrame:
-    """Quotes that raise at least one alert; stateless."""
+    """Quotes that raise at least one alert."""
     return quotes.withColumn("alerts", alert_text(jump)).filter("alerts <> ''")
 
 
-def holding_guard(quotes: DataFrame, holdings: DataFrame, delay: str = "1 day") -> DataFrame:
+def holding_guard(priced: DataFrame, holdings: DataFrame, delay: str = "1 day") -> DataFrame:
     """One alert per holding and day when its stop or target is reached.
 
     State is dropped once the watermark passes, so it holds days, not history.
     """
-    hit = quotes.join(holdings, "symbol").filter((F.col("price") <= F.col("stop")) | (F.col("price") >= F.col("target")))
+    hit = priced.join(holdings, "symbol").filter((F.col("price") <= F.col("stop")) | (F.col("price") >= F.col("target")))
     return hit.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "day"]).select(
         "symbol", "day", "ts", "price", F.when(F.col("price") <= F.col("stop"), "stop hit").otherwise("target hit").alias("alert")
     )
@@ -86,19 +125,6 @@ def day_range(quotes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def previous_days(events: DataFrame) -> DataFrame:
-    """Static side: each symbol's close, high and low of its previous quoted day."""
-    raw = raw_quotes(events)
-    price = F.coalesce(number_or_null("z"), number_or_null(F.get(F.split("b", "_"), F.lit(0))))
-    daily = raw.groupBy("symbol", F.to_date("ts").alias("day")).agg(
-        F.max_by(price, "ts").alias("c"), F.max(price).alias("h"), F.min(price).alias("l")
-    )
-    w = Window.partitionBy("symbol").orderBy("day")
-    return daily.select(
-        "symbol", "day", F.lag("c").over(w).alias("prev_close"), F.lag("h").over(w).alias("high"), F.lag("l").over(w).alias("low")
-    ).filter("prev_close is not null")
-
-
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process what has landed, exactly once, into files of the shared folder; returns them."""
     spark = stream.sparkSession

@@ -39,7 +39,7 @@ def frame(spark):
 
 @pytest.fixture
 def bars(frame):
-    """Bars from closes per stock: open = high = low = close unless given as 4-tuples."""
+    """Bars from closes per instrument: open = high = low = close unless given as 4-tuples."""
 
     def make(series: dict, volume: float = 1000.0):
         rows = []
@@ -49,6 +49,6 @@ def bars(frame):
                     continue
                 o, h, low, c = v if isinstance(v, tuple) else (v, v, v, v)
                 rows.append((sid, d, float(o), float(h), float(low), float(c), volume))
-        return frame("stock_id long, date date, open double, high double, low double, close double, volume double", *rows)
+        return frame("instrument_id long, date date, open double, high double, low double, close double, volume double", *rows)
 
     return make

@@ -11,7 +11,7 @@ from tapeframe.sources.calendar import trading_calendar
 
 from .conftest import days
 
-NETS = "stock_id long, date date, broker string, net double"
+NETS = "instrument_id long, date date, broker string, net double"
 
 
 @pytest.fixture
@@ -25,7 +25,7 @@ def two_days(frame):
 def test_profile_separates_flippers_from_holders(two_days):
     nets, cal = two_days
     p = {r.broker: r for r in brokers.broker_profile(nets, cal, Broker(min_ops=5)).collect()}
-    assert (p["flip"].flip_rate, p["flip"].dump_ratio, p["flip"].n_stocks, p["flip"].broker_class) == (100.0, 80.0, 6, "hot")
+    assert (p["flip"].flip_rate, p["flip"].dump_ratio, p["flip"].n_instruments, p["flip"].broker_class) == (100.0, 80.0, 6, "hot")
     assert (p["hold"].flip_rate, p["hold"].broker_class) == (0.0, "long")
 
 
@@ -66,7 +66,7 @@ def test_expected_pressure(two_days, frame):
     prof = brokers.broker_profile(nets, cal, Broker(min_ops=5))
     d = days(3)[2]
     today = frame(NETS, (9, d, "flip", 1000.0), (9, d, "hold", 500.0))
-    price = frame("stock_id long, date date, volume double", (9, d, 10000.0))
+    price = frame("instrument_id long, date date, volume double", (9, d, 10000.0))
     r = brokers.expected_pressure(today, prof, price, Broker(min_ops=5)).collect()[0]
     assert (r.expected_lots, r.expected_pct, r.n_flippers) == (800.0, 8.0, 1)
     calm = frame(NETS, (9, d, "hold", 500.0))
@@ -77,7 +77,7 @@ def test_expected_pressure(two_days, frame):
 def test_flip_pressure_counts_top_buyers_up_to_their_buy(frame):
     d1, d2 = days(2)
     nets = frame(NETS, (1, d1, "big", 100.0), (1, d1, "small", 1.0), (1, d2, "big", -500.0), (1, d2, "small", -300.0))
-    price = frame("stock_id long, date date, volume double", (1, d2, 1000.0))
+    price = frame("instrument_id long, date date, volume double", (1, d2, 1000.0))
     cal = trading_calendar(frame("date date", (d1,), (d2,)))
     r = brokers.flip_pressure(nets, price, cal, top=1).collect()[0]
     assert (r.overlap, r.flip_pressure_pct) == (100.0, 10.0)
@@ -91,7 +91,7 @@ def test_broker_maps_round_trip(two_days):
 
 def test_broker_name_falls_back_to_id(frame):
     t = frame(
-        "stock_id long, date date, broker_id string, broker_name string, buy double, sell double",
+        "instrument_id long, date date, broker_id string, broker_name string, buy double, sell double",
         (1, days(1)[0], "9A", None, 3000.0, 500.0), (1, days(1)[0], "1B", "North", 0.0, 1500.0),
     )
     got = {r.broker: r.net for r in normalize.broker_net_from_trades(t).collect()}
@@ -103,15 +103,15 @@ def lock_inputs(frame, bars):
     price = bars({9999: [100, 100, 100, 100, 110], 1111: [50] * 5})
     flows = [500.0, -300.0, 400.0, -200.0, 600.0]
     rows = [(9999, x, "A", v) for x, v in zip(d, flows)] + [(9999, d[4], "B", -100.0)]
-    info = frame("stock_id long, stock_name string, industry string, type string", (9999, "X", "i", "twse"), (1111, "Y", "i", "twse"))
-    dt = frame("stock_id long, date date, dt_vol double", (9999, d[4], 250.0))
+    info = frame("instrument_id long, instrument_name string, industry string, type string", (9999, "X", "i", "twse"), (1111, "Y", "i", "twse"))
+    dt = frame("instrument_id long, date date, dt_vol double", (9999, d[4], 250.0))
     return price, info, dt, frame(NETS, *rows), trading_calendar(price)
 
 
 def test_lock_screen(frame, bars):
     price, info, dt, nets, cal = lock_inputs(frame, bars)
     rows = report.lock_screen(price, info, dt, nets, cal, LockScreen(), Broker(min_ops=1)).collect()
-    assert [r.stock_id for r in rows] == [9999]
+    assert [r.instrument_id for r in rows] == [9999]
     r = rows[0]
     assert r.change_pct == pytest.approx(10.0) and r.main_net_today == 500.0 and r.day_trade_pct == 25.0
     assert r.own_blacklist == "A+600" and r.blacklist_detail == "A+600" and r.blacklist_lots == 600
@@ -121,19 +121,19 @@ def test_lock_follow_up(frame, bars):
     d1, d2 = days(2)
     price = bars({9999: [100, (108, 110, 101, 102)], 8888: [50, (49, 55, 48, 54)]})
     picks = frame(
-        "date date, rank int, stock_id long, main_net double, expected_pct double, detail string",
+        "date date, rank int, instrument_id long, main_net double, expected_pct double, detail string",
         (d1, 1, 9999, 500.0, 8.0, "A+600、B+50"), (d1, 2, 8888, None, None, None),
     )
     nets = frame(NETS, (9999, d1, "A", 600.0), (9999, d2, "A", -300.0), (9999, d2, "B", 10.0))
-    dt = frame("stock_id long, date date, dt_vol double", (9999, d2, 100.0))
-    out = {r.stock_id: r for r in report.lock_follow_up(picks, price, dt, nets, trading_calendar(price)).collect()}
+    dt = frame("instrument_id long, date date, dt_vol double", (9999, d2, 100.0))
+    out = {r.instrument_id: r for r in report.lock_follow_up(picks, price, dt, nets, trading_calendar(price)).collect()}
     assert out[9999].gap_pct == pytest.approx(8.0) and out[9999].intraday_pct == pytest.approx(-5.5555, abs=1e-3)
     assert out[8888].gap_pct == pytest.approx(-2.0) and out[8888].intraday_pct == pytest.approx(10.204, abs=1e-3)
     assert (out[9999].blacklist_bought, out[9999].blacklist_sold) == (650, 300) and out[9999].realised_pct == 30.0
 
 
-def test_hot_broker_and_stock_stay_whole(frame):
-    """One stock holds a third of all rows and one broker trades everywhere."""
+def test_hot_broker_and_instrument_stay_whole(frame):
+    """One instrument holds a third of all rows and one broker trades everywhere."""
     d = days(40)
     rows = [(1, x, f"b{k}", float((i * 7 + k * 13) % 41 - 20)) for i, x in enumerate(d) for k in range(20)]
     rows += [(s, x, "b0", float((i + s) % 5 - 2)) for s in range(2, 42) for i, x in enumerate(d)]
@@ -155,5 +155,5 @@ def test_hot_broker_and_stock_stay_whole(frame):
             want[b] = (ops + 1, flips + int(after.get(b, 0) < 0))
     assert got == want
     assert brokers.pit_expected_pressure(
-        nets, nets.groupBy("stock_id", "date").agg(F.lit(10.0).alias("volume")), cal, Broker(min_ops=1)
+        nets, nets.groupBy("instrument_id", "date").agg(F.lit(10.0).alias("volume")), cal, Broker(min_ops=1)
     ).count() == len({(s, x) for s, x, _, v in rows if v > 0})

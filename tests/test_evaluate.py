@@ -42,7 +42,7 @@ def test_trade_stats(frame):
 
 
 def signal(frame, *rows):
-    return frame("curve_id string, date date, stock_id long, hold int, stop_kind string, stop_param double", *rows)
+    return frame("curve_id string, date date, instrument_id long, hold int, stop_kind string, stop_param double", *rows)
 
 
 def test_rising_bars_win(frame, bars):
@@ -87,7 +87,7 @@ def test_no_entry_without_a_next_bar(frame, bars):
 def test_cohort_curve_compounds_to_the_trade(frame, bars):
     b = bars({1: [100, 100, 110, 121, 121]})
     cal = trading_calendar(b)
-    sig = frame("date date, stock_id long, score double", (days(1)[0], 1, 1.0))
+    sig = frame("date date, instrument_id long, score double", (days(1)[0], 1, 1.0))
     grid = [{"curve_id": "c", "max_positions": 1, "hold": 2, "stop_kind": "none", "stop_param": 0.0, "regime": 0}]
     trades, curves = ev.grid_curves(sig, grid, b, cal)
     ret = trades.collect()[0].ret
@@ -108,7 +108,7 @@ def test_walk_forward_covers_the_grid(frame, bars):
     closes = {s: [100 + ((i * (s + 3)) % 17) + i * 0.1 for i in range(60)] for s in range(1, 5)}
     b = bars(closes)
     cal = trading_calendar(b)
-    sig = b.select("date", "stock_id", (F.col("close") % 7).alias("score"))
+    sig = b.select("date", "instrument_id", (F.col("close") % 7).alias("score"))
     grid = [
         {"curve_id": f"h{h}k{k}", "max_positions": k, "hold": h, "stop_kind": "none", "stop_param": 0.0, "regime": 0} for h in (2, 4) for k in (1, 3)
     ]
@@ -132,17 +132,17 @@ def test_timed_curve_follows_yesterdays_gate(frame):
 
 def test_asof_join_ties_and_strict(frame):
     d = days(4)
-    left = frame("stock_id long, date date", (1, d[1]), (1, d[2]), (2, d[2]))
-    right = frame("stock_id long, pub date, ym string", (1, d[1], "a"), (1, d[1], "b"), (1, d[3], "c"))
-    got = {(r.stock_id, r.date): r.ym for r in joins.asof_join(left, right, "date", "pub", tie_break=["ym"]).collect()}
+    left = frame("instrument_id long, date date", (1, d[1]), (1, d[2]), (2, d[2]))
+    right = frame("instrument_id long, pub date, ym string", (1, d[1], "a"), (1, d[1], "b"), (1, d[3], "c"))
+    got = {(r.instrument_id, r.date): r.ym for r in joins.asof_join(left, right, "date", "pub", tie_break=["ym"]).collect()}
     assert got == {(1, d[1]): "b", (1, d[2]): "b", (2, d[2]): None}
-    strict = {(r.stock_id, r.date): r.ym for r in joins.asof_join(left, right, "date", "pub", tie_break=["ym"], strict=True).collect()}
+    strict = {(r.instrument_id, r.date): r.ym for r in joins.asof_join(left, right, "date", "pub", tie_break=["ym"], strict=True).collect()}
     assert strict[(1, d[1])] is None and strict[(1, d[2])] == "b"
 
 
 def test_lock_study_returns(frame, bars):
     price = bars({1: [100, 110, (121, 130, 110, 115), 115]})
-    nets = frame("stock_id long, date date, broker string, net double", *[(1, d, "a", v) for d, v in zip(days(4), (5.0, 9.0, -4.0, 1.0))])
+    nets = frame("instrument_id long, date date, broker string, net double", *[(1, d, "a", v) for d, v in zip(days(4), (5.0, 9.0, -4.0, 1.0))])
     from tapeframe.config import LockScreen
 
     rows = study.lock_study(price, nets, trading_calendar(price), LockScreen(lookback=1)).collect()

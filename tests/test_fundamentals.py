@@ -10,7 +10,7 @@ from .conftest import days
 
 
 def revenue(frame, values):
-    return frame("stock_id long, year int, month int, revenue double", *[(1, y, m, float(v)) for (y, m), v in values.items()])
+    return frame("instrument_id long, year int, month int, revenue double", *[(1, y, m, float(v)) for (y, m), v in values.items()])
 
 
 def test_monthly_revenue(frame):
@@ -36,7 +36,7 @@ def test_missing_month_is_not_twelve_rows_back(frame):
 
 def statements(frame, items):
     rows = [(1, d, t, float(v)) for d, kinds in items.items() for t, v in kinds.items() if v is not None]
-    return frame("stock_id long, date string, type string, value double", *rows).selectExpr("stock_id", "cast(date as date) date", "type", "value")
+    return frame("instrument_id long, date string, type string, value double", *rows).selectExpr("instrument_id", "cast(date as date) date", "type", "value")
 
 
 def test_profitability(frame):
@@ -51,7 +51,7 @@ def test_year_to_date_cash_is_split_into_quarters(frame):
     ytd, capex = [100e8, 250e8, 400e8, 600e8], [-20e8, -70e8, -100e8, -150e8]
     items = {
         d: {
-            "operating_cash_flow": ytd[i], "capital_expenditure": capex[i], "net_income": 100e8, "equity": 1400e8, "capital_stock": 200e8,
+            "operating_cash_flow": ytd[i], "capital_expenditure": capex[i], "net_income": 100e8, "equity": 1400e8, "share_capital": 200e8,
             "total_assets": 2000e8, "liabilities": 600e8, "current_assets": 900e8, "current_liabilities": 300e8, "revenue": 1,
         }
         for i, d in enumerate(q)
@@ -66,12 +66,12 @@ def test_year_to_date_cash_is_split_into_quarters(frame):
 
 def test_dividend_streak_adds_quarters_of_a_year(frame):
     d = frame(
-        "stock_id long, year string, cash double, stock double",
+        "instrument_id long, year string, cash double, share_dividend double",
         (1, "112年", 3.0, 0.0), (1, "113年第1季", 1.0, 0.0), (1, "113年第2季", 1.0, None), (1, "113年第3季", 2.0, 0.5), (2, "111年", 1.0, 0.0), (2, "112年", 0.0, 0.0),
     )
-    years = {(r.stock_id, r.year): (r.cash, r.stock) for r in fund.dividend_years(d).collect()}
+    years = {(r.instrument_id, r.year): (r.cash, r.share_dividend) for r in fund.dividend_years(d).collect()}
     assert years[(1, 2024)] == (4.0, 0.5) and years[(1, 2023)] == (3.0, 0.0)
-    assert {r.stock_id: r.dividend_years for r in fund.dividend_streak(d).collect()} == {1: 2, 2: 0}
+    assert {r.instrument_id: r.dividend_years for r in fund.dividend_streak(d).collect()} == {1: 2, 2: 0}
 
 
 def test_eps_growth_needs_eight_quarters(frame):
@@ -86,13 +86,13 @@ def test_eps_growth_needs_eight_quarters(frame):
 @pytest.mark.parametrize("last, label", [((51, 31, 21), "all up"), ((49, 29, 19), "all down"), ((51, 29, 19), "1 up 2 down"), ((None, 1, 1), "-")])
 def test_three_rates(frame, last, label):
     rows = [(1, days(1)[0], 50.0, 30.0, 20.0), (1, days(2)[1], *[None if x is None else float(x) for x in last])]
-    prof = frame("stock_id long, date date, gross_margin double, operating_margin double, net_margin double", *rows)
+    prof = frame("instrument_id long, date date, gross_margin double, operating_margin double, net_margin double", *rows)
     assert fund.three_rates_label(prof).collect()[0].three_rates == label
 
 
 def test_concentration(frame):
     d = days(1)[0]
-    tiers = frame("date date, stock_id long, level int, percent double", (d, 1, 15, 40.1), (d, 1, 14, 5.0), (d, 1, 12, 2.5), (d, 1, 11, 9.0))
+    tiers = frame("date date, instrument_id long, level int, percent double", (d, 1, 15, 40.1), (d, 1, 14, 5.0), (d, 1, 12, 2.5), (d, 1, 11, 9.0))
     r = concentration_from_tiers(tiers).collect()[0]
     assert (r.pct_1000, r.pct_400) == (40.1, 47.6)
 
@@ -108,13 +108,13 @@ def test_publication_date_fallback(frame):
 
 def test_peers_leave_the_instrument_out(frame, bars):
     price = bars({i: [10.0 * i] for i in range(1, 8)})
-    info = frame("stock_id long, stock_name string, industry string, type string", *[(i, f"n{i}", "x" if i < 6 else "y", "twse") for i in range(1, 8)])
+    info = frame("instrument_id long, instrument_name string, industry string, type string", *[(i, f"n{i}", "x" if i < 6 else "y", "twse") for i in range(1, 8)])
     got = {}
-    for r in fund.industry_peers(price, info, 2).orderBy("stock_id", "rank").collect():
-        got.setdefault(r.stock_id, []).append(r.peer_id)
+    for r in fund.industry_peers(price, info, 2).orderBy("instrument_id", "rank").collect():
+        got.setdefault(r.instrument_id, []).append(r.peer_id)
     assert got[1] == [5, 4] and got[5] == [4, 3] and got[4] == [5, 3] and got[6] == [7]
 
 
 def test_landmine_level_order(frame):
-    df = frame("stock_id long, risk_level string", (1, "low"), (2, "mid"), (3, "high"), (4, "severe"))
-    assert {r.stock_id for r in landmines.at_least(df, "high").collect()} == {3, 4}
+    df = frame("instrument_id long, risk_level string", (1, "low"), (2, "mid"), (3, "high"), (4, "severe"))
+    assert {r.instrument_id for r in landmines.at_least(df, "high").collect()} == {3, 4}

@@ -14,7 +14,7 @@ MAY_BE_EMPTY = {
     "accumulation_screen", "accumulation_screen_soft", "soft_minus_strict", "relative_strength_screen", "revenue_momentum_screen", "double_signal",
     "volatile_universe", "flip_regulars", "mask_groups", "threshold_buckets", "limit_up_lock_screen", "lock_follow_up", "lock_stats", "value_screen",
     "holder_change", "quiet_accumulation_signals", "restriction_labels", "dividend_labels", "landmine_at_least", "broker_profile_before", "capped_category",
-    "industry_peers", "peer_table", "follow_through", "follow_stats", "latest_date_rows", "profile_listing", "value_signals", "common_stocks",
+    "industry_peers", "peer_table", "follow_through", "follow_stats", "latest_date_rows", "profile_listing", "value_signals", "common_instruments",
 }
 
 
@@ -40,4 +40,4 @@ def test_query(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["date", "stock_id", "ret", "market_ret", "score"]
+    assert df.columns == ["date", "instrument_id", "ret", "market_ret", "score"]

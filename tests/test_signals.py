@@ -15,7 +15,7 @@ from .conftest import days
 
 def nets(frame, values):
     rows = [(1, d, None if v is None else float(v)) for d, v in zip(days(len(values)), values)]
-    return frame("stock_id long, date date, net double", *rows)
+    return frame("instrument_id long, date date, net double", *rows)
 
 
 @pytest.mark.parametrize(
@@ -23,13 +23,13 @@ def nets(frame, values):
     [([1, 2, 3], 3), ([-1, -2], -2), ([5, -1, 2, 3], 2), ([3, 0], 0), ([1, None], 0), ([2, None, 1, 1], 2), ([0, -1], -1), ([1, -1], -1)],
 )
 def test_latest_streak(frame, values, expected):
-    out = latest_streaks(nets(frame, values), "stock_id", {"net": "s"}).collect()
+    out = latest_streaks(nets(frame, values), "instrument_id", {"net": "s"}).collect()
     assert out[0].s == expected
 
 
 def test_buy_streak_series(frame):
     df = nets(frame, [1, 2, -1, 3, 0, 4, 5, None, 6])
-    out = df.select("date", buy_streak("net", ordered("stock_id")).alias("s")).orderBy("date")
+    out = df.select("date", buy_streak("net", ordered("instrument_id")).alias("s")).orderBy("date")
     assert [r.s for r in out.collect()] == [1, 2, 0, 1, 0, 1, 2, 0, 1]
 
 
@@ -66,7 +66,7 @@ def accumulation_panel(frame, close=None, net=None, margin=None, volume=1000.0):
     close, net = close or WINDOW["close"], net or WINDOW["net"]
     margin = margin or [1000.0] * len(close)
     rows = [(1, d, float(c), volume, float(n), float(m)) for d, c, n, m in zip(days(len(close)), close, net, margin)]
-    return frame("stock_id long, date date, close double, volume double, inst_net double, margin_balance double", *rows)
+    return frame("instrument_id long, date date, close double, volume double, inst_net double, margin_balance double", *rows)
 
 
 @pytest.mark.parametrize(
@@ -92,7 +92,7 @@ def test_quiet_accumulation_waits_for_a_year(frame):
     rows = [
         (1, d, 100 + (i % 3) * 0.2, 500.0 if i >= n - 10 else 1000.0, 30.0) for i, d in enumerate(days(n))
     ]
-    schema = "stock_id long, date date, close double, volume double, inst_net double"
+    schema = "instrument_id long, date date, close double, volume double, inst_net double"
     panel = frame(schema, *rows)
     got = [r.date for r in signals.quiet_accumulation_signals(panel, QuietAccumulation()).select("date").collect()]
     assert got and min(got) >= days(n)[240]
@@ -101,7 +101,7 @@ def test_quiet_accumulation_waits_for_a_year(frame):
 
 
 def revenue(frame, *rows):
-    return frame("stock_id long, pub_date date, ym string, yoy double, cum_yoy double", *rows)
+    return frame("instrument_id long, pub_date date, ym string, yoy double, cum_yoy double", *rows)
 
 
 def test_revenue_only_after_publication(frame, bars):
@@ -122,18 +122,18 @@ def test_latest_publication_wins(frame, bars):
 def test_value_signals(frame, bars):
     d = days(1)[0]
     val = frame(
-        "date date, stock_id long, yield double, per double, pbr double",
+        "date date, instrument_id long, yield double, per double, pbr double",
         (d, 1, 5.0, 10.0, 1.5), (d, 2, 2.0, 10.0, 1.5), (d, 3, 5.0, 25.0, 1.5), (d, 4, 5.0, 30.0, 1.0),
     )
     out = signals.value_signals(val, bars({i: [10] for i in (1, 2, 3, 4)}), Value()).collect()
-    assert [r.stock_id for r in out] == [1]
+    assert [r.instrument_id for r in out] == [1]
 
 
 def test_relative_strength_ranks(bars):
     closes = {k: [100 * (1 + k * 0.002) ** i for i in range(40)] for k in (1, 2, 3)}
     b = bars(closes)
     rs = signals.relative_strength_signals(b)
-    last = {r.stock_id: r.score for r in rs.filter(F.col("date") == F.lit(days(40)[-1])).collect()}
+    last = {r.instrument_id: r.score for r in rs.filter(F.col("date") == F.lit(days(40)[-1])).collect()}
     assert last[3] > last[2] == pytest.approx(0, abs=1e-12) and last[1] < 0
 
 
@@ -158,16 +158,16 @@ def test_no_look_ahead(bars):
 
 def test_soft_screen_is_a_superset(frame):
     d = days(10)
-    price = frame("stock_id long, date date, close double, volume double", *[(s, x, 100.0, 1000.0) for s in (1, 3) for x in d])
+    price = frame("instrument_id long, date date, close double, volume double", *[(s, x, 100.0, 1000.0) for s in (1, 3) for x in d])
     flows = {1: [0] * 6 + [200] * 4, 3: [0] * 6 + [-50, 200, 200, 200]}
     inst = frame(
-        "stock_id long, date date, foreign_net double, trust_net double, dealer_net double",
+        "instrument_id long, date date, foreign_net double, trust_net double, dealer_net double",
         *[(s, x, 0.0, float(v), 0.0) for s, vs in flows.items() for x, v in zip(d, vs)],
     )
-    margin = frame("stock_id long, date date, margin_balance double", *[(s, x, 100.0) for s in (1, 3) for x in d])
-    info = frame("stock_id long, stock_name string, industry string, type string", (1, "A", "i", "twse"), (3, "B", "i", "twse"))
-    strict = {r.stock_id for r in screens.accumulation_screen(price, inst, margin, info).collect()}
-    soft = {r.stock_id for r in screens.accumulation_screen(price, inst, margin, info, min_streak=3).collect()}
+    margin = frame("instrument_id long, date date, margin_balance double", *[(s, x, 100.0) for s in (1, 3) for x in d])
+    info = frame("instrument_id long, instrument_name string, industry string, type string", (1, "A", "i", "twse"), (3, "B", "i", "twse"))
+    strict = {r.instrument_id for r in screens.accumulation_screen(price, inst, margin, info).collect()}
+    soft = {r.instrument_id for r in screens.accumulation_screen(price, inst, margin, info, min_streak=3).collect()}
     assert strict == {1} and soft == {1, 3}
 
 

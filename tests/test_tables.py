@@ -9,7 +9,7 @@ from tapeframe.streaming import quotes
 
 from .conftest import days
 
-PRICE = "stock_id long, date date, close double"
+PRICE = "instrument_id long, date date, close double"
 
 
 def test_upsert_touches_only_its_dates_and_is_repeatable(spark, frame):
@@ -19,8 +19,8 @@ def test_upsert_touches_only_its_dates_and_is_repeatable(spark, frame):
     new = frame(PRICE, (1, d[1], 9.0), (3, d[1], 7.0), (1, days(4)[3], 5.0))
     results = []
     for _ in range(2):
-        tables.upsert(path, new, ["stock_id", "date"])
-        results.append(sorted((r.stock_id, r.date, r.close) for r in tables.read_table(spark, path, "stock_id", "date", "close").collect()))
+        tables.upsert(path, new, ["instrument_id", "date"])
+        results.append(sorted((r.instrument_id, r.date, r.close) for r in tables.read_table(spark, path, "instrument_id", "date", "close").collect()))
     assert results[0] == results[1] and len(results[0]) == 8
     assert (1, d[1], 9.0) in results[0] and (2, d[1], 1.0) in results[0] and (1, d[0], 1.0) in results[0]
 
@@ -29,7 +29,7 @@ def test_merge_keeps_added_columns(frame):
     d = days(1)[0]
     old = frame(PRICE, (1, d, 1.0), (2, d, 2.0))
     new = frame(PRICE + ", volume long", (1, d, 5.0, 10))
-    got = {r.stock_id: (r.close, r.volume) for r in tables.merge(old, new, ["stock_id", "date"]).collect()}
+    got = {r.instrument_id: (r.close, r.volume) for r in tables.merge(old, new, ["instrument_id", "date"]).collect()}
     assert got == {1: (5.0, 10), 2: (2.0, None)}
 
 
@@ -51,8 +51,8 @@ def test_history_keeps_text_ids(spark, frame):
     d = days(2)
     rows = [("0050", d[0], 1.0, 1), ("0050", d[0], 2.0, 2), ("1101", d[1], 3.0, 1)]
     path = shared_folder(spark, "h")
-    tables.dump_history(frame("stock_id string, date date, close double, seq int", *rows), path, ["stock_id", "date"], "seq")
-    got = sorted((r.stock_id, r.close) for r in tables.load_history(spark, path, "stock_id string, date date, close double").collect())
+    tables.dump_history(frame("instrument_id string, date date, close double, seq int", *rows), path, ["instrument_id", "date"], "seq")
+    got = sorted((r.instrument_id, r.close) for r in tables.load_history(spark, path, "instrument_id string, date date, close double").collect())
     assert got == [("0050", 2.0), ("1101", 3.0)]
 
 
@@ -83,16 +83,43 @@ def stream(spark, folder):
 
 
 def test_alerts_and_single_guard(spark, frame, ticks):
-    folder, df = ticks
-    previous = quotes.previous_days(df)
-    q = quotes.normalise(stream(spark, folder), previous)
-    alerts = {r.price: r.alerts for r in quotes.run_available(quotes.quote_alerts(q), "a").collect()}
-    assert alerts[109.0] == "near-limit-up jump above-high" and alerts[90.5] == "near-limit-down drop below-low"
+    folder, _ = ticks
+    q = quotes.normalise(stream(spark, folder))
+    alerts = {(r.day.day, r.price): r.alerts for r in quotes.run_available(quotes.quote_alerts(q), "a").collect()}
+    assert alerts == {
+        (1, 100.0): "above-high below-low", (2, 109.0): "near-limit-up jump above-high below-low", (2, 90.5): "near-limit-down drop below-low",
+        (2, 108.9): "near-limit-up jump", (4, 100.0): "drop above-high below-low",
+    }
     held = frame("symbol long, stop double, target double", (1, 95.0, 105.0))
-    guard = quotes.run_available(quotes.holding_guard(q, held), "g").collect()
+    guard = quotes.run_available(quotes.holding_guard(quotes.prices(stream(spark, folder)), held), "g").collect()
     assert len(guard) == 1 and str(guard[0].day) == "2024-01-02"
 
 
+def test_first_day_of_a_symbol_is_guarded(spark, frame, ticks):
+    folder, _ = ticks
+    held = frame("symbol long, stop double, target double", (1, 100.0, 900.0))
+    guard = quotes.run_available(quotes.holding_guard(quotes.prices(stream(spark, folder)), held), "g").collect()
+    assert "2024-01-01" in {str(r.day) for r in guard}
+
+
+def test_later_deliveries_continue_the_day(spark, frame):
+    """A second file under another name is seen; the close and range of the first carry over."""
+    folder = shared_folder(spark, "landing")
+    schema = "user_id long, ts string, event_type string, value double"
+
+    def deliver(n, *rows):
+        frame(schema, *rows).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{folder}/events-{n}.parquet")
+
+    deliver(1, (1, "2024-01-01 10:00:00", "buy", 100.0), (1, "2024-01-02 09:00:00", "buy", 104.0), (2, "2024-01-02 09:00:00", "buy", 7.0))
+    deliver(2, (1, "2024-01-02 09:30:00", "buy", 103.0), (1, "2024-01-01 11:00:00", "buy", 300.0), (2, "2024-01-03 09:00:00", "buy", 8.0))
+    raw = quotes.raw_quotes(spark.readStream.schema(spark.read.parquet(f"{folder}/events-1.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events-*.parquet"))
+    got = {(r.symbol, r.price): (r.prev_close, r.high, r.low) for r in quotes.run_available(quotes.normalise(raw), "n").collect()}
+    assert got == {
+        (1, 100.0): (None, 100.0, 100.0), (1, 104.0): (100.0, 104.0, 104.0), (2, 7.0): (None, 7.0, 7.0),
+        (1, 103.0): (100.0, 104.0, 103.0), (1, 300.0): (None, None, None), (2, 8.0): (7.0, 8.0, 8.0),
+    }
+
+
 def test_day_range_emits_closed_days(spark, ticks):
     folder, _ = ticks
     s = stream(spark, folder).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
