@@ -183,7 +183,8 @@ def links(rows: DataFrame, clusters: DataFrame, words: int, percent: int) -> Dat
         if key is not None:
             yield close()
 
-    meeting = map_batches(rows.join(clusters, "doc").select("doc", "text", "cluster", "blocks"), fields, dealt)
+    # always a shuffle by document: the members of clusters grow with the input
+    meeting = map_batches(rows.join(clusters.hint("merge"), "doc").select("doc", "text", "cluster", "blocks"), fields, dealt)
     meeting = meeting.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "side", "doc")
     return meeting.mapInArrow(judged, "a long, b long")
 
