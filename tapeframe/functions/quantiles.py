@@ -33,7 +33,7 @@ def exact_quantiles(
     """One row per group: ``by`` columns, ``n`` and ``q`` (array in order of ``probs``).
 
     Linear interpolation between the two neighbouring ranks.  Groups are dates or bins,
-    never instruments: at most two bins per probability and group are broadcast.
+    never instruments: at most two bins per probability and group are joined.
     """
     by = list(by)
     keys = by or ["__all"]
@@ -74,7 +74,7 @@ def exact_quantiles(
     )
     in_bin = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        counts.join(F.broadcast(wanted), [*keys, "__bin"])
+        counts.join(wanted, [*keys, "__bin"])
         .withColumn("__to", F.sum("__c").over(in_bin) + F.col("__start"))
         .withColumn("__from", F.col("__to") - F.col("__c"))
         .withColumn("__r", F.explode("__ranks"))

@@ -7,7 +7,7 @@ per broker with partial sums first, so a broker that trades everything is no hot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Broker
@@ -107,7 +107,7 @@ def profile_rates(counters: DataFrame, p: Broker = Broker()) -> DataFrame:
     )
 
 
-def broker_profile(nets: DataFrame, calendar: DataFrame, p: Broker = Broker(), before: str | None = None) -> DataFrame:
+def broker_profile(nets: DataFrame, calendar: DataFrame, p: Broker = Broker(), before: str | Column | None = None) -> DataFrame:
     """Behaviour of every broker across all instruments and dates.
 
     ``before`` uses only pairs that were complete before that date.
@@ -131,11 +131,12 @@ def expected_pressure(
 ) -> DataFrame:
     """Tomorrow's likely selling: each frequent flipper's buy times its usual dump ratio.
 
-    A bar without such buyers gets 0, not null.  ``profile`` is best a stored table: the
+    A bar without such buyers gets 0, not null; without any profile there are no rows.  ``profile`` is best a stored table: the
     planner then knows that it is small and no broker becomes a hot join key.
     """
     rates = profile.select("broker", "flip_rate", "dump_ratio")
-    buys = top_buyers(nets, p.top).join(rates, "broker", "left")
+    known = rates.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() > 0
+    buys = top_buyers(nets, p.top).filter(known).join(rates, "broker", "left")
     return _pressure(buys, price, p)
 
 
@@ -210,28 +211,26 @@ def profile_history(nets: DataFrame, calendar: DataFrame, p: Broker = Broker())
     return daily.select("broker", "date", *[F.sum(c).over(run).alias(c) for c in ("ops", "flips", "bought", "dumped", "n_instruments")])
 
 
-def history_as_of(history: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Profile counters valid on every calendar date, from pairs complete before it.
+def history_as_of(history: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Profile counters valid for the wanted (broker, date) pairs: those of the broker's last earlier date.
 
-    One row per broker and trading date: brokers times the calendar, both bounded.
+    One sweep per broker over its own dates, at most twice the calendar.
     """
-    w = Window.partitionBy("broker").orderBy("date")
-    until = F.coalesce(F.lead("idx").over(w), F.col("n_dates") - 1)
-    return (
-        history.join(calendar.select("date", "idx", "n_dates"), "date")
-        .withColumn("until", until).filter(F.col("idx") < F.col("until"))
-        .withColumn("idx", F.explode(F.sequence(F.col("idx") + 1, F.col("until"))))
-        .drop("date", "until", "n_dates")
-        .join(calendar.select("date", "idx"), "idx").drop("idx")
-    )
+    counters = [c for c in history.columns if c not in ("broker", "date")]
+    rows = history.select("broker", "date", F.lit(1).alias("kind"), F.struct(*counters).alias("known"))
+    asked = wanted.select("broker", "date").distinct().select("broker", "date", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["known"].dataType).alias("known"))
+    before = Window.partitionBy("broker").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    swept = rows.unionByName(asked).withColumn("last", F.last("known", ignorenulls=True).over(before))
+    return swept.filter((F.col("kind") == 0) & F.col("last").isNotNull()).select("broker", "date", "last.*")
 
 
 def pit_expected_pressure(nets: DataFrame, price: DataFrame, calendar: DataFrame, p: Broker = Broker()) -> DataFrame:
-    """Expected pressure of every bar from a profile of strictly earlier dates."""
+    """Expected pressure of every bar from a profile of strictly earlier dates; none before the first profile."""
     history = profile_history(nets, calendar, p)
-    known = history_as_of(history, calendar)
-    rates = profile_rates_by_date(known, p)
-    return _pressure(top_buyers(nets, p.top).join(rates, ["broker", "date"], "left"), price, p)
+    first = history.filter(F.col("ops") >= p.min_ops).agg(F.min("date").alias("d")).select("d").scalar()
+    buys = top_buyers(nets, p.top).filter(F.col("date") > first)
+    rates = profile_rates_by_date(history_as_of(history, buys), p)
+    return _pressure(buys.join(rates, ["broker", "date"], "left"), price, p)
 
 
 def profile_rates_by_date(counters: DataFrame, p: Broker) -> DataFrame:

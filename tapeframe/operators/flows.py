@@ -29,12 +29,16 @@ def chip_signals(
     inst: DataFrame, price: DataFrame, margin: DataFrame, calendar: DataFrame,
     streak_dates: int = 30,
 ) -> DataFrame:
-    """Streaks of three investor classes, dominance, volume ratio, margin and short shares, label."""
+    """Streaks of three investor classes, dominance, volume ratio, margin and short shares, label.
+
+    Flows and balances count by the newest dates of their own tables, which may lag behind the prices.
+    """
+    flow_dates = trading_calendar(inst)
     streaks = latest_streaks(
-        on_last_dates(inst, calendar, streak_dates), "instrument_id",
+        on_last_dates(inst, flow_dates, streak_dates), "instrument_id",
         {"foreign_net": "foreign_streak", "trust_net": "trust_streak", "dealer_net": "dealer_streak"},
     )
-    today = on_last_dates(inst, calendar, 1).select("instrument_id", "date", *FLOWS)
+    today = on_last_dates(inst, flow_dates, 1).select("instrument_id", "date", *FLOWS)
     today = today.join(
         price.select("instrument_id", "date", F.col("volume").alias("volume_same")), ["instrument_id", "date"], "left"
     ).drop("date")
@@ -43,7 +47,7 @@ def chip_signals(
         F.max(F.when(F.col("date") == newest, F.col("volume"))).alias("volume_today"),
         F.avg("volume").alias("volume_mean"),
     )
-    balance = last_two(margin, calendar, "margin_balance", "short_balance")
+    balance = last_two(margin, trading_calendar(margin), "margin_balance", "short_balance")
     vol = F.col("volume_today")
     share = lambda c: F.when(vol > 0, ratio(F.col(c) - F.col(f"prev_{c}"), vol) * 100)
     f, t = F.col("foreign_net"), F.col("trust_net")
@@ -87,13 +91,13 @@ def flow_windows(inst: DataFrame, margin: DataFrame, dates: int = 10, suffix: st
     return out
 
 
-def day_flows(inst: DataFrame, margin: DataFrame, calendar: DataFrame, offset: int = 0, suffix: str = "_today") -> DataFrame:
-    """Flows of one date and balance changes into it, ``offset`` dates before the newest."""
-    day = calendar.filter(F.col("age") == 1 + offset).select("date")
+def day_flows(inst: DataFrame, margin: DataFrame, offset: int = 0, suffix: str = "_today") -> DataFrame:
+    """Flows of one date and balance changes into one, ``offset`` dates before the newest of each table."""
+    day = trading_calendar(inst).filter(F.col("age") == 1 + offset).select("date")
     flow = inst.join(F.broadcast(day), "date", "left_semi").select(
         "instrument_id", *[F.col(c).alias(f"{c}{suffix}") for c in FLOWS]
     )
-    shifted = calendar.filter(F.col("age") > offset).withColumn("age", F.col("age") - offset)
+    shifted = trading_calendar(margin).filter(F.col("age") > offset).withColumn("age", F.col("age") - offset)
     pair = last_two(margin, shifted, "margin_balance", "short_balance")
     change = pair.filter(F.col("margin_balance").isNotNull()).select(
         "instrument_id",

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import LockScreen
 from ..functions.columns import pct_simple, ratio
-from ..functions.quantiles import exact_median, exact_quantiles, quantile_bins, with_scalar
+from ..functions.quantiles import exact_median, exact_quantiles, rank_bins, with_scalar
 from ..functions.windows import ordered
+from ..session import cut_lineage
 from ..sources.calendar import on_last_dates
 from . import brokers
 from .joins import enrich
@@ -73,9 +74,19 @@ def pressure_study(price: DataFrame, nets: DataFrame, universe: DataFrame | None
     )
 
 
-def factor_buckets(panel: DataFrame, factor: str, outcome: str, bins: int = 5) -> DataFrame:
-    """Equal-count groups of the factor: size, factor median, mean outcome, share below zero."""
-    placed = quantile_bins(panel.filter(F.col(outcome).isNotNull()), factor, bins)
+def factor_buckets(panel: DataFrame, factor: str, outcome: str, bins: int = 5, keys: Sequence[str] = ("instrument_id", "date")) -> DataFrame:
+    """Equal-count groups of the factor: size, factor median, mean outcome, share below zero.
+
+    Where equal values make edges fall together, the rank is binned instead, equal values
+    in the order of ``keys``.  The narrow input is computed once.
+    """
+    known = panel.filter(F.col(outcome).isNotNull() & F.col(factor).isNotNull()).select(*keys, factor, outcome)
+    rows = cut_lineage(known, "factor")
+    edges = exact_quantiles(rows, factor, [i / bins for i in range(bins + 1)]).select("q").first()
+    if edges and len(set(edges.q)) > bins:
+        placed = rows.withColumn("bin", (F.size(F.filter(F.array(*map(F.lit, edges.q[1:-1])), lambda e: e < F.col(factor))) + 1).cast("int"))
+    else:
+        placed = rank_bins(rows, bins, factor, *keys)
     stats = placed.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(factor).alias("factor_mean"), F.avg(outcome).alias("outcome_mean"),
         (F.avg((F.col(outcome) < 0).cast("double")) * 100).alias("below_zero_pct"),

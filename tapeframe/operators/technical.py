@@ -76,14 +76,18 @@ def position_sizing(
     requests: DataFrame, levels: DataFrame, risk_pct: float = 1.0, max_position_pct: float = 25.0,
     atr_mult: float = 2.0, target_r: float = 2.0,
 ) -> DataFrame:
-    """Lots for every (account_id, instrument_id, account): by risk per share, capped by position size."""
-    joined = requests.join(levels.select("instrument_id", F.col("close").alias("entry"), "atr"), "instrument_id")
+    """Lots for every (account_id, instrument_id, account): by risk per share, capped by position size.
+
+    Every request is answered; where it cannot be sized, ``note`` says why.
+    """
+    joined = requests.join(levels.select("instrument_id", F.col("close").alias("entry"), "atr"), "instrument_id", "left")
     stop = F.round(F.col("entry") - half_up("atr", 2) * atr_mult, 2)
-    s = joined.withColumn("stop", stop).withColumn("risk", F.col("entry") - F.col("stop")).filter("risk > 0")
-    by_risk = F.floor(F.floor(F.col("account") * risk_pct / 100 / F.col("risk")) / LOT_SHARES)
-    by_size = F.floor(F.col("account") * max_position_pct / 100 / (F.col("entry") * LOT_SHARES))
+    s = joined.withColumn("stop", stop).withColumn("risk", F.col("entry") - F.col("stop"))
+    sound = F.col("risk") > 0
+    by_risk = F.when(sound, F.floor(F.floor(F.col("account") * risk_pct / 100 / F.col("risk")) / LOT_SHARES))
+    by_size = F.when(sound, F.floor(F.col("account") * max_position_pct / 100 / (F.col("entry") * LOT_SHARES)))
     s = s.withColumn("by_risk", by_risk).withColumn("by_size", by_size)
-    lots = F.least("by_risk", "by_size")
+    lots = F.when(F.col("by_risk").isNotNull() & F.col("by_size").isNotNull(), F.least("by_risk", "by_size"))
     shares = lots * LOT_SHARES
     fits = lots >= 1
     return s.select(
@@ -94,7 +98,8 @@ def position_sizing(
         F.when(fits, shares * F.col("risk")).alias("risk_amount"),
         F.when(fits, ratio(shares * F.col("risk"), F.col("account")) * 100).alias("risk_of_account_pct"),
         (F.col("by_risk") > F.col("by_size")).alias("capped"),
-        F.when(~fits, "less than one lot").alias("note"),
+        F.when(F.col("entry").isNull(), "too few bars for a range").when(F.col("risk") <= 0, "no distance to the stop")
+        .when(F.col("account").isNull(), "no balance").when(~fits, "less than one lot").alias("note"),
     )
 
 

@@ -43,7 +43,7 @@ FOLLOW = {
             CASE WHEN n_flippers = 0 THEN 0 WHEN volume > 0 THEN lots / volume * 100 END AS expected_pct
         FROM (SELECT t.instrument_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
                      count(*) FILTER (WHERE flip_rate >= 25) AS n_flippers
-              FROM b_top t LEFT JOIN b_profile USING (broker) GROUP BY t.instrument_id, t.date) e LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
+              FROM b_top t LEFT JOIN b_profile USING (broker) WHERE (SELECT count(*) FROM b_profile) > 0 GROUP BY t.instrument_id, t.date) e LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
     "b_flips": """SELECT b.instrument_id, b.broker, b.date, least(b.net, -a.net) AS dumped
         FROM b_wtop b JOIN (SELECT instrument_id, date, lead(date) OVER (PARTITION BY instrument_id ORDER BY date) AS nd
                             FROM (SELECT DISTINCT instrument_id, date FROM b_window)) d ON d.instrument_id = b.instrument_id AND d.date = b.date
@@ -152,7 +152,7 @@ PIT = {
             CASE WHEN n_flippers = 0 THEN 0 WHEN volume > 0 THEN lots / volume * 100 END AS expected_pct
         FROM (SELECT t.instrument_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
                      count(*) FILTER (WHERE flip_rate >= 25) AS n_flippers
-              FROM b_top t LEFT JOIN b_pit p ON p.broker = t.broker AND p.date = t.date GROUP BY t.instrument_id, t.date) e
+              FROM b_top t LEFT JOIN b_pit p ON p.broker = t.broker AND p.date = t.date WHERE t.date IN (SELECT date FROM b_pit) GROUP BY t.instrument_id, t.date) e
         LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
 }
 

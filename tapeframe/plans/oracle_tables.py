@@ -150,8 +150,7 @@ TABLES: dict[str, str] = {
         FROM d_bars WHERE date >= DATE '2001-01-01' GROUP BY instrument_id""",
     "d_requests": """
         SELECT p.o_custkey AS account_id, instrument_id, c_acctbal * 10000 AS account
-        FROM (SELECT DISTINCT o_custkey, instrument_id FROM d_lines) p JOIN customer ON o_custkey = c_custkey
-        WHERE c_acctbal > 0""",
+        FROM (SELECT DISTINCT o_custkey, instrument_id FROM d_lines) p JOIN customer ON o_custkey = c_custkey""",
     "d_quotes": """
         SELECT user_id AS symbol, ts, event_type, value AS price, props FROM events""",
 }

@@ -183,8 +183,9 @@ def ranks(m: MarketTables) -> DataFrame:
 @query(
     "factor_buckets_return",
     """SELECT bin, count(*) AS n, round(avg(dt), 6) AS factor_mean, round(avg(cc), 6) AS outcome_mean, round(avg(CASE WHEN cc < 0 THEN 1e0 ELSE 0e0 END) * 100, 6) AS below_zero_pct, round(median(dt), 6) AS factor_median
-       FROM (SELECT dt, cc, CAST(len(list_filter(list_sort(e)[2:], lambda x: x < dt)) + 1 AS INTEGER) AS bin FROM fb, (SELECT list_distinct(quantile_cont(dt, [0, 0.25, 0.5, 0.75, 1])) AS e FROM fb)) GROUP BY bin""",
-    fb="SELECT * FROM (SELECT dt_vol / volume * 100 AS dt, (lead(close) OVER (PARTITION BY instrument_id ORDER BY date) - close) / close * 100 AS cc FROM d_panel) WHERE cc IS NOT NULL",
+       FROM (SELECT dt, cc, CAST(greatest(1, ceil((k - 1) * 4 / (n - 1))) AS INTEGER) AS bin FROM
+         (SELECT *, row_number() OVER (ORDER BY dt, instrument_id, date) AS k, count(*) OVER () AS n FROM fb)) GROUP BY bin""",
+    fb="SELECT * FROM (SELECT instrument_id, date, dt_vol / volume * 100 AS dt, (lead(close) OVER (PARTITION BY instrument_id ORDER BY date) - close) / close * 100 AS cc FROM d_panel) WHERE cc IS NOT NULL AND dt IS NOT NULL",
 )
 def factor_buckets(m: MarketTables) -> DataFrame:
     w = fw.ordered("instrument_id")

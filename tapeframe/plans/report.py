@@ -364,7 +364,7 @@ def daily_report(m: MarketTables) -> DataFrame:
     parts = [
         flows.today_price(m.bars, cal),
         flows.flow_windows(m.institutional, m.margin, 10, "_10"), flows.flow_windows(m.institutional, m.margin, 20, "_20"),
-        flows.day_flows(m.institutional, m.margin, cal, 0, "_today"), flows.day_flows(m.institutional, m.margin, cal, 1, "_prior"),
+        flows.day_flows(m.institutional, m.margin, 0, "_today"), flows.day_flows(m.institutional, m.margin, 1, "_prior"),
         flows.chip_signals(m.institutional, m.bars, m.margin, cal), technical.tech_signals(m.bars),
         flows.day_trade_ratio(m.day_trade, m.bars, cal), flows.sbl_latest(m.sbl, cal), flows.share_stats(m.shareholding, m.bars, cal),
         technical.risk_levels(m.bars), events.restriction_labels(normalize.normalize_notices(m.restriction_notices), "2001-06-04"),

@@ -279,6 +279,32 @@ def chip(m: MarketTables) -> DataFrame:
     return rounded(out, "dominance_pct", "volume_ratio", "short_margin_pct", "margin_volume_pct", "short_volume_pct")
 
 
+def behind(df: DataFrame) -> DataFrame:
+    """The table without its newest date."""
+    return df.filter(F.col("date") < df.agg(F.max("date").alias("d")).select("d").scalar())
+
+
+def lagging(sql: str) -> str:
+    """Flow and margin ages one date later; the prices keep theirs."""
+    older = sql.replace(LAST.format(n=30), "date IN (SELECT date FROM d_cal WHERE age BETWEEN 2 AND 31)")
+    for column in ("foreign_net", "trust_net", "dealer_net", "margin_balance", "short_balance"):
+        older = older.replace(f"max({column}) FILTER (WHERE age = 2)", f"max({column}) FILTER (WHERE age = 3)").replace(
+            f"max({column}) FILTER (WHERE age = 1)", f"max({column}) FILTER (WHERE age = 2)")
+    older = older.replace("avg(volume) AS av", "max(volume) FILTER (WHERE age = 2) AS vs, avg(volume) AS av")
+    return older.replace("CASE WHEN t.volume > 0 THEN (t.f + t.t + t.d) / t.volume * 100 END", "CASE WHEN t.vs > 0 THEN (t.f + t.t + t.d) / t.vs * 100 END")
+
+
+@query(
+    "chip_signals_lagging",
+    f"""SELECT * EXCLUDE (f_today, t_today), coalesce(nullif({CHIP_LABEL}, ''), '-') AS chip_label FROM chip""",
+    chip=lagging(CHIP),
+)
+def chip_lagging(m: MarketTables) -> DataFrame:
+    """Flows and balances one date behind the prices."""
+    out = flows.chip_signals(behind(m.institutional), m.bars, behind(m.margin), m.calendar)
+    return rounded(out, "dominance_pct", "volume_ratio", "short_margin_pct", "margin_volume_pct", "short_volume_pct")
+
+
 TECH = """SELECT instrument_id,
       CASE WHEN n < 20 THEN '-' WHEN m5 > m10 AND m10 > m20 THEN 'bull' WHEN m5 < m10 AND m10 < m20 THEN 'bear' ELSE 'mixed' END AS ma_align,
       CASE WHEN n < 60 THEN '-' WHEN n < 240 THEN CASE WHEN c > m60 THEN 'above season' ELSE 'below season' END
@@ -319,10 +345,21 @@ def flow_windows(m: MarketTables) -> DataFrame:
                   WHERE date = (SELECT date FROM d_cal WHERE age = 3)) p USING (instrument_id)""",
 )
 def day_flows(m: MarketTables) -> DataFrame:
-    out = flows.day_flows(m.institutional, m.margin, m.calendar, 1, "_prior")
+    out = flows.day_flows(m.institutional, m.margin, 1, "_prior")
     return rounded(out, "margin_change_prior", "short_change_prior")
 
 
+@query("day_flows_lagging", """SELECT coalesce(c.instrument_id, p.instrument_id) AS instrument_id, foreign_net AS foreign_net_today, trust_net AS trust_net_today, dealer_net AS dealer_net_today,
+          round(c.margin_balance - p.pm, 6) AS margin_change_today, round(c.short_balance - p.ps, 6) AS short_change_today
+       FROM (SELECT * FROM d_panel WHERE date = (SELECT date FROM d_cal WHERE age = 2)) c
+       LEFT JOIN (SELECT instrument_id, margin_balance AS pm, short_balance AS ps FROM d_panel
+                  WHERE date = (SELECT date FROM d_cal WHERE age = 3)) p USING (instrument_id)""")
+def day_flows_lagging(m: MarketTables) -> DataFrame:
+    """Flows and balances one date behind the prices: their own newest date counts."""
+    out = flows.day_flows(behind(m.institutional), behind(m.margin))
+    return rounded(out, "margin_change_today", "short_change_today")
+
+
 @query(
     "today_price",
     """SELECT c.instrument_id, c.close AS close_today, round(CASE WHEN p.close > 0 THEN (c.close - p.close) / p.close * 100 END, 6) AS change_today_pct
@@ -414,13 +451,14 @@ def risk_levels(m: MarketTables) -> DataFrame:
     """SELECT account_id, instrument_id, entry, round(stop, 2) AS stop, CASE WHEN lots >= 1 THEN lots END AS lots,
           CASE WHEN lots >= 1 THEN round(entry + risk * 2, 6) END AS target, CASE WHEN lots >= 1 THEN round(lots * 1000 * entry, 4) END AS position_value,
           CASE WHEN lots >= 1 THEN round(lots * 1000 * risk, 4) END AS risk_amount,
-          CASE WHEN lots >= 1 THEN round(lots * 1000 * risk / account * 100, 6) END AS risk_of_account_pct,
-          by_risk > by_size AS capped, CASE WHEN lots < 1 THEN 'less than one lot' END AS note
-       FROM (SELECT *, least(by_risk, by_size) AS lots FROM (SELECT *,
-               CAST(floor(floor(account * 1 / 100 / risk) / 1000) AS BIGINT) AS by_risk,
-               CAST(floor(account * 25 / 100 / (entry * 1000)) AS BIGINT) AS by_size
-             FROM (SELECT account_id, instrument_id, account, close AS entry, round(close - (floor(round(atr * 100, 4) + 0.5) / 100) * 2, 2) AS stop,
-                          close - round(close - (floor(round(atr * 100, 4) + 0.5) / 100) * 2, 2) AS risk FROM d_requests JOIN risk USING (instrument_id)) WHERE risk > 0))""",
+          CASE WHEN lots >= 1 THEN round(lots * 1000 * risk / account * 100, 6) END AS risk_of_account_pct, by_risk > by_size AS capped,
+          CASE WHEN entry IS NULL THEN 'too few bars for a range' WHEN risk <= 0 THEN 'no distance to the stop' WHEN account IS NULL THEN 'no balance'
+               WHEN lots < 1 THEN 'less than one lot' END AS note
+       FROM (SELECT *, CASE WHEN by_risk IS NOT NULL AND by_size IS NOT NULL THEN least(by_risk, by_size) END AS lots FROM (SELECT *,
+               CASE WHEN risk > 0 THEN CAST(floor(floor(account * 1 / 100 / risk) / 1000) AS BIGINT) END AS by_risk,
+               CASE WHEN risk > 0 THEN CAST(floor(account * 25 / 100 / (entry * 1000)) AS BIGINT) END AS by_size
+             FROM (SELECT account_id, q.instrument_id, account, close AS entry, round(close - (floor(round(atr * 100, 4) + 0.5) / 100) * 2, 2) AS stop,
+                          close - round(close - (floor(round(atr * 100, 4) + 0.5) / 100) * 2, 2) AS risk FROM d_requests q LEFT JOIN risk r ON r.instrument_id = q.instrument_id)))""",
     risk=RISK,
 )
 def position_sizing(m: MarketTables) -> DataFrame:

@@ -32,8 +32,9 @@ S_TABLES = {
         (SELECT instrument_id, date, volume, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret_same, (lead(close) OVER w - close) / close * 100 AS ret_next
          FROM d_bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date)) p JOIN b_main m USING (instrument_id, date) LEFT JOIN s_over o USING (instrument_id, date)
         WHERE ret_same IS NOT NULL AND ret_next IS NOT NULL AND volume > 0""",
-    "s_edges": "SELECT list_distinct(quantile_cont(pressure, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS e FROM s_press",
-    "s_bin": "SELECT s.*, CAST(len(list_filter(list_sort(e)[2:], lambda x: x < pressure)) + 1 AS INTEGER) AS bin FROM s_press s, s_edges",
+    # equal pressures make value edges fall together, so ranks are binned
+    "s_bin": """SELECT *, CAST(greatest(1, ceil((k - 1) * 5 / (n - 1))) AS INTEGER) AS bin FROM
+        (SELECT *, row_number() OVER (ORDER BY pressure, instrument_id, date) AS k, count(*) OVER () AS n FROM s_press)""",
 }
 
 

@@ -75,11 +75,11 @@ def last_writer(m: MarketTables) -> DataFrame:
     return tables.latest(both, ["instrument_id", "date"], "load_seq").drop("load_seq")
 
 
-@query("upsert_partitions", f"SELECT * FROM ({UPSERTED}) WHERE date >= DATE '2000-07-03'")
+@query("upsert_partitions", UPSERTED)
 def upsert(m: MarketTables) -> DataFrame:
     """A stored table partitioned by date, then an upsert that rewrites the revised dates."""
     path = shared_folder(m.spark, "bars")
-    tables.write_dates(tables.slice_panel(m.bars, "2000-07-03"), path)
+    tables.write_dates(m.bars, path)
     tables.upsert(path, revised(m), ["instrument_id", "date"])
     return tables.read_table(m.spark, path, "instrument_id", "date", "open", "high", "low", "close", "volume")
 

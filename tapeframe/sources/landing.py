@@ -395,7 +395,7 @@ class MarketTables:
             F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") * 10000).alias("account")
         )
         pairs = self.order_lines.select("o_custkey", "instrument_id").distinct()
-        return pairs.join(accounts.filter("account > 0"), "o_custkey").withColumnRenamed("o_custkey", "account_id")
+        return pairs.join(accounts, "o_custkey").withColumnRenamed("o_custkey", "account_id")
 
     @cached_property
     def quotes(self) -> DataFrame:
