@@ -240,13 +240,14 @@ def lock_follow_up(
     """Open-to-close course of earlier lock picks on the newest date, against what was planned.
 
     ``picks`` is one recorded day: date, rank, instrument_id, main_net, expected_pct, detail.
-    Its label may fall on a closed day; the last trading date at or before it counts.
+    Its label may fall on a closed day; the last trading date at or before it counts.  Picks of
+    the newest date itself have no course yet and give no rows.
     """
     label = picks.agg(F.max("date").alias("d")).select("d").scalar()
     newest = calendar.agg(F.max("date").alias("d")).select("d").scalar()
     ref = calendar.filter(F.col("date") <= label).agg(F.max("date").alias("d")).select("d").scalar()
     picked = price.join(picks.select("instrument_id"), "instrument_id", "left_semi")
-    cur = picked.filter(F.col("date") == newest)
+    cur = picked.filter((F.col("date") == newest) & (newest > ref))
     before = picked.filter(F.col("date") == ref).select("instrument_id", F.col("close").alias("prev_close"))
     usual = top_rows(picked.filter(F.col("date") < newest).select("instrument_id", "date", "volume"), newest_first("instrument_id"), 20)
     usual = usual.groupBy("instrument_id").agg(F.avg("volume").alias("usual"), F.count(F.lit(1)).alias("n_usual"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Broker, LockScreen
 from ..operators import brokers, events, flows, report, screens, signals, technical
-from ..sources import normalize
+from ..session import cut_lineage, shared_folder
+from ..sources import normalize, tables
 from ..sources.landing import MarketTables
 from . import fundamentals as pf
 from . import screens as ps
@@ -160,17 +161,20 @@ def lock_screen(m: MarketTables) -> DataFrame:
 
 
 def lock_picks(m: MarketTables) -> DataFrame:
-    """The lock candidates of the date before the newest, recorded with who bought what."""
+    """The lock candidates of the date before the newest, recorded with who bought what and the pressure planned for the next date."""
     day = m.calendar.filter("age = 2").select("date")
-    cands = screens.limit_up_candidates(m.bars, m.calendar, LOCK_P, every_date=True).join(day, "date", "left_semi")
-    bought = brokers.top_buyers(m.broker_net.join(cands.select("instrument_id", "date"), ["instrument_id", "date"], "left_semi"), TOP)
+    newest = m.calendar.agg(F.max("date").alias("d")).select("d").scalar()
+    cands = cut_lineage(screens.limit_up_candidates(m.bars, m.calendar, LOCK_P, every_date=True).join(day, "date", "left_semi"), "lock-picks")
+    mine = cut_lineage(m.broker_net.join(cands.select("instrument_id", "date"), ["instrument_id", "date"], "left_semi"), "lock-nets")
     entry = F.concat("broker", F.lit("+"), F.bround("net").cast("long").cast("string"))
-    detail = bought.groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))).alias("es")).select(
+    detail = brokers.top_buyers(mine, TOP).groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))).alias("es")).select(
         "instrument_id", F.array_join(F.transform("es", lambda x: x.e), "、").alias("detail")
     )
-    main = brokers.broker_main_net(m.broker_net, TOP).select("instrument_id", "date", "main_net")
-    return cands.join(detail, "instrument_id", "left").join(main, ["instrument_id", "date"], "left").select(
-        "date", "rank", "instrument_id", "main_net", F.lit(None).cast("double").alias("expected_pct"), "detail"
+    main = brokers.broker_main_net(mine, TOP).select("instrument_id", "main_net")
+    profile = cut_lineage(brokers.broker_profile(m.broker_net, m.calendar, LOCK_B, before=newest), "profile")
+    planned = brokers.expected_pressure(mine, profile, m.bars, LOCK_B).select("instrument_id", "expected_pct")
+    return cands.join(detail, "instrument_id", "left").join(main, "instrument_id", "left").join(planned, "instrument_id", "left").select(
+        "date", "rank", "instrument_id", "main_net", "expected_pct", "detail"
     )
 
 
@@ -178,21 +182,23 @@ FOLLOW_UP = {
     **LOCK,
     "u_ref": "SELECT date AS ref, next_date AS td FROM d_cal WHERE age = 2",
     "u_picks": "SELECT l.instrument_id, l.rank, main_net FROM l_cand l JOIN u_ref ON l.date = ref LEFT JOIN b_main m ON m.instrument_id = l.instrument_id AND m.date = l.date",
+    "u_profile": LOCK["b_profile"].replace("FROM b_follow GROUP", "FROM b_follow WHERE sell_date < (SELECT max(date) FROM d_cal) GROUP"),
+    "u_plan": LOCK["b_expected"].replace("b_profile", "u_profile"),
     "u_real": """SELECT b.instrument_id, sum(CASE WHEN a.net < 0 THEN least(b.net, -a.net) ELSE 0e0 END) AS overlap, sum(CAST(round_even(b.net, 0) AS BIGINT)) AS bought,
             CAST(sum(CASE WHEN a.net < 0 THEN round_even(-a.net, 0) ELSE 0e0 END) AS BIGINT) AS sold
         FROM b_top b JOIN u_ref ON b.date = ref LEFT JOIN d_broker a ON a.instrument_id = b.instrument_id AND a.broker = b.broker AND a.date = td GROUP BY b.instrument_id""",
-    "u_rows": """SELECT CAST(p.rank AS INTEGER) AS rank, p.instrument_id, ref AS ref_date, td AS trade_date, p.main_net AS locked_net, CAST(NULL AS DOUBLE) AS expected_pct,
+    "u_rows": """SELECT CAST(p.rank AS INTEGER) AS rank, p.instrument_id, ref AS ref_date, td AS trade_date, p.main_net AS locked_net, x.expected_pct,
             overlap / c.volume * 100 AS realised_pct, t.main_net AS main_net_today, CAST(bought AS BIGINT) AS blacklist_bought, sold AS blacklist_sold, sold / bought * 100 AS sold_pct,
             (c.close - r.close) / r.close * 100 AS change_pct, (c.open - r.close) / r.close * 100 AS gap_pct, (c.close - c.open) / c.open * 100 AS intraday_pct,
             (c.close - c.high) / c.high * 100 AS fade_pct, (c.high - c.low) / r.close * 100 AS amplitude_pct, CASE WHEN n >= 5 THEN c.volume / usual END AS volume_ratio,
             dt_vol / c.volume * 100 AS day_trade_pct
         FROM u_picks p CROSS JOIN u_ref JOIN d_bars c ON c.instrument_id = p.instrument_id AND c.date = td JOIN d_bars r ON r.instrument_id = p.instrument_id AND r.date = ref
         LEFT JOIN u_real u ON u.instrument_id = p.instrument_id LEFT JOIN b_main t ON t.instrument_id = p.instrument_id AND t.date = td
-        LEFT JOIN d_daytrade d ON d.instrument_id = p.instrument_id AND d.date = td
+        LEFT JOIN d_daytrade d ON d.instrument_id = p.instrument_id AND d.date = td LEFT JOIN u_plan x ON x.instrument_id = p.instrument_id AND x.date = ref
         LEFT JOIN (SELECT instrument_id, avg(volume) AS usual, count(*) AS n FROM (SELECT b.*, row_number() OVER (PARTITION BY instrument_id ORDER BY date DESC) AS k
               FROM d_bars b JOIN u_ref ON b.date < td) WHERE k <= 20 GROUP BY instrument_id) v ON v.instrument_id = p.instrument_id""",
 }
-UP_COLS = ("realised_pct", "sold_pct", "change_pct", "gap_pct", "intraday_pct", "fade_pct", "amplitude_pct", "volume_ratio", "day_trade_pct")
+UP_COLS = ("expected_pct", "realised_pct", "sold_pct", "change_pct", "gap_pct", "intraday_pct", "fade_pct", "amplitude_pct", "volume_ratio", "day_trade_pct")
 
 
 def lock_rows(m: MarketTables) -> DataFrame:
@@ -230,6 +236,17 @@ def picks(m: MarketTables) -> DataFrame:
     return report.save_picks(sig.select(F.lit("strength").alias("track"), "date", "instrument_id", F.round("score", 9).alias("score")))
 
 
+@query("recorded_picks", "SELECT * FROM p_picks", **PICKS)
+def recorded_picks(m: MarketTables) -> DataFrame:
+    """Picks stored by day; the newest day is stored wrongly first and then replaced."""
+    path = shared_folder(m.spark, "picks")
+    right = cut_lineage(picks(m), "picks")
+    newest = right.agg(F.max("date").alias("d")).select("d").scalar()
+    tables.record_day(path, right.withColumn("rank", F.when(F.col("date") == newest, F.lit(-1)).otherwise(F.col("rank"))))
+    tables.record_day(path, right.filter(F.col("date") == newest))
+    return tables.read_table(m.spark, path, "track", "date", "instrument_id", "rank")
+
+
 @query("save_picks", "SELECT date, track, rank, instrument_id FROM p_picks", **PICKS)
 def save_picks(m: MarketTables) -> DataFrame:
     return picks(m)

@@ -99,6 +99,28 @@ def history(m: MarketTables) -> DataFrame:
     return tables.load_history(m.spark, path, "instrument_id string, date date, margin_balance double, short_balance double")
 
 
+@query("prune_stored", "SELECT * FROM d_margin WHERE date IN (SELECT date FROM d_cal WHERE age <= 60)")
+def prune_stored(m: MarketTables) -> DataFrame:
+    """A stored table cut down to its newest dates in place, twice."""
+    path = shared_folder(m.spark, "pruned")
+    tables.write_dates(m.margin, path)
+    for _ in range(2):
+        tables.prune(path, m.spark, 60)
+    return tables.read_table(m.spark, path, *m.margin.columns)
+
+
+@query(
+    "broker_profile_stored", "SELECT * FROM b_profile", **FOLLOW,
+)
+def profile_stored(m: MarketTables) -> DataFrame:
+    """Counters and ledger kept in stored tables; the second delivery is folded twice."""
+    path = shared_folder(m.spark, "broker-counters")
+    first = m.broker_net.filter(F.col("date") < F.lit("1998-06-01").cast("date"))
+    for nets in (first, m.broker_net, m.broker_net):
+        counters, _ = tables.fold_stored_counters(path, nets, m.calendar, TOP)
+    return tables.profile_from_counters(counters, P)
+
+
 @query("broker_profile_update", "SELECT * FROM b_profile", **FOLLOW)
 def profile_update(m: MarketTables) -> DataFrame:
     """Two deliveries folded in, the second one twice."""

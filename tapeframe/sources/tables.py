@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +77,20 @@ def retain(df: DataFrame, keep: int) -> DataFrame:
     return df.filter(F.col("date") >= oldest)
 
 
-def prune(path: str, spark: SparkSession, keep: int) -> DataFrame:
-    """The retained part of a stored table, staged; callers swap it in."""
-    return cut_lineage(retain(read_table(spark, path), keep), "prune")
+def replace_table(df: DataFrame, path: str) -> None:
+    """Overwrite a date-partitioned table with ``df``, which may be read from it: the new rows are staged first."""
+    staged = cut_lineage(df, "replace")
+    staged.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
+
+
+def prune(path: str, spark: SparkSession, keep: int) -> None:
+    """Keep the newest dates of a stored table and drop the others from it."""
+    replace_table(retain(read_table(spark, path), keep), path)
+
+
+def record_day(path: str, picks: DataFrame) -> None:
+    """Store a day's picks; a day that is stored already is replaced, the others stay."""
+    write_dates(picks, path)
 
 
 def dump_history(df: DataFrame, path: str, keys: Sequence[str], seq: str, keep: int | None = None) -> None:
@@ -112,10 +124,14 @@ def fold_broker_counters(
     """Add the pairs not folded yet; running it twice changes nothing.
 
     Counters are kept per (broker, instrument): sums merge by key and the number of instruments
-    is a count of rows, so no broker carries a growing list.
+    is a count of rows, so no broker carries a growing list.  Brokers are ranked and paired
+    only from the oldest date on that the ledger lacks.
     """
-    steps = brokers.adjacent_steps(nets, calendar).join(ledger, ["instrument_id", "date"], "left_anti")
-    pairs = brokers.follow_up(nets, steps, top)
+    steps = cut_lineage(brokers.adjacent_steps(nets, calendar).join(ledger, ["instrument_id", "date"], "left_anti"), "steps")
+    oldest = steps.agg(F.min("date").alias("d")).first().d
+    if oldest is None:
+        return counters, ledger
+    pairs = brokers.follow_up(nets.filter(F.col("date") >= F.lit(oldest)), steps, top)
     added = pairs.groupBy("broker", "instrument_id").agg(
         F.count(F.lit(1)).alias("ops"), F.sum("flip").alias("flips"), F.sum("bought").alias("bought"), F.sum("dumped").alias("dumped"),
     )
@@ -125,6 +141,27 @@ def fold_broker_counters(
     return merged, ledger.unionByName(steps.select("instrument_id", "date"))
 
 
+def fold_stored_counters(path: str, nets: DataFrame, calendar: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Fold new pairs into the counters and the ledger stored under ``path``, and return both.
+
+    A fold writes one new version that holds both tables; the newest complete version
+    counts, so a fold that is interrupted or repeated adds nothing twice.
+    """
+    spark = nets.sparkSession
+    versions = f"{path}/version"
+    try:
+        last = spark.read.schema("version long").parquet(versions).agg(F.max("version")).first()[0]
+    except AnalysisException:
+        last = None
+    number = 0 if last is None else last + 1
+    stored = empty_counters(spark) if last is None else tuple(spark.read.parquet(f"{path}/{name}-{last}") for name in ("counters", "ledger"))
+    folded = fold_broker_counters(*stored, nets, calendar, top)
+    for name, df in zip(("counters", "ledger"), folded):
+        df.write.mode("overwrite").parquet(f"{path}/{name}-{number}")
+    spark.range(number, number + 1).toDF("version").coalesce(1).write.mode("append").parquet(versions)
+    return tuple(spark.read.parquet(f"{path}/{name}-{number}") for name in ("counters", "ledger"))
+
+
 def profile_from_counters(counters: DataFrame, p: Broker = Broker()) -> DataFrame:
     total = counters.groupBy("broker").agg(
         *[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")], F.count(F.lit(1)).alias("n_instruments")
