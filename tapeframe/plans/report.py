@@ -10,6 +10,7 @@ from ..operators import brokers, events, flows, report, screens, signals, techni
 from ..session import cut_lineage, shared_folder
 from ..sources import normalize, tables
 from ..sources.landing import MarketTables
+from . import brokers as pb
 from . import fundamentals as pf
 from . import screens as ps
 from .brokers import FOLLOW, TOP
@@ -362,35 +363,64 @@ def report_candidates(m: MarketTables) -> DataFrame:
     return out
 
 
+SHOWN = {
+    "t": ("close_today", "change_today_pct", "day_trade_pct"), "a": ("foreign_net_10", "trust_net_10", "margin_change_10"), "b": ("foreign_net_20", "trust_net_20", "margin_change_20"),
+    "n": ("foreign_net_today", "margin_change_today"), "p": ("foreign_net_prior", "trust_net_prior", "margin_change_prior"),
+    "chip": ("foreign_streak", "trust_streak", "dealer_streak", "dominance_pct", "volume_ratio", "short_margin_pct"),
+    "tech": ("ma_align", "long_term", "half_year", "bias20_pct", "year_position_pct"), "h": ("day_trade_mean_pct", "day_trade_heat"), "s": ("sbl_balance",),
+    "share": ("market_value",), "risk": ("stop", "stop_pct", "target"), "restrict_labels": ("restriction",), "x": ("ex_dividend",),
+    "k": ("main_net", "flip_pressure_pct"), "e": ("expected_pct",), "d_info": ("industry",),
+}
+MEASURES = (
+    "change_today_pct", "day_trade_pct", "dominance_pct", "volume_ratio", "short_margin_pct", "bias20_pct", "year_position_pct", "day_trade_mean_pct",
+    "market_value", "stop", "stop_pct", "target", "flip_pressure_pct", "expected_pct", "margin_change_10", "margin_change_20", "margin_change_today", "margin_change_prior",
+)
+
+
+def shown_sql() -> str:
+    return ", ".join(f"round({t}.{c}, 6) AS {c}" if c in MEASURES else f"{t}.{c}" for t, columns in SHOWN.items() for c in columns)
+
+
+def window_sql(n: int) -> str:
+    return f"SELECT instrument_id, foreign_net AS foreign_net_{n}, trust_net AS trust_net_{n}, margin_change AS margin_change_{n} FROM r_flow{n}"
+
+
 @query(
     "daily_report_table",
-    f"""SELECT track, c.instrument_id, close_today, round(change_today_pct, 6) AS change_today_pct, a.foreign_net AS foreign_net_10, b.foreign_net AS foreign_net_20, t.foreign_net AS foreign_net_today,
-          round(day_trade_pct, 6) AS day_trade_pct, ma_align, long_term, foreign_streak, dominance_pct, sbl_balance, market_value, round(stop, 6) AS stop, restriction,
-          main_net, round(flip_pressure_pct, 6) AS flip_pressure_pct, industry, verdict_votes, {LABEL.format(v='verdict_votes')} AS verdict
-        FROM (SELECT c.track, c.instrument_id, {VERDICT} AS verdict_votes, ma_align, long_term, foreign_streak, dominance_pct FROM r_cand c LEFT JOIN tech USING (instrument_id) LEFT JOIN chip USING (instrument_id)) c
-        LEFT JOIN r_today t USING (instrument_id) LEFT JOIN r_flow10 a USING (instrument_id) LEFT JOIN r_flow20 b USING (instrument_id)
-        LEFT JOIN (SELECT s.* FROM r_sbl s JOIN d_cal ON date = sbl_date WHERE age <= 6) s USING (instrument_id) LEFT JOIN share USING (instrument_id) LEFT JOIN risk USING (instrument_id)
-        LEFT JOIN restrict_labels USING (instrument_id) LEFT JOIN (SELECT m.instrument_id, main_net, flip_pressure_pct FROM b_main m LEFT JOIN b_flip f USING (instrument_id, date)
-           WHERE date = (SELECT max(date) FROM d_cal)) k USING (instrument_id) LEFT JOIN d_info USING (instrument_id)""",
-    **REPORT,
+    f"""SELECT track, c.instrument_id, {shown_sql()}, verdict_votes, {LABEL.format(v='verdict_votes')} AS verdict
+        FROM (SELECT c.track, c.instrument_id, {VERDICT} AS verdict_votes FROM r_cand c LEFT JOIN tech USING (instrument_id) LEFT JOIN chip USING (instrument_id)) c
+        LEFT JOIN tech USING (instrument_id) LEFT JOIN chip USING (instrument_id) LEFT JOIN r_today t USING (instrument_id)
+        LEFT JOIN ({window_sql(10)}) a USING (instrument_id) LEFT JOIN ({window_sql(20)}) b USING (instrument_id)
+        LEFT JOIN r_now n USING (instrument_id) LEFT JOIN r_prior p USING (instrument_id) LEFT JOIN r_trend h USING (instrument_id)
+        LEFT JOIN (SELECT s.* FROM r_sbl s JOIN d_cal ON date = sbl_date WHERE age <= 6) s USING (instrument_id) LEFT JOIN share USING (instrument_id)
+        LEFT JOIN (SELECT *, (stop - close) / close * 100 AS stop_pct, close + (close - stop) * 2 AS target FROM risk) risk USING (instrument_id)
+        LEFT JOIN restrict_labels USING (instrument_id) LEFT JOIN r_ex x USING (instrument_id)
+        LEFT JOIN (SELECT m.instrument_id, main_net, flip_pressure_pct FROM b_main m LEFT JOIN b_flip f USING (instrument_id, date)
+           WHERE date = (SELECT max(date) FROM d_cal)) k USING (instrument_id)
+        LEFT JOIN (SELECT instrument_id, expected_pct FROM b_expected WHERE date = (SELECT max(date) FROM d_cal)) e USING (instrument_id) LEFT JOIN d_info USING (instrument_id)""",
+    r_prior=ps.DAY_PRIOR, r_now=ps.DAY_PRIOR.replace("age = 3", "age = 2").replace("(SELECT date FROM d_cal WHERE age = 2)) c", "(SELECT date FROM d_cal WHERE age = 1)) c").replace("_prior", "_today"),
+    r_trend=ps.DAY_TREND, r_ex=EXDIV, **REPORT,
 )
 def daily_report(m: MarketTables) -> DataFrame:
     cal = m.calendar
+    newest = cal.agg(F.max("date").alias("d")).select("d").scalar()
     recent = m.broker_net.join(F.broadcast(cal.filter("age <= 2").select("date")), "date", "left_semi")
-    broker = brokers.broker_timeline(recent, m.bars, cal, TOP).join(F.broadcast(cal.filter("age = 1").select("date")), "date", "left_semi").drop("date")
+    broker = brokers.broker_timeline(recent, m.bars, cal, TOP).filter(F.col("date") == newest).drop("date")
+    today = recent.filter(F.col("date") == newest)
+    expected = brokers.expected_pressure(today, pb.stored_profile(m), m.bars, pb.P).select("instrument_id", "expected_pct")
     parts = [
         flows.today_price(m.bars, cal),
         flows.flow_windows(m.institutional, m.margin, 10, "_10"), flows.flow_windows(m.institutional, m.margin, 20, "_20"),
         flows.day_flows(m.institutional, m.margin, 0, "_today"), flows.day_flows(m.institutional, m.margin, 1, "_prior"),
         flows.chip_signals(m.institutional, m.bars, m.margin, cal), technical.tech_signals(m.bars),
-        flows.day_trade_ratio(m.day_trade, m.bars, cal), flows.sbl_latest(m.sbl, cal), flows.share_stats(m.shareholding, m.bars, cal),
+        flows.day_trade_ratio(m.day_trade, m.bars, cal), flows.day_trade_trend(m.day_trade, m.bars),
+        flows.sbl_latest(m.sbl, cal), flows.share_stats(m.shareholding, m.bars, cal),
         technical.risk_levels(m.bars), events.restriction_labels(normalize.normalize_notices(m.restriction_notices), "2001-06-04"),
-        broker, m.instruments,
+        events.dividend_labels(normalize.normalize_dividend_notices(m.dividend_notices), "1995-01-20").drop("date"),
+        broker, expected, m.instruments,
     ]
-    out = report.daily_report(report_candidates(m), parts).select(
-        "track", "instrument_id", "close_today", "change_today_pct", "foreign_net_10", "foreign_net_20", "foreign_net_today", "day_trade_pct", "ma_align", "long_term",
-        "foreign_streak", "dominance_pct", "sbl_balance", "market_value", "stop", "restriction", "main_net", "flip_pressure_pct", "industry", "verdict_votes", "verdict",
-    )
-    return rounded(out, "change_today_pct", "day_trade_pct", "dominance_pct", "market_value", "stop", "flip_pressure_pct")
+    columns = [c for own in SHOWN.values() for c in own]
+    out = report.daily_report(report_candidates(m), parts).select("track", "instrument_id", *columns, "verdict_votes", "verdict")
+    return rounded(out, *MEASURES)
 
 

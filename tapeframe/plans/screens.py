@@ -336,24 +336,20 @@ def flow_windows(m: MarketTables) -> DataFrame:
     return rounded(flows.flow_windows(m.institutional, m.margin, 10), "margin_change", "short_change")
 
 
-@query(
-    "day_flows",
-    """SELECT coalesce(c.instrument_id, p.instrument_id) AS instrument_id, foreign_net AS foreign_net_prior, trust_net AS trust_net_prior, dealer_net AS dealer_net_prior,
+DAY_PRIOR = """SELECT coalesce(c.instrument_id, p.instrument_id) AS instrument_id, foreign_net AS foreign_net_prior, trust_net AS trust_net_prior, dealer_net AS dealer_net_prior,
           round(c.margin_balance - p.pm, 6) AS margin_change_prior, round(c.short_balance - p.ps, 6) AS short_change_prior
        FROM (SELECT * FROM d_panel WHERE date = (SELECT date FROM d_cal WHERE age = 2)) c
        LEFT JOIN (SELECT instrument_id, margin_balance AS pm, short_balance AS ps FROM d_panel
-                  WHERE date = (SELECT date FROM d_cal WHERE age = 3)) p USING (instrument_id)""",
-)
+                  WHERE date = (SELECT date FROM d_cal WHERE age = 3)) p USING (instrument_id)"""
+
+
+@query("day_flows", DAY_PRIOR)
 def day_flows(m: MarketTables) -> DataFrame:
     out = flows.day_flows(m.institutional, m.margin, 1, "_prior")
     return rounded(out, "margin_change_prior", "short_change_prior")
 
 
-@query("day_flows_lagging", """SELECT coalesce(c.instrument_id, p.instrument_id) AS instrument_id, foreign_net AS foreign_net_today, trust_net AS trust_net_today, dealer_net AS dealer_net_today,
-          round(c.margin_balance - p.pm, 6) AS margin_change_today, round(c.short_balance - p.ps, 6) AS short_change_today
-       FROM (SELECT * FROM d_panel WHERE date = (SELECT date FROM d_cal WHERE age = 2)) c
-       LEFT JOIN (SELECT instrument_id, margin_balance AS pm, short_balance AS ps FROM d_panel
-                  WHERE date = (SELECT date FROM d_cal WHERE age = 3)) p USING (instrument_id)""")
+@query("day_flows_lagging", DAY_PRIOR.replace("_prior", "_today"))
 def day_flows_lagging(m: MarketTables) -> DataFrame:
     """Flows and balances one date behind the prices: their own newest date counts."""
     out = flows.day_flows(behind(m.institutional), behind(m.margin))
@@ -378,15 +374,15 @@ def day_trade_ratio(m: MarketTables) -> DataFrame:
     return rounded(flows.day_trade_ratio(m.day_trade, m.bars, m.calendar), "day_trade_pct")
 
 
-@query(
-    "day_trade_trend",
-    """SELECT instrument_id, round(avg(x), 6) AS day_trade_mean_pct,
+DAY_TREND = """SELECT instrument_id, round(avg(x), 6) AS day_trade_mean_pct,
           CASE WHEN avg(x) FILTER (WHERE rn > 1) > 0 AND max(x) FILTER (WHERE rn = 1) > avg(x) FILTER (WHERE rn > 1) * 1.2 THEN 'heating'
                WHEN avg(x) FILTER (WHERE rn > 1) > 0 AND max(x) FILTER (WHERE rn = 1) < avg(x) FILTER (WHERE rn > 1) * 0.8 THEN 'cooling'
                ELSE 'steady' END AS day_trade_heat
        FROM (SELECT instrument_id, dt_vol / volume * 100 AS x, row_number() OVER (PARTITION BY instrument_id ORDER BY date DESC) AS rn
-             FROM d_panel WHERE volume > 0) WHERE rn <= 5 GROUP BY instrument_id HAVING count(*) >= 2""",
-)
+             FROM d_panel WHERE volume > 0) WHERE rn <= 5 GROUP BY instrument_id HAVING count(*) >= 2"""
+
+
+@query("day_trade_trend", DAY_TREND)
 def day_trade_trend(m: MarketTables) -> DataFrame:
     return rounded(flows.day_trade_trend(m.day_trade, m.bars), "day_trade_mean_pct")
 
