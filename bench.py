@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from tapeframe.plans import registry
@@ -30,7 +31,10 @@ def main() -> None:
     registry.load()
     spark = build_session(
         f"local[{cpus}]", "tapeframe-bench",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{
+            "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tapeframe-bench-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     tables = MarketTables(spark, sf)
@@ -42,7 +46,7 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
         print(f"{name:32s} {times[name]:8.2f}", file=sys.stderr, flush=True)
 
-    run("prepare", lambda: [getattr(tables, t) for t in ("panel", "calendar", "broker_net", "revenue", "quarter_sums", "holder_tiers")])
+    run("prepare", lambda: [getattr(tables, t) for t in ("panel", "calendar", "order_lines", "broker_net", "revenue", "quarter_sums", "holder_tiers")])
     for name in names:
         run(name, lambda n=name: registry.QUERIES[n](tables).write.format("noop").mode("overwrite").save())
     print(json.dumps({

@@ -133,11 +133,11 @@ TABLES: dict[str, str] = {
                CASE WHEN quarter(date) = 3 THEN q % 2 ELSE 0e0 END AS share_dividend
         FROM d_quarter""",
     "d_notices": """
-        SELECT CAST(instrument_id AS VARCHAR) AS code, ordered AS start_date, ship AS end_date,
+        SELECT DISTINCT CAST(instrument_id AS VARCHAR) AS code, ordered AS start_date, ship AS end_date,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'restricted' ELSE 'attention' END AS kind
         FROM d_lines WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND ship >= ordered""",
     "d_exdiv": """
-        SELECT instrument_id, ship AS date, CASE WHEN status = 'F' THEN qty END AS cash,
+        SELECT DISTINCT instrument_id, ship AS date, CASE WHEN status = 'F' THEN qty END AS cash,
                CASE WHEN flag = 'R' AND disc > 0 THEN CAST(disc AS DOUBLE) END AS share_dividend
         FROM d_lines WHERE o_orderpriority = '5-LOW'""",
     "d_share": """

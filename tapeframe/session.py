@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,11 +24,10 @@ def build_session(master: str | None = None, app: str = "tapeframe", **conf: str
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint directory.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The cluster names the directory in ``spark.checkpoint.dir``.  Only where it is
-    unset and the master is local (tests) a temporary folder stands in for it.
+    Only where it is unset and the master is local (tests) a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -35,7 +35,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="tapeframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def keep_table(df: DataFrame, key: str) -> DataFrame:
+    """``df`` stored once under ``key`` for this and later applications.
+
+    The rows go to a fresh folder and then a small table names that folder, so a write
+    that is interrupted or made twice at once leaves nothing half done.  ``key`` must say
+    what the rows are made of.
+    """
+    spark = df.sparkSession
+    pointer = f"{shared_base(spark)}/{key}.kept"
+    try:
+        path = spark.read.schema("path string").parquet(pointer).first().path
+    except AnalysisException:
+        path = shared_folder(spark, key)
+        df.write.parquet(path)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(pointer)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

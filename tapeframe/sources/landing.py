@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LOCAL_YEAR_OFFSET
-from ..session import cut_lineage
+from ..session import keep_table
 from .calendar import trading_calendar
 
 # Fixed values of the mapping: day slots of the packed price, tier edges of order value.
 DAY_SLOT = 10**12
 TIER_EDGES = ((15, 300_000), (14, 250_000), (13, 200_000), (12, 150_000))
 TIER_STEP = 15_000
+# Raised whenever the stored tables change.
+LAYOUT = 1
 
 
 def week_of(c: str) -> Column:
@@ -33,24 +35,40 @@ def _when(cond: Column, value: Column) -> Column:
     return F.sum(F.when(cond, value).otherwise(F.lit(0.0)))
 
 
+SOURCES = ("lineitem", "orders", "customer", "supplier", "nation")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """One number for the places, sizes and times of all source files; the files' rows are not read."""
+    files = None
+    for name in SOURCES:
+        own = spark.read.parquet(f"{path}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        files = own if files is None else files.unionByName(own)
+    total = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    return f"{int(total) % (1 << 64):016x}"
+
+
 class MarketTables:
     """Domain tables over one landing folder.
 
     With ``keep`` (the default) the tables that cost a pass over the facts are written
     to the shared folder at first use, in date order, and every later query reads the
     compact columnar copy: date filters skip row groups, and the planner knows real
-    sizes.  Without it they stay lazy.
+    sizes.  Copies are named by the fingerprint of the source files and by ``LAYOUT``, so
+    later applications reuse them until the sources or this mapping change; copies of
+    older fingerprints may then be deleted.  Without ``keep`` the tables stay lazy.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: bool = True):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, path: str, keep: bool = True, mark: str | None = None):
+        self.spark, self.path, self.keep, self.mark = spark, path.rstrip("/"), keep, mark
 
     def _kept(self, name: str, df: DataFrame, *order: str) -> DataFrame:
         if not self.keep:
             return df
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        return cut_lineage(df, name)
+        self.mark = self.mark or fingerprint(self.spark, self.path)
+        return keep_table(df, f"market-{LAYOUT}-{self.mark}-{name}")
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -167,24 +185,15 @@ class MarketTables:
     @cached_property
     def broker_trades(self) -> DataFrame:
         """(instrument_id, date, broker_id, broker_name, buy, sell) in shares."""
-        lines = self.raw("lineitem").select(
-            "l_orderkey",
-            F.col("l_suppkey").alias("instrument_id"),
-            week_of("l_shipdate").alias("date"),
-            F.when(F.col("l_linestatus") == "F", F.col("l_quantity") * 1000).otherwise(0.0).alias("buy"),
-            F.when(F.col("l_linestatus") == "F", 0.0).otherwise(F.col("l_quantity") * 1000).alias("sell"),
+        owner = self.raw("customer").select(
+            F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("broker_id"), F.col("c_mktsegment").alias("broker_name")
         )
-        owner = (
-            self.raw("orders")
-            .select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-            .join(self.raw("customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
-            .select(
-                "l_orderkey",
-                F.col("c_nationkey").cast("string").alias("broker_id"),
-                F.col("c_mktsegment").alias("broker_name"),
-            )
+        shares, bought = F.col("qty") * 1000, F.col("status") == "F"
+        lines = self.order_lines.select(
+            "o_custkey", "instrument_id", week_of("ship").alias("date"),
+            F.when(bought, shares).otherwise(0.0).alias("buy"), F.when(bought, 0.0).otherwise(shares).alias("sell"),
         )
-        return lines.join(owner, "l_orderkey").drop("l_orderkey")
+        return lines.join(owner, "o_custkey").drop("o_custkey")
 
     @cached_property
     def broker_net(self) -> DataFrame:
@@ -196,7 +205,11 @@ class MarketTables:
 
     @cached_property
     def order_lines(self) -> DataFrame:
-        """Lines with their order's month; value in 1/10000 money units."""
+        """Lines with their order; value in 1/10000 money units.
+
+        The only join of the two fact tables: its narrow copy feeds broker flows,
+        fundamentals, notices and requests.
+        """
         lines = self.raw("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"),
             F.col("l_suppkey").alias("instrument_id"),
@@ -214,9 +227,8 @@ class MarketTables:
             "o_totalprice",
             "o_custkey",
         )
-        return lines.join(orders, "o_orderkey").withColumn(
-            "value", F.col("cents") * (F.lit(100) - F.col("disc"))
-        )
+        joined = lines.join(orders, "o_orderkey").drop("o_orderkey")
+        return self._kept("order_lines", joined).withColumn("value", F.col("cents") * (F.lit(100) - F.col("disc")))
 
     @cached_property
     def revenue(self) -> DataFrame:
@@ -346,18 +358,19 @@ class MarketTables:
         urgent = self.order_lines.filter(
             F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("ship") >= F.col("ordered"))
         )
-        return urgent.select(
+        notices = urgent.select(
             F.col("instrument_id").cast("string").alias("code"),
             F.concat(text("ordered"), F.lit("～"), text("ship")).alias("period"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "restricted").otherwise("attention").alias("kind"),
         )
+        return self._kept("restriction_notices", notices.distinct())
 
     @cached_property
     def dividend_notices(self) -> DataFrame:
         """Raw ex-dividend notices: local-calendar date text and amounts as text."""
         picked = self.order_lines.filter(F.col("o_orderpriority") == "5-LOW")
         day = F.col("ship")
-        return picked.select(
+        notices = picked.select(
             F.col("instrument_id").cast("string").alias("code"),
             F.concat(
                 F.lpad((F.year(day) - LOCAL_YEAR_OFFSET).cast("string"), 3, "0"), F.date_format(day, "MMdd")
@@ -365,6 +378,7 @@ class MarketTables:
             F.when(F.col("status") == "F", F.col("qty").cast("int").cast("string")).alias("cash"),
             F.when(F.col("flag") == "R", F.col("disc").cast("string")).alias("share_dividend"),
         )
+        return self._kept("dividend_notices", notices.distinct())
 
     @cached_property
     def shareholding(self) -> DataFrame:
@@ -395,7 +409,7 @@ class MarketTables:
             F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") * 10000).alias("account")
         )
         pairs = self.order_lines.select("o_custkey", "instrument_id").distinct()
-        return pairs.join(accounts, "o_custkey").withColumnRenamed("o_custkey", "account_id")
+        return self._kept("sizing_requests", pairs.join(accounts, "o_custkey").withColumnRenamed("o_custkey", "account_id"))
 
     @cached_property
     def quotes(self) -> DataFrame:
@@ -409,18 +423,13 @@ class MarketTables:
         )
 
 
-_OPEN: dict[tuple[str, str], MarketTables] = {}
+_OPEN: dict[tuple[str, str, str], MarketTables] = {}
 
 
 def market(spark: SparkSession, path: str) -> MarketTables:
-    """The tables of one landing folder, shared by all queries of a Spark application."""
-    key = (spark.sparkContext.applicationId, path)
+    """The tables of one landing folder, shared by all queries of a Spark application until its files change."""
+    mark = fingerprint(spark, path)
+    key = (spark.sparkContext.applicationId, path, mark)
     if key not in _OPEN:
-        _OPEN[key] = MarketTables(spark, path)
+        _OPEN[key] = MarketTables(spark, path, mark=mark)
     return _OPEN[key]
-
-
-def forget(path: str | None = None) -> None:
-    """Drop remembered tables after new data has landed."""
-    for key in [k for k in _OPEN if path is None or k[1] == path]:
-        del _OPEN[key]

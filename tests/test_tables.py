@@ -125,3 +125,30 @@ def test_day_range_emits_closed_days(spark, ticks):
     s = stream(spark, folder).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
     got = {str(r.day): (r.high, r.low, r.n) for r in quotes.run_available(quotes.day_range(s), "r").collect()}
     assert got == {"2024-01-01": (100.0, 100.0, 1), "2024-01-02": (109.0, 90.5, 3)}
+
+
+def test_kept_tables_outlive_a_reader_and_follow_their_sources(spark, tmp_path):
+    from tapeframe.sources import landing
+    from tapeframe.sources.landing import MarketTables, fingerprint, market
+
+    folder = str(tmp_path / "sf")
+    for name in landing.SOURCES:
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    first = MarketTables(spark, folder)
+    rows, files = first.panel.count(), sorted(first.panel.inputFiles())
+    assert sorted(MarketTables(spark, folder).panel.inputFiles()) == files
+    assert market(spark, folder) is market(spark, folder)
+    before = market(spark, folder)
+    mark = fingerprint(spark, folder)
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_shipdate", F.expr("l_shipdate + interval 9 year")).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    assert fingerprint(spark, folder) != mark and market(spark, folder) is not before
+    assert MarketTables(spark, folder).panel.count() > rows
+
+
+def test_one_join_of_the_facts(spark):
+    """The daily report's notices and the sizing requests read stored tables, not lines or orders."""
+    from tapeframe.sources.landing import market
+
+    m = market(spark, "/root/testdata/sf0.001")
+    for table in (m.restriction_notices, m.sizing_requests, m.broker_net, m.revenue, m.holder_tiers):
+        assert not any("lineitem" in f or "orders.parquet" in f for f in table.inputFiles())
