@@ -156,4 +156,14 @@ def test_hot_broker_and_instrument_stay_whole(frame):
     assert got == want
     assert brokers.pit_expected_pressure(
         nets, nets.groupBy("instrument_id", "date").agg(F.lit(10.0).alias("volume")), cal, Broker(min_ops=1)
-    ).count() == len({(s, x) for s, x, _, v in rows if v > 0})
+    ).count() == len({(s, x) for s, x, _, v in rows if v > 0 and x > d[1]})  # the first pair completes on the second date
+
+
+def test_no_profile_no_pressure(frame):
+    d = days(3)
+    nets = frame(NETS, *[(1, x, "a", 5.0) for x in d])
+    price = nets.groupBy("instrument_id", "date").agg(F.lit(10.0).alias("volume"))
+    cal = trading_calendar(frame("date date", *[(x,) for x in d]))
+    empty = brokers.broker_profile(nets, cal, Broker(min_ops=99))
+    assert brokers.expected_pressure(nets, empty, price).count() == 0
+    assert brokers.pit_expected_pressure(nets, price, cal, Broker(min_ops=99)).count() == 0
