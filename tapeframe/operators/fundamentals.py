@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import local_year, pct, pct_simple, ratio, vote
 from ..functions.windows import latest_streaks, newest_first, ordered, trailing
+from ..session import cut_lineage
 from .joins import enrich, previous_year, wide
 
 # Statement items the metrics read.
@@ -267,6 +268,7 @@ def industry_peers(price: DataFrame, info: DataFrame, n: int = 5) -> DataFrame:
         .withColumn("k", F.row_number().over(lead)).filter(F.col("k") <= n + 1)
         .select("industry", F.col("instrument_id").alias("peer_id"), F.col("instrument_name").alias("peer_name"), "k")
     )
+    leaders = cut_lineage(leaders, "leaders")  # n + 1 rows per industry: the stored size lets the planner broadcast them
     own = Window.partitionBy("instrument_id").orderBy("k")
     return (
         info.select("instrument_id", "industry").join(leaders, "industry").filter("peer_id <> instrument_id")

@@ -44,33 +44,34 @@ def asof_join(
 ) -> DataFrame:
     """Each left row with the newest right row of its key at or before its time.
 
-    Both sides are stacked and swept once in time order per key: one shuffle, one
-    sort and no range comparisons.  ``strict`` looks only at earlier times.  Among
-    right rows of one time the last by ``tie_break`` wins.
+    Both sides are stacked and swept in time order per key and year; the last right row of
+    the years before comes from a sum of one row per key and year.  No range comparisons,
+    and a key that holds a large share of the rows is as many groups as it has years.
+    ``strict`` looks only at earlier times.  Among right rows of one time the last by
+    ``tie_break`` wins.
     """
     values = [c for c in right.columns if c != key]
-    packed = F.struct(*values)
-    side = F.lit(1 if strict else 0)
+    ties = [f"__b{i}" for i in range(len(tie_break))]
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("s")).schema["s"].dataType)
+    packed, whole = F.struct(*values), F.struct(*left.columns)
     probe = left.select(
-        F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"),
-        F.struct(*left.columns).alias("__l"),
-        F.lit(None).cast(right.select(packed.alias("s")).schema["s"].dataType).alias("__r"),
-        *[F.lit(None).cast(right.schema[c].dataType).alias(f"__b{i}") for i, c in enumerate(tie_break)],
-    )
+        F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"), whole.alias("__l"), none(right, packed).alias("__r"),
+        *[F.lit(None).cast(right.schema[c].dataType).alias(b) for b, c in zip(ties, tie_break)],
+    ).withColumn("__year", F.year("__t"))
     build = right.select(
-        F.col(key).alias("__k"), F.col(right_time).alias("__t"), side.alias("__side"),
-        F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("__l"),
-        packed.alias("__r"),
-        *[F.col(c).alias(f"__b{i}") for i, c in enumerate(tie_break)],
-    )
-    w = (
-        Window.partitionBy("__k")
-        .orderBy("__t", "__side", *[f"__b{i}" for i in range(len(tie_break))])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    swept = probe.unionByName(build).withColumn("__r", F.last("__r", ignorenulls=True).over(w))
+        F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), none(left, whole).alias("__l"), packed.alias("__r"),
+        *[F.col(c).alias(b) for b, c in zip(ties, tie_break)],
+    ).withColumn("__year", F.year("__t"))
+    w = Window.partitionBy("__k", "__year").orderBy("__t", "__side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    swept = probe.unionByName(build).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).filter(F.col("__l").isNotNull())
+    lasts = build.groupBy("__k", "__year").agg(F.max_by("__r", F.struct("__t", *ties)).alias("__c"))
+    years = lasts.unionByName(probe.select("__k", "__year").distinct().withColumn("__c", none(right, packed)))
+    years = years.groupBy("__k", "__year").agg(F.max_by("__c", F.col("__c").isNotNull()).alias("__c"))
+    before = Window.partitionBy("__k").orderBy("__year").rowsBetween(Window.unboundedPreceding, -1)
+    carried = years.select("__k", "__year", F.last("__c", ignorenulls=True).over(before).alias("__c")).filter(F.col("__c").isNotNull())
+    out = swept.join(carried, ["__k", "__year"], "left").withColumn("__r", F.coalesce("__r", "__c"))
     keep = [c for c in values if c not in left.columns]
-    return swept.filter(F.col("__l").isNotNull()).select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in keep])
+    return out.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in keep])
 
 
 def last_date_on_or_before(labels: DataFrame, calendar: DataFrame, label: str = "label") -> DataFrame:

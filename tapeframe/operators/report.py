@@ -154,17 +154,18 @@ def lock_screen(
     The blacklists name frequent flippers across the market and on the instrument
     itself among today's top buyers, and only where the main brokers are net buyers.
     """
-    cands = limit_up_candidates(price, calendar, p)
+    # a handful of candidates and their brokers of one window: stored, every list below reads them once more, not the facts
+    cands = cut_lineage(limit_up_candidates(price, calendar, p), "lock-candidates")
+    own_history = cut_lineage(on_last_dates(nets, calendar, p.lookback + 1).join(cands.select("instrument_id"), "instrument_id", "left_semi"), "lock-nets")
     today, prev = cands.select("instrument_id", "date"), cands.select("instrument_id", F.col("prev_date").alias("date"))
-    of_today = nets.join(today, ["instrument_id", "date"], "left_semi")
-    of_prev = nets.join(prev, ["instrument_id", "date"], "left_semi")
+    of_today = own_history.join(today, ["instrument_id", "date"], "left_semi")
+    of_prev = own_history.join(prev, ["instrument_id", "date"], "left_semi")
     main_today = brokers.broker_main_net(of_today, b.top).select("instrument_id", F.col("main_net").alias("main_net_today"))
     main_prev = brokers.broker_main_net(of_prev, b.top).select("instrument_id", F.col("main_net").alias("main_net_prev"))
     pressure = brokers.flip_pressure(of_prev.unionByName(of_today), price, calendar, b.top).select("instrument_id", "flip_pressure_pct")
     # a stored table of one row per broker: its real size decides whether joins broadcast it
     profile = cut_lineage(brokers.broker_profile(nets, calendar, b), "profile")
     expected = brokers.expected_pressure(of_today, profile, price, b).select("instrument_id", "expected_lots", "expected_pct")
-    own_history = nets.join(today.select("instrument_id"), "instrument_id", "left_semi")
     regulars = brokers.flip_regulars(own_history, calendar, p.lookback, b.top, p.min_hits).select("instrument_id", "broker", "hits")
 
     buyers = (

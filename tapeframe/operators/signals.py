@@ -12,6 +12,7 @@ from ..config import Accumulation, QuietAccumulation, RelativeStrength, RevenueM
 from ..functions.columns import clip, ratio
 from ..functions.quantiles import exact_median
 from ..functions.windows import buy_streak, ordered, return_n, row_index, sma, trailing, with_sliding_range
+from ..session import cut_lineage
 from .joins import asof_join
 
 
@@ -39,7 +40,8 @@ def relative_strength_signals(
     excess per unit of deviation.  Rows without a positive deviation drop out of the
     last two.
     """
-    rets = relative_strength_returns(bars, params.lookback, vol_window)
+    # four narrow columns, stored once for the median and the band
+    rets = cut_lineage(relative_strength_returns(bars, params.lookback, vol_window).select("date", "instrument_id", "ret", "sigma"), "returns")
     med = exact_median(rets, "ret", ["date"])
     banded = rets.filter(F.col("ret").between(params.min_return, params.max_return))
     excess = F.col("ret") - F.col("median")
