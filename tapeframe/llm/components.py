@@ -3,8 +3,9 @@
 Large stars hand every larger neighbour to a node's least neighbour, small stars every
 smaller one; the two end in one star for each component after about as many rounds as the
 logarithm of its diameter.  Minima are aggregated before the shuffle, so a node with very
-many neighbours is one row a task; edges never meet in one group.  Each round is written to
-the shared folder, and only a count and a checksum reach the driver.
+many neighbours is one row a task.  They are written to the shared folder before edges meet
+them: a join of two plain shuffles is one that Spark splits where a node is skewed.  Each
+round is written too, and only a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from tapeframe.session import cut_lineage
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return both.join(cut_lineage(least, "least"), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = edges.join(least, "a").filter(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return least.select("a", F.col("least").alias("b")).union(moved).distinct()
 

@@ -197,7 +197,7 @@ def classes(rows: DataFrame, words: int, percent: int, miss: float, seed: int) -
     first = cut_lineage(sets.groupBy("digest").agg(F.min("doc").alias("rep"), F.min_by("bands", "doc").alias("bands")), "near-classes")
     keyed = first.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    joined = keyed.join(buckets.select("key", "least"), "key").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    joined = keyed.join(cut_lineage(buckets.select("key", "least"), "near-buckets"), "key").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     stars = components(joined)
     members = stars.union(stars.select("b", "b").distinct()).toDF("doc", "cluster")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
