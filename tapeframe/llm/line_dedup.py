@@ -73,6 +73,7 @@ def repeated(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
     lines = cut_lineage(rows.mapInArrow(suspected, "doc long, line binary").distinct(), "suspect-lines")
     common = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs)
+    common = cut_lineage(common.select("line", "keeper"), "common-lines")  # a join of two plain shuffles is split where a line is skewed
     lost = lines.join(common, "line").filter(F.col("doc") < F.col("keeper"))
     return lost.groupBy("doc").agg(F.collect_list("line").alias("drop"))
 
