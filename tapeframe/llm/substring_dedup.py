@@ -208,6 +208,7 @@ def covered(rows: DataFrame, n_words: int, span: int) -> DataFrame:
 
     suspects = cut_lineage(rows.mapInArrow(reveal, "win long, doc long"), "suspect-windows")
     shared = suspects.groupBy("win").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    shared = cut_lineage(shared.select("win", "least"), "shared-windows")  # a join of two plain shuffles is split where a window is skewed
     repeats = suspects.join(shared, "win").filter("doc > least")
     return repeats.groupBy("doc").agg(F.collect_set("win").alias("windows"))
 

@@ -22,7 +22,7 @@ from tapeframe.llm.batches import Shared, byte_slices
 CELLS_PER_HASH = 16
 MOST_CELLS = 1 << 28
 BLOCK = 1 << 16
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 
 
 def cells(hashes: np.ndarray, mask: int, probes: int) -> np.ndarray:
