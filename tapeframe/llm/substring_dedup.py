@@ -220,6 +220,7 @@ def dedup_passages(docs: DataFrame, span: int = 13, text_digest: bool = False) -
     rows = keyed.select(F.col(key).alias("doc"), "text")
     named = cut_lineage(whole_documents(rows, span).filter(F.col("n_words") >= span), "passage-documents")
     firsts = named.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    firsts = cut_lineage(firsts.select("name", "least"), "passage-firsts")
     copies = cut_lineage(named.join(firsts, "name").filter("doc > least").select("doc").distinct(), "passage-copies")
     n_words = named.agg(F.sum("n_words")).first()[0] or 0
     found = covered(rows.join(copies, "doc", "left_anti"), n_words, span).select("doc", "windows", F.lit(False).alias("whole"))
