@@ -81,7 +81,7 @@ class Shared:
 
     def __call__(self):
         if self.key not in BUILT:
-            while len(BUILT) > 3:
+            while len(BUILT) > 1:
                 BUILT.pop(next(iter(BUILT)))
             BUILT[self.key] = self.build(self.data.value)
         return BUILT[self.key]
