@@ -17,6 +17,7 @@ from ..config import (
 from ..functions.columns import clip, contains_any, pct_simple, ratio, vote
 from ..functions.quantiles import exact_median, with_scalar
 from ..functions.windows import latest_streaks, newest_first, ordered, top_rows
+from ..session import cut_lineage
 from ..sources.calendar import on_last_dates
 from .joins import enrich
 from .signals import revenue_gate, revenue_score
@@ -196,7 +197,8 @@ def value_screen(
 
 
 def capped_category(df: DataFrame, flag: str, score: str, cap: int) -> DataFrame:
-    """All rows without the flag, the best ``cap`` rows with it."""
+    """All rows without the flag, the best ``cap`` rows with it; ``df`` is computed once."""
+    df = cut_lineage(df, "capped")
     best = df.filter(flag).orderBy(F.col(score).desc(), "instrument_id").limit(cap)
     return df.filter(~F.col(flag)).unionByName(best)
 
