@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered
 
 
 def enrich(df: DataFrame, signals: DataFrame, on: str | Sequence[str] = "instrument_id") -> DataFrame:
@@ -116,7 +115,3 @@ def explode_grid(df: DataFrame, grid: Sequence[dict], out: str = "cfg") -> DataF
 def wide(statements: DataFrame, types: Sequence[str]) -> DataFrame:
     """Long (instrument_id, date, type, value) statements to one row per report date."""
     return statements.groupBy("instrument_id", "date").pivot("type", list(types)).agg(F.first("value"))
-
-
-def lag_by(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(ordered("instrument_id"))
