@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def enrich(df: DataFrame, signals: DataFrame, on: str | Sequence[str] = "instrument_id") -> DataFrame:
     """Left join that keeps the left side's columns where names clash."""
     keys = [on] if isinstance(on, str) else list(on)
