@@ -9,7 +9,7 @@
 3. **Candidates.** Classes that share a band key are joined to the least of them, and the
    connected components of these joins are the clusters within which links are sought.
 4. **Links.** Full sets are compared within clusters.  A cluster is dealt in blocks of about
-   ``BLOCK`` classes, and each pair of blocks meets in one place: no group grows with its
+   ``BLOCK`` classes (up to ``LARGE_BLOCK`` in clusters of very many), and each pair of blocks meets in one place: no group grows with its
    cluster, all pairs are judged exactly, and a spanning forest of the links is emitted.
 5. **Components** of the links give each document its class.
 
@@ -35,7 +35,7 @@ from tapeframe.session import cut_lineage
 
 NULL_ID = -(1 << 63)
 BAND_PERMUTATIONS = 2
-BLOCK = 96
+BLOCK, LARGE_BLOCK, FEW_BLOCKS = 96, 1024, 32
 COLUMNS = 1 << 13
 
 
@@ -200,7 +200,10 @@ def classes(rows: DataFrame, words: int, percent: int, miss: float, seed: int) -
     joined = keyed.join(cut_lineage(buckets.select("key", "least"), "near-buckets"), "key").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     stars = components(joined)
     members = stars.union(stars.select("b", "b").distinct()).toDF("doc", "cluster")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # small blocks spread small clusters; in large ones larger blocks keep the copies of each set few
+    size = F.count(F.lit(1))
+    blocks = F.least(F.ceil(size / BLOCK), F.greatest(F.lit(FEW_BLOCKS), F.ceil(size / LARGE_BLOCK)))
+    sizes = members.groupBy("cluster").agg(blocks.cast("int").alias("blocks"))
     clusters = members.join(sizes, "cluster").select("doc", "cluster", "blocks")
     found = components(links(rows, clusters, words, percent))
     named = first.select("digest", "rep").join(found.select(F.col("a").alias("rep"), F.col("b").alias("least")), "rep", "left")
