@@ -40,7 +40,7 @@ from tapeframe.session import cut_lineage
 DIMS = 8
 SAMPLE = 20_000
 CELL = 4096
-LEAF = 32
+LEAF = 256
 SALT = 32
 
 
