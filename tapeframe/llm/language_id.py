@@ -9,9 +9,10 @@ The labelled text of a language is a bounded sample: ``sample_docs`` documents c
 a hash of their ids, at most ``sample_chars`` characters of each, for the
 ``most_languages`` most frequent labels.  Everything else covers all rows and whole texts.
 
-Symbols are the 61 most frequent letters of the samples in lower case, one for other
-letters and one for anything else.  The automata become dense tables, and each task
-parses thousands of blocks at a time, a symbol of each per step.  Texts are parsed in
+Every letter of the samples, in lower case, is a symbol of its own; letters that no sample
+holds share one, and so does anything else.  The rows of an automaton lie displaced over
+each other in one array of about two cells a transition, whatever the alphabet, and each
+task parses thousands of blocks at a time, a symbol of each per step.  Texts are parsed in
 blocks of ``BLOCK`` symbols: a phrase ends where its block ends, for every language alike.
 No rows are shuffled but the labels' counts.
 
@@ -21,7 +22,7 @@ no row is labelled.  Ties go to the smaller label.  A null doc_id is not held ou
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from tapeframe.llm.batches import Shared, add_columns, column, fresh
 
 BLOCK = 256
 LANES = 8192
-SYMBOLS = 64
-GAP, OTHER, END = 0, 1, 63
+GAP, OTHER, END, LETTERS = 0, 1, 2, 3
+TRIES = 64
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -59,17 +60,30 @@ def sample(docs: DataFrame, sample_docs: int, sample_chars: int, most_languages:
     return texts
 
 
-def symbol_table(texts: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol of each code point, and whether it is a letter."""
-    seen = Counter(c for own in texts.values() for t in own for c in t.lower() if c.isalpha())
-    place = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 3])}
-    symbols, letters = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
+@cache
+def lower_letters() -> np.ndarray:
+    """The lower case of each code point that is a letter, 0 for others."""
+    lower = np.zeros(0x110000, np.int32)
     for code in range(0x110000):
         char = chr(code)
         if char.isalpha():
-            letters[code] = True
-            symbols[code] = place.get(char.lower(), OTHER)
-    return symbols, letters
+            small = char.lower()
+            lower[code] = ord(small) if len(small) == 1 else code
+    return lower
+
+
+def symbol_table(texts: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each code point, and whether it is a letter."""
+    lower = lower_letters()
+    counts = np.zeros(0x110000, np.int64)
+    for own in texts.values():
+        codes, times = np.unique(lower[Parser.codes("".join(own))], return_counts=True)
+        counts[codes] += times
+    counts[0] = 0
+    seen = np.flatnonzero(counts)
+    place = np.full(0x110000, OTHER, np.int32)
+    place[seen[np.argsort(-counts[seen], kind="stable")]] = LETTERS + np.arange(len(seen))
+    return np.where(lower > 0, place[lower], GAP).astype(np.int32), lower > 0
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -101,22 +115,58 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(symbols: list[int]) -> np.ndarray:
-    """Next state of each state and symbol, as the place of its row; its complement where a new phrase starts.
+def displaced(moves: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each state but the first, and their cells.
 
-    The last state stands before any phrase and after a symbol that the sequence lacks.
+    The move of a state by a symbol is the cell at the sum of its place and the symbol; it
+    holds the places of this state and the next.  Places differ, and 0 is nobody's.  A
+    state that finds no free cells in ``TRIES`` places goes to the end.
+    """
+    width = max((max(m) for m in moves if m), default=0) + 1
+    room = 2 * sum(map(len, moves)) + 2
+    used, taken = bytearray(room + width), bytearray(room)
+    taken[0] = 1
+    places, at = np.zeros(len(moves), np.int64), 1
+    for state in sorted(range(1, len(moves)), key=lambda i: -len(moves[i])):
+        own = list(moves[state])
+        for _ in range(TRIES):
+            at = (at * 1103515245 + 12345) & 0x7FFFFFFF
+            place = at % room
+            if not taken[place]:
+                for s in own:
+                    if used[place + s]:
+                        break
+                else:
+                    break
+        else:
+            place = room + width
+            used.extend(bytes(2 * width + 1))
+            taken.extend(bytes(place + width + 1 - room))
+            room = place + width + 1
+        taken[place] = 1
+        places[state] = place
+        for s in own:
+            used[place + s] = 1
+    cells = np.full(len(used), -1, np.int64)
+    for state in range(1, len(moves)):
+        place = int(places[state])
+        for s, to in moves[state].items():
+            cells[place + s] = place << 32 | int(places[to])
+    return places, cells
+
+
+def parse_table(symbols: list[int], n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the automaton of a sequence, and where a phrase that starts with each symbol leads.
+
+    A cell that names another state than the present one means that a new phrase starts.
+    State 0 stands before any phrase and after a symbol that the sequence lacks.
     """
     moves = automaton(symbols)
-    outside = len(moves) * SYMBOLS
-    root = np.full(SYMBOLS, outside, np.int32)
+    places, cells = displaced(moves)
+    root = np.zeros(n_symbols, np.int64)
     for s, to in moves[0].items():
-        root[s] = to * SYMBOLS
-    table = np.tile(~root, (len(moves) + 1, 1))
-    for state, out in enumerate(moves):
-        for s, to in out.items():
-            table[state, s] = to * SYMBOLS
-    table[:, END] = outside
-    return table.ravel()
+        root[s] = places[to]
+    return np.concatenate([cells, np.full(n_symbols, -1, np.int64)]), root
 
 
 class Parser:
@@ -125,10 +175,10 @@ class Parser:
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.symbols, self.letters = symbol_table(texts)
         self.languages = sorted(texts)
-        self.tables, self.bits = [], []
+        self.tables, self.bits, n_symbols = [], [], max(LETTERS, int(self.symbols.max()) + 1)
         for lang in self.languages:
             joined = self.symbols[self.codes("\n".join(texts[lang]))].tolist()
-            self.tables.append(parse_table(joined))
+            self.tables.append(parse_table(joined, n_symbols))
             self.bits.append(np.log2(max(2, len(joined))))
 
     @staticmethod
@@ -148,18 +198,21 @@ class Parser:
         turn = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         first = (ends - sizes)[owner] + turn * BLOCK
         length = np.minimum(BLOCK, ends[owner] - first)
-        padded = np.concatenate([symbols, np.full(BLOCK, END, np.uint8)])
+        padded = np.concatenate([symbols, np.full(BLOCK, END, np.int32)])
         counts = np.zeros((len(self.tables), len(texts)), np.int64)
         for lo in range(0, len(first), LANES):
             at, size = first[lo : lo + LANES], length[lo : lo + LANES]
             lanes = padded[at[None, :] + np.arange(BLOCK)[:, None]]
             lanes[np.arange(BLOCK)[:, None] >= size[None, :]] = END
-            for k, table in enumerate(self.tables):
-                state, found = np.full(len(at), len(table) - SYMBOLS, np.int32), np.zeros(len(at), np.int32)
-                for step in lanes[: size.max()]:
-                    state = table[state + step]
-                    found -= state >> 31
-                    state ^= state >> 31
+            steps = lanes[: size.max()]
+            for k, (cells, root) in enumerate(self.tables):
+                # an end starts no phrase, but always leads to state 0 like one
+                state, found = np.zeros(len(at), np.int64), size - len(steps)
+                for step in steps:
+                    cell = cells[state + step]
+                    new = cell >> 32 != state
+                    found += new
+                    state = np.where(new, root[step], cell & 0xFFFFFFFF)
                 counts[k] += np.bincount(owner[lo : lo + LANES], found, len(texts)).astype(np.int64)
         return counts, sizes, letters
 

@@ -405,6 +405,28 @@ def test_phrases_are_the_longest_matches():
             assert counts[k][t] == phrases
 
 
+def test_languages_of_many_scripts():
+    """Every letter of the samples counts: 26 Latin, 2 x 33 of two rare scripts and 2 x 120 Chinese letters."""
+    rng = random.Random(11)
+    scripts = {"en": range(97, 123), "hy": range(0x561, 0x582), "ka": range(0x10D0, 0x10F1), "zh": range(0x4E00, 0x4E78), "ja": range(0x6000, 0x6078)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(2, 5))) for _ in range(200)] for k, v in scripts.items()}
+    prose = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    parser = language_id.Parser({k: [prose(k, 150) for _ in range(40 if k == "en" else 8)] for k in scripts})
+    letters = parser.symbols[[c for v in scripts.values() for c in v]]
+    assert len(set(letters.tolist())) == 33 * 2 + 26 + 240 and language_id.OTHER not in letters
+    assert parser.symbols[ord("A")] == parser.symbols[ord("a")] and parser.symbols[ord("ж")] == language_id.OTHER
+    want = [k for k in scripts for _ in range(20)]
+    assert parser([prose(k, 12) for k in want])[0] == want
+
+
+def test_displaced_rows_at_the_end_of_the_array(monkeypatch):
+    """States that find no free place still get cells of their own."""
+    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(600))
+    part = language_id.Parser({"xx": [text]}).phrases([text[5:300], text[::-1]])[0]
+    monkeypatch.setattr(language_id, "TRIES", 1)
+    assert (language_id.Parser({"xx": [text]}).phrases([text[5:300], text[::-1]])[0] == part).all()
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(PASSAGE.split()[5:30])), (22, "the SAME line"), (3, None), (4, "!!"), (5, "漢"), (1, "ha-ha ha ha ha ha ha ha ha ha ha ha ha"), (22, "the SAME line")]
     bench = spark.createDataFrame(items, "item_id long, text string")
