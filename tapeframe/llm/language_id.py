@@ -6,15 +6,17 @@ Phrases times log2 of the labelled length, per symbol, estimate the entropy of t
 relative to the language; the least wins.
 
 The labelled text of a language is a bounded sample: ``sample_docs`` documents chosen by
-a hash of their ids, at most ``sample_chars`` characters of each, for the
-``most_languages`` most frequent labels.  Everything else covers all rows and whole texts.
+a hash of their ids, at most ``sample_chars`` characters of each.  Every label is learned
+and everything else covers all rows and whole texts: ``at_once`` languages at a time are
+broadcast, and where there are more, each slice of them reads the texts again and stores
+the two least entropies it finds, a small row a text; one aggregation then takes the least.
 
 Every letter of the samples, in lower case, is a symbol of its own; letters that no sample
 holds share one, and so does anything else.  The rows of an automaton lie displaced over
 each other in one array of about two cells a transition, whatever the alphabet, and each
 task parses thousands of blocks at a time, a symbol of each per step.  Texts are parsed in
 blocks of ``BLOCK`` symbols: a phrase ends where its block ends, for every language alike.
-No rows are shuffled but the labels' counts.
+With one slice no rows are shuffled but the labels' counts.
 
 A text that is null or holds no letter is ``und`` with score 0, and so is every text if
 no row is labelled.  Ties go to the smaller label.  A null doc_id is not held out.
@@ -22,7 +24,9 @@ no row is labelled.  Ties go to the smaller label.  A null doc_id is not held ou
 
 from __future__ import annotations
 
-from functools import cache
+import math
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeframe.llm.batches import Shared, add_columns, column, fresh
+from tapeframe.session import cut_lineage
 
 BLOCK = 256
 LANES = 8192
@@ -43,21 +48,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int, sample_chars: int, most_languages: int) -> dict[str, list[str]]:
-    """Labelled texts by language; at most ``sample_docs`` of ``sample_chars`` characters each reach the driver."""
+def samples(docs: DataFrame, sample_docs: int, sample_chars: int, at_once: int) -> Iterator[dict[str, list[str]]]:
+    """Labelled texts by language, ``at_once`` languages at a time; at most ``sample_docs`` of ``sample_chars`` characters each."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
-        return {}
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) / float(1 << 53)
-    rates = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * sample_docs / r["count"])))))
-    chosen = rows.withColumn("unit", unit).filter(F.col("unit") < rates[F.col("lang")]).select("lang", "unit", F.substring("text", 1, sample_chars).alias("text"))
+    # stored, so that Spark knows its size when it plans the join
+    rates = cut_lineage(rows.groupBy("lang").count().select("lang", (2.0 * sample_docs / F.col("count")).alias("rate")), "languages")
+    drawn = rows.select("lang", unit.alias("unit"), F.substring("text", 1, sample_chars).alias("text")).join(rates, "lang")
     texts: dict[str, list[str]] = {}
-    for row in chosen.orderBy("lang", "unit", "text").toLocalIterator():
+    for row in drawn.filter("unit < rate").select("lang", "unit", "text").orderBy("lang", "unit", "text").toLocalIterator():
+        if row.lang not in texts and len(texts) == at_once:
+            yield texts
+            texts = {}
         own = texts.setdefault(row.lang, [])
         if len(own) < sample_docs:
             own.append(row.text)
-    return texts
+    if texts:
+        yield texts
 
 
 @cache
@@ -216,45 +223,68 @@ class Parser:
                 counts[k] += np.bincount(owner[lo : lo + LANES], found, len(texts)).astype(np.int64)
         return counts, sizes, letters
 
-    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str]) -> tuple[list[str | None], list[float], list[float], list[bool]]:
+        """The language of the least entropy, this and the second least entropy, and whether there is a letter, by text."""
         if not self.languages or not texts:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            letters = [any(c.isalpha() for c in t) for t in texts]
+            return [None] * len(texts), [math.inf] * len(texts), [math.inf] * len(texts), letters
         counts, sizes, letters = self.phrases(texts)
         entropy = counts * np.array(self.bits)[:, None] / np.maximum(sizes, 1)
         order = np.argsort(entropy, axis=0, kind="stable")
         best = np.take_along_axis(entropy, order[:1], 0)[0]
-        score = np.ones(len(texts))
-        if len(self.languages) > 1:
-            second = np.take_along_axis(entropy, order[1:2], 0)[0]
-            score = np.where(second > 0, 1 - best / np.where(second > 0, second, 1), 0.0)
-        known = letters > 0
-        langs = [self.languages[i] if k else "und" for i, k in zip(order[0], known)]
-        return langs, np.where(known, np.clip(score, 0, 1), 0.0).tolist()
-
-
-def identify(
-    docs: DataFrame, sample_docs: int = 40, sample_chars: int = 1000, most_languages: int = 64, keep_text: bool = True
-) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the predicted language and its score, and the names of these columns; needs doc_id, text and lang.
+        second = np.take_along_axis(entropy, order[1:2], 0)[0] if len(self.languages) > 1 else np.full(len(texts), math.inf)
+        return [self.languages[i] for i in order[0]], best.tolist(), second.tolist(), (letters > 0).tolist()
 
-    Only the sample sees lang and doc_id; predictions see the text alone.
-    """
-    parser = Shared(docs.sparkSession, sample(docs, sample_docs, sample_chars, most_languages), Parser)
-    names = fresh(docs, "lang_pred", "score")
+
+def parsed(docs: DataFrame, parser: Shared, names: list[str], drop: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the columns ``names``: what the parser finds for each text."""
 
     def predict(batch: pa.RecordBatch) -> list[pa.Array]:
-        langs, scores, group, size = [], [], [], 0
+        found, group, size = ([], [], [], []), [], 0
         read = parser()
-        for text in column(batch, "text").fill_null("").to_pylist():
-            group.append(text)
-            size += len(text)
-            if size >= LANES * BLOCK:
-                found = read(group)
-                langs, scores, group, size = langs + found[0], scores + found[1], [], 0
-        found = read(group)
-        return [pa.array(langs + found[0], pa.string()), pa.array(scores + found[1], pa.float64())]
-
-    return add_columns(docs, dict(zip(names, (T.StringType(), T.DoubleType()))), predict, () if keep_text else ("text",)), names
+        for text in [*column(batch, "text").fill_null("").to_pylist(), None]:
+            if text is not None:
+                group.append(text)
+                size += len(text)
+            if text is None or size >= LANES * BLOCK:
+                for own, new in zip(found, read(group)):
+                    own.extend(new)
+                group, size = [], 0
+        return [pa.array(x, k) for x, k in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+
+    return add_columns(docs, dict(zip(names, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()))), predict, drop)
+
+
+def identify(docs: DataFrame, sample_docs: int = 40, sample_chars: int = 1000, at_once: int = 32, keep_text: bool = True) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the predicted language and its score, and the names of these columns; needs doc_id, text and lang.
+
+    Only the sample sees lang and doc_id; predictions see the text alone.
+    """
+    spark, drop = docs.sparkSession, () if keep_text else ("text",)
+    lang, score, best, second, letter, key, slices = names = fresh(docs, "lang_pred", "score", "best", "second", "letter", "key", "slices")
+    found = names[:1] + names[2:5]
+    more = samples(docs, sample_docs, sample_chars, at_once)
+    part, following = next(more, {}), next(more, None)
+    if following is None:
+        rows = parsed(docs, Shared(spark, part, Parser), found, drop)
+    else:
+        keyed = cut_lineage(docs.withColumn(key, F.monotonically_increasing_id()), "texts")
+        stored = []
+        while part is not None:
+            parser = Shared(spark, part, Parser)
+            stored.append(cut_lineage(parsed(keyed.select(key, "text"), parser, found, ("text",)), "entropies"))
+            parser.data.unpersist()
+            part, following = following, next(more, None)
+        entropies = reduce(DataFrame.unionByName, stored)
+        own = F.col(slices)
+        least = entropies.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(best, lang, second, letter))).alias(slices)).select(
+            key, own[0][lang].alias(lang), own[0][best].alias(best), F.least(own[0][second], own[1][best]).alias(second), own[0][letter].alias(letter)
+        )
+        rows = keyed.drop(*drop).join(least, key).drop(key)
+    sure = F.when(F.col(second) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(best) / F.col(second)))).otherwise(0.0)
+    known = F.col(letter) & F.col(lang).isNotNull()
+    others = [c for c in docs.columns if c not in drop]
+    return rows.select(*others, F.when(known, F.col(lang)).otherwise("und").alias(lang), F.when(known, sure).otherwise(0.0).alias(score)), [lang, score]
 
 
 def language_report(docs: DataFrame, **options) -> DataFrame:

@@ -419,6 +419,24 @@ def test_languages_of_many_scripts():
     assert parser([prose(k, 12) for k in want])[0] == want
 
 
+def test_every_label_is_learned(spark):
+    """Seventy labels, the rarest with fewer rows than all others; slices of languages find the same as one."""
+    rng = random.Random(12)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    prose = lambda k: " ".join(rng.choice(words[k]) for _ in range(12))
+    rows = [(i, prose(k), k) for i, k in enumerate(k for k in words for _ in range(3 if k == "l69" else 5))]
+    rows += [(1000 + i, prose(k), None) for i, k in enumerate(words)] + [(None, "12", None), (None, None, "l01")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    read = lambda n: [tuple(r) for r in language_id.language_report(docs, at_once=n).collect()]
+    key = lambda r: (r[0] or -1, r[2], r[3])
+    one = sorted(read(100), key=key)
+    assert sorted(read(23), key=key) == one and len(one) == len(rows)
+    assert {r[0]: r[2] for r in one if (r[0] or 0) >= 1000} == {1000 + i: k for i, k in enumerate(words)}
+    assert sorted(map(key, language_id.language_report(docs).collect())) == sorted(map(key, one))
+    kept = language_id.in_known_language(docs, at_once=50)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 2
+
+
 def test_displaced_rows_at_the_end_of_the_array(monkeypatch):
     """States that find no free place still get cells of their own."""
     text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(600))
