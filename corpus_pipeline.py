@@ -22,7 +22,7 @@ from tapeframe.session import cut_lineage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those without a letter go."""
+    """Documents in some language; only those without a letter go."""
     return in_known_language(docs)
 
 

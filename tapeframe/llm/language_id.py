@@ -6,7 +6,7 @@ Phrases times log2 of the labelled length, per symbol, estimate the entropy of t
 relative to the language; the least wins.
 
 The labelled text of a language is a bounded sample: ``sample_docs`` documents chosen by
-a hash of their ids, at most ``sample_chars`` characters of each.  Every label is learned
+a hash of their ids and texts, exact copies once, at most ``sample_chars`` characters of each.  Every label is learned
 and everything else covers all rows and whole texts: ``at_once`` languages at a time are
 broadcast, and where there are more, each slice of them reads the texts again and stores
 the two least entropies it finds, a small row a text; one aggregation then takes the least.
@@ -19,7 +19,7 @@ blocks of ``BLOCK`` symbols: a phrase ends where its block ends, for every langu
 With one slice no rows are shuffled but the labels' counts.
 
 A text that is null or holds no letter is ``und`` with score 0, and so is every text if
-no row is labelled.  Ties go to the smaller label.  A null doc_id is not held out.
+no row is labelled; ``letter`` tells them apart.  A label ``und`` is one like others.  Ties go to the smaller label.  A null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -51,12 +51,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def samples(docs: DataFrame, sample_docs: int, sample_chars: int, at_once: int) -> Iterator[dict[str, list[str]]]:
     """Labelled texts by language, ``at_once`` languages at a time; at most ``sample_docs`` of ``sample_chars`` characters each."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) / float(1 << 53)
+    rows = rows.withColumn("unit", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(9)), 11) / float(1 << 53))
+    rates = rows.groupBy("lang").agg(F.min("unit").alias("least"), F.approx_count_distinct("unit", 0.02).alias("n"))
     # stored, so that Spark knows its size when it plans the join
-    rates = cut_lineage(rows.groupBy("lang").count().select("lang", (2.0 * sample_docs / F.col("count")).alias("rate")), "languages")
-    drawn = rows.select("lang", unit.alias("unit"), F.substring("text", 1, sample_chars).alias("text")).join(rates, "lang")
+    rates = cut_lineage(rates.select("lang", "least", (2.0 * sample_docs / F.col("n")).alias("rate")), "languages")
+    drawn = rows.select("lang", "unit", F.substring("text", 1, sample_chars).alias("text")).join(rates, "lang").filter("unit < rate OR unit = least")
     texts: dict[str, list[str]] = {}
-    for row in drawn.filter("unit < rate").select("lang", "unit", "text").orderBy("lang", "unit", "text").toLocalIterator():
+    for row in drawn.select("lang", "unit", "text").distinct().orderBy("lang", "unit", "text").toLocalIterator():
         if row.lang not in texts and len(texts) == at_once:
             yield texts
             texts = {}
@@ -256,7 +257,7 @@ def parsed(docs: DataFrame, parser: Shared, names: list[str], drop: tuple[str, .
 
 
 def identify(docs: DataFrame, sample_docs: int = 40, sample_chars: int = 1000, at_once: int = 32, keep_text: bool = True) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the predicted language and its score, and the names of these columns; needs doc_id, text and lang.
+    """``docs`` with the predicted language, its score and whether the text holds a letter, and the names of these columns; needs doc_id, text and lang.
 
     Only the sample sees lang and doc_id; predictions see the text alone.
     """
@@ -284,17 +285,17 @@ def identify(docs: DataFrame, sample_docs: int = 40, sample_chars: int = 1000, a
     sure = F.when(F.col(second) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(best) / F.col(second)))).otherwise(0.0)
     known = F.col(letter) & F.col(lang).isNotNull()
     others = [c for c in docs.columns if c not in drop]
-    return rows.select(*others, F.when(known, F.col(lang)).otherwise("und").alias(lang), F.when(known, sure).otherwise(0.0).alias(score)), [lang, score]
+    return rows.select(*others, F.when(known, F.col(lang)).otherwise("und").alias(lang), F.when(known, sure).otherwise(0.0).alias(score), letter), [lang, score, letter]
 
 
 def language_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    parser_rows, (lang, score) = identify(rows, keep_text=False, **options)
+    parser_rows, (lang, score, _) = identify(rows, keep_text=False, **options)
     return parser_rows.select("doc_id", held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def in_known_language(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text is in a known language, that is not ``und``."""
-    found, (lang, _) = identify(docs, **options)
-    return found.filter(F.col(lang) != "und").select(*docs.columns)
+    """The rows of ``docs`` whose text is in some language, that is holds a letter, whatever is predicted for it."""
+    found, (_, _, letter) = identify(docs, **options)
+    return found.filter(F.col(letter)).select(*docs.columns)

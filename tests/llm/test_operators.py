@@ -437,6 +437,25 @@ def test_every_label_is_learned(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 2
 
 
+def test_language_stage_rejects_only_texts_without_a_letter(spark):
+    """No label at all, the label und, and one null doc_id on all of more than 80 rows a label."""
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, f"plain words number {i}", None) for i in range(30)] + [(50, "12 -", None), (51, None, None), (52, "", None)]
+    assert {r.doc_id for r in language_id.in_known_language(spark.createDataFrame(rows, schema)).collect()} == set(range(30))
+    und = [(i, f"plain words number {i}", "und") for i in range(30)]
+    assert language_id.in_known_language(spark.createDataFrame(und, schema)).count() == 30
+    # with doc_id alone hashed, 0.03 is the rate of each label: all or, most often, none of its rows
+    word = {"aa": "bado kiri moto zula", "bb": "schtrum wolft krux", "cc": "elou vieux oise quel"}
+    null = spark.createDataFrame([(None, f"{word[k]} {i}", k) for k in word for i in range(2700)], schema)
+    (texts,) = language_id.samples(null, 40, 1000, 32)
+    assert {k: len(set(v)) for k, v in texts.items()} == {k: 40 for k in word}
+    got = language_id.language_report(null).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {k: 2700 for k in word}
+    assert language_id.in_known_language(null).count() == 8100
+    copies = spark.createDataFrame([(None, word[k], k) for k in word for _ in range(500)], schema)
+    assert list(language_id.samples(copies, 40, 1000, 32)) == [{k: [t] for k, t in word.items()}]
+
+
 def test_displaced_rows_at_the_end_of_the_array(monkeypatch):
     """States that find no free place still get cells of their own."""
     text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(600))
