@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions.columns import number_or_null, ratio
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 
 # How near a limit counts, and the jump in percent.
 NEAR_UP, NEAR_DOWN, JUMP = 0.985, 1.015, 3.0
@@ -44,45 +42,92 @@ def prices(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", "ts", F.to_date("ts").alias("day"), price.alias("price"))
 
 
-def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Previous close and running range of one symbol's quotes; keeps day, close, previous close, high and low.
+STATE = "symbol long, day date, close double, before double, high double, low double"
 
-    A quote that arrives after its day has passed gets neither and changes nothing.
+
+def carry(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The quotes of one trigger with previous close and running range, and the state after it.
+
+    ``state`` has a row a symbol: its day, close, the close before that day, high and low.
+    A quote that arrives after its day has passed gets neither and changes nothing.  Quotes
+    are dealt out by ranges of (symbol, ts, price) and equal ones by a hash, so a symbol may
+    fill many slices.  Hash aggregates find a row for each symbol, day and slice, and only
+    these rows are carried from slice to slice and from day to day by windows.
     """
-    day, close, before, high, low = state.get if state.exists else (None,) * 5
-    quotes = pd.concat(list(frames)).sort_values(["ts", "price"], kind="stable")
-    quotes["prev_close"] = quotes["high"] = quotes["low"] = None
-    for own, part in quotes.groupby("day", sort=True):
-        if day is not None and own < day:
-            continue
-        if own != day:
-            day, before, high, low = own, close, None, None
-        known = part["price"].dropna()
-        if len(known):
-            close = float(known.iloc[-1])
-        top, bottom = part["price"].cummax().ffill(), part["price"].cummin().ffill()
-        if high is not None:
-            top, bottom = top.fillna(high).clip(lower=high), bottom.fillna(low).clip(upper=low)
-        quotes.loc[part.index, "prev_close"], quotes.loc[part.index, "high"], quotes.loc[part.index, "low"] = before, top, bottom
-        high, low = (None if pd.isna(x.iloc[-1]) else float(x.iloc[-1]) for x in (top, bottom))
-    state.update((day, close, before, high, low))
-    for name in ("prev_close", "high", "low"):
-        quotes[name] = quotes[name].astype("float64")
-    yield quotes[["symbol", "ts", "day", "price", "prev_close", "high", "low"]]
-
-
-def normalise(raw: DataFrame) -> DataFrame:
+    known = F.when(~F.isnan("price"), F.col("price"))
+    order = [F.col("ts").asc_nulls_last(), F.col("price").asc_nulls_last()]
+    # stored, as another sample could cut other slices
+    dealt = batch.withColumns({"price": known, "turn": F.xxhash64(F.monotonically_increasing_id())}).repartitionByRange("symbol", *order, "turn")
+    rows = cut_lineage(dealt.withColumn("slice", F.spark_partition_id()).drop("turn"), "quote-slices")
+    last = F.max(F.when(F.col("price").isNotNull(), F.struct("ts", "price")))["price"]
+    parts = rows.filter("day IS NOT NULL").groupBy("symbol", "day", "slice").agg(F.max("price").alias("top"), F.min("price").alias("bottom"), last.alias("last"))
+    was = state.select(F.col("symbol").alias("own"), *(F.col(c).alias(f"{c}_was") for c in ("day", "close", "before", "high", "low")))
+    parts = parts.join(was, F.col("symbol").eqNullSafe(F.col("own")), "left").filter("day_was IS NULL OR day >= day_was")
+    same, upto = F.col("day") == F.col("day_was"), Window.partitionBy("symbol", "day").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = {c: F.when(same, F.col(f"{c}_was")) for c in ("high", "low")}
+    parts = parts.withColumns({"above": F.greatest(F.max("top").over(upto), first["high"]), "below": F.least(F.min("bottom").over(upto), first["low"])})
+
+    closes = F.max_by("last", F.when(F.col("last").isNotNull(), F.col("slice"))).alias("last")
+    once = [F.first(f"{c}_was").alias(f"{c}_was") for c in ("day", "close", "before", "high", "low")]
+    days = parts.groupBy("symbol", "day").agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"), closes, *once)
+    earlier = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("carried", F.coalesce(F.last("last", ignorenulls=True).over(earlier), "close_was"))
+    days = cut_lineage(days.withColumn("prev_close", F.when(same, F.col("before_was")).otherwise(F.col("carried"))), "quote-days")
+
+    seen = parts.select(F.col("symbol").alias("s"), F.col("day").alias("d"), F.col("slice").alias("k"), "above", "below")
+    prev = days.select(F.col("symbol").alias("s"), F.col("day").alias("d"), "prev_close")
+    marks = seen.join(prev, seen.s.eqNullSafe(prev.s) & (seen.d == prev.d)).select(seen.s, seen.d, "k", "above", "below", "prev_close")
+    run = Window.partitionBy("slice", "symbol", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col("symbol").eqNullSafe(F.col("s")) & (F.col("day") == F.col("d")) & (F.col("slice") == F.col("k"))
+    timely = F.col("d").isNotNull()
+    out = rows.join(marks, at, "left").select(
+        "symbol", "ts", "day", "price", "prev_close",
+        F.when(timely, F.greatest(F.max("price").over(run), "above")).alias("high"), F.when(timely, F.least(F.min("price").over(run), "below")).alias("low"),
+    )
+    newest = F.max_by(F.struct(
+        F.col("day"), F.coalesce("last", "carried").alias("close"), F.col("prev_close").alias("before"),
+        F.greatest("top", first["high"]).alias("high"), F.least("bottom", first["low"]).alias("low"),
+    ), "day")
+    changed = days.groupBy("symbol").agg(newest.alias("x")).select("symbol", "x.*")
+    rest = state.join(changed.select(F.col("symbol").alias("own")), F.col("symbol").eqNullSafe(F.col("own")), "left_anti")
+    return out, rest.unionByName(changed)
+
+
+class Followed:
+    """A stream of raw prices, and what happens to each trigger's quotes once range and previous close are known.
+
+    It takes ``select``, ``filter`` and ``withColumn`` as a frame does; ``run_available`` runs it.
+    """
+
+    def __init__(self, stream: DataFrame, steps: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> None:
+        self.stream, self.steps = stream, steps
+
+    def then(self, step: Callable[[DataFrame], DataFrame]) -> Followed:
+        return Followed(self.stream, (*self.steps, step))
+
+    def select(self, *columns) -> Followed:
+        return self.then(lambda df: df.select(*columns))
+
+    def filter(self, condition) -> Followed:
+        return self.then(lambda df: df.filter(condition))
+
+    def withColumn(self, name: str, column: Column) -> Followed:
+        return self.then(lambda df: df.withColumn(name, column))
+
+    def finish(self, quotes: DataFrame) -> DataFrame:
+        for step in self.steps:
+            quotes = step(quotes)
+        return quotes
+
+
+def normalise(raw: DataFrame) -> Followed:
     """Prices against the close of the symbol's previous quoted day, with the day's range so far.
 
     The state of a symbol is five values; quotes of a symbol without an earlier day keep a
-    null change.  The quotes of one symbol and trigger are held together, so
-    ``files_per_trigger`` bounds them.
+    null change.
     """
-    out = "symbol long, ts timestamp, day date, price double, prev_close double, high double, low double"
-    kept = "day date, close double, prev_close double, high double, low double"
-    q = prices(raw).groupBy("symbol").applyInPandasWithState(follow, out, kept, "append", "NoTimeout")
     prev = F.col("prev_close")
-    return q.select(
+    return Followed(prices(raw)).select(
         "*", (prev * 1.1).alias("limit_up"), (prev * 0.9).alias("limit_down"),
         F.when(prev > 0, F.round(ratio(F.col("price") - prev, prev) * 100, 2)).alias("change_pct"),
     )
@@ -100,7 +145,7 @@ def alert_text(jump: float = JUMP) -> Column:
     )
 
 
-def quote_alerts(quotes: DataFrame, jump: float = JUMP) -> DataFrame:
+def quote_alerts(quotes: Followed, jump: float = JUMP) -> Followed:
     """Quotes that raise at least one alert."""
     return quotes.withColumn("alerts", alert_text(jump)).filter("alerts <> ''")
 
@@ -125,13 +170,29 @@ def day_range(quotes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what has landed, exactly once, into files of the shared folder; returns them."""
-    spark = stream.sparkSession
+def run_available(stream: DataFrame | Followed, name: str) -> DataFrame:
+    """Process what has landed, exactly once, into files of the shared folder; returns them.
+
+    Followed quotes land first with the time of their trigger; then the triggers are
+    followed in their order, each from the stored state of the one before.
+    """
+    source = stream.stream.withColumn("trigger", F.unix_micros(F.current_timestamp())) if isinstance(stream, Followed) else stream
+    spark = source.sparkSession
     folder = shared_folder(spark, name)
     query = (
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        source.writeStream.format("parquet").option("path", f"{folder}/landed").option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    landed = spark.read.schema(source.schema).parquet(f"{folder}/landed")
+    if not isinstance(stream, Followed):
+        return landed
+    state, out = spark.createDataFrame([], STATE), None
+    for (trigger,) in [*landed.select("trigger").distinct().orderBy("trigger").collect(), (None,)]:
+        if trigger is None and out is not None:
+            break
+        quotes, state = carry(landed.filter(F.col("trigger") == F.lit(trigger)).drop("trigger"), state)
+        state = cut_lineage(state, "quote-state")
+        out = stream.finish(quotes)
+        out.write.mode("append").parquet(f"{folder}/out")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")

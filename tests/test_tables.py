@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +124,47 @@ def test_later_deliveries_continue_the_day(spark, frame):
     }
 
 
+def test_a_symbol_of_many_slices(spark, monkeypatch):
+    """Quotes of one symbol are dealt over many tasks, none of them in Python, and carry over slices, days and triggers."""
+    rng = random.Random(4)
+    at = lambda day, s: datetime(2024, 1, day, 9) + timedelta(seconds=s)
+    make = lambda days, n: [(rng.choice([1, 1, 1, 2, None]), t := at(rng.choice(days), rng.randrange(40)), t.date(), rng.choice([None, float(rng.randrange(90))])) for _ in range(n)]
+    triggers = [make([3, 4, 5], 300) + [(7, at(3, 0), at(3, 0).date(), None)], make([4, 5, 6], 300), make([2, 6, 7], 300) + [(7, at(4, 0), at(4, 0).date(), 5.0), (1, None, None, 3.0)]]
+    stored, slices = quotes.cut_lineage, []
+
+    def uncoalesced(df, name):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        table = stored(df, name)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        if name == "quote-slices":
+            slices.append(table.filter("symbol = 1").select("slice").distinct().count())
+        return table
+
+    monkeypatch.setattr(quotes, "cut_lineage", uncoalesced)
+    state, kept = spark.createDataFrame([], quotes.STATE), {}
+    number = lambda x: float("inf") if x is None else x
+    for rows in triggers:
+        frame = spark.createDataFrame(rows, "symbol long, ts timestamp, day date, price double")
+        out, state = quotes.carry(frame, state)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Pandas" not in plan and "Python" not in plan
+        got, state, want = [tuple(r) for r in out.collect()], state.localCheckpoint(), []
+        for r in sorted(rows, key=lambda r: (r[1] or datetime.max, number(r[3]))):
+            symbol, _, day, price = r
+            now = kept.setdefault(symbol, [None] * 5)
+            if day is None or now[0] and day < now[0]:
+                want.append((*r, None, None, None))
+                continue
+            if day != now[0]:
+                now[:] = day, now[1], now[1], None, None
+            if price is not None:
+                now[1], now[3], now[4] = price, max(price, number(now[3]) if now[3] is not None else price), min(price, number(now[4]))
+            want.append((*r, *now[2:]))
+        assert Counter(got) == Counter(want)
+        assert {r.symbol: list(r)[1:] for r in state.collect()} == {k: v for k, v in kept.items() if v[0]}
+    assert min(slices) > 1
+
+
 def test_day_range_emits_closed_days(spark, ticks):
     folder, _ = ticks
     s = stream(spark, folder).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
