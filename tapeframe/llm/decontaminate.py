@@ -2,11 +2,11 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  Every
 ``n`` consecutive words of a benchmark item are a window; an item with fewer words is one
-window.  The windows are broadcast as a set of bounded size: ``limit`` windows at a time,
-and a larger benchmark is scanned in several passes over the texts, each adding to the
-hits of the one before.  A text's words become numbers of the benchmark's vocabulary; a
+window.  The windows are broadcast as a set of bounded size: ``limit`` pairs of a window
+and an item at a time.  A larger benchmark is scanned in several passes over the stored
+texts, one after the other; each stores its hits before the next slice is broadcast.  A text's words become numbers of the benchmark's vocabulary; a
 window is looked up only where no word is foreign, and its words are compared themselves.
-No rows are shuffled.
+With one slice no rows are shuffled; with more, the rows that are hit join the texts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeframe.llm.batches import Shared, WordHasher, add_columns, column, fresh, row_slices, text_bytes
+from tapeframe.session import cut_lineage
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -35,15 +37,19 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 def window_sets(benchmark: DataFrame, n: int, limit: int) -> Iterator[dict[bytes, set[str]]]:
-    """Windows (their words joined by a space) and the items that hold them, at most about ``limit`` at a time."""
+    """Windows (their words joined by a space) and the items that hold them, at most ``limit`` such pairs at a time."""
     part: dict[bytes, set[str]] = {}
+    size = 0
     for item, text in benchmark.toLocalIterator():
-        words = item_words(text)
+        words, name = item_words(text), str(item)
         for i in range(max(1, len(words) - n + 1) if words else 0):
-            part.setdefault(b" ".join(words[i : i + n]), set()).add(str(item))
-        if len(part) >= limit:
-            yield part
-            part = {}
+            own = part.setdefault(b" ".join(words[i : i + n]), set())
+            if name not in own:
+                own.add(name)
+                size += 1
+            if size >= limit:
+                yield part
+                part, size = {}, 0
     if part:
         yield part
 
@@ -106,16 +112,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = 200_00
     texts have no words; items without words have no window; items and rows that repeat
     change nothing; with an empty benchmark nothing is hit.
     """
-    names, others = fresh(docs, "n_words", "hits", "items"), docs.columns
-    parts = [Shared(docs.sparkSession, s, Scanner) for s in window_sets(benchmark.select("item_id", "text"), n, limit)]
-    parts = parts or [Shared(docs.sparkSession, {}, Scanner)]
-    found = []
-    for i, part in enumerate(parts):
-        found.append(fresh(docs, *names))
-        kinds = dict(zip(found[-1], (T.LongType(), HITS, T.ArrayType(T.StringType()))))
-        docs = add_columns(docs, kinds, looking(part), () if keep_text or i + 1 < len(parts) else ("text",))
-    every = lambda k: F.array_distinct(F.flatten(F.array(*(F.col(f[k]) for f in found))))
-    return docs.select(*(c for c in others if c in docs.columns), F.col(found[0][0]).alias(names[0]), every(1).alias(names[1]), every(2).alias(names[2])), names
+    names = fresh(docs, "n_words", "hits", "items", "key", "at", "others")
+    words, hits, items, key, at, others = names
+    kinds = {words: T.LongType(), hits: HITS, items: T.ArrayType(T.StringType())}
+    more = window_sets(benchmark.select("item_id", "text"), n, limit)
+    windows, following = next(more, {}), next(more, None)
+    keyed = docs if following is None else cut_lineage(docs.withColumn(key, F.monotonically_increasing_id()), "texts")
+    stored = []
+    while following is not None:
+        part = Shared(docs.sparkSession, windows, Scanner)
+        found = add_columns(keyed.select(key, "text"), kinds, looking(part), ("text",))
+        stored.append(cut_lineage(found.filter(F.size(hits) > 0).select(key, F.col(hits).alias("h"), F.col(items).alias("i")), "hits"))
+        part.data.unpersist()
+        windows, following = following, next(more, None)
+    rows = add_columns(keyed, kinds, looking(Shared(docs.sparkSession, windows, Scanner)), () if keep_text else ("text",))
+    if stored:
+        rest = reduce(DataFrame.unionByName, stored).groupBy(F.col(key).alias(at)).agg(F.flatten(F.collect_list("h")).alias("h"), F.flatten(F.collect_list("i")).alias("i"))
+        every = lambda own, rest: F.array_distinct(F.concat(own, F.coalesce(rest, F.array().cast(kinds[own])))).alias(own)
+        kept = [c for c in rows.columns if c not in names]
+        rows = rows.join(rest.select(at, F.struct("h", "i").alias(others)), F.col(key) == F.col(at), "left").select(
+            *kept, words, every(hits, F.col(others)["h"]), every(items, F.col(others)["i"])
+        )
+    return rows, names[:3]
 
 
 def looking(part):

@@ -464,6 +464,23 @@ def test_displaced_rows_at_the_end_of_the_array(monkeypatch):
     assert (language_id.Parser({"xx": [text]}).phrases([text[5:300], text[::-1]])[0] == part).all()
 
 
+def test_benchmark_slices_are_scanned_one_after_the_other(spark, monkeypatch):
+    """A slice ends inside an item and counts the items of a window; a plan holds one scanner, however many slices."""
+    long = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, long), (2, long), (3, "seven other words")], "item_id long, text string")
+    sets = list(decontaminate.window_sets(bench, 10, 20))
+    assert [sum(map(len, s.values())) for s in sets] == [20, 20, 20, 20, 20, 3]
+    rows = [(1, "a " + long + " b"), (2, " ".join(long.split()[45:57])), (3, "seven other words"), (4, "nothing here"), (None, None), (2, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = decontaminate.contamination(docs, bench)
+    many = decontaminate.contamination(docs, bench, limit=20)
+    assert Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect())) and one.filter("n_items = 2").count() == 3
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert decontaminate.without_contaminated(docs, bench, limit=20).count() == 2
+    cut = {r.text for r in decontaminate.without_spans(docs, bench, limit=20).collect()}
+    assert cut == {"a  b", "", "nothing here", None}
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(PASSAGE.split()[5:30])), (22, "the SAME line"), (3, None), (4, "!!"), (5, "漢"), (1, "ha-ha ha ha ha ha ha ha ha ha ha ha ha"), (22, "the SAME line")]
     bench = spark.createDataFrame(items, "item_id long, text string")
