@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeframe.llm.batches import documents
+from tapeframe.llm.code_queries import OP12_SQL, OP13_SQL, op12_vector_codes, op13_filter_audit
 from tapeframe.llm.decontaminate import contamination
 from tapeframe.llm.language_id import language_report
 from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
-
 from tapeframe.llm.near_dedup import near_report
 from tapeframe.llm.neighbours import neighbours
 from tapeframe.llm.secret_scan import secret_spans
@@ -187,5 +187,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_mixing": OP2_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op10_decontamination": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_url_filter": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
