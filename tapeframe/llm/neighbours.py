@@ -20,7 +20,7 @@ degrees of freedom.
 
 Vectors that are null, zero, or hold a null or a non-finite component take no part, nor
 those whose length is not the most frequent one (the longer of equals).  Repeated vec_ids
-are one id.  With fewer candidates than ``k``, all are returned; empty tables give none.
+are one id; one with several vectors has the least of them, by their components in order.  With fewer candidates than ``k``, all are returned; empty tables give none.
 """
 
 from __future__ import annotations
@@ -125,7 +125,8 @@ class Cells:
 def classes(vectors: DataFrame, keep: int, every: int) -> DataFrame:
     """(vector, ids, asked): distinct vectors with their least ids, and whether some id is a query."""
     salted = Window.partitionBy("vector", "salt").orderBy("vec_id")
-    rows = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)))
+    # repeated rows go first: they are one id, and must not take the places of others
+    rows = vectors.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)))
     asked = rows.filter(F.col("vec_id") % every == 0).select("vector", F.lit(True).alias("asked")).distinct()
     few = rows.withColumn("turn", F.row_number().over(salted)).filter(F.col("turn") <= keep)
     least = few.groupBy("vector").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"))
@@ -138,7 +139,12 @@ def usable(embeddings: DataFrame) -> DataFrame:
     fine = F.expr("forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(vector, x -> x <> 0)")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0").filter(fine)
     width = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    return rows.filter(F.size("vector") == (width.width if width else 0))
+    rows = rows.filter(F.size("vector") == (width.width if width else 0))
+    # ids with several vectors, told apart by hashes: one short row an id is shuffled
+    mark = F.xxhash64("vector")
+    several = rows.groupBy("vec_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo < hi").select("vec_id")
+    least = cut_lineage(rows.join(cut_lineage(several, "vector-several"), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("least")), "vector-least")
+    return rows.join(least, "vec_id", "left").filter("least IS NULL OR vector = least").select("vec_id", "vector")
 
 
 def matrix(column) -> np.ndarray:
