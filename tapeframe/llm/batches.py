@@ -7,6 +7,7 @@ and memory is bounded by a batch.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -123,25 +124,35 @@ class WordHasher:
     """64-bit hashes of the words of many texts at once.
 
     A word is a maximal run of bytes that ``word`` marks; ``fold`` maps each byte first.
-    Its hash is the polynomial of its bytes in an odd base modulo 2**64, mixed; the
-    prefix sums of one pass over the bytes give every word's polynomial.
+    Its hash takes in eight bytes at a time, each followed by a mixing of the whole state, so
+    no pattern of letters makes unequal words meet: words of one length up to eight bytes
+    never do, others by chance only, one pair in 2**64.  Words beyond ``LONG`` bytes are
+    hashed by blake2b.
     """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
+    KEY = np.uint64(0x9E3779B97F4A7C15)
+    LONG = 1 << 10
 
     def __init__(self, word: np.ndarray, fold: np.ndarray) -> None:
-        self.word = word[fold]
-        self.value = mix(fold.astype(np.uint64) + np.uint64(0x51ED270B))
-        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.power) < n:
-            size = 1 << max(16, n.bit_length())
-            back = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("power", self.BASE), ("inverse", back)):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.multiply.accumulate(factors))
+        self.word, self.fold = word[fold], fold
+
+    def hashes(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        padded = np.zeros(len(data) + 8, np.uint8)
+        np.take(self.fold, data, out=padded[:-8])
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        size = end - first
+        out = mix(size.astype(np.uint64) * self.KEY + np.uint64(1))
+        at, place = np.arange(len(first)), 0
+        while len(at):
+            left = size[at] - place
+            unused = np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64)
+            out[at] = mix(out[at] ^ (eight[first[at] + place] & (~np.uint64(0) >> unused)))
+            place += 8
+            at = at[(left > 8) & (size[at] <= self.LONG)]
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            digest = hashlib.blake2b(padded[first[i] : end[i]].tobytes(), digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of all words, the n + 1 offsets of the rows among them, and each word's first byte and end."""
@@ -149,7 +160,6 @@ class WordHasher:
         if n == 0:
             none = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
-        self.grow(n + 1)
         inside = self.word[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
@@ -158,9 +168,7 @@ class WordHasher:
         stop = inside & cut[1:]
         stop[:-1] |= inside[:-1] & ~inside[1:]
         first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[data] * self.power[:n], out=sums[1:])
-        hashes = mix((sums[end] - sums[first]) * self.inverse[first])
+        hashes = self.hashes(data, first, end)
         return hashes, np.searchsorted(first, offsets).astype(np.int64), first, end
 
 

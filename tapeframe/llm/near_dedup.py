@@ -37,6 +37,7 @@ NULL_ID = -(1 << 63)
 BAND_PERMUTATIONS = 2
 BLOCK, LARGE_BLOCK, FEW_BLOCKS = 96, 1024, 32
 COLUMNS = 1 << 13
+OUT_BYTES = 1 << 22
 
 
 def shingle_sets(hasher: WordHasher, texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -154,14 +155,27 @@ def links(rows: DataFrame, clusters: DataFrame, words: int, percent: int) -> Dat
     fields = "cluster long, one int, two int, side int, doc long, shingles binary"
     names = ["cluster", "one", "two", "side", "doc", "shingles"]
 
-    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        sets = shingle_sets(space_words(lower=True), column(batch, "text"), words)
-        for doc, cluster, blocks, s in zip(*(column(batch, c).to_pylist() for c in ("doc", "cluster", "blocks")), sets):
-            own, data = int(mix(np.array([doc % (1 << 64)], np.uint64))[0] % np.uint64(blocks)), s.tobytes()
-            for other in range(blocks):
-                out.append((cluster, min(own, other), max(own, other), int(other < own), doc, data))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=names)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, out, size = space_words(lower=True), [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        for batch in batches:
+            for part in byte_slices(batch):
+                sets = shingle_sets(hasher, column(part, "text"), words)
+                for doc, cluster, blocks, s in zip(*(column(part, c).to_pylist() for c in ("doc", "cluster", "blocks")), sets):
+                    own, data = int(mix(np.array([doc % (1 << 64)], np.uint64))[0] % np.uint64(blocks)), s.tobytes()
+                    for other in range(blocks):
+                        out.append((cluster, min(own, other), max(own, other), int(other < own), doc, data))
+                        size += len(data) + 64
+                        if size >= OUT_BYTES:  # a set goes to every block, so a few texts can be many bytes
+                            yield flush()
+                            out, size = [], 0
+        if out:
+            yield flush()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, sets, split = None, [], [], 0
@@ -184,7 +198,7 @@ def links(rows: DataFrame, clusters: DataFrame, words: int, percent: int) -> Dat
             yield close()
 
     # always a shuffle by document: the members of clusters grow with the input
-    meeting = map_batches(rows.join(clusters.hint("merge"), "doc").select("doc", "text", "cluster", "blocks"), fields, dealt)
+    meeting = rows.join(clusters.hint("merge"), "doc").select("doc", "text", "cluster", "blocks").mapInArrow(dealt, fields)
     meeting = meeting.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "side", "doc")
     return meeting.mapInArrow(judged, "a long, b long")
 

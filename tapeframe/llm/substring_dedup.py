@@ -14,7 +14,7 @@ also starts in a document with a smaller id.
 3. **Reveal.** Two Bloom filters over all symbols with contexts of at most a window
    (``twice``) tell which may occur twice.  A window is suspected unless a symbol whose
    context it holds occurs once.  Equal windows hold equal symbols, so none is missed.
-4. **Verify.** The hashes of suspected windows are counted exactly: the least document of
+4. **Verify.** Suspected windows, as 128 bits of two independent hashes, are counted exactly: the least document of
    each, aggregated before the shuffle, meets the documents that hold it, and each learns
    which of its windows are covered.  Passages that very many documents share are skewed
    keys of that join, which Spark splits.
@@ -159,8 +159,15 @@ class Passages:
         start, end = s.start[fits], s.end[fits]
         return self.hashes(words, start, end), start, end
 
-    def suspected(self, words: np.ndarray, rows: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the windows that hold no symbol that occurs once."""
+    def second(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at ``at``, independent of the first ones: each word is mixed with its place."""
+        out = np.zeros(len(at), np.uint64)
+        for i in range(self.span):
+            out += mix(words[at + i] ^ mix(np.array([i + 1], np.uint64)))
+        return mix(out)
+
+    def suspected(self, words: np.ndarray, rows: np.ndarray, test) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and both hashes of the windows that hold no symbol that occurs once."""
         hashes, whole = self.windows(words, rows)
         keys, start, end = self.anchors(words, rows)
         once = ~test(keys)
@@ -169,18 +176,18 @@ class Passages:
         np.add.at(change, lo, 1)
         np.add.at(change, np.maximum(hi, lo), -1)
         at = np.flatnonzero(whole & (np.cumsum(change)[: len(whole)] == 0))
-        return at, hashes[at]
+        return at, hashes[at], self.second(words, at)
 
 
-def whole_documents(rows: DataFrame, span: int) -> DataFrame:
+def whole_documents(rows: DataFrame) -> DataFrame:
     """(doc, n_words, name): the last symbol of each document, that of all its words."""
 
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tool, counts, names = Passages(span), [], []
-        for _, _, words, offsets in tool.slices(column(batch, "text")):
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                counts.append(b - a)
-                names.append(hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest())
+        counts, names = [], []
+        for text in column(batch, "text").fill_null("").cast(pa.binary()).to_pylist():
+            words = text.split()
+            counts.append(len(words))
+            names.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
         return pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(counts, pa.int64()), pa.array(names, pa.binary())], names=["doc", "n_words", "name"])
 
     return map_batches(rows, "doc long, n_words long, name binary", named)
@@ -202,14 +209,15 @@ def covered(rows: DataFrame, n_words: int, span: int) -> DataFrame:
             for part in byte_slices(batch):
                 docs = column(part, "doc").to_numpy()
                 for lo, _, words, offsets in tool.slices(column(part, "text")):
-                    at, hashes = tool.suspected(words, offsets, test)
+                    at, hashes, second = tool.suspected(words, offsets, test)
                     owner = docs[lo + np.searchsorted(offsets, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(owner, pa.int64())], names=["win", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(second.view(np.int64)), pa.array(owner, pa.int64())], names=["win", "second", "doc"])
 
-    suspects = cut_lineage(rows.mapInArrow(reveal, "win long, doc long"), "suspect-windows")
-    shared = suspects.groupBy("win").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    shared = cut_lineage(shared.select("win", "least"), "shared-windows")  # a join of two plain shuffles is split where a window is skewed
-    repeats = suspects.join(shared, "win").filter("doc > least")
+    suspects = cut_lineage(rows.mapInArrow(reveal, "win long, second long, doc long"), "suspect-windows")
+    key = ["win", "second"]
+    shared = suspects.groupBy(*key).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    shared = cut_lineage(shared.select(*key, "least"), "shared-windows")  # a join of two plain shuffles is split where a window is skewed
+    repeats = suspects.join(shared, key).filter("doc > least")
     return repeats.groupBy("doc").agg(F.collect_set("win").alias("windows"))
 
 
@@ -218,7 +226,7 @@ def dedup_passages(docs: DataFrame, span: int = 13, text_digest: bool = False) -
     key, gone, whole = fresh(docs, "doc", "windows", "whole")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     rows = keyed.select(F.col(key).alias("doc"), "text")
-    named = cut_lineage(whole_documents(rows, span).filter(F.col("n_words") >= span), "passage-documents")
+    named = cut_lineage(whole_documents(rows).filter(F.col("n_words") >= span), "passage-documents")
     firsts = named.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     firsts = cut_lineage(firsts.select("name", "least"), "passage-firsts")
     copies = cut_lineage(named.join(firsts, "name").filter("doc > least").select("doc").distinct(), "passage-copies")
