@@ -14,6 +14,7 @@ from tapeframe.llm.line_dedup import line_report
 from tapeframe.llm.mixing import mix_report
 from tapeframe.llm.near_dedup import near_report
 from tapeframe.llm.neighbours import neighbours
+from tapeframe.llm.parity_join import join_report
 from tapeframe.llm.secret_scan import secret_spans
 from tapeframe.llm.substring_dedup import passage_report
 from tapeframe.llm.url_filter import judge
@@ -176,6 +177,35 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id
 """
 
+
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_report(documents(spark, sf_dir, "doc_id", "text"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n, string_agg(s, chr(10) ORDER BY s) AS listed FROM shingles GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY listed) AS rep FROM sizes
+), held AS (
+  SELECT h.doc_id, h.s, c.n FROM shingles h JOIN classes c ON h.doc_id = c.doc_id AND c.doc_id = c.rep
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(least(c.rep, l.b), d.doc_id)::BIGINT AS component_id
+FROM documents d LEFT JOIN classes c ON d.doc_id = c.doc_id LEFT JOIN least l ON c.rep = l.a
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -187,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_vector_codes": op12_vector_codes,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -196,6 +227,7 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_jaccard_join": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
