@@ -26,6 +26,11 @@ def top_buyers(nets: DataFrame, top: int) -> DataFrame:
     return top_rows(nets.filter("net > 0"), _by_bar(F.col("net").desc(), "broker"), top)
 
 
+def leading_nets(nets: DataFrame, top: int) -> DataFrame:
+    """The largest nets of each (instrument, date): all its top buyers, or sellers alone where nobody buys."""
+    return top_rows(nets, _by_bar(F.col("net").desc(), "broker"), top)
+
+
 def top_sellers(nets: DataFrame, top: int) -> DataFrame:
     return top_rows(nets.filter("net < 0"), _by_bar("net", "broker"), top)
 
@@ -81,13 +86,16 @@ def buyer_follow_up(nets: DataFrame, calendar: DataFrame, top: int) -> DataFrame
 
 
 def flip_pressure(nets: DataFrame, price: DataFrame, calendar: DataFrame, top: int = 15) -> DataFrame:
-    """Yesterday's top buyers' sales today, capped at what they bought, over today's volume."""
-    pairs = buyer_follow_up(nets, calendar, top).groupBy("instrument_id", F.col("sell_date").alias("date")).agg(
-        F.sum("dumped").alias("overlap")
-    )
-    return pairs.join(price.select("instrument_id", "date", "volume"), ["instrument_id", "date"]).filter("volume > 0").select(
-        "instrument_id", "date", "overlap", (ratio("overlap", "volume") * 100).alias("flip_pressure_pct")
-    )
+    """Yesterday's top buyers' sales today, capped at what they bought, over today's volume.
+
+    A bar whose previous date had broker rows but no buyer has no pressure, not a missing one.
+    """
+    steps = adjacent_steps(nets, calendar)
+    sold = follow_up(nets, steps, top).groupBy("instrument_id", F.col("sell_date").alias("date")).agg(F.sum("dumped").alias("overlap"))
+    bar = ["instrument_id", "date"]
+    stepped = steps.select("instrument_id", F.col("next_date").alias("date")).join(price.select(*bar, "volume"), bar).filter("volume > 0")
+    overlap = F.coalesce("overlap", F.lit(0.0))
+    return stepped.join(sold, bar, "left").select(*bar, overlap.alias("overlap"), (ratio(overlap, "volume") * 100).alias("flip_pressure_pct"))
 
 
 def _class(rate: str, p: Broker):
@@ -131,18 +139,18 @@ def expected_pressure(
 ) -> DataFrame:
     """Tomorrow's likely selling: each frequent flipper's buy times its usual dump ratio.
 
-    A bar without such buyers gets 0, not null; without any profile there are no rows.  ``profile`` is best a stored table: the
-    planner then knows that it is small and no broker becomes a hot join key.
+    A bar without such buyers, or without any buyer, gets 0, not null; without any profile
+    there are no rows.  ``profile`` is best a stored table: the planner then knows that it is
+    small and no broker becomes a hot join key.
     """
     rates = profile.select("broker", "flip_rate", "dump_ratio")
     known = rates.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() > 0
-    buys = top_buyers(nets, p.top).filter(known).join(rates, "broker", "left")
-    return _pressure(buys, price, p)
+    return _pressure(leading_nets(nets, p.top).filter(known).join(rates, "broker", "left"), price, p)
 
 
-def _pressure(buys: DataFrame, price: DataFrame, p: Broker) -> DataFrame:
-    hot = F.col("flip_rate") >= p.mid
-    est = buys.groupBy("instrument_id", "date").agg(
+def _pressure(leading: DataFrame, price: DataFrame, p: Broker) -> DataFrame:
+    hot = (F.col("net") > 0) & (F.col("flip_rate") >= p.mid)
+    est = leading.groupBy("instrument_id", "date").agg(
         F.sum(F.when(hot, F.col("net") * F.col("dump_ratio") / 100).otherwise(0.0)).alias("expected_lots"),
         F.count_if(hot).alias("n_flippers"),
     )
@@ -228,9 +236,9 @@ def pit_expected_pressure(nets: DataFrame, price: DataFrame, calendar: DataFrame
     """Expected pressure of every bar from a profile of strictly earlier dates; none before the first profile."""
     history = profile_history(nets, calendar, p)
     first = history.filter(F.col("ops") >= p.min_ops).agg(F.min("date").alias("d")).select("d").scalar()
-    buys = top_buyers(nets, p.top).filter(F.col("date") > first)
-    rates = profile_rates_by_date(history_as_of(history, buys), p)
-    return _pressure(buys.join(rates, ["broker", "date"], "left"), price, p)
+    leading = leading_nets(nets.filter(F.col("date") > first), p.top)
+    rates = profile_rates_by_date(history_as_of(history, leading.filter("net > 0")), p)
+    return _pressure(leading.join(rates, ["broker", "date"], "left"), price, p)
 
 
 def profile_rates_by_date(counters: DataFrame, p: Broker) -> DataFrame:

@@ -37,13 +37,17 @@ FOLLOW = {
             count(*) FILTER (WHERE b <= {TOP} AND net > 0) AS n_buyers, count(*) FILTER (WHERE s <= {TOP} AND net < 0) AS n_sellers
         FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, date ORDER BY net DESC, broker) AS b,
                 row_number() OVER (PARTITION BY instrument_id, date ORDER BY net, broker DESC) AS s FROM d_broker) GROUP BY instrument_id, date""",
-    "b_flip": """SELECT instrument_id, date, overlap, overlap / volume * 100 AS flip_pressure_pct FROM
-            (SELECT instrument_id, sell_date AS date, sum(dumped) AS overlap FROM b_follow GROUP BY ALL) JOIN d_bars USING (instrument_id, date) WHERE volume > 0""",
+    "b_flip": """SELECT s.instrument_id, s.date, coalesce(overlap, 0) AS overlap, coalesce(overlap, 0) / volume * 100 AS flip_pressure_pct
+        FROM (SELECT DISTINCT t.instrument_id, t.date FROM d_broker t JOIN d_cal c ON c.date = t.date JOIN d_broker y ON y.instrument_id = t.instrument_id AND y.date = c.prev_date) s
+        JOIN d_bars b ON b.instrument_id = s.instrument_id AND b.date = s.date
+        LEFT JOIN (SELECT instrument_id, sell_date AS date, sum(dumped) AS overlap FROM b_follow GROUP BY ALL) o ON o.instrument_id = s.instrument_id AND o.date = s.date WHERE volume > 0""",
     "b_expected": """SELECT e.instrument_id, e.date, lots AS expected_lots, n_flippers,
             CASE WHEN n_flippers = 0 THEN 0 WHEN volume > 0 THEN lots / volume * 100 END AS expected_pct
-        FROM (SELECT t.instrument_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
+        FROM (SELECT d.instrument_id, d.date, sum(CASE WHEN flip_rate >= 25 THEN t.net * dump_ratio / 100 ELSE 0e0 END) AS lots,
                      count(*) FILTER (WHERE flip_rate >= 25) AS n_flippers
-              FROM b_top t LEFT JOIN b_profile USING (broker) WHERE (SELECT count(*) FROM b_profile) > 0 GROUP BY t.instrument_id, t.date) e LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
+              FROM (SELECT DISTINCT instrument_id, date FROM d_broker) d LEFT JOIN b_top t ON t.instrument_id = d.instrument_id AND t.date = d.date
+              LEFT JOIN b_profile USING (broker) WHERE (SELECT count(*) FROM b_profile) > 0 GROUP BY d.instrument_id, d.date) e
+        LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
     "b_flips": """SELECT b.instrument_id, b.broker, b.date, least(b.net, -a.net) AS dumped
         FROM b_wtop b JOIN (SELECT instrument_id, date, lead(date) OVER (PARTITION BY instrument_id ORDER BY date) AS nd
                             FROM (SELECT DISTINCT instrument_id, date FROM b_window)) d ON d.instrument_id = b.instrument_id AND d.date = b.date
@@ -150,9 +154,10 @@ PIT = {
         FROM d_cal c JOIN b_daily d ON d.date < c.date GROUP BY ALL HAVING sum(ops) >= 10""",
     "b_pitx": """SELECT e.instrument_id, e.date, lots AS expected_lots, n_flippers,
             CASE WHEN n_flippers = 0 THEN 0 WHEN volume > 0 THEN lots / volume * 100 END AS expected_pct
-        FROM (SELECT t.instrument_id, t.date, sum(CASE WHEN flip_rate >= 25 THEN net * dump_ratio / 100 ELSE 0e0 END) AS lots,
+        FROM (SELECT d.instrument_id, d.date, sum(CASE WHEN flip_rate >= 25 THEN t.net * dump_ratio / 100 ELSE 0e0 END) AS lots,
                      count(*) FILTER (WHERE flip_rate >= 25) AS n_flippers
-              FROM b_top t LEFT JOIN b_pit p ON p.broker = t.broker AND p.date = t.date WHERE t.date IN (SELECT date FROM b_pit) GROUP BY t.instrument_id, t.date) e
+              FROM (SELECT DISTINCT instrument_id, date FROM d_broker) d LEFT JOIN b_top t ON t.instrument_id = d.instrument_id AND t.date = d.date
+              LEFT JOIN b_pit p ON p.broker = t.broker AND p.date = t.date WHERE d.date IN (SELECT date FROM b_pit) GROUP BY d.instrument_id, d.date) e
         LEFT JOIN d_bars b ON b.instrument_id = e.instrument_id AND b.date = e.date""",
 }
 

@@ -83,6 +83,26 @@ def test_flip_pressure_counts_top_buyers_up_to_their_buy(frame):
     assert (r.overlap, r.flip_pressure_pct) == (100.0, 10.0)
 
 
+def test_bars_without_a_buyer_have_no_pressure(frame):
+    """The day before had sellers only: 0, not a missing row; neither day may be without broker rows."""
+    d = days(4)
+    nets = frame(
+        NETS, (1, d[0], "a", 10.0), (1, d[1], "a", -4.0), (1, d[1], "b", -1.0), (1, d[2], "a", -2.0), (2, d[0], "a", 3.0), (2, d[2], "a", -3.0), (2, d[3], "a", 8.0),
+    )
+    price = frame("instrument_id long, date date, volume double", *[(i, x, 100.0) for i in (1, 2) for x in d])
+    cal = trading_calendar(price)
+    got = {(r.instrument_id, r.date): (r.overlap, r.flip_pressure_pct) for r in brokers.flip_pressure(nets, price, cal).collect()}
+    assert got == {(1, d[1]): (4.0, 4.0), (1, d[2]): (0.0, 0.0), (2, d[3]): (0.0, 0.0)}
+    p = Broker(min_ops=1, mid=0.0)
+    profile = brokers.broker_profile(nets, cal, p)
+    expected = {(r.instrument_id, r.date): (r.expected_lots, r.n_flippers, r.expected_pct) for r in brokers.expected_pressure(nets, profile, price, p).collect()}
+    assert expected == {
+        (1, d[0]): (4.0, 1, 4.0), (1, d[1]): (0.0, 0, 0.0), (1, d[2]): (0.0, 0, 0.0), (2, d[0]): (1.2, 1, 1.2), (2, d[2]): (0.0, 0, 0.0), (2, d[3]): (3.2, 1, 3.2),
+    }
+    pit = {(r.instrument_id, r.date): r.expected_pct for r in brokers.pit_expected_pressure(nets, price, cal, p).collect()}
+    assert pit == {(1, d[2]): 0.0, (2, d[2]): 0.0, (2, d[3]): 3.2}
+
+
 def test_broker_maps_round_trip(two_days):
     nets, _ = two_days
     back = normalize.broker_rows(normalize.broker_maps(nets))
@@ -156,7 +176,7 @@ def test_hot_broker_and_instrument_stay_whole(frame):
     assert got == want
     assert brokers.pit_expected_pressure(
         nets, nets.groupBy("instrument_id", "date").agg(F.lit(10.0).alias("volume")), cal, Broker(min_ops=1)
-    ).count() == len({(s, x) for s, x, _, v in rows if v > 0 and x > d[1]})  # the first pair completes on the second date
+    ).count() == len({(s, x) for s, x, _, _ in rows if x > d[1]})  # the first pair completes on the second date
 
 
 def test_no_profile_no_pressure(frame):
