@@ -16,35 +16,44 @@ from ..config import COSTS, PERIODS_PER_YEAR, Costs
 from ..functions.columns import ratio, round_trip_return
 from ..functions.quantiles import with_scalar
 from ..functions.windows import cumulative_growth, drawdown, normalised, ordered, running, top_rows, trailing, true_range
+from ..session import cut_lineage
 
 NO_STOP = {"stop_kind": "none", "stop_param": 0.0}
 
 
+BAR = ("idx", "date", "open", "low", "close")
+
+
 def entry_paths(bars: DataFrame, entries: DataFrame, calendar: DataFrame, holds: Sequence[int], atr_rows: int = 14) -> DataFrame:
     """Every wanted entry bar with what happens next.
 
     ``entries``: instrument_id, date and ``cfgs``.  ``path``: the instrument's bars from the
     entry to the longest hold, by calendar index.  ``exit_<hold>``: its first bar at or
     after ``hold`` dates.  A bar without a positive close is a missing quote and is
-    skipped.  One sort per instrument and no range join; paths leave the window only
-    for wanted bars and are never shuffled.
+    skipped.  Only wanted entries are laid out by date, and they meet the bars by equal
+    index; every other bar stays one row.  A bar knows the one after it, so an exit that
+    falls on a missing quote is found from the last bar before it, however far away.
     """
-    base = bars.filter("close > 0").join(calendar.select("date", "idx"), "date").join(entries, ["instrument_id", "date"], "left")
     w = ordered("instrument_id", by="idx")
-    bar = F.struct("idx", "date", "open", "low", "close")
-    newest_first = Window.partitionBy("instrument_id").orderBy(F.col("idx").desc())
-    atr = F.when(
-        F.count(F.lit(1)).over(trailing(w, atr_rows)) == atr_rows, F.avg("tr").over(trailing(w, atr_rows))
-    )
-    out = base.withColumn("tr", true_range(w))
+    bar = F.struct(*BAR)
+    atr = F.when(F.count(F.lit(1)).over(trailing(w, atr_rows)) == atr_rows, F.avg("tr").over(trailing(w, atr_rows)))
+    base = bars.filter("close > 0").join(calendar.select("date", "idx"), "date").withColumn("tr", true_range(w))
+    base = base.select("instrument_id", "idx", bar.alias("bar"), F.lead(bar).over(w).alias("next"), atr.alias("atr"))
+    # stored: its size decides how it meets the bars, and signals are computed once
+    wanted = cut_lineage(entries.join(calendar.select("date", F.col("idx").alias("at")), "date"), "entries")
+    days = wanted.select("instrument_id", "at", F.explode(F.sequence("at", F.col("at") + max(holds))).alias("idx"))
+    met = days.join(base, ["instrument_id", "idx"]).groupBy("instrument_id", "at").agg(F.sort_array(F.collect_list(F.struct("idx", "bar", "next", "atr"))).alias("met"))
+    entry = F.get("met", F.lit(0))
+    out = wanted.join(met, ["instrument_id", "at"]).filter((entry.idx == F.col("at")) & (entry.bar.open > 0))
+
+    def timed(hold: int) -> Column:
+        last = F.element_at(F.filter("met", lambda x: x.idx <= F.col("at") + hold), -1)
+        return F.when(last.idx == F.col("at") + hold, last.bar).otherwise(last.next)
+
     return out.select(
-        "instrument_id", "date", "idx", "open", "close", "cfgs", atr.alias("atr"),
-        F.collect_list(bar).over(w.rangeBetween(0, max(holds))).alias("path"),
-        *[
-            F.last(bar).over(newest_first.rangeBetween(Window.unboundedPreceding, -hold)).alias(f"exit_{hold}")
-            for hold in holds
-        ],
-    ).filter("cfgs is not null AND open > 0")
+        "instrument_id", "date", F.col("at").alias("idx"), entry.bar.open.alias("open"), entry.bar.close.alias("close"), "cfgs", entry.atr.alias("atr"),
+        F.transform("met", lambda x: x.bar).alias("path"), *[timed(hold).alias(f"exit_{hold}") for hold in holds],
+    )
 
 
 def stop_price(entry: Column, atr: Column, kind: Column, param: Column) -> Column:
