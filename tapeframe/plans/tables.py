@@ -10,6 +10,7 @@ from ..session import cut_lineage, shared_folder
 from ..sources import calendar as cal
 from ..sources import tables
 from ..sources.landing import MarketTables
+from ..sources.versions import Store
 from ..streaming import quotes
 from .brokers import FOLLOW, TOP, P
 from .registry import query
@@ -113,11 +114,13 @@ def prune_stored(m: MarketTables) -> DataFrame:
     "broker_profile_stored", "SELECT * FROM b_profile", **FOLLOW,
 )
 def profile_stored(m: MarketTables) -> DataFrame:
-    """Counters and ledger kept in stored tables; the second delivery is folded twice."""
-    path = shared_folder(m.spark, "broker-counters")
-    first = m.broker_net.filter(F.col("date") < F.lit("1998-06-01").cast("date"))
-    for nets in (first, m.broker_net, m.broker_net):
-        counters, _ = tables.fold_stored_counters(path, nets, m.calendar, TOP)
+    """Nets delivered in two parts and the second one folded twice; a fold reads the dates that are new."""
+    path, nets = shared_folder(m.spark, "broker-counters"), shared_folder(m.spark, "broker-nets")
+    split = F.lit("1998-06-01").cast("date")
+    for delivery in (m.broker_net.filter(F.col("date") < split), m.broker_net.filter(F.col("date") >= split), None):
+        if delivery is not None:
+            tables.write_dates(delivery, nets)
+        counters = tables.fold_stored_counters(path, Store(m.spark, nets), m.calendar, TOP)
     return tables.profile_from_counters(counters, P)
 
 
@@ -155,13 +158,13 @@ Q_TABLES = {
 Q_COLUMNS = ("symbol", "day", "price", "prev_close", "high", "low", "limit_up", "limit_down", "change_pct")
 
 
-def quote_stream(m: MarketTables) -> DataFrame:
-    return quotes.normalise(quotes.read_quotes(m.spark, m.path))
+def followed(m: MarketTables, name: str, then) -> DataFrame:
+    return quotes.follow(quotes.read_quotes(m.spark, m.path), shared_folder(m.spark, name), then)
 
 
 @query("quote_normalise", f"SELECT {', '.join(Q_COLUMNS)} FROM q_quotes", **Q_TABLES)
 def quote_normalise(m: MarketTables) -> DataFrame:
-    return quotes.run_available(quote_stream(m).select(*Q_COLUMNS), "quotes")
+    return followed(m, "quotes", lambda q: quotes.normalised(q).select(*Q_COLUMNS)).select(*Q_COLUMNS)
 
 
 @query(
@@ -172,7 +175,8 @@ def quote_normalise(m: MarketTables) -> DataFrame:
     **Q_TABLES,
 )
 def quote_alerts(m: MarketTables) -> DataFrame:
-    return quotes.run_available(quotes.quote_alerts(quote_stream(m)).select("symbol", "day", "price", "alerts"), "alerts")
+    columns = ["symbol", "day", "price", "alerts"]
+    return followed(m, "alerts", lambda q: quotes.alerting(q).select(*columns)).select(*columns)
 
 
 def watched(m: MarketTables) -> DataFrame:
@@ -199,7 +203,19 @@ def holding_guard(m: MarketTables) -> DataFrame:
 )
 def day_range(m: MarketTables) -> DataFrame:
     """Only days the watermark has closed are final."""
-    stream = quotes.read_quotes(m.spark, m.path).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
-    return quotes.run_available(quotes.day_range(stream), "range")
+    return bid_range(m).filter("closed").drop("closed", "last")
+
 
+@query(
+    "intraday_open_range",
+    """SELECT user_id AS symbol, CAST(ts AS DATE) AS day, max(value) AS high, min(value) AS low, count(*) AS n,
+         CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS closed FROM events GROUP BY ALL""",
+)
+def open_range(m: MarketTables) -> DataFrame:
+    """The ranges of open days as well, and which are final."""
+    return bid_range(m).drop("last")
 
+
+def bid_range(m: MarketTables) -> DataFrame:
+    stream = quotes.read_quotes(m.spark, m.path).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
+    return quotes.follow_range(stream, shared_folder(m.spark, "range"))

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Broker
-from ..operators import brokers
+from ..operators import brokers, joins
 from ..session import cut_lineage
 from .calendar import trading_calendar
+from .versions import Store
 
 
-def read_table(spark: SparkSession, path: str, *columns: str, merge_schema: bool = False) -> DataFrame:
-    """A stored table.  ``merge_schema`` reads every footer to find columns added later."""
-    df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+TABLE = "rows"
+
+
+def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A stored table; columns that were added later are null in older dates."""
+    df = Store(spark, path).read(TABLE)
+    return df.select(*columns) if columns else df
+
+
+def newest_rows(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The rows of a stored table's newest date, which the manifest names: no other date is opened."""
+    store = Store(spark, path)
+    df = store.read(TABLE, [max(store.parts(TABLE))])
     return df.select(*columns) if columns else df
 
 
@@ -45,30 +55,22 @@ def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
-def write_dates(df: DataFrame, path: str) -> None:
-    """Overwrite only the dates present in ``df``.
+def dates_of(df: DataFrame) -> list[str]:
+    """The dates of ``df`` as text, one value each."""
+    return [str(r.date) for r in df.select("date").distinct().collect()]
 
-    The rebalance hint groups rows by date and lets adaptive execution split a large
-    date and join small ones at the advisory size.
-    """
-    df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
+def write_dates(df: DataFrame, path: str) -> None:
+    """Store the dates present in ``df`` in place of those stored before; other dates stay."""
+    Store(df.sparkSession, path).commit({TABLE: (df, "date")})
 
-def upsert(path: str, new: DataFrame, keys: Sequence[str]) -> None:
-    """Merge new rows into a date-partitioned table, touching only their dates.
 
-    The merged dates are staged in the shared folder first: the job can be repeated at
-    any point and never reads what it overwrites.
-    """
-    spark = new.sparkSession
-    dates = new.select("date").distinct()
-    span = new.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    # the scalar bounds prune partitions, the semi join is exact
-    stored = read_table(spark, path).filter(
-        F.col("date").between(span.select("lo").scalar(), span.select("hi").scalar())
-    )
-    touched = stored.join(dates, "date", "left_semi")
-    write_dates(cut_lineage(merge(touched, new, keys), "upsert"), path)
+def upsert(path: str, new: DataFrame, keys: Sequence[str]) -> None:
+    """Merge new rows into a stored table, reading and writing only their dates."""
+    store = Store(new.sparkSession, path)
+    dates = dates_of(new)
+    touched = store.read(TABLE, dates, new.schema)
+    store.commit({TABLE: (merge(touched, new, keys), "date", dates)})
 
 
 def retain(df: DataFrame, keep: int) -> DataFrame:
@@ -78,14 +80,15 @@ def retain(df: DataFrame, keep: int) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a date-partitioned table with ``df``, which may be read from it: the new rows are staged first."""
-    staged = cut_lineage(df, "replace")
-    staged.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
+    """Store ``df``, which may be read from the same table, in place of all that is stored."""
+    store = Store(df.sparkSession, path)
+    store.commit({TABLE: (df, "date")}, drop={TABLE: list(store.parts(TABLE))})
 
 
 def prune(path: str, spark: SparkSession, keep: int) -> None:
-    """Keep the newest dates of a stored table and drop the others from it."""
-    replace_table(retain(read_table(spark, path), keep), path)
+    """Keep the newest dates of a stored table; the others are forgotten, no row is read or written."""
+    store = Store(spark, path)
+    store.commit({}, drop={TABLE: sorted(store.parts(TABLE))[:-keep]})
 
 
 def record_day(path: str, picks: DataFrame) -> None:
@@ -112,12 +115,25 @@ def load_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 COUNTERS = "broker string, instrument_id long, ops long, flips long, bought double, dumped double"
 LEDGER = "instrument_id long, date date"
+NETS = "instrument_id long, date date, broker string, net double"
+SUMS = ("ops", "flips", "bought", "dumped")
 
 
 def empty_counters(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], COUNTERS), spark.createDataFrame([], LEDGER)
 
 
+def broker_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("broker", "instrument_id").agg(
+        F.count(F.lit(1)).alias("ops"), F.sum("flip").alias("flips"), F.sum("bought").alias("bought"), F.sum("dumped").alias("dumped"),
+    )
+
+
+def summed(counters: DataFrame, *more: str) -> DataFrame:
+    """Counters of one row for each broker and instrument."""
+    return counters.groupBy("broker", "instrument_id", *more).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def fold_broker_counters(
     counters: DataFrame, ledger: DataFrame, nets: DataFrame, calendar: DataFrame, top: int = 15
 ) -> tuple[DataFrame, DataFrame]:
@@ -132,34 +148,57 @@ def fold_broker_counters(
     if oldest is None:
         return counters, ledger
     pairs = brokers.follow_up(nets.filter(F.col("date") >= F.lit(oldest)), steps, top)
-    added = pairs.groupBy("broker", "instrument_id").agg(
-        F.count(F.lit(1)).alias("ops"), F.sum("flip").alias("flips"), F.sum("bought").alias("bought"), F.sum("dumped").alias("dumped"),
-    )
-    merged = counters.unionByName(added).groupBy("broker", "instrument_id").agg(
-        *[F.sum(c).alias(c) for c in ("ops", "flips", "bought", "dumped")]
-    )
+    merged = summed(counters.unionByName(broker_counts(pairs)))
     return merged, ledger.unionByName(steps.select("instrument_id", "date"))
 
 
-def fold_stored_counters(path: str, nets: DataFrame, calendar: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame]:
-    """Fold new pairs into the counters and the ledger stored under ``path``, and return both.
+BUCKETS, DELTAS = 16, 8
+
+
+def fold_stored_counters(path: str, nets: Store, calendar: DataFrame, top: int = 15) -> DataFrame:
+    """Fold the dates of ``nets`` that are new or were written anew into the counters under ``path``; returns these.
 
-    A fold writes one new version that holds both tables; the newest complete version
-    counts, so a fold that is interrupted or repeated adds nothing twice.
+    ``nets`` stores broker nets by date as ``rows``.  Its manifest against the marks of the
+    last fold tells the changed dates, so a fold reads only these, the dates next to them
+    and their part of the ledger.  What it adds is a delta of its own; after ``DELTAS`` of
+    them the counters' buckets that they touch are written anew.  Ledger, marks and counters
+    change together, in one commit, so a fold that is interrupted or repeated adds nothing twice.
     """
-    spark = nets.sparkSession
-    versions = f"{path}/version"
-    try:
-        last = spark.read.schema("version long").parquet(versions).agg(F.max("version")).first()[0]
-    except AnalysisException:
-        last = None
-    number = 0 if last is None else last + 1
-    stored = empty_counters(spark) if last is None else tuple(spark.read.parquet(f"{path}/{name}-{last}") for name in ("counters", "ledger"))
-    folded = fold_broker_counters(*stored, nets, calendar, top)
-    for name, df in zip(("counters", "ledger"), folded):
-        df.write.mode("overwrite").parquet(f"{path}/{name}-{number}")
-    spark.range(number, number + 1).toDF("version").coalesce(1).write.mode("append").parquet(versions)
-    return tuple(spark.read.parquet(f"{path}/{name}-{number}") for name in ("counters", "ledger"))
+    spark, store = nets.spark, Store(nets.spark, path)
+    marks = {str(r.date): r.place for r in store.read("marks", schema="date date, place long, mark int").collect()}
+    places = nets.parts(TABLE)
+    changed = {d for d, place in places.items() if marks.get(d) != place}
+    if changed:
+        # a step is read if it starts or ends on a changed date and both its dates are stored
+        around = calendar.select(*[F.col(c).cast("string") for c in ("date", "next_date")]).collect()
+        steps_at = {r.date: r.next_date for r in around if r.date in places and r.next_date in places and {r.date, r.next_date} & changed}
+        starts = set(steps_at)
+        near = nets.read(TABLE, sorted(starts | set(steps_at.values())), NETS)
+        today = near.filter(F.col("date").cast("string").isin(sorted(starts)))
+        ledger = store.read("ledger", sorted(starts), LEDGER)
+        present = near.select("instrument_id", "date").distinct()
+        steps = joins.next_date_pairs(today.select("instrument_id", "date").distinct(), present, calendar, ["instrument_id"], "inner")
+        steps = cut_lineage(steps.join(ledger, ["instrument_id", "date"], "left_anti"), "steps")
+        delta = broker_counts(brokers.follow_up(near, steps, top))
+        number = store.manifest()[0] + 1
+        deltas, known = store.parts("deltas"), set(store.parts("counters"))
+        delta = cut_lineage(delta.withColumn("delta", F.lit(number)), "delta")
+        new = spark.createDataFrame([(d, p) for d, p in places.items()], "date string, place long").select(F.col("date").cast("date").alias("date"), "place", F.lit(0).alias("mark"))
+        folded = dates_of(steps)
+        full = ledger.filter(F.col("date").cast("string").isin(folded)).unionByName(steps.select("instrument_id", "date"))
+        commit, drop = {"marks": (new, "mark", ["0"]), "ledger": (full, "date", folded)}, {}
+        if len(deltas) + 1 < DELTAS:
+            commit["deltas"] = (delta, "delta", [str(number)] if folded else [])
+        else:
+            bucket = F.pmod(F.xxhash64("broker", "instrument_id"), F.lit(BUCKETS)).cast("int")
+            added = cut_lineage(store.read("deltas", schema=COUNTERS + ", delta int").unionByName(delta).drop("delta").withColumn("bucket", bucket), "deltas")
+            touched = {str(r.bucket) for r in added.select("bucket").distinct().collect()} & known
+            base = store.read("counters", sorted(touched), COUNTERS + ", bucket int")
+            commit["counters"] = (summed(base.unionByName(added), "bucket"), "bucket")
+            drop["deltas"] = list(deltas)
+        store.commit(commit, drop)
+    both = store.read("counters", schema=COUNTERS + ", bucket int").drop("bucket").unionByName(store.read("deltas", schema=COUNTERS + ", delta int").drop("delta"))
+    return summed(both)
 
 
 def profile_from_counters(counters: DataFrame, p: Broker = Broker()) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Structured Streaming over quotes: normalisation, price alerts, holding guard, day range."""
+"""Structured Streaming over quotes: normalisation, price alerts, holding guard, day range.
+
+``follow`` and ``follow_range`` go on where their last call ended: a folder holds the
+stream's checkpoint, the state after each batch and what was delivered.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number_or_null, ratio
 from ..session import cut_lineage, shared_folder
+from ..sources.versions import Store
 
 # How near a limit counts, and the jump in percent.
 NEAR_UP, NEAR_DOWN, JUMP = 0.985, 1.015, 3.0
@@ -42,6 +48,11 @@ def prices(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", "ts", F.to_date("ts").alias("day"), price.alias("price"))
 
 
+def carry_columns(priced: DataFrame) -> DataFrame:
+    """Prices with the columns that ``carry`` adds, all null."""
+    return priced.select("symbol", "ts", "day", "price", *[F.lit(None).cast("double").alias(c) for c in ("prev_close", "high", "low")])
+
+
 STATE = "symbol long, day date, close double, before double, high double, low double"
 
 
@@ -93,41 +104,13 @@ def carry(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, rest.unionByName(changed)
 
 
-class Followed:
-    """A stream of raw prices, and what happens to each trigger's quotes once range and previous close are known.
+def normalised(quotes: DataFrame) -> DataFrame:
+    """Carried quotes with limits and the change against the close of the symbol's previous quoted day.
 
-    It takes ``select``, ``filter`` and ``withColumn`` as a frame does; ``run_available`` runs it.
-    """
-
-    def __init__(self, stream: DataFrame, steps: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> None:
-        self.stream, self.steps = stream, steps
-
-    def then(self, step: Callable[[DataFrame], DataFrame]) -> Followed:
-        return Followed(self.stream, (*self.steps, step))
-
-    def select(self, *columns) -> Followed:
-        return self.then(lambda df: df.select(*columns))
-
-    def filter(self, condition) -> Followed:
-        return self.then(lambda df: df.filter(condition))
-
-    def withColumn(self, name: str, column: Column) -> Followed:
-        return self.then(lambda df: df.withColumn(name, column))
-
-    def finish(self, quotes: DataFrame) -> DataFrame:
-        for step in self.steps:
-            quotes = step(quotes)
-        return quotes
-
-
-def normalise(raw: DataFrame) -> Followed:
-    """Prices against the close of the symbol's previous quoted day, with the day's range so far.
-
-    The state of a symbol is five values; quotes of a symbol without an earlier day keep a
-    null change.
+    Quotes of a symbol without an earlier day keep a null change.
     """
     prev = F.col("prev_close")
-    return Followed(prices(raw)).select(
+    return quotes.select(
         "*", (prev * 1.1).alias("limit_up"), (prev * 0.9).alias("limit_down"),
         F.when(prev > 0, F.round(ratio(F.col("price") - prev, prev) * 100, 2)).alias("change_pct"),
     )
@@ -145,9 +128,9 @@ def alert_text(jump: float = JUMP) -> Column:
     )
 
 
-def quote_alerts(quotes: Followed, jump: float = JUMP) -> Followed:
-    """Quotes that raise at least one alert."""
-    return quotes.withColumn("alerts", alert_text(jump)).filter("alerts <> ''")
+def alerting(quotes: DataFrame, jump: float = JUMP) -> DataFrame:
+    """Carried quotes that raise at least one alert."""
+    return normalised(quotes).withColumn("alerts", alert_text(jump)).filter("alerts <> ''")
 
 
 def holding_guard(priced: DataFrame, holdings: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -162,37 +145,79 @@ def holding_guard(priced: DataFrame, holdings: DataFrame, delay: str = "1 day")
 
 
 def day_range(quotes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """High and low of each symbol and day; a day is emitted when the watermark closes it."""
+    """High, low and number of quotes of each symbol and day, and its last time; a day is final once the watermark closes it."""
     return (
         quotes.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 day"))
-        .agg(F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n"))
-        .select("symbol", F.to_date("window.start").alias("day"), "high", "low", "n")
+        .agg(F.max("price").alias("high"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+        .select("symbol", F.to_date("window.start").alias("day"), "high", "low", "n", "last")
     )
 
 
-def run_available(stream: DataFrame | Followed, name: str) -> DataFrame:
-    """Process what has landed, exactly once, into files of the shared folder; returns them.
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Process what has landed, exactly once, into files of the shared folder; returns them."""
+    folder = shared_folder(stream.sparkSession, name)
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def in_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], mode: str) -> None:
+    """Hand what has landed since the last call to ``step``, batch by batch; ``folder`` keeps what has been seen."""
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
-    Followed quotes land first with the time of their trigger; then the triggers are
-    followed in their order, each from the stored state of the one before.
+
+def follow(raw: DataFrame, folder: str, then: Callable[[DataFrame], DataFrame] = normalised) -> DataFrame:
+    """Quotes of ``raw`` through ``then``, as far as they have landed; all that was ever delivered to ``folder``.
+
+    A call goes on where the last one ended, in this application or an earlier one: the
+    symbols' closes and ranges are stored after each batch, under the batch's number.  A
+    batch that is repeated finds its own state stored, or that of the batch before, and
+    writes the same files again.
     """
-    source = stream.stream.withColumn("trigger", F.unix_micros(F.current_timestamp())) if isinstance(stream, Followed) else stream
-    spark = source.sparkSession
-    folder = shared_folder(spark, name)
-    query = (
-        source.writeStream.format("parquet").option("path", f"{folder}/landed").option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    landed = spark.read.schema(source.schema).parquet(f"{folder}/landed")
-    if not isinstance(stream, Followed):
-        return landed
-    state, out = spark.createDataFrame([], STATE), None
-    for (trigger,) in [*landed.select("trigger").distinct().orderBy("trigger").collect(), (None,)]:
-        if trigger is None and out is not None:
-            break
-        quotes, state = carry(landed.filter(F.col("trigger") == F.lit(trigger)).drop("trigger"), state)
-        state = cut_lineage(state, "quote-state")
-        out = stream.finish(quotes)
-        out.write.mode("append").parquet(f"{folder}/out")
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    spark = raw.sparkSession
+    done = f"{folder}/out"
+
+    def step(batch: DataFrame, number: int) -> None:
+        store = Store(batch.sparkSession, f"{folder}/state")
+        held = store.parts("state")
+        if str(number) in held:
+            return
+        state = store.read("state", schema=STATE + ", batch long").drop("batch")
+        quotes, after = carry(batch, state)
+        then(quotes).write.mode("overwrite").parquet(f"{done}/batch={number}")
+        store.commit({"state": (after.withColumn("batch", F.lit(number).cast("long")), "batch", [str(number)])}, drop={"state": list(held)})
+        if number % 16 == 15:
+            store.vacuum()
+
+    source = prices(raw)
+    in_batches(source, folder, step, "append")
+    empty = spark.createDataFrame([], source.schema)
+    shape = then(carry_columns(empty)).schema
+    try:
+        return spark.read.schema(shape).option("basePath", done).parquet(done)
+    except AnalysisException:  # nothing has landed yet
+        return spark.createDataFrame([], shape)
+
+
+def follow_range(quotes: DataFrame, folder: str, delay: str = "10 minutes") -> DataFrame:
+    """The range of every symbol and day so far, open days too, in a stored table; ``closed`` days do not change any more.
+
+    Each batch delivers the days it changed, whole, and they replace the stored ones by
+    symbol and day, so a repeated batch changes nothing.  Only these days are rewritten.
+    """
+    store, columns = Store(quotes.sparkSession, f"{folder}/ranges"), ["symbol", "day", "high", "low", "n", "last"]
+    shape = "symbol long, high double, low double, n long, last timestamp, day date"
+
+    def step(batch: DataFrame, number: int) -> None:
+        own = Store(batch.sparkSession, f"{folder}/ranges")
+        new = cut_lineage(batch.filter("day IS NOT NULL"), "ranges")
+        days = [str(r.day) for r in new.select("day").distinct().collect()]
+        both = own.read("ranges", days, shape).withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+        newest = both.groupBy("symbol", "day").agg(F.max_by(F.struct("high", "low", "n", "last"), "turn").alias("x")).select("symbol", "x.*", "day")
+        own.commit({"ranges": (newest, "day", days)})
+
+    in_batches(day_range(quotes, delay), folder, step, "update")
+    table = store.read("ranges", schema=shape).select(*columns)
+    seen = table.agg((F.max("last") - F.expr(f"interval {delay}")).alias("t")).select("t").scalar()
+    return table.withColumn("closed", F.coalesce(F.date_add("day", 1).cast("timestamp") <= seen, F.lit(False)))

@@ -7,8 +7,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tapeframe.config import Broker
+from tapeframe.operators import brokers
 from tapeframe.session import shared_folder
 from tapeframe.sources import calendar, normalize, tables
+from tapeframe.sources.versions import Store
 from tapeframe.streaming import quotes
 
 from .conftest import days
@@ -88,8 +91,7 @@ def stream(spark, folder):
 
 def test_alerts_and_single_guard(spark, frame, ticks):
     folder, _ = ticks
-    q = quotes.normalise(stream(spark, folder))
-    alerts = {(r.day.day, r.price): r.alerts for r in quotes.run_available(quotes.quote_alerts(q), "a").collect()}
+    alerts = {(r.day.day, r.price): r.alerts for r in quotes.follow(stream(spark, folder), shared_folder(spark, "a"), quotes.alerting).collect()}
     assert alerts == {
         (1, 100.0): "above-high below-low", (2, 109.0): "near-limit-up jump above-high below-low", (2, 90.5): "near-limit-down drop below-low",
         (2, 108.9): "near-limit-up jump", (4, 100.0): "drop above-high below-low",
@@ -117,7 +119,7 @@ def test_later_deliveries_continue_the_day(spark, frame):
     deliver(1, (1, "2024-01-01 10:00:00", "buy", 100.0), (1, "2024-01-02 09:00:00", "buy", 104.0), (2, "2024-01-02 09:00:00", "buy", 7.0))
     deliver(2, (1, "2024-01-02 09:30:00", "buy", 103.0), (1, "2024-01-01 11:00:00", "buy", 300.0), (2, "2024-01-03 09:00:00", "buy", 8.0))
     raw = quotes.raw_quotes(spark.readStream.schema(spark.read.parquet(f"{folder}/events-1.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events-*.parquet"))
-    got = {(r.symbol, r.price): (r.prev_close, r.high, r.low) for r in quotes.run_available(quotes.normalise(raw), "n").collect()}
+    got = {(r.symbol, r.price): (r.prev_close, r.high, r.low) for r in quotes.follow(raw, shared_folder(spark, "n")).collect()}
     assert got == {
         (1, 100.0): (None, 100.0, 100.0), (1, 104.0): (100.0, 104.0, 104.0), (2, 7.0): (None, 7.0, 7.0),
         (1, 103.0): (100.0, 104.0, 103.0), (1, 300.0): (None, None, None), (2, 8.0): (7.0, 8.0, 8.0),
@@ -148,7 +150,7 @@ def test_a_symbol_of_many_slices(spark, monkeypatch):
         out, state = quotes.carry(frame, state)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Pandas" not in plan and "Python" not in plan
-        got, state, want = [tuple(r) for r in out.collect()], state.localCheckpoint(), []
+        got, state, want = [tuple(r) for r in out.collect()], stored(state, "state"), []
         for r in sorted(rows, key=lambda r: (r[1] or datetime.max, number(r[3]))):
             symbol, _, day, price = r
             now = kept.setdefault(symbol, [None] * 5)
@@ -165,11 +167,159 @@ def test_a_symbol_of_many_slices(spark, monkeypatch):
     assert min(slices) > 1
 
 
-def test_day_range_emits_closed_days(spark, ticks):
-    folder, _ = ticks
-    s = stream(spark, folder).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
-    got = {str(r.day): (r.high, r.low, r.n) for r in quotes.run_available(quotes.day_range(s), "r").collect()}
-    assert got == {"2024-01-01": (100.0, 100.0, 1), "2024-01-02": (109.0, 90.5, 3)}
+def landing(spark, frame):
+    """A folder, and a function that lands a file of quotes in it."""
+    folder = shared_folder(spark, "landing")
+    schema = "user_id long, ts string, event_type string, value double"
+
+    def deliver(n, *rows):
+        frame(schema, *rows).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{folder}/events-{n}.parquet")
+
+    return folder, deliver
+
+
+def landed(spark, folder):
+    shape = "user_id long, ts timestamp_ntz, event_type string, value double"
+    return quotes.raw_quotes(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events-*.parquet"))
+
+
+def test_a_second_call_goes_on_from_the_first(spark, frame):
+    """New streams over the same folder: only new quotes are delivered, against the close and range that are stored."""
+    folder, deliver = landing(spark, frame)
+    at = shared_folder(spark, "followed")
+    rows = lambda: {(r.symbol, r.price): (r.prev_close, r.high, r.low) for r in quotes.follow(landed(spark, folder), at).collect()}
+    deliver(1, (1, "2024-01-01 10:00:00", "buy", 100.0), (1, "2024-01-02 09:00:00", "buy", 104.0))
+    first = rows()
+    assert first == {(1, 100.0): (None, 100.0, 100.0), (1, 104.0): (100.0, 104.0, 104.0)}
+    files = set(spark.read.parquet(f"{at}/out").inputFiles())
+    assert rows() == first and set(spark.read.parquet(f"{at}/out").inputFiles()) == files
+    deliver(2, (1, "2024-01-02 09:30:00", "buy", 103.0), (2, "2024-01-02 09:00:00", "buy", 7.0))
+    deliver(3, (2, "2024-01-03 09:00:00", "buy", 8.0))
+    assert rows() == first | {(1, 103.0): (100.0, 104.0, 103.0), (2, 7.0): (None, 7.0, 7.0), (2, 8.0): (7.0, 8.0, 8.0)}
+    assert files < set(spark.read.parquet(f"{at}/out").inputFiles())
+
+
+def test_a_repeated_batch_changes_nothing(spark, frame, monkeypatch):
+    folder, deliver = landing(spark, frame)
+    at, steps = shared_folder(spark, "followed"), []
+    run = quotes.in_batches
+    monkeypatch.setattr(quotes, "in_batches", lambda stream, folder, step, mode: run(stream, folder, lambda df, n: (step(df, n), steps.append(n), step(df, n)) and None, mode))
+    deliver(1, (1, "2024-01-01 10:00:00", "buy", 100.0))
+    deliver(2, (1, "2024-01-02 09:00:00", "buy", 104.0))
+    got = [(r.price, r.prev_close) for r in quotes.follow(landed(spark, folder), at).orderBy("ts").collect()]
+    assert got == [(100.0, None), (104.0, 100.0)] and steps == [0, 1]
+
+
+def test_a_batch_that_stopped_before_its_commit_is_done_again(spark, frame, monkeypatch):
+    folder, deliver = landing(spark, frame)
+    at = shared_folder(spark, "followed")
+    deliver(1, (1, "2024-01-01 10:00:00", "buy", 100.0))
+    quotes.follow(landed(spark, folder), at)
+    deliver(2, (1, "2024-01-02 09:00:00", "buy", 104.0))
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Store, "publish", stop)
+        with pytest.raises(Exception, match="stopped"):
+            quotes.follow(landed(spark, folder), at)
+    got = [(r.price, r.prev_close) for r in quotes.follow(landed(spark, folder), at).orderBy("ts").collect()]
+    assert got == [(100.0, None), (104.0, 100.0)]
+
+
+def test_open_days_are_delivered_revised_and_closed(spark, frame):
+    folder, deliver = landing(spark, frame)
+    at = shared_folder(spark, "ranges")
+
+    def ranges():
+        raw = landed(spark, folder).withColumn("price", quotes.number_or_null(F.get(F.split("b", "_"), F.lit(0))))
+        return {(r.symbol, str(r.day)): (r.high, r.low, r.n, r.closed) for r in quotes.follow_range(raw, at).collect()}
+
+    deliver(1, (1, "2024-01-01 10:00:00", "buy", 100.0), (None, "2024-01-01 10:00:00", "buy", 3.0))
+    assert ranges() == {(1, "2024-01-01"): (100.0, 100.0, 1, False), (None, "2024-01-01"): (3.0, 3.0, 1, False)}
+    deliver(2, (1, "2024-01-01 11:00:00", "buy", 90.0), (1, "2024-01-01 12:00:00", "view", 95.0), (None, "2024-01-01 10:30:00", "buy", 4.0))
+    assert ranges() == {(1, "2024-01-01"): (100.0, 90.0, 3, False), (None, "2024-01-01"): (4.0, 3.0, 2, False)}
+    deliver(3, (1, "2024-01-02 00:10:00", "buy", 91.0))
+    assert ranges() == {(1, "2024-01-01"): (100.0, 90.0, 3, True), (None, "2024-01-01"): (4.0, 3.0, 2, True), (1, "2024-01-02"): (91.0, 91.0, 1, False)}
+    assert ranges() == ranges()
+
+
+def test_an_interrupted_write_leaves_the_old_table(spark, frame, monkeypatch):
+    d, path = days(4), shared_folder(spark, "t")
+    rows = lambda: sorted((r.instrument_id, r.date, r.close) for r in tables.read_table(spark, path, "instrument_id", "date", "close").collect())
+    tables.write_dates(frame(PRICE, *[(s, x, 1.0) for s in (1, 2) for x in d]), path)
+    before = rows()
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Store, "publish", stop)
+        for job in (
+            lambda: tables.upsert(path, frame(PRICE, (1, d[1], 9.0)), ["instrument_id", "date"]), lambda: tables.prune(path, spark, 1),
+            lambda: tables.replace_table(frame(PRICE, (5, d[0], 5.0)), path), lambda: tables.record_day(path, frame(PRICE, (5, d[0], 5.0))),
+        ):
+            with pytest.raises(RuntimeError):
+                job()
+            assert rows() == before
+    tables.upsert(path, frame(PRICE, (1, d[1], 9.0)), ["instrument_id", "date"])
+    assert rows() == sorted([r for r in before if r[:2] != (1, d[1])] + [(1, d[1], 9.0)])
+    tables.prune(path, spark, 2)
+    assert {r[1] for r in rows()} == set(d[2:])
+
+
+def test_versions_share_parts_until_nothing_needs_them(spark, frame):
+    d, path = days(3), shared_folder(spark, "t")
+    store = Store(spark, path)
+    assert store.manifest() == (-1, {}) and store.read("rows", schema=PRICE).count() == 0
+    tables.write_dates(frame(PRICE, *[(1, x, 1.0) for x in d]), path)
+    tables.record_day(path, frame(PRICE + ", volume long", (1, d[1], 2.0, 7)))
+    assert store.parts("rows") == {str(d[0]): 0, str(d[1]): 1, str(d[2]): 0}
+    got = {r.date: (r.close, r.volume) for r in tables.read_table(spark, path).collect()}
+    assert got == {d[0]: (1.0, None), d[1]: (2.0, 7), d[2]: (1.0, None)}
+    assert {f.split("/v__=")[1].split("/")[0] + f.split("date=")[1][:10] for f in tables.read_table(spark, path).inputFiles()} == {f"0{d[0]}", f"1{d[1]}", f"0{d[2]}"}
+    assert [r.date for r in tables.newest_rows(spark, path).collect()] == [d[2]] and len(tables.newest_rows(spark, path).inputFiles()) == 1
+    tables.replace_table(tables.read_table(spark, path).withColumn("close", F.col("close") + 1), path)
+    assert store.vacuum(keep=2) == [] and len(store.vacuum(keep=1)) == 2 and store.vacuum(keep=9) == []
+    assert sorted(r.close for r in tables.read_table(spark, path).collect()) == [2.0, 2.0, 3.0]
+    tables.prune(path, spark, 0 + 1)
+    tables.replace_table(tables.read_table(spark, path).limit(0), path)
+    assert store.parts("rows") == {}
+
+
+def test_a_fold_reads_the_new_date_and_its_neighbour_only(spark, frame, monkeypatch):
+    """Reads by part; late rows and dates are found by the manifest; counters are compacted by bucket."""
+    monkeypatch.setattr(tables, "DELTAS", 3)
+    rng, d = random.Random(3), days(9)
+    net = "instrument_id long, date date, broker string, net double"
+    rows = [(s, x, b, float(rng.choice([-3, -1, 2, 4]))) for s in range(4) for x in d for b in "abc" if rng.random() < 0.8]
+    cal = calendar.trading_calendar(frame("date date", *[(x,) for x in d]))
+    nets, path, read = Store(spark, shared_folder(spark, "nets")), shared_folder(spark, "counters"), []
+    plain = Store.read
+
+    def watched(self, name, parts=None, schema=None):
+        if parts is not None:
+            read.append((name, list(parts)))
+        return plain(self, name, parts, schema)
+
+    monkeypatch.setattr(Store, "read", watched)
+    deliveries = [[r for r in rows if r[1] in d[:4]], *[[r for r in rows if r[1] == x] for x in (d[4], d[6], d[5], d[7])], []]
+    late = [(9, d[2], "a", 5.0), (9, d[3], "a", -2.0)]
+    deliveries.append([r for r in rows + late if r[1] in (d[2], d[3])])
+    deliveries.append([r for r in rows if r[1] == d[8]])
+    for i, delivery in enumerate(deliveries):
+        if delivery:
+            tables.write_dates(frame(net, *delivery), nets.path)
+        read.clear()
+        counters = tables.fold_stored_counters(path, nets, cal)
+        if i == 1:
+            assert read == [("rows", [str(d[3]), str(d[4])]), ("ledger", [str(d[3])])]
+        if not delivery:
+            assert read == []
+    want = brokers.broker_profile(frame(net, *rows, *late), cal, Broker(min_ops=1))
+    assert {tuple(r) for r in tables.profile_from_counters(counters, Broker(min_ops=1)).collect()} == {tuple(r) for r in want.collect()}
+    assert len(Store(spark, path).parts("counters")) > 0 and len(Store(spark, path).parts("deltas")) < 3
 
 
 def test_kept_tables_outlive_a_reader_and_follow_their_sources(spark, tmp_path):
