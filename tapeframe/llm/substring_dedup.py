@@ -14,7 +14,7 @@ also starts in a document with a smaller id.
 3. **Reveal.** Two Bloom filters over all symbols with contexts of at most a window
    (``twice``) tell which may occur twice.  A window is suspected unless a symbol whose
    context it holds occurs once.  Equal windows hold equal symbols, so none is missed.
-4. **Verify.** Suspected windows, as 128 bits of two independent hashes, are counted exactly: the least document of
+4. **Verify.** Suspected windows, as 96 bits of two independent hashes, are counted exactly: the least document of
    each, aggregated before the shuffle, meets the documents that hold it, and each learns
    which of its windows are covered.  Passages that very many documents share are skewed
    keys of that join, which Spark splits.
@@ -160,11 +160,11 @@ class Passages:
         return self.hashes(words, start, end), start, end
 
     def second(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hashes of the windows at ``at``, independent of the first ones: each word is mixed with its place."""
+        """32-bit hashes of the windows at ``at``, independent of the first ones: each word is mixed with its place."""
         out = np.zeros(len(at), np.uint64)
         for i in range(self.span):
             out += mix(words[at + i] ^ mix(np.array([i + 1], np.uint64)))
-        return mix(out)
+        return (mix(out) >> np.uint64(32)).astype(np.uint32)
 
     def suspected(self, words: np.ndarray, rows: np.ndarray, test) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places and both hashes of the windows that hold no symbol that occurs once."""
@@ -211,9 +211,9 @@ def covered(rows: DataFrame, n_words: int, span: int) -> DataFrame:
                 for lo, _, words, offsets in tool.slices(column(part, "text")):
                     at, hashes, second = tool.suspected(words, offsets, test)
                     owner = docs[lo + np.searchsorted(offsets, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(second.view(np.int64)), pa.array(owner, pa.int64())], names=["win", "second", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(second.view(np.int32)), pa.array(owner, pa.int64())], names=["win", "second", "doc"])
 
-    suspects = cut_lineage(rows.mapInArrow(reveal, "win long, second long, doc long"), "suspect-windows")
+    suspects = cut_lineage(rows.mapInArrow(reveal, "win long, second int, doc long"), "suspect-windows")
     key = ["win", "second"]
     shared = suspects.groupBy(*key).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     shared = cut_lineage(shared.select(*key, "least"), "shared-windows")  # a join of two plain shuffles is split where a window is skewed
