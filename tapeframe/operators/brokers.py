@@ -232,9 +232,14 @@ def history_as_of(history: DataFrame, wanted: DataFrame) -> DataFrame:
     return swept.filter((F.col("kind") == 0) & F.col("last").isNotNull()).select("broker", "date", "last.*")
 
 
-def pit_expected_pressure(nets: DataFrame, price: DataFrame, calendar: DataFrame, p: Broker = Broker()) -> DataFrame:
-    """Expected pressure of every bar from a profile of strictly earlier dates; none before the first profile."""
-    history = profile_history(nets, calendar, p)
+def pit_expected_pressure(
+    nets: DataFrame, price: DataFrame, calendar: DataFrame, p: Broker = Broker(), history: DataFrame | None = None
+) -> DataFrame:
+    """Expected pressure of every bar from a profile of strictly earlier dates; none before the first profile.
+
+    ``history`` is the broker history where it is stored already.
+    """
+    history = profile_history(nets, calendar, p) if history is None else history
     first = history.filter(F.col("ops") >= p.min_ops).agg(F.min("date").alias("d")).select("d").scalar()
     leading = leading_nets(nets.filter(F.col("date") > first), p.top)
     rates = profile_rates_by_date(history_as_of(history, leading.filter("net > 0")), p)

@@ -147,10 +147,12 @@ def _listing(entries: Column, show: int) -> Column:
 
 def lock_screen(
     price: DataFrame, info: DataFrame, day_trade: DataFrame, nets: DataFrame, calendar: DataFrame,
-    p: LockScreen = LockScreen(), b: Broker = Broker(),
+    p: LockScreen = LockScreen(), b: Broker = Broker(), profile: DataFrame | None = None,
 ) -> DataFrame:
     """Limit-up candidates of the newest date with who locked them and who may sell tomorrow.
 
+    ``profile`` is the broker profile where it is stored already.
+
     The blacklists name frequent flippers across the market and on the instrument
     itself among today's top buyers, and only where the main brokers are net buyers.
     """
@@ -164,7 +166,7 @@ def lock_screen(
     main_prev = brokers.broker_main_net(of_prev, b.top).select("instrument_id", F.col("main_net").alias("main_net_prev"))
     pressure = brokers.flip_pressure(of_prev.unionByName(of_today), price, calendar, b.top).select("instrument_id", "flip_pressure_pct")
     # a stored table of one row per broker: its real size decides whether joins broadcast it
-    profile = cut_lineage(brokers.broker_profile(nets, calendar, b), "profile")
+    profile = cut_lineage(brokers.broker_profile(nets, calendar, b), "profile") if profile is None else profile
     expected = brokers.expected_pressure(of_today, profile, price, b).select("instrument_id", "expected_lots", "expected_pct")
     regulars = brokers.flip_regulars(own_history, calendar, p.lookback, b.top, p.min_hits).select("instrument_id", "broker", "hits")
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from ..config import Broker
 from ..operators import brokers
-from ..session import cut_lineage
 from ..sources import normalize
 from ..sources.landing import MarketTables
 from .registry import query, rounded
@@ -60,7 +59,7 @@ FOLLOW = {
 
 
 def stored_profile(m: MarketTables) -> DataFrame:
-    return cut_lineage(brokers.broker_profile(m.broker_net, m.calendar, P), "profile")
+    return m.broker_profile(P)
 
 
 @query("broker_net_from_trades", "SELECT instrument_id, date, broker, net FROM d_broker")
@@ -168,7 +167,8 @@ PIT = {
     **FOLLOW, **PIT,
 )
 def pit(m: MarketTables) -> DataFrame:
-    return rounded(brokers.pit_expected_pressure(m.broker_net, m.bars, m.calendar, P), "expected_lots", "expected_pct")
+    out = brokers.pit_expected_pressure(m.broker_net, m.bars, m.calendar, P, m.broker_history(P))
+    return rounded(out, "expected_lots", "expected_pct")
 
 
 @query(

@@ -149,7 +149,8 @@ LOCK = {
 
 
 def lock(m: MarketTables, calendar: DataFrame | None = None) -> DataFrame:
-    return report.lock_screen(m.bars, m.instruments, m.day_trade, m.broker_net, calendar or m.calendar, LOCK_P, LOCK_B)
+    profile = None if calendar else m.broker_profile(LOCK_B)
+    return report.lock_screen(m.bars, m.instruments, m.day_trade, m.broker_net, calendar or m.calendar, LOCK_P, LOCK_B, profile)
 
 
 @query(

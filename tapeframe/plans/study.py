@@ -120,7 +120,7 @@ def upper_tail(m: MarketTables) -> DataFrame:
        FROM s_lock JOIN b_pitx USING (instrument_id, date) WHERE expected_pct IS NOT NULL""", **{**S_TABLES, **FOLLOW, **PIT},
 )
 def pit_pressure(m: MarketTables) -> DataFrame:
-    out = study.pit_pressure_study(lock_rows(m), brokers.pit_expected_pressure(m.broker_net, m.bars, m.calendar, P))
+    out = study.pit_pressure_study(lock_rows(m), brokers.pit_expected_pressure(m.broker_net, m.bars, m.calendar, P, m.broker_history(P)))
     return rounded(out.select("date", "instrument_id", "expected_pct", "n_flippers", "gap", "oc", "cc"), "expected_pct", "gap", "oc", "cc")
 
 

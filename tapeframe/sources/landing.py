@@ -10,11 +10,13 @@ whole percents: the results do not depend on the order of addition.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Broker
 from ..functions.columns import LOCAL_YEAR_OFFSET
 from ..session import keep_table
 from .calendar import trading_calendar
@@ -24,7 +26,7 @@ DAY_SLOT = 10**12
 TIER_EDGES = ((15, 300_000), (14, 250_000), (13, 200_000), (12, 150_000))
 TIER_STEP = 15_000
 # Raised whenever the stored tables change.
-LAYOUT = 1
+LAYOUT = 2
 
 
 def week_of(c: str) -> Column:
@@ -39,13 +41,11 @@ SOURCES = ("lineitem", "orders", "customer", "supplier", "nation")
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """One number for the places, sizes and times of all source files; the files' rows are not read."""
-    files = None
-    for name in SOURCES:
-        own = spark.read.parquet(f"{path}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        files = own if files is None else files.unionByName(own)
-    total = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
-    return f"{int(total) % (1 << 64):016x}"
+    """One number for the places, sizes and times of all source files: a listing, one row a file; no file is opened."""
+    paths = [f"{path.rstrip('/')}/{name}.parquet" for name in SOURCES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    total = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+    return f"{int(total or 0) % (1 << 64):016x}"
 
 
 class MarketTables:
@@ -61,6 +61,7 @@ class MarketTables:
 
     def __init__(self, spark: SparkSession, path: str, keep: bool = True, mark: str | None = None):
         self.spark, self.path, self.keep, self.mark = spark, path.rstrip("/"), keep, mark
+        self._made: dict[str, DataFrame] = {}
 
     def _kept(self, name: str, df: DataFrame, *order: str) -> DataFrame:
         if not self.keep:
@@ -93,11 +94,11 @@ class MarketTables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """All weekly measures in one row per (instrument_id, date).
+        """All measures of the lines alone, in one pass over them: one row per (instrument_id, date).
 
         Open and close pack (day of week, price in ticks) into one long, which keeps
         the aggregation hash-based: the lowest price of the first traded day opens,
-        the highest of the last traded day closes.
+        the highest of the last traded day closes.  Months are summed from here.
         """
         slot = F.col("dow") * DAY_SLOT + F.col("tick")
         flag, signed, qty = F.col("flag"), F.col("signed"), F.col("qty")
@@ -115,6 +116,7 @@ class MarketTables:
             (F.sum(qty * F.col("disc")) / 10.0).alias("short_balance"),
             _when(F.col("status") == "O", qty).alias("dt_vol"),
             _when(flag == "N", qty).alias("sbl_balance"),
+            *[x for c in ("disc", "qty", "tax") for x in (F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"n_{c}"))],
         )
         return self._kept("panel", weekly, "date", "instrument_id")
 
@@ -201,14 +203,39 @@ class MarketTables:
 
         return self._kept("broker_net", broker_net_from_trades(self.broker_trades), "date", "instrument_id")
 
+    def broker_history(self, p: Broker) -> DataFrame:
+        """Running counters of every broker by date, see ``profile_history``; one row for each broker and date."""
+        from ..operators.brokers import profile_history
+
+        return self._once(f"broker-history-{p.top}", lambda: profile_history(self.broker_net, self.calendar, p))
+
+    def broker_profile(self, p: Broker) -> DataFrame:
+        """Behaviour of every broker over all dates: its last counters; one row a broker, so its real size decides how it is joined."""
+        from ..operators.brokers import profile_rates
+
+        counters = ("ops", "flips", "bought", "dumped", "n_instruments")
+        last = lambda: self.broker_history(p).groupBy("broker").agg(F.max_by(F.struct(*counters), "date").alias("x")).select("broker", "x.*")
+        return profile_rates(self._once(f"broker-counters-{p.top}", last), p)
+
+    def _once(self, name: str, make) -> DataFrame:
+        """A derived table that is stored, and looked up, once."""
+        if name not in self._made:
+            self._made[name] = self._kept(name, make())
+        return self._made[name]
+
+    @cached_property
+    def newest(self) -> date:
+        """The newest trading date, as a value: filters with it reach the files without a subquery."""
+        return self.calendar.agg(F.max("date")).first()[0]
+
     # ---- fundamentals -------------------------------------------------
 
     @cached_property
     def order_lines(self) -> DataFrame:
         """Lines with their order; value in 1/10000 money units.
 
-        The only join of the two fact tables: its narrow copy feeds broker flows,
-        fundamentals, notices and requests.
+        The only join of the two fact tables: its narrow copy feeds broker flows, the
+        monthly sums of the fundamentals, notices and requests.
         """
         lines = self.raw("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"),
@@ -230,12 +257,29 @@ class MarketTables:
         joined = lines.join(orders, "o_orderkey").drop("o_orderkey")
         return self._kept("order_lines", joined).withColumn("value", F.col("cents") * (F.lit(100) - F.col("disc")))
 
+    @cached_property
+    def monthly(self) -> DataFrame:
+        """All measures of lines by their order's month and value tier; months and quarters are summed from here."""
+        price = F.col("o_totalprice")
+        level = F.when(price >= TIER_EDGES[0][1], TIER_EDGES[0][0])
+        for tier, edge in TIER_EDGES[1:]:
+            level = level.when(price >= edge, tier)
+        level = level.otherwise((F.floor(price / TIER_STEP) + 1).cast("int"))
+        value, qty, none = F.col("value"), F.col("qty"), F.lit(0)
+        sums = self.order_lines.groupBy("instrument_id", F.trunc("ordered", "MM").alias("month"), level.alias("level")).agg(
+            F.sum(value).alias("v"),
+            F.sum(F.when(F.col("flag") == "R", value).otherwise(none)).alias("v_r"),
+            F.sum(F.when(F.col("status") == "O", value).otherwise(none)).alias("v_o"),
+            F.sum("cents").alias("cents"),
+            F.sum(qty).alias("q"),
+            F.sum(F.when(F.col("flag") == "N", qty).otherwise(F.lit(0.0))).alias("q_n"),
+        )
+        return self._kept("monthly", sums)
+
     @cached_property
     def revenue(self) -> DataFrame:
-        monthly = self.order_lines.groupBy(
-            "instrument_id", F.year("ordered").alias("year"), F.month("ordered").alias("month")
-        ).agg((F.sum("value") / 10000.0).alias("revenue"))
-        return self._kept("revenue", monthly)
+        months = self.monthly.groupBy("instrument_id", F.year("month").alias("year"), F.month("month").alias("month"))
+        return self._kept("revenue", months.agg((F.sum("v") / 10000.0).alias("revenue")))
 
     @cached_property
     def revenue_panel(self) -> DataFrame:
@@ -248,10 +292,9 @@ class MarketTables:
         """Monthly: yield, per, pbr at the month's first trading date."""
         month = F.trunc("date", "MM")
         first = self.calendar.groupBy(month.alias("m")).agg(F.min("date").alias("date"))
-        sums = self.trades.groupBy("instrument_id", month.alias("m")).agg(
-            (F.sum("disc") / F.count("disc")).alias("yield"),
-            (F.sum("qty") / F.count("qty")).alias("per"),
-            (F.sum("tax") * 0.5 / F.count("tax")).alias("pbr"),
+        mean = lambda c: F.sum(f"sum_{c}") / F.sum(f"n_{c}")
+        sums = self.panel.groupBy("instrument_id", month.alias("m")).agg(
+            mean("disc").alias("yield"), mean("qty").alias("per"), (F.sum("sum_tax") * 0.5 / F.sum("n_tax")).alias("pbr"),
         )
         monthly = sums.join(F.broadcast(first), "m")  # one row per month
         return self._kept("valuation", monthly.select("date", "instrument_id", "yield", "per", "pbr"))
@@ -259,14 +302,7 @@ class MarketTables:
     @cached_property
     def holder_tiers(self) -> DataFrame:
         """(date, instrument_id, level, percent): share of quantity by order-value tier."""
-        price = F.col("o_totalprice")
-        level = F.when(price >= TIER_EDGES[0][1], TIER_EDGES[0][0])
-        for tier, edge in TIER_EDGES[1:]:
-            level = level.when(price >= edge, tier)
-        level = level.otherwise((F.floor(price / TIER_STEP) + 1).cast("int"))
-        by_level = self.order_lines.groupBy(
-            "instrument_id", F.trunc("ordered", "MM").alias("date"), level.alias("level")
-        ).agg(F.sum("qty").alias("q"))
+        by_level = self.monthly.select("instrument_id", F.col("month").alias("date"), "level", "q")
         month = Window.partitionBy("instrument_id", "date")
         shares = by_level.select(
             "date", "instrument_id", "level", (F.col("q") * 100 / F.sum("q").over(month)).alias("percent")
@@ -281,19 +317,8 @@ class MarketTables:
 
     @cached_property
     def quarter_sums(self) -> DataFrame:
-        q = F.trunc("ordered", "quarter")
-        value, qty, cents = F.col("value"), F.col("qty"), F.col("cents")
-        zero = F.lit(0)
-        sums = self.order_lines.groupBy(
-            "instrument_id", F.date_sub(F.add_months(q, 3), 1).alias("date")
-        ).agg(
-            F.sum(value).alias("v"),
-            F.sum(F.when(F.col("flag") == "R", value).otherwise(zero)).alias("v_r"),
-            F.sum(F.when(F.col("status") == "O", value).otherwise(zero)).alias("v_o"),
-            F.sum(cents).alias("cents"),
-            F.sum(qty).alias("q"),
-            F.sum(F.when(F.col("flag") == "N", qty).otherwise(F.lit(0.0))).alias("q_n"),
-        )
+        end = F.date_sub(F.add_months(F.trunc("month", "quarter"), 3), 1)
+        sums = self.monthly.groupBy("instrument_id", end.alias("date")).agg(*[F.sum(c).alias(c) for c in ("v", "v_r", "v_o", "cents", "q", "q_n")])
         return self._kept("quarter_sums", sums)
 
     @cached_property
@@ -423,13 +448,17 @@ class MarketTables:
         )
 
 
-_OPEN: dict[tuple[str, str, str], MarketTables] = {}
+_OPEN: dict[tuple[str, str], MarketTables] = {}
+
 
+def market(spark: SparkSession, path: str, refresh: bool = False) -> MarketTables:
+    """The tables of one landing folder, shared by all queries of a Spark application.
 
-def market(spark: SparkSession, path: str) -> MarketTables:
-    """The tables of one landing folder, shared by all queries of a Spark application until its files change."""
-    mark = fingerprint(spark, path)
-    key = (spark.sparkContext.applicationId, path, mark)
-    if key not in _OPEN:
-        _OPEN[key] = MarketTables(spark, path, mark=mark)
+    Its files are listed once; with ``refresh`` they are listed again, and changed ones give new tables.
+    """
+    key = (spark.sparkContext.applicationId, path)
+    if refresh or key not in _OPEN:
+        mark = fingerprint(spark, path)
+        if key not in _OPEN or _OPEN[key].mark != mark:
+            _OPEN[key] = MarketTables(spark, path, mark=mark)
     return _OPEN[key]

@@ -336,7 +336,8 @@ def test_kept_tables_outlive_a_reader_and_follow_their_sources(spark, tmp_path):
     before = market(spark, folder)
     mark = fingerprint(spark, folder)
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_shipdate", F.expr("l_shipdate + interval 9 year")).write.mode("append").parquet(f"{folder}/lineitem.parquet")
-    assert fingerprint(spark, folder) != mark and market(spark, folder) is not before
+    assert fingerprint(spark, folder) != mark and market(spark, folder) is before
+    assert market(spark, folder, refresh=True) is not before and market(spark, folder) is not before
     assert MarketTables(spark, folder).panel.count() > rows
 
 
