@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .columns import col, ratio
 
 
@@ -131,12 +132,10 @@ def top_rows(df: DataFrame, w: WindowSpec, n: int, name: str = "rank") -> DataFr
     return with_row_numbers(df, w, name).filter(F.col(name) <= n)
 
 
-def latest_streaks(
-    df: DataFrame, key: str, columns: dict[str, str], by: str = "date"
-) -> DataFrame:
-    """Signed length of the newest same-sign run of each column, one row per key.
+def streak_runs(df: DataFrame, key: str, columns: dict[str, str], by: str = "date") -> DataFrame:
+    """The newest same-sign run of each column, one row per key: its signed length, and whether a row that ends it was seen.
 
-    ``columns`` maps a value column to its output name.
+    A run of no sign has length 0 and is ended.
     """
     w = newest_first(key, by=by)
     step = with_row_numbers(df, w)
@@ -151,5 +150,48 @@ def latest_streaks(
         sign, latest = F.col(f"__sign_{c}"), F.col(f"__latest_{c}")
         stop = F.min(F.when((sign == 0) | (sign != latest), F.col("rn")))
         length = F.coalesce(stop, F.max("rn") + 1) - 1
-        aggs.append((F.max(latest).cast("long") * length).cast("long").alias(out))
+        aggs += [(F.max(latest).cast("long") * length).cast("long").alias(out), stop.isNotNull().alias(f"{out}_ended")]
     return step.groupBy(key).agg(*aggs)
+
+
+def latest_streaks(
+    df: DataFrame, key: str, columns: dict[str, str], by: str = "date"
+) -> DataFrame:
+    """Signed length of the newest same-sign run of each column, one row per key.
+
+    ``columns`` maps a value column to its output name.
+    """
+    return streak_runs(df, key, columns, by).select(key, *columns.values())
+
+
+def deepening_streaks(
+    df: DataFrame, calendar: DataFrame, keys: DataFrame, columns: dict[str, str], key: str = "instrument_id", start: int = 4, enough: int | None = None
+) -> DataFrame:
+    """``latest_streaks`` of the given keys, from the newest dates backwards.
+
+    The newest ``start`` dates are read first, then four times as many, and so on; only keys
+    with a run that has not ended go on, or those without a row yet.  Bounds are literal
+    dates, so files and row groups before them stay closed.  With ``enough``, a run of that
+    length counts as ended: its length may be more.  Each step stores a row for each key
+    that is left; their number reaches the driver.
+    """
+    # one value a date
+    dates = sorted((r.date for r in calendar.select("date").collect()), reverse=True)
+    left, done, n = keys.select(key).distinct(), None, start
+    ended = F.lit(True)
+    for out in columns.values():
+        long_enough = (F.abs(F.col(out)) >= enough) if enough else F.lit(False)
+        ended = ended & F.coalesce(F.col(f"{out}_ended") | long_enough, F.lit(False))
+    while True:
+        whole = n >= len(dates)
+        block = df if whole else df.filter(F.col("date") >= F.lit(dates[n - 1]))
+        if done is not None:
+            block = block.join(left, key, "left_semi")
+        runs = cut_lineage(left.join(streak_runs(block, key, columns), key, "left").withColumn("__ended", ended), "streaks")
+        seen = runs.filter(F.col(f"{next(iter(columns.values()))}_ended").isNotNull())
+        settled = (seen if whole else seen.filter("__ended")).select(key, *columns.values())
+        done = settled if done is None else done.unionByName(settled)
+        left = runs.filter("NOT __ended").select(key)
+        if whole or left.isEmpty():
+            return done
+        n *= 4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Landmine
 from ..functions.columns import ratio, tag_text, tags
 from ..functions.quantiles import exact_median, with_scalar
-from ..functions.windows import latest_streaks, newest_first, top_rows
+from ..functions.windows import deepening_streaks, newest_first, top_rows
 from ..sources.calendar import on_last_dates
 from .flows import holder_change_own
 from .fundamentals import INCOME_ITEMS, eps_ttm_growth, revenue_summary
@@ -18,7 +18,9 @@ CHART_FLAGS = ("below ma60", "weak vs market", "institutions selling", "margin s
 FUND_FLAGS = ("revenue slump", "revenue crash", "earnings collapse", "four-quarter loss", "quarter loss", "margin erosion")
 
 
-def chart_context(price: DataFrame, inst: DataFrame, margin: DataFrame, holders: DataFrame, info: DataFrame, calendar: DataFrame, p: Landmine) -> DataFrame:
+def chart_context(
+    ids: DataFrame, price: DataFrame, inst: DataFrame, margin: DataFrame, holders: DataFrame, info: DataFrame, calendar: DataFrame, p: Landmine
+) -> DataFrame:
     rows = top_rows(price.select("instrument_id", "date", "close"), newest_first("instrument_id"), p.ma_long)
     own = rows.groupBy("instrument_id").agg(
         F.max_by("close", "date").alias("close"), F.count(F.lit(1)).alias("rows"), F.avg("close").alias("mean"),
@@ -34,9 +36,9 @@ def chart_context(price: DataFrame, inst: DataFrame, margin: DataFrame, holders:
         ratio(F.col("close") - F.col("base"), F.col("base")) * 100 - F.coalesce("median", F.lit(0.0)),
     )
     net = F.when(F.col("type") == "tpex", F.col("foreign_net")).otherwise(F.col("trust_net"))
-    selling = latest_streaks(
-        inst.join(info.select("instrument_id", "type"), "instrument_id", "left").select("instrument_id", "date", net.alias("net")), "instrument_id", {"net": "streak"}
-    )
+    chosen = inst.join(info.select("instrument_id", "type"), "instrument_id", "left").select("instrument_id", "date", net.alias("net"))
+    # the flag asks for so many days only
+    selling = deepening_streaks(chosen, calendar, ids, {"net": "streak"}, enough=p.sell_days)
     balance = margin.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("mn"), F.min_by("margin_balance", "date").alias("m0"), F.max_by("margin_balance", "date").alias("m1")
     )
@@ -70,7 +72,7 @@ def landmine_flags(
 ) -> DataFrame:
     """Every given instrument with its flags, their number and a level."""
     ctx = enrich(
-        enrich(ids.select("instrument_id"), chart_context(price, inst, margin, holders, info, calendar, p)),
+        enrich(ids.select("instrument_id"), chart_context(ids, price, inst, margin, holders, info, calendar, p)),
         fundamental_context(revenue, statements),
     )
     chart = tags(*zip(

@@ -116,6 +116,15 @@ def latest_streaks(m: MarketTables) -> DataFrame:
     return fw.latest_streaks(m.institutional, "instrument_id", {"total_net": "streak"})
 
 
+@query(
+    "latest_streaks_by_block",
+    """SELECT instrument_id, CAST(s0 * (coalesce(min(CASE WHEN s = 0 OR s <> s0 THEN k END), max(k) + 1) - 1) AS BIGINT) AS streak FROM
+       (SELECT instrument_id, sign(total_net) AS s, first_value(sign(total_net)) OVER d AS s0, row_number() OVER d AS k FROM d_inst WINDOW d AS (PARTITION BY instrument_id ORDER BY date DESC)) GROUP BY instrument_id, s0""",
+)
+def streaks_by_block(m: MarketTables) -> DataFrame:
+    return fw.deepening_streaks(m.institutional, m.calendar, m.instruments, {"total_net": "streak"})
+
+
 @query(
     "range_position",
     f"""SELECT instrument_id, date, round(CASE WHEN count(*) OVER f >= 120 AND max(close) OVER f > min(close) OVER f THEN (close - min(close) OVER f) / (max(close) OVER f - min(close) OVER f) * 100 END, 6) AS position

@@ -47,7 +47,38 @@ def gap_days(m: MarketTables) -> DataFrame:
 
 @query("latest_date_rows", "SELECT * FROM d_hold WHERE date = (SELECT max(date) FROM d_hold)")
 def latest_rows(m: MarketTables) -> DataFrame:
-    return cal.on_latest_date(m.big_holders)
+    return cal.on_latest_date(m.big_holders, m.newest_of("big_holders"))
+
+
+ISLANDS = {
+    "i_have": "SELECT DISTINCT instrument_id, date, idx FROM d_sbl JOIN d_cal USING (date) WHERE sbl_balance >= 130",
+    "i_runs": """SELECT instrument_id, min(idx) AS lo, max(idx) AS hi FROM (SELECT instrument_id, idx, idx - row_number() OVER (PARTITION BY instrument_id ORDER BY idx) AS run FROM i_have)
+        GROUP BY instrument_id, run""",
+}
+
+
+def loaded_runs(m: MarketTables) -> DataFrame:
+    """Islands of two deliveries that overlap, merged on insert."""
+    have = m.sbl.filter("sbl_balance >= 130")
+    edge = F.lit("1998-06-01").cast("date")
+    first = cal.date_islands(have.filter(F.col("date") <= edge), m.calendar, "instrument_id")
+    return cal.merge_islands(first.unionByName(cal.date_islands(have.filter(F.col("date") >= F.date_sub(edge, 70)), m.calendar, "instrument_id")), "instrument_id")
+
+
+@query("loaded_islands", "SELECT r.instrument_id, a.date AS from_date, b.date AS to_date FROM i_runs r JOIN d_cal a ON a.idx = lo JOIN d_cal b ON b.idx = hi", **ISLANDS)
+def loaded_islands(m: MarketTables) -> DataFrame:
+    ends = [m.calendar.select(F.col("idx").alias(i), F.col("date").alias(d)) for i, d in (("lo", "from_date"), ("hi", "to_date"))]
+    return loaded_runs(m).join(ends[0], "lo").join(ends[1], "hi").select("instrument_id", "from_date", "to_date")
+
+
+@query(
+    "instrument_gap_days",
+    "SELECT instrument_id, date FROM (SELECT DISTINCT instrument_id FROM i_have) CROSS JOIN d_cal ANTI JOIN i_have USING (instrument_id, date)", **ISLANDS,
+)
+def instrument_gap_days(m: MarketTables) -> DataFrame:
+    """Missing dates of each instrument from its islands: no row of the table is looked at again."""
+    gaps = cal.island_gaps(loaded_runs(m), m.calendar, "instrument_id")
+    return cal.dates_of_runs(gaps, m.calendar, "instrument_id").select("instrument_id", "date")
 
 
 @query("last_n_rows", "SELECT instrument_id, date, close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY date DESC) AS k FROM d_bars) WHERE k <= 5")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def trading_calendar(dates: DataFrame) -> DataFrame:
     """(date, idx, age, prev_date, next_date, n_dates); ``dates`` needs a ``date`` column.
 
@@ -44,9 +47,12 @@ def on_last_dates(df: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     return df.filter(F.col("date") >= oldest).join(F.broadcast(dates), "date", "left_semi")
 
 
-def on_latest_date(df: DataFrame) -> DataFrame:
-    """Rows at the table's own newest date."""
-    latest = df.agg(F.max("date").alias("d")).select("d").scalar()
+def on_latest_date(df: DataFrame, newest: date | None = None) -> DataFrame:
+    """Rows at the table's own newest date.
+
+    Where the date is known, it reaches the files as a literal; else it is looked up first.
+    """
+    latest = df.agg(F.max("date").alias("d")).select("d").scalar() if newest is None else F.lit(newest)
     return df.filter(F.col("date") == latest)
 
 
@@ -55,6 +61,40 @@ def gap_days(calendar: DataFrame, loaded: DataFrame) -> DataFrame:
     return calendar.select("date").join(loaded.select("date").distinct(), "date", "left_anti")
 
 
+def date_islands(loaded: DataFrame, calendar: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lo, hi): runs of adjacent trading dates, by calendar index, that have rows."""
+    idx = loaded.select(*keys, "date").distinct().join(calendar.select("date", "idx"), "date")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))
+    return idx.withColumn("run", F.col("idx") - place).groupBy(*keys, "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).drop("run")
+
+
+def merge_islands(islands: DataFrame, *keys: str) -> DataFrame:
+    """Islands of several deliveries as one: those that overlap or touch become one run.
+
+    A key's window holds its islands, never its rows.
+    """
+    before = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce((F.col("lo") > F.max("hi").over(before) + 1).cast("int"), F.lit(1))
+    runs = islands.withColumn("new", new).withColumn("run", F.sum("new").over(upto))
+    return runs.groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
+def island_gaps(islands: DataFrame, calendar: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lo, hi): runs of trading dates without rows, before, between and after merged islands."""
+    last = calendar.agg(F.max("idx").alias("n")).select("n").scalar()
+    w = Window.partitionBy(*keys).orderBy("lo")
+    after = F.struct((F.col("hi") + 1).alias("lo"), (F.coalesce(F.lead("lo").over(w), last + 1) - 1).alias("hi"))
+    first = F.struct(F.lit(0).cast("long").alias("lo"), F.when(F.row_number().over(w) == 1, F.col("lo") - 1).otherwise(-1).alias("hi"))
+    gaps = islands.withColumn("gaps", F.array(first, after)).select(*keys, F.inline("gaps"))
+    return gaps.filter("lo <= hi")
+
+
+def dates_of_runs(runs: DataFrame, calendar: DataFrame, *keys: str) -> DataFrame:
+    """The dates of index runs, one row each."""
+    return runs.select(*keys, F.explode(F.sequence("lo", "hi")).alias("idx")).join(calendar.select("idx", "date"), "idx").drop("idx")
+
+
 def month_starts(calendar: DataFrame) -> DataFrame:
     """First trading date of each month."""
     return calendar.groupBy(F.trunc("date", "MM").alias("month")).agg(F.min("date").alias("date"))

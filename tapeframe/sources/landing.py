@@ -223,6 +223,10 @@ class MarketTables:
             self._made[name] = self._kept(name, make())
         return self._made[name]
 
+    def newest_of(self, name: str) -> date:
+        """The newest date of a derived table, stored beside it: one row to read, whatever its size."""
+        return self._once(f"{name}-newest", lambda: getattr(self, name).agg(F.max("date").alias("date"))).first()[0]
+
     @cached_property
     def newest(self) -> date:
         """The newest trading date, as a value: filters with it reach the files without a subquery."""

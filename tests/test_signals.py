@@ -210,3 +210,34 @@ def test_rank_bins_split_ties(frame):
     want = pd.qcut(pd.Series(range(1, 101)), 5, labels=False) + 1
     got = {r.i: r.bin for r in rank_bins(df, 5, "v", "i").collect()}
     assert [got[i] for i in range(100)] == list(want)
+
+
+def test_streaks_deepen_only_where_a_run_goes_on(spark, frame, monkeypatch):
+    """Four dates are read when all runs end within them; else only keys with an open run go on, and the dates are literals of the scan."""
+    from tapeframe.functions import windows
+    from tapeframe.session import shared_folder
+    from tapeframe.sources.calendar import trading_calendar
+
+    d = days(40)
+    series = {1: [1, -1, 1], 2: [-2], 3: [3, -1] + [1] * 30, 4: [1] * 40, 5: [0], 6: [None, 1, 1]}
+    rows = [(k, x, None if v is None else float(v)) for k, vs in series.items() for x, v in zip(d[-len(vs):], vs)] + [(7, d[2], 1.0), (7, d[1], 1.0), (7, d[0], -1.0)]
+    path = shared_folder(spark, "nets")
+    frame("instrument_id long, date date, net double", *rows).repartitionByRange(4, "date").write.parquet(path)
+    table, cal = spark.read.parquet(path), trading_calendar(frame("date date", *[(x,) for x in d]))
+    keys = table.select("instrument_id").distinct().unionByName(frame("instrument_id long", (99,)))
+    read, plain = [], windows.streak_runs
+
+    def watched(df, key, columns, by="date"):
+        read.append((df.agg(F.min("date")).first()[0], {r[0] for r in df.select(key).distinct().collect()}, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, key, columns, by)
+
+    monkeypatch.setattr(windows, "streak_runs", watched)
+    ended = windows.deepening_streaks(table.filter("instrument_id in (1, 3, 6)"), cal, keys.filter("instrument_id in (1, 6)"), {"net": "s"})
+    assert {r.instrument_id: r.s for r in ended.collect()} == {1: 1, 6: 2}
+    assert len(read) == 1 and f"GreaterThanOrEqual(date,{d[-4]})" in read[0][2]
+    read.clear()
+    got = {r.instrument_id: r.s for r in windows.deepening_streaks(table, cal, keys, {"net": "s"}).collect()}
+    assert got == {r.instrument_id: r.s for r in plain(table, "instrument_id", {"net": "s"}).collect()} == {1: 1, 2: -1, 3: 30, 4: 40, 5: 0, 6: 2, 7: 2}
+    assert [k for _, k, _ in read[:3]] == [{1, 2, 3, 4, 5, 6}, {2, 3, 4}, {2, 3, 4, 7}]
+    enough = {r.instrument_id: r.s for r in windows.deepening_streaks(table, cal, keys, {"net": "s"}, enough=3).collect()}
+    assert enough[3] >= 3 and enough[4] >= 3 and enough[2] == -1 and enough[7] == 2

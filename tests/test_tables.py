@@ -348,3 +348,22 @@ def test_one_join_of_the_facts(spark):
     m = market(spark, "/root/testdata/sf0.001")
     for table in (m.restriction_notices, m.sizing_requests, m.broker_net, m.revenue, m.holder_tiers):
         assert not any("lineitem" in f or "orders.parquet" in f for f in table.inputFiles())
+
+
+def test_islands_of_loaded_dates(frame):
+    rng, d = random.Random(8), days(30)
+    cal = calendar.trading_calendar(frame("date date", *[(x,) for x in d]))
+    have = {(k, x) for k in range(5) for x in d if rng.random() < 0.6} | {(9, d[0]), (8, d[-1])} | {(7, x) for x in d}
+    schema = "instrument_id long, date date"
+    parts = [[r for r in sorted(have) if rng.random() < 0.5] for _ in range(3)]
+    parts.append(sorted(have - set().union(*parts)))
+    islands = None
+    for rows in parts:
+        new = calendar.date_islands(frame(schema, *rows, *rows[:2]), cal, "instrument_id")
+        islands = calendar.merge_islands(new if islands is None else islands.unionByName(new), "instrument_id")
+    runs = [tuple(r) for r in islands.collect()]
+    assert sorted(runs) == sorted(tuple(r) for r in calendar.date_islands(frame(schema, *have), cal, "instrument_id").collect())
+    gaps = calendar.dates_of_runs(calendar.island_gaps(islands, cal, "instrument_id"), cal, "instrument_id")
+    assert sorted(tuple(r) for r in gaps.select("instrument_id", "date").collect()) == sorted({(k, x) for k, _ in have for x in d} - have)
+    whole = calendar.merge_islands(calendar.date_islands(frame(schema, *have), cal).select("lo", "hi"))
+    assert [tuple(r) for r in whole.collect()] == [(0, 29)]
