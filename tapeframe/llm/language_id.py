@@ -25,7 +25,7 @@ no row is labelled; ``letter`` tells them apart.  A label ``und`` is one like ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache, reduce
 
 import numpy as np
@@ -295,7 +295,16 @@ def language_report(docs: DataFrame, **options) -> DataFrame:
     return parser_rows.select("doc_id", held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-def in_known_language(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language, that is holds a letter, whatever is predicted for it."""
-    found, (_, _, letter) = identify(docs, **options)
-    return found.filter(F.col(letter)).select(*docs.columns)
+def in_known_language(docs: DataFrame, languages: Sequence[str] | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` whose text is in some language, that is holds a letter; a null lang becomes the predicted one.
+
+    With ``languages``, only texts predicted to be in one of them stay; where nothing is
+    labelled there are no predictions, lang stays null and all texts with a letter stay.
+    """
+    found, (lang, _, letter) = identify(docs, **options)
+    named = F.when(F.col(lang) != "und", F.col(lang))
+    kept = found.filter(F.col(letter))
+    if languages is not None:
+        kept = kept.filter(named.isNull() | named.isin(list(languages)))
+    kind = docs.schema["lang"].dataType
+    return kept.select(*[F.coalesce("lang", named.cast(kind)).alias("lang") if c == "lang" else c for c in docs.columns])

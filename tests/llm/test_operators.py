@@ -437,6 +437,17 @@ def test_every_label_is_learned(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 2
 
 
+def test_predictions_fill_missing_languages_and_choose(spark):
+    rng = random.Random(2)
+    words = {"xx": ["alba", "bere", "cori"], "yy": ["zut", "wok", "vyx"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=30)), k if i % 4 else None) for i in range(120) for k in [rng.choice(["xx", "yy"])]] + [(500, "12 34", None), (501, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {i: "xx" if t and t.split()[0] in words["xx"] else "yy" for i, t, _ in rows}
+    kept = {r.doc_id: r.lang for r in language_id.in_known_language(docs).collect()}
+    assert kept == {i: truth[i] for i in range(120)}
+    assert {r.doc_id for r in language_id.in_known_language(docs, ["yy"]).collect()} == {i for i in range(120) if truth[i] == "yy"}
+
+
 def test_language_stage_rejects_only_texts_without_a_letter(spark):
     """No label at all, the label und, and one null doc_id on all of more than 80 rows a label."""
     schema = "doc_id long, text string, lang string"
