@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -25,15 +24,10 @@ def build_session(master: str | None = None, app: str = "tapeframe", **conf: str
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only where it is unset and the master is local (tests) a temporary folder stands in.
-    """
+    """The folder that ``spark.checkpoint.dir`` names; unset, a folder of this application in the warehouse, which is shared as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="tapeframe-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tapeframe-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -64,7 +58,8 @@ def keep_table(df: DataFrame, key: str) -> DataFrame:
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The written table outlives lost executors, and its readers prune columns.
+    The written table outlives lost executors, and its readers prune columns.  Who owns the
+    shared folder removes it after the application.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
