@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from ..config import LOT_SHARES, MAX_STALE_DAYS
 from ..functions.columns import ratio, tag_text, tags
 from ..functions.windows import latest_streaks, newest_first, top_rows
-from ..sources.calendar import on_last_dates, trading_calendar
+from ..sources.calendar import Days, on_last_dates
 
 FLOWS = ("foreign_net", "trust_net", "dealer_net")
 STRONG_STREAK = 5
 
 
-def last_two(df: DataFrame, calendar: DataFrame, *columns: str) -> DataFrame:
+def last_two(df: DataFrame, days: Days, *columns: str) -> DataFrame:
     """(instrument_id, c, prev_c …): values on the two newest dates; null where a date is missing."""
-    newest = calendar.agg(F.max("date").alias("d")).select("d").scalar()
-    two = on_last_dates(df, calendar, 2)
-    cur = F.col("date") == newest
+    two = on_last_dates(df, days, 2)
+    cur = F.col("date") == days.newest()
     aggs = []
     for c in columns:
         aggs += [F.max(F.when(cur, F.col(c))).alias(c), F.max(F.when(~cur, F.col(c))).alias(f"prev_{c}")]
@@ -26,14 +25,14 @@ def last_two(df: DataFrame, calendar: DataFrame, *columns: str) -> DataFrame:
 
 
 def chip_signals(
-    inst: DataFrame, price: DataFrame, margin: DataFrame, calendar: DataFrame,
-    streak_dates: int = 30,
+    inst: DataFrame, price: DataFrame, margin: DataFrame, calendar: DataFrame | Days,
+    streak_dates: int = 30, flow_days: Days | None = None, balance_days: Days | None = None,
 ) -> DataFrame:
     """Streaks of three investor classes, dominance, volume ratio, margin and short shares, label.
 
     Flows and balances count by the newest dates of their own tables, which may lag behind the prices.
     """
-    flow_dates = trading_calendar(inst)
+    days, flow_dates, balance_dates = Days.of(calendar), flow_days or Days.of(inst), balance_days or Days.of(margin)
     streaks = latest_streaks(
         on_last_dates(inst, flow_dates, streak_dates), "instrument_id",
         {"foreign_net": "foreign_streak", "trust_net": "trust_streak", "dealer_net": "dealer_streak"},
@@ -42,12 +41,11 @@ def chip_signals(
     today = today.join(
         price.select("instrument_id", "date", F.col("volume").alias("volume_same")), ["instrument_id", "date"], "left"
     ).drop("date")
-    newest = calendar.agg(F.max("date").alias("d")).select("d").scalar()
-    volume = on_last_dates(price, calendar, 20).groupBy("instrument_id").agg(
-        F.max(F.when(F.col("date") == newest, F.col("volume"))).alias("volume_today"),
+    volume = on_last_dates(price, days, 20).groupBy("instrument_id").agg(
+        F.max(F.when(F.col("date") == days.newest(), F.col("volume"))).alias("volume_today"),
         F.avg("volume").alias("volume_mean"),
     )
-    balance = last_two(margin, trading_calendar(margin), "margin_balance", "short_balance")
+    balance = last_two(margin, balance_dates, "margin_balance", "short_balance")
     vol = F.col("volume_today")
     share = lambda c: F.when(vol > 0, ratio(F.col(c) - F.col(f"prev_{c}"), vol) * 100)
     f, t = F.col("foreign_net"), F.col("trust_net")
@@ -73,32 +71,34 @@ def chip_signals(
     )
 
 
-def flow_windows(inst: DataFrame, margin: DataFrame, dates: int = 10, suffix: str = "") -> DataFrame:
+def flow_windows(
+    inst: DataFrame, margin: DataFrame, dates: int = 10, suffix: str = "", flow_days: Days | None = None, balance_days: Days | None = None
+) -> DataFrame:
     """Flow sums and balance changes over the last dates that have values.
 
-    Each measure looks at the last dates on which any instrument has it.
+    Each measure looks at the last dates on which any instrument has it; ``balance_days``
+    are those of both balances, where known.
     """
-    flows = on_last_dates(inst, trading_calendar(inst), dates).groupBy("instrument_id").agg(
+    flows = on_last_dates(inst, flow_days or Days.of(inst), dates).groupBy("instrument_id").agg(
         *[F.sum(c).alias(f"{c}{suffix}") for c in FLOWS]
     )
     out = flows
     for c in ("margin_balance", "short_balance"):
         have = margin.filter(F.col(c).isNotNull()).select("instrument_id", "date", c)
-        change = on_last_dates(have, trading_calendar(have), dates).groupBy("instrument_id").agg(
+        change = on_last_dates(have, balance_days or Days.of(have), dates).groupBy("instrument_id").agg(
             (F.max_by(c, "date") - F.min_by(c, "date")).alias(c.replace("balance", "change") + suffix)
         )
         out = out.join(change, "instrument_id", "left")
     return out
 
 
-def day_flows(inst: DataFrame, margin: DataFrame, offset: int = 0, suffix: str = "_today") -> DataFrame:
+def day_flows(
+    inst: DataFrame, margin: DataFrame, offset: int = 0, suffix: str = "_today", flow_days: Days | None = None, balance_days: Days | None = None
+) -> DataFrame:
     """Flows of one date and balance changes into one, ``offset`` dates before the newest of each table."""
-    day = trading_calendar(inst).filter(F.col("age") == 1 + offset).select("date")
-    flow = inst.join(F.broadcast(day), "date", "left_semi").select(
-        "instrument_id", *[F.col(c).alias(f"{c}{suffix}") for c in FLOWS]
-    )
-    shifted = trading_calendar(margin).filter(F.col("age") > offset).withColumn("age", F.col("age") - offset)
-    pair = last_two(margin, shifted, "margin_balance", "short_balance")
+    day = (flow_days or Days.of(inst)).earlier(offset)
+    flow = on_last_dates(inst, day, 1).select("instrument_id", *[F.col(c).alias(f"{c}{suffix}") for c in FLOWS])
+    pair = last_two(margin, (balance_days or Days.of(margin)).earlier(offset), "margin_balance", "short_balance")
     change = pair.filter(F.col("margin_balance").isNotNull()).select(
         "instrument_id",
         (F.col("margin_balance") - F.col("prev_margin_balance")).alias(f"margin_change{suffix}"),
@@ -107,9 +107,9 @@ def day_flows(inst: DataFrame, margin: DataFrame, offset: int = 0, suffix: str =
     return flow.join(change, "instrument_id", "outer")
 
 
-def today_price(price: DataFrame, calendar: DataFrame) -> DataFrame:
+def today_price(price: DataFrame, calendar: DataFrame | Days) -> DataFrame:
     """Newest close and its change on the previous date."""
-    pair = last_two(price, calendar, "close").filter(F.col("close").isNotNull())
+    pair = last_two(price, Days.of(calendar), "close").filter(F.col("close").isNotNull())
     prev = F.col("prev_close")
     return pair.select(
         "instrument_id", F.col("close").alias("close_today"),
@@ -174,7 +174,7 @@ def holder_trend(holders: DataFrame) -> DataFrame:
 
 def holder_change(holders: DataFrame) -> DataFrame:
     """(instrument_id, holder_pct, holder_change) between the two newest reports of the whole table."""
-    pair = last_two(holders, trading_calendar(holders), "pct_1000").filter(F.col("pct_1000").isNotNull())
+    pair = last_two(holders, Days.of(holders), "pct_1000").filter(F.col("pct_1000").isNotNull())
     return pair.select(
         "instrument_id", F.round("pct_1000", 2).alias("holder_pct"),
         F.round(F.col("pct_1000") - F.col("prev_pct_1000"), 2).alias("holder_change"),
@@ -190,18 +190,19 @@ def holder_change_own(holders: DataFrame) -> DataFrame:
     )
 
 
-def share_stats(shareholding: DataFrame, price: DataFrame, calendar: DataFrame, tries: int = 3) -> DataFrame:
+def share_stats(shareholding: DataFrame, price: DataFrame, calendar: DataFrame | Days, tries: int = 3) -> DataFrame:
     """Foreign share, market value and turnover of shares outstanding at the newest date.
 
     The report date falls back up to ``tries`` - 1 days when nothing is out yet.
     """
-    last = calendar.agg(F.max("date").alias("d")).select("d").scalar()
+    days = Days.of(calendar)
+    last = days.newest()
     recent = shareholding.filter((F.col("date") <= last) & (F.col("date") > F.date_sub(last, tries)))
     report = recent.agg(F.max("date").alias("d")).select("d").scalar()
     shares = F.col("shares_issued")
     return (
         shareholding.filter(F.col("date") == report).select("instrument_id", "foreign_pct", "shares_issued")
-        .join(on_last_dates(price, calendar, 1).select("instrument_id", "close", "volume"), "instrument_id")
+        .join(on_last_dates(price, days, 1).select("instrument_id", "close", "volume"), "instrument_id")
         .select(
             "instrument_id", "foreign_pct",
             F.when(shares > 0, F.col("close") * shares / 1e8).alias("market_value"),

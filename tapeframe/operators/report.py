@@ -306,14 +306,28 @@ def data_health(price: DataFrame, floor: float = 0.7) -> DataFrame:
 def daily_report(candidates: DataFrame, signals: Sequence[DataFrame]) -> DataFrame:
     """Candidates of all tracks with every signal table, joined once for all tracks.
 
-    Columns already present win, and the verdict comes after the signals it votes on.
-    Every signal table has one row per instrument, so all joins share one key and one
-    partitioning.
+    Every signal table has one row per instrument.  They are stacked, each in a column of
+    its own, and brought together by one aggregation, whatever their number; the candidates
+    then meet them in a single join.  Columns already present win, and the verdict comes
+    after the signals it votes on.
     """
-    out = candidates
-    for s in signals:
-        out = enrich(out, s)
-    return verdict_vote(out)
+    key, taken, stacked, shown = "instrument_id", set(candidates.columns), [], []
+    for i, s in enumerate(signals):
+        own = [c for c in s.columns if c not in taken]
+        if own:
+            taken |= set(own)
+            stacked.append(s.select(key, F.struct(*own).alias(f"s{i}")))
+            shown += [F.col(f"s{i}")[c].alias(c) for c in own]
+    if not stacked:
+        return verdict_vote(candidates)
+    rows = stacked[0]
+    for s in stacked[1:]:
+        rows = rows.unionByName(s, allowMissingColumns=True)
+    # a candidate's parts only; there are few candidates, and their number decides how they are joined
+    wanted = cut_lineage(candidates, "candidates")
+    rows = rows.join(wanted.select(key).distinct(), key, "left_semi")
+    merged = rows.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c != key])
+    return verdict_vote(wanted.join(merged, key, "left").select(*candidates.columns, *shown))
 
 
 def pack_windows(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..config import Broker, LockScreen
 from ..operators import brokers, events, flows, report, screens, signals, technical
 from ..session import cut_lineage, shared_folder
 from ..sources import normalize, tables
+from ..sources.calendar import on_last_dates
 from ..sources.landing import MarketTables
 from . import brokers as pb
 from . import fundamentals as pf
@@ -27,7 +28,7 @@ LABEL = "CASE WHEN {v} >= 3 THEN 'bull' WHEN {v} <= -3 THEN 'bear' ELSE 'watch'
 
 
 def chip(m: MarketTables) -> DataFrame:
-    return flows.chip_signals(m.institutional, m.bars, m.margin, m.calendar)
+    return flows.chip_signals(m.institutional, m.bars, m.margin, m.days, flow_days=m.days, balance_days=m.days)
 
 
 @query(
@@ -403,19 +404,19 @@ def window_sql(n: int) -> str:
     r_trend=ps.DAY_TREND, r_ex=EXDIV, **REPORT,
 )
 def daily_report(m: MarketTables) -> DataFrame:
-    cal = m.calendar
-    newest = cal.agg(F.max("date").alias("d")).select("d").scalar()
-    recent = m.broker_net.join(F.broadcast(cal.filter("age <= 2").select("date")), "date", "left_semi")
-    broker = brokers.broker_timeline(recent, m.bars, cal, TOP).filter(F.col("date") == newest).drop("date")
-    today = recent.filter(F.col("date") == newest)
-    expected = brokers.expected_pressure(today, pb.stored_profile(m), m.bars, pb.P).select("instrument_id", "expected_pct")
+    cal, days = m.calendar, m.days
+    own = {"flow_days": days, "balance_days": days}
+    recent = on_last_dates(m.broker_net, days, 2)
+    today = recent.filter(F.col("date") == days.newest())
+    broker = brokers.broker_timeline(recent, on_last_dates(m.bars, days, 2), cal, TOP).filter(F.col("date") == days.newest()).drop("date")
+    expected = brokers.expected_pressure(today, pb.stored_profile(m), on_last_dates(m.bars, days, 1), pb.P).select("instrument_id", "expected_pct")
     parts = [
-        flows.today_price(m.bars, cal),
-        flows.flow_windows(m.institutional, m.margin, 10, "_10"), flows.flow_windows(m.institutional, m.margin, 20, "_20"),
-        flows.day_flows(m.institutional, m.margin, 0, "_today"), flows.day_flows(m.institutional, m.margin, 1, "_prior"),
-        flows.chip_signals(m.institutional, m.bars, m.margin, cal), technical.tech_signals(m.bars),
-        flows.day_trade_ratio(m.day_trade, m.bars, cal), flows.day_trade_trend(m.day_trade, m.bars),
-        flows.sbl_latest(m.sbl, cal), flows.share_stats(m.shareholding, m.bars, cal),
+        flows.today_price(m.bars, days),
+        flows.flow_windows(m.institutional, m.margin, 10, "_10", **own), flows.flow_windows(m.institutional, m.margin, 20, "_20", **own),
+        flows.day_flows(m.institutional, m.margin, 0, "_today", **own), flows.day_flows(m.institutional, m.margin, 1, "_prior", **own),
+        flows.chip_signals(m.institutional, m.bars, m.margin, days, **own), technical.tech_signals(m.bars),
+        flows.day_trade_ratio(m.day_trade, m.bars, days), flows.day_trade_trend(m.day_trade, m.bars),
+        flows.sbl_latest(m.sbl, cal), flows.share_stats(m.shareholding, m.bars, days),
         technical.risk_levels(m.bars), events.restriction_labels(normalize.normalize_notices(m.restriction_notices), "2001-06-04"),
         events.dividend_labels(normalize.normalize_dividend_notices(m.dividend_notices), "1995-01-20").drop("date"),
         broker, expected, m.instruments,

@@ -275,7 +275,7 @@ CHIP_LABEL = """list_aggregate(list_filter([
     chip=CHIP,
 )
 def chip(m: MarketTables) -> DataFrame:
-    out = flows.chip_signals(m.institutional, m.bars, m.margin, m.calendar)
+    out = flows.chip_signals(m.institutional, m.bars, m.margin, m.days, flow_days=m.days, balance_days=m.days)
     return rounded(out, "dominance_pct", "volume_ratio", "short_margin_pct", "margin_volume_pct", "short_volume_pct")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from __future__ import annotations
+
+from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,17 +34,44 @@ def trading_calendar(dates: DataFrame) -> DataFrame:
     )
 
 
+class Days:
+    """The dates of a table as values, newest first: one a date, whatever its rows.
+
+    Filters with them are literals, so they reach the files, and plans need no subquery.
+    """
+
+    def __init__(self, dates: Iterable[date]) -> None:
+        self.dates = sorted(dates, reverse=True)
+
+    @classmethod
+    def of(cls, rows: DataFrame | Days) -> Days:
+        """The dates of a calendar or of a table's own rows; one pass over its dates."""
+        return rows if isinstance(rows, Days) else cls(r.date for r in rows.select("date").distinct().collect() if r.date is not None)
+
+    def newest(self, back: int = 0) -> Column:
+        """The newest date, or the one ``back`` dates before it; null before the first."""
+        return F.lit(self.dates[back] if back < len(self.dates) else None).cast("date")
+
+    def earlier(self, n: int) -> Days:
+        """Without the ``n`` newest dates."""
+        return Days(self.dates[n:])
+
+
 def last_dates(calendar: DataFrame, n: int) -> DataFrame:
     """The n newest dates."""
     return calendar.filter(F.col("age") <= n).select("date")
 
 
-def on_last_dates(df: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
+def on_last_dates(df: DataFrame, calendar: DataFrame | Days, n: int) -> DataFrame:
     """Rows on the n newest dates.
 
-    The lower bound is a scalar subquery, which a file scan applies to row groups; the
-    semi join with at most n dates makes the result exact.
+    Known dates are literals of the scan.  Else the lower bound is a scalar subquery, which
+    a file scan applies to row groups, and the semi join with at most n dates makes the
+    result exact.
     """
+    if isinstance(calendar, Days):
+        last = calendar.dates[:n]
+        return df.filter((F.col("date") >= last[-1]) & F.col("date").isin(last)) if last else df.limit(0)
     dates = last_dates(calendar, n)
     oldest = dates.agg(F.min("date").alias("d")).select("d").scalar()
     return df.filter(F.col("date") >= oldest).join(F.broadcast(dates), "date", "left_semi")

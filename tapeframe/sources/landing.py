@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Broker
 from ..functions.columns import LOCAL_YEAR_OFFSET
 from ..session import keep_table
-from .calendar import trading_calendar
+from .calendar import Days, trading_calendar
 
 # Fixed values of the mapping: day slots of the packed price, tier edges of order value.
 DAY_SLOT = 10**12
@@ -228,9 +228,9 @@ class MarketTables:
         return self._once(f"{name}-newest", lambda: getattr(self, name).agg(F.max("date").alias("date"))).first()[0]
 
     @cached_property
-    def newest(self) -> date:
-        """The newest trading date, as a value: filters with it reach the files without a subquery."""
-        return self.calendar.agg(F.max("date")).first()[0]
+    def days(self) -> Days:
+        """The trading dates as values.  Bars, flows and balances are columns of one panel: these are the dates of each."""
+        return Days.of(self.calendar)
 
     # ---- fundamentals -------------------------------------------------
 
