@@ -18,7 +18,7 @@ from ..functions.columns import clip, contains_any, pct_simple, ratio, vote
 from ..functions.quantiles import exact_median, with_scalar
 from ..functions.windows import latest_streaks, newest_first, ordered, top_rows
 from ..session import cut_lineage
-from ..sources.calendar import on_last_dates
+from ..sources.calendar import Days, on_last_dates
 from .joins import enrich
 from .signals import revenue_gate, revenue_score
 
@@ -105,7 +105,7 @@ def accumulation_screen(
 
 
 def relative_strength_screen(
-    price: DataFrame, info: DataFrame, calendar: DataFrame, p: RelativeStrength = RelativeStrength()
+    price: DataFrame, info: DataFrame, calendar: DataFrame | Days, p: RelativeStrength = RelativeStrength()
 ) -> DataFrame:
     """Window return against the market median, over the last global dates."""
     rets = (
@@ -204,7 +204,7 @@ def capped_category(df: DataFrame, flag: str, score: str, cap: int) -> DataFrame
 
 
 def day_trade_candidates(
-    price: DataFrame, info: DataFrame, calendar: DataFrame, p: DayTrade = DayTrade()
+    price: DataFrame, info: DataFrame, calendar: DataFrame | Days, p: DayTrade = DayTrade()
 ) -> DataFrame:
     """Liquid instruments with wide daily ranges over the last global dates."""
     w = ordered("instrument_id")
@@ -237,7 +237,7 @@ def day_trade_candidates(
 
 def main_force_score(
     price: DataFrame, inst: DataFrame, margin: DataFrame, holders: DataFrame, info: DataFrame,
-    calendar: DataFrame, p: MainForce = MainForce(),
+    calendar: DataFrame | Days, p: MainForce = MainForce(),
 ) -> DataFrame:
     """Institutional share of volume, big-holder change and margin retreat in one score."""
     bars = on_last_dates(price, calendar, p.lookback).groupBy("instrument_id").agg(

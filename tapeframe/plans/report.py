@@ -356,7 +356,7 @@ REPORT = {
 def report_candidates(m: MarketTables) -> DataFrame:
     parts = {
         "day trade": ps._candidates(m), "main force": ps._force(m),
-        "strength": screens.relative_strength_screen(m.bars, m.instruments, m.calendar, ps.SCREEN_RS),
+        "strength": screens.relative_strength_screen(m.bars, m.instruments, m.days, ps.SCREEN_RS),
     }
     out = None
     for track, df in parts.items():

@@ -73,7 +73,7 @@ SCREEN_RS = RelativeStrength(lookback=10, max_return=3.0, min_avg_volume=20, min
         FROM d_bars WHERE {LAST.format(n=10)} GROUP BY instrument_id HAVING count(*) >= 9 AND arg_min(close, date) > 0""",
 )
 def relative_strength(m: MarketTables) -> DataFrame:
-    out = screens.relative_strength_screen(m.bars, m.instruments, m.calendar, SCREEN_RS)
+    out = screens.relative_strength_screen(m.bars, m.instruments, m.days, SCREEN_RS)
     return rounded(out, "return_pct", "vs_market_pct", "avg_volume")
 
 
@@ -125,7 +125,7 @@ def day_trade_candidates(m: MarketTables) -> DataFrame:
 
 
 def _candidates(m: MarketTables) -> DataFrame:
-    return screens.day_trade_candidates(m.bars, m.instruments, m.calendar, SCREEN_DT)
+    return screens.day_trade_candidates(m.bars, m.instruments, m.days, SCREEN_DT)
 
 
 SCREEN_MF = MainForce(min_avg_volume=10)
@@ -149,7 +149,7 @@ MAIN_FORCE = {
 
 def _force(m: MarketTables) -> DataFrame:
     return screens.main_force_score(
-        m.bars, m.institutional, m.margin, flows.holder_change(m.big_holders), m.instruments, m.calendar, SCREEN_MF
+        m.bars, m.institutional, m.margin, flows.holder_change(m.big_holders), m.instruments, m.days, SCREEN_MF
     )
 
 
