@@ -1,7 +1,13 @@
 """Exact quantiles of a column, whole or per group, without one task per group.
 
-Values are counted before the shuffle and binned on a logarithmic scale.  Bin totals
-locate the wanted ranks; only the few bins that hold them are ranked by value.  A
+**Whole tables** take two passes.  The first merges a sketch of each task: it brackets every
+wanted rank between two values.  The second counts what lies below each bracket and keeps
+only the values inside, about ``SPARE`` of the ranks on either side.  Nothing is stored, and
+what is shuffled is a share of the table.  The brackets are checked by the counts: a result
+is exact, or the query fails.
+
+**Groups** are counted by value before the shuffle and binned on a logarithmic scale.  Bin
+totals locate the wanted ranks; only the few bins that hold them are ranked by value.  A
 task sees at most the distinct values of one bin (a thousandth of a magnitude), so a
 group may hold any share of the table.
 """
@@ -17,6 +23,8 @@ from ..session import cut_lineage
 
 # Bins per unit of the natural logarithm, and the value scale below which bins get linear.
 BINS_PER_LOG, SCALE = 1000, 1e6
+# The sketch errs by 1 / ACCURACY of the ranks at most; brackets reach five times as far.
+ACCURACY, SPARE = 2000, 0.0025
 
 
 def log_bin(c: Column) -> Column:
@@ -24,22 +32,82 @@ def log_bin(c: Column) -> Column:
     return (F.signum(c) * F.floor(F.log1p(F.abs(c) * SCALE) * BINS_PER_LOG)).cast("long")
 
 
-def exact_quantiles(
+def brackets(src: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """(keys, n, lows, highs): values below and above the wanted ranks, by the merged sketch of each group."""
+    bounds = [min(1.0, max(0.0, p + side * SPARE)) for side in (-1, 1) for p in probs]
+    found = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, bounds, F.lit(ACCURACY)).alias("__b"))
+    return found.select(*keys, "n", F.slice("__b", 1, len(probs)).alias("lows"), F.slice("__b", len(probs) + 1, len(probs)).alias("highs"))
+
+
+def bracketed_quantiles(
     df: DataFrame,
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per group: ``by`` columns, ``n`` and ``q`` (array in order of ``probs``).
+    """Quantiles of a whole table or of few, large groups: sketches bracket the ranks, and only values inside are shuffled.
 
-    Linear interpolation between the two neighbouring ranks.  Groups are dates or bins,
-    never instruments: at most two bins per probability and group are joined.
+    There is one sketch a group and task.
     """
     by = list(by)
     keys = by or ["__all"]
-    src = df if by else df.withColumn("__all", F.lit(0))
+    src = (df if by else df.withColumn("__all", F.lit(0))).filter(F.col(value).isNotNull())
+    src = src.select(*keys, F.col(value).cast("double").alias("__v"))
+    bounds = brackets(src, "__v", probs, keys)
+    # one row a group; Spark's own size check decides how it meets the values
+    v, n = F.col("__v"), F.col("n")
+    sides = F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.struct(
+        i.alias("i"),
+        F.when(v < F.get("lows", i), -1).when(v > F.get("highs", i), 1).otherwise(0).alias("side"),
+    ))
+    placed = src.join(bounds, keys).withColumn("__p", F.explode(sides)).select(*keys, "n", "__v", F.col("__p.i").alias("__i"), F.col("__p.side").alias("side"))
+    # a row for each value inside, and one for all that is below or above
+    inside = F.col("side") == 0
+    counts = placed.groupBy(*keys, "n", "__i", "side", F.when(inside, v).alias("__w"), F.when(inside, log_bin(v)).alias("__bin")).agg(
+        F.count(F.lit(1)).alias("__c"), F.max("__v").alias("__hi"), F.min("__v").alias("__lo")
+    )
+    # below, the bins inside and above in order; a bin's rank starts after those before it
+    group = Window.partitionBy(*keys, "__i")
+    bins = counts.groupBy(*keys, "n", "__i", "side", "__bin").agg(F.sum("__c").alias("__n"))
+    upto = group.orderBy("side", F.col("__bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    places = [*keys, "__i", "side", "__bin"]
+    starts = bins.select(*[F.col(k).alias(f"__at_{k}") for k in places], F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
+    prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i"))
+    rank = (n - 1) * prob
+    in_bin = Window.partitionBy(*keys, "__i", "side", "__bin").orderBy("__w").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"__at_{k}")) for k in places]
+    ranked = counts.join(starts, same).select(*counts.columns, "__start")
+    ranked = ranked.withColumn("__to", F.sum("__c").over(in_bin) + F.col("__start")).withColumn("__from", F.col("__to") - F.col("__c"))
+
+    def at(r: Column) -> Column:
+        """The value of rank ``r``, if this row has it: inside, or next to the bracket."""
+        held = (r > F.col("__from")) & (r <= F.col("__to"))
+        return F.when(
+            held & inside, F.col("__w")
+        ).when(held & (F.col("side") < 0) & (r == F.col("__to")), F.col("__hi")).when(held & (F.col("side") > 0) & (r == F.col("__from") + 1), F.col("__lo"))
+
+    ends = ranked.groupBy(*keys, "n", "__i").agg(F.max(at(F.floor(rank) + 1)).alias("lo"), F.max(at(F.ceil(rank) + 1)).alias("hi"))
+    exact = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    q = F.when(exact, F.col("lo") + (F.col("hi") - F.col("lo")) * (rank - F.floor(rank))).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")))
+    cols = [F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"__q{i}") for i in range(len(probs))]
+    out = ends.withColumn("__q", q).groupBy(*keys, "n").agg(*cols)
+    return out.select(*by, "n", F.array(*[f"__q{i}" for i in range(len(probs))]).alias("q"))
+
+
+def binned_quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str],
+) -> DataFrame:
+    """Quantiles of many groups: all values are counted by value and bin, and the bins that hold the wanted ranks are ranked.
+
+    Groups are dates or bins, never instruments: at most two bins per probability and
+    group are joined.
+    """
+    keys = list(by)
     counts = (
-        src.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull())
         .groupBy(*keys, log_bin(F.col(value)).alias("__bin"), F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
@@ -89,7 +157,21 @@ def exact_quantiles(
         F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"__q{i}") for i in range(len(probs))
     ]
     out = hits.groupBy(*keys, "n").agg(*cols)
-    return out.select(*by, "n", F.array(*[f"__q{i}" for i in range(len(probs))]).alias("q"))
+    return out.select(*keys, "n", F.array(*[f"__q{i}" for i in range(len(probs))]).alias("q"))
+
+
+def exact_quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """One row per group: ``by`` columns, ``n`` and ``q`` (array in order of ``probs``).
+
+    Linear interpolation between the two neighbouring ranks.  A whole table is bracketed by
+    sketches; of groups, of which there may be thousands, all values are counted by bin.
+    """
+    return binned_quantiles(df, value, probs, by) if by else bracketed_quantiles(df, value, probs)
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

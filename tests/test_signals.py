@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tapeframe.config import Accumulation, QuietAccumulation, RevenueMomentum, Value
 from tapeframe.functions.columns import detail_map, local_date, local_period, round_trip_return
-from tapeframe.functions.quantiles import exact_median, exact_quantiles, quantile_bins, rank_bins
+from tapeframe.functions.quantiles import binned_quantiles, bracketed_quantiles, exact_median, exact_quantiles, quantile_bins, rank_bins
 from tapeframe.functions.windows import buy_streak, latest_streaks, ordered
 from tapeframe.operators import screens, signals
 from tapeframe.sources.calendar import trading_calendar
@@ -193,6 +194,21 @@ def test_exact_quantiles_match_numpy(frame):
         assert med[g] == pytest.approx(np.median(v[g::3]), abs=1e-12)
 
 
+def test_grouped_quantiles_of_any_shape(frame, spark):
+    """Sizes from one to thousands, ties, heavy tails and one group that holds most rows; sketches only bracket, ranks are exact."""
+    rng = np.random.default_rng(12)
+    groups = {g: rng.normal(size=n) * 10.0**rng.integers(-3, 9) for g, n in enumerate((1, 2, 3, 4, 7, 10, 99, 1000, 20000))}
+    groups |= {50: np.full(300, 2.5), 51: rng.integers(0, 3, 5000).astype(float), 52: np.exp(rng.normal(size=3000) * 8), 53: np.concatenate([np.zeros(2500), rng.normal(size=2500)])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (99, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    for quantiles in (bracketed_quantiles, binned_quantiles):
+        got = {r.g: (r.n, r.q) for r in quantiles(df, "v", probs, ["g"]).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert got[g][0] == len(vs) and got[g][1] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12, abs=1e-12)
+
+
 def test_quantile_bins_match_pandas(frame):
     import pandas as pd
 
