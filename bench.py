@@ -13,6 +13,7 @@ import tempfile
 import time
 
 from tapeframe.plans import registry
+from tapeframe.plans.brokers import P
 from tapeframe.session import build_session
 from tapeframe.sources.landing import MarketTables
 
@@ -46,7 +47,7 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
         print(f"{name:32s} {times[name]:8.2f}", file=sys.stderr, flush=True)
 
-    run("prepare", lambda: [getattr(tables, t) for t in ("panel", "calendar", "order_lines", "broker_net", "revenue", "quarter_sums", "holder_tiers")])
+    run("prepare", lambda: tables.prepare(P))
     for name in names:
         run(name, lambda n=name: registry.QUERIES[n](tables).write.format("noop").mode("overwrite").save())
     print(json.dumps({

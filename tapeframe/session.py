@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "tapeframe", **conf: str) -> SparkSession:
@@ -51,7 +52,7 @@ def keep_table(df: DataFrame, key: str) -> DataFrame:
     except AnalysisException:
         path = shared_folder(spark, key)
         df.write.parquet(path)
-        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(pointer)
+        spark.range(1).select(F.lit(path).alias("path")).write.mode("overwrite").parquet(pointer)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ whole percents: the results do not depend on the order of addition.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import cached_property
 
@@ -71,6 +72,15 @@ class MarketTables:
         self.mark = self.mark or fingerprint(self.spark, self.path)
         return keep_table(df, f"market-{LAYOUT}-{self.mark}-{name}")
 
+    def prepare(self, *profiles: Broker) -> None:
+        """Build the stored base tables, and the broker history of each of ``profiles``; those that do not wait for each other run side by side."""
+        self.mark = self.mark or fingerprint(self.spark, self.path)
+        build = lambda name: lambda: getattr(self, name)
+        last = [build(n) for n in ("revenue", "quarter_sums", "holder_tiers")] + [lambda p=p: self.broker_history(p) for p in profiles]
+        for step in ([build("panel"), build("order_lines")], [build(n) for n in ("calendar", "broker_net", "monthly")], last):
+            with ThreadPoolExecutor(len(step)) as pool:
+                list(pool.map(lambda job: job(), step))
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
