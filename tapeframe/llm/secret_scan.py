@@ -3,8 +3,8 @@
 The patterns find assignments, access keys and long hexadecimal runs.  Beside them, every
 value in a credential context (a word such as "passphrase" or "auth", a sign, a value) is
 weighed by the cheapest way to guess it: dynamic programming over its characters finds the
-segmentation into words, dates, repeats, keyboard walks and brute force with the fewest
-guesses.  A value of at least ``least`` decimal digits of guesses is a secret; names,
+segmentation into words (listed ones, and letters that read like one), dates, repeats,
+keyboard walks and brute force with the fewest guesses.  A value of at least ``least`` decimal digits of guesses is a secret; names,
 dates, placeholders and keyboard rows are not.
 
 Every text is scanned whole in its own task; cheap searches for literals decide whether
@@ -41,10 +41,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 HEX_TEXT = re.compile(r"[0-9a-f]{24,}")
+# the stem is a word of its own or a part of a name like DB_PASSWORD or auth-token2
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth|credential|login|private[_-]?key)[A-Za-z0-9_-]{0,16}["']?\s{0,4}(?:[:=]|=>|\bis\b)\s{0,4}["']?([^\s"'<>]+)""",
+    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:[_-]?token)?|credentials?|login|private[_-]?key)(?:[_-][A-Za-z0-9]{1,16}|\d{1,4}){0,3}"""
+    r"""["']?\s{0,4}(?:=>|[:=])\s{0,4}["']?([^\s"'<>]+)""",
     re.ASCII | re.IGNORECASE,
 )
+# Letters that read like a word: a vowel at least every fifth letter.  They cost as much as a dictionary of LEXICON words.
+WORDLIKE = re.compile(r"(?:[b-df-hj-np-tv-xz]{0,4}[aeiouy])+[b-df-hj-np-tv-xz]{0,4}")
+LEXICON = 100_000
 STEMS = (b"pass", b"pwd", b"secret", b"token", b"api", b"auth", b"credential", b"login", b"private")
 DAY, MONTH = r"(?:3[01]|[12]\d|0?[1-9])", r"(?:1[0-2]|0?[1-9])"
 DATE = re.compile(rf"(?:19|20)\d\d[-/.]?{MONTH}[-/.]?{DAY}|{DAY}[-/.]{MONTH}[-/.](?:19|20)?\d\d|(?:19|20)\d\d")
@@ -83,6 +88,10 @@ class GuessCost:
                 m = DATE.match(value, i)
                 if m:
                     dates.setdefault(m.end(), []).append(i)
+        prose: dict[int, int] = {}
+        for m in re.finditer(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}", value):
+            if WORDLIKE.fullmatch(low, m.start(), m.end()):
+                prose[m.end()] = m.start()
         walk = turns = 0
         way = None
         same = [0] * 5
@@ -98,6 +107,8 @@ class GuessCost:
                     upper = sum(c.isupper() for c in value[j:i])
                     case = 0.3 * min(upper, i - j - upper) + (0.3 if upper else 0.0)
                     cost = min(cost, best[j] + part + rank + extra + case)
+            if i in prose:
+                cost = min(cost, best[prose[i]] + part + math.log10(LEXICON))
             for j in dates.get(i, ()):
                 cost = min(cost, best[j] + part + (math.log10(365 * 120) if i - j > 4 else math.log10(120)))
             step = self.near.get((low[i - 2], low[i - 1])) if i > 1 else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -188,6 +189,55 @@ def test_guess_cost_prefers_cheap_segments():
         assert cost(value) <= min(cuts) + 0.61
 
 
+def test_prose_is_no_secret_and_planted_values_are():
+    finder = secret_scan.Finder(list(secret_scan.WORDS), 10.0, 8)
+    clean = (
+        "The token is responsible", "Authentication is important", "author: Shakespeare", "The secretary: Katherine", "authority is questionable", "passenger is travelling",
+        "login: Administrator", "passcode: international", "secretariat = Washington", "tokens: responsible", "credentials: username2024",
+    )
+    for text in clean:
+        assert not [f for f in finder(text.encode()) if f[1] == 3], text
+    planted = (
+        "passphrase: x8Kd92mQpL0z", "DB_PASSWORD=>9f!Kq2#vLw8", "auth-token2 = 'Zk3vQ8sT1bN6'", "pwd:7Gh#2kLp9Q", "private_key: MIIEvQIBADANBgkqh", "credentials = bq7xkz93wmtr",
+    )
+    for text in planted:
+        assert [f for f in finder(text.encode()) if f[1] == 3], text
+
+
+def test_guess_cost_equals_the_least_over_all_segmentations():
+    """Every way to cut a short value, each piece by its cheapest single rule."""
+    cost = secret_scan.GuessCost(["dog", "house"])
+    rng = random.Random(9)
+
+    def least(value):
+        best = [0.0]
+        for i in range(1, len(value) + 1):
+            best.append(min(best[j] + (cost.brute(value[j]) if i - j == 1 else math.inf) for j in range(i)))
+            for j in range(i - 1):
+                best[i] = min(best[i], best[j] + single(value, j, i))
+        return best[-1]
+
+    def single(value, j, i):
+        piece, low = value[j:i], value[j:i].lower()
+        out = []
+        for word, rank in cost.rank.items():
+            upper = sum(c.isupper() for c in piece)
+            case = 0.3 * min(upper, len(piece) - upper) + (0.3 if upper else 0.0)
+            if low == word:
+                out.append(0.3 + rank + case)
+            elif low.translate(secret_scan.LEET) == word:
+                out.append(0.9 + rank + case)
+        for p in range(1, 5):
+            times = len(piece) // p
+            if times >= 3 and piece == piece[:p] * times:
+                out.append(0.3 + sum(map(cost.brute, piece[:p])) + math.log10(times))
+        return min(out, default=math.inf)
+
+    for _ in range(300):
+        value = "".join(rng.choice(["dog", "D0g", "house", "hoUse", "7", "#", "Q"]) for _ in range(rng.randint(1, 4)))
+        assert cost(value) == pytest.approx(least(value)), value
+
+
 def test_redacted_texts(spark):
     rows = spark.createDataFrame([(1, "a password = hunter2x b", "k"), (2, None, "k"), (3, "clean", "k")], "doc_id long, text string, spans string")
     assert [r.text for r in secret_scan.redact(rows).orderBy("doc_id").collect()] == ["a [secret] b", None, "clean"]
