@@ -110,7 +110,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = 200_00
 
     ``docs`` needs ``text``, ``benchmark`` needs ``item_id`` and ``text``.  Null and empty
     texts have no words; items without words have no window; items and rows that repeat
-    change nothing; with an empty benchmark nothing is hit.
+    change nothing; items without an id are one item named None; with an empty benchmark
+    nothing is hit.
     """
     names = fresh(docs, "n_words", "hits", "items", "key", "at", "others")
     words, hits, items, key, at, others = names

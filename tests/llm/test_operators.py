@@ -567,3 +567,10 @@ def test_decontamination(spark, docs, empty):
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[5])
     cut = decontaminate.without_spans(docs, bench)
     assert cut.columns == docs.columns and decontaminate.contamination(cut, bench).filter("contaminated").count() == 0
+
+
+def test_items_without_an_id_are_one_item(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (None, "five"), ("a", "one")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (3, 2, sha("None,a")), 2: (1, 1, sha("None")), 3: (0, 0, sha(""))}
