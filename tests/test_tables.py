@@ -367,3 +367,37 @@ def test_islands_of_loaded_dates(frame):
     assert sorted(tuple(r) for r in gaps.select("instrument_id", "date").collect()) == sorted({(k, x) for k, _ in have for x in d} - have)
     whole = calendar.merge_islands(calendar.date_islands(frame(schema, *have), cal).select("lo", "hi"))
     assert [tuple(r) for r in whole.collect()] == [(0, 29)]
+
+
+def test_shuffles_start_with_partitions_for_the_files(spark, monkeypatch):
+    """More files, more partitions, so a task's share does not grow; a higher number stays."""
+    from tapeframe import session
+    from tapeframe.sources import landing
+
+    before = spark.conf.get(session.INITIAL_PARTITIONS, None)
+    try:
+        spark.conf.unset(session.INITIAL_PARTITIONS)
+        size = landing.listing(spark, "/root/testdata/sf0.001")[1]
+        landing.MarketTables(spark, "/root/testdata/sf0.001").look()
+        assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
+        monkeypatch.setattr(landing, "PARTITION_BYTES", size // 40)
+        landing.market(spark, "/root/testdata/sf0.001", refresh=True)
+        assert int(spark.conf.get(session.INITIAL_PARTITIONS)) >= 40
+        spark.conf.set(session.INITIAL_PARTITIONS, "500")
+        landing.market(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == "500"
+    finally:
+        spark.conf.unset(session.INITIAL_PARTITIONS) if before is None else spark.conf.set(session.INITIAL_PARTITIONS, before)
+
+
+def test_stored_weeks_cost_one_shuffle_of_the_lines(spark, monkeypatch):
+    """Ranged lines are aggregated and sorted in place: one exchange for the panel, and none after the ranges of the nets."""
+    from tapeframe.sources import landing
+
+    plans = {}
+    keep = landing.keep_table
+    monkeypatch.setattr(landing, "keep_table", lambda df, key: plans.setdefault(key.rsplit("-", 1)[1], df._jdf.queryExecution().executedPlan().toString()) and keep(df, key))
+    m = landing.MarketTables(spark, "/root/testdata/sf0.001", mark="one-shuffle")
+    assert m.panel.count() > 0 and m.broker_net.count() > 0
+    assert plans["panel"].count("Exchange ") == 1
+    assert plans["broker_net"].split("Exchange rangepartitioning")[0].count("Exchange ") == 0
