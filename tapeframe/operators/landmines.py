@@ -54,16 +54,20 @@ def chart_context(
 
 
 def fundamental_context(revenue: DataFrame, statements: DataFrame) -> DataFrame:
+    """Newest report, its gross margin a year before, revenue and earnings growth.
+
+    The reports of an instrument, one a quarter, are packed into its row, where the one a
+    year before is looked up: statements are widened once.
+    """
     q = wide(statements, INCOME_ITEMS)
     q = q.withColumn("gm", ratio(F.col("gross_profit") * 100, F.col("revenue")))
-    last = q.groupBy("instrument_id").agg(
-        F.max_by(F.struct("date", "net_income", "gm"), "date").alias("q"), F.count("eps").alias("n_eps")
-    ).select("instrument_id", "q.*", "n_eps")
-    year_ago = q.select("instrument_id", F.add_months("date", 12).alias("date"), F.col("gm").alias("gm_before"))
-    return (
-        last.join(year_ago, ["instrument_id", "date"], "left")
-        .join(revenue_summary(revenue), "instrument_id", "outer").join(eps_ttm_growth(statements), "instrument_id", "left")
+    reports = q.groupBy("instrument_id").agg(
+        F.max_by(F.struct("date", "net_income", "gm"), "date").alias("q"), F.count("eps").alias("n_eps"),
+        F.collect_list(F.struct(F.add_months("date", 12).alias("at"), F.col("gm").alias("gm_before"))).alias("all"),
     )
+    year_ago = F.filter("all", lambda x: (x.at == F.col("q.date")) & F.col("instrument_id").isNotNull())
+    last = reports.select("instrument_id", "q.*", "n_eps", F.inline_outer(year_ago)).drop("at")
+    return last.join(revenue_summary(revenue), "instrument_id", "outer").join(eps_ttm_growth(statements), "instrument_id", "left")
 
 
 def landmine_flags(

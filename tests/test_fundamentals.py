@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import re
+from datetime import date
+
 import pytest
 
 from tapeframe.operators import fundamentals as fund
 from tapeframe.operators import landmines
+from tapeframe.operators.joins import wide
 from tapeframe.sources.normalize import concentration_from_tiers, normalize_revenue
 
 from .conftest import days
@@ -118,3 +122,26 @@ def test_peers_leave_the_instrument_out(frame, bars):
 def test_landmine_level_order(frame):
     df = frame("instrument_id long, risk_level string", (1, "low"), (2, "mid"), (3, "high"), (4, "severe"))
     assert {r.instrument_id for r in landmines.at_least(df, "high").collect()} == {3, 4}
+
+
+def test_wide_picks_items_before_the_shuffle(frame):
+    """A report crosses one exchange as one row; a repeated item has its first value, null included."""
+    d = days(2)
+    schema = "instrument_id long, date date, type string, value double"
+    rows = [(1, d[0], "a", 1.0), (1, d[0], "b", 2.0), (1, d[1], "x", 3.0), (None, d[0], "b", 4.0), (2, None, "a", 5.0), (3, d[0], "a", None), (3, d[0], "a", 6.0), (4, d[0], "b", 7.0), (4, d[0], "b", None)]
+    got = wide(frame(schema, *rows).coalesce(1), ("a", "b"))
+    want = {(1, d[0], 1.0, 2.0), (1, d[1], None, None), (None, d[0], None, 4.0), (2, None, 5.0, None), (3, d[0], None, None), (4, d[0], None, 7.0)}
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["instrument_id", "date", "a", "b"]
+    many = wide(frame(schema, *rows).repartition(2), ("a", "b"))
+    assert many._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_landmine_reports_are_widened_once(frame):
+    """The margin a year before comes from the instrument's own row, not from the statements again."""
+    d = [date(2023, 3, 31), date(2023, 6, 30), date(2024, 3, 31), date(2024, 2, 29)]
+    item = "instrument_id long, date date, type string, value double"
+    rows = [(s, x, t, v) for s, x, g in ((1, d[0], 40.0), (1, d[1], 30.0), (1, d[2], 20.0), (2, d[3], 10.0), (None, d[0], 5.0), (None, d[2], 6.0)) for t, v in (("gross_profit", g), ("revenue", 100.0), ("eps", 1.0), ("net_income", g))]
+    out = landmines.fundamental_context(revenue(frame, {(2024, 1): 1.0}), frame(item, *rows).repartition(2))
+    assert len(re.findall(r"hashpartitioning\(instrument_id#\d+L, date#", out._jdf.queryExecution().executedPlan().toString())) == 1
+    got = {r.instrument_id: (r.date, r.net_income, r.gm, r.n_eps, r.gm_before) for r in out.collect()}
+    assert got == {1: (d[2], 20.0, 20.0, 3, 40.0), 2: (d[3], 10.0, 10.0, 1, None), None: (d[2], 6.0, 6.0, 2, None)}
