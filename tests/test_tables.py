@@ -401,3 +401,31 @@ def test_stored_weeks_cost_one_shuffle_of_the_lines(spark, monkeypatch):
     assert m.panel.count() > 0 and m.broker_net.count() > 0
     assert plans["panel"].count("Exchange ") == 1
     assert plans["broker_net"].split("Exchange rangepartitioning")[0].count("Exchange ") == 0
+
+
+def test_stored_months_cost_one_shuffle_of_the_lines(spark, monkeypatch):
+    """Ranged lines give months and their tiers in place; revenue and shares of tiers are read from them without a shuffle."""
+    from tapeframe.sources import landing
+
+    plans = {}
+    keep = landing.keep_table
+    monkeypatch.setattr(landing, "keep_table", lambda df, key: plans.setdefault(key.rsplit("-", 1)[1], df._jdf.queryExecution().executedPlan().toString()) and keep(df, key))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    m = landing.MarketTables(spark, "/root/testdata/sf0.001", mark="one-shuffle-months")
+    rows, tiers = m.revenue.count(), m.holder_tiers.count()
+    assert plans["monthly"].count("Exchange ") == 1 and "Exchange rangepartitioning" in plans["monthly"]
+    assert "Exchange" not in plan(m.revenue) and "Exchange" not in plan(m.holder_tiers)
+    assert m.monthly.select("instrument_id", "month").distinct().count() == rows == m.monthly.count() < tiers
+    lazy = landing.MarketTables(spark, "/root/testdata/sf0.001", keep=False)
+    for name in ("revenue", "holder_tiers", "quarter_sums"):
+        assert sorted(map(tuple, getattr(m, name).collect())) == sorted(map(tuple, getattr(lazy, name).collect())), name
+
+
+def test_broker_lines_are_dealt_out_with_one_name_and_number(frame):
+    from tapeframe.sources.normalize import broker_net_from_trades
+
+    seen = []
+    t = frame("instrument_id long, date date, broker_id string, broker_name string, buy double, sell double", (1, days(1)[0], "7", None, 3000.0, 0.0), (1, days(1)[0], "7", None, 0.0, 1000.0), (1, None, "8", "x", None, 1.0))
+    got = broker_net_from_trades(t, lambda rows: seen.append(rows.columns) or rows.repartition(3))
+    assert seen == [["instrument_id", "date", "broker", "net"]]
+    assert {tuple(r) for r in got.collect()} == {(1, days(1)[0], "7", 2.0), (1, None, "x", None)} == {tuple(r) for r in broker_net_from_trades(t).collect()}
