@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LockScreen
 from ..functions.columns import pct_simple, ratio
 from ..functions.quantiles import exact_median, exact_quantiles, rank_bins, with_scalar
-from ..functions.windows import ordered
+from ..functions.windows import newest_first, ordered
 from ..session import cut_lineage
 from ..sources.calendar import on_last_dates
 from . import brokers
@@ -48,29 +48,31 @@ def lock_study(price: DataFrame, nets: DataFrame, calendar: DataFrame, p: LockSc
 def pressure_study(price: DataFrame, nets: DataFrame, universe: DataFrame | None = None, top: int = 15) -> DataFrame:
     """Flip pressure and main net of each bar with the return into it and out of it.
 
-    Bars step along the instrument's own dates and need one on either side.
+    Bars step along the instrument's own dates and need one on either side.  Bars and broker
+    rows are stacked and cross one exchange, by instrument; what the buyers of the date before
+    sold is looked up in the instrument's own rows.
     """
     if universe is not None:
         price = price.join(universe.select("instrument_id"), "instrument_id", "left_semi")
         nets = nets.join(universe.select("instrument_id"), "instrument_id", "left_semi")
-    w = ordered("instrument_id")
-    prev, nxt = F.lag("close").over(w), F.lead("close").over(w)
-    rets = price.select(
-        "instrument_id", "date", "volume", pct_simple("close", prev).alias("ret_same"),
-        F.when(F.col("close") > 0, ratio(nxt - F.col("close"), "close") * 100).alias("ret_next"),
-    ).filter("ret_same is not null AND ret_next is not null AND volume > 0")
-    overlap = brokers.follow_up(nets, brokers.available_steps(nets), top).groupBy(
-        "instrument_id", F.col("sell_date").alias("date")
-    ).agg(F.sum("dumped").alias("overlap"))
+    cells = price.select("instrument_id", "date", F.struct("close", "volume").alias("bar"))
+    entries = nets.select("instrument_id", "date", F.struct("broker", "net").alias("entry"))
+    rows = brokers.by_bar(cells.unionByName(entries, allowMissingColumns=True), F.first("bar", True).alias("bar"))
+    # a date may have a bar, broker rows or both; a row without a date comes first, and its buyers meet nothing
+    before, after = (by("instrument_id").rowsBetween(Window.unboundedPreceding, -1) for by in (ordered, newest_first))
+    rows = rows.withColumns({
+        "prev": F.last("bar", True).over(before), "next": F.last("bar", True).over(after),
+        "held": F.last(F.when(F.size("entries") > 0, F.filter("entries", lambda x: F.col("date").isNotNull())), True).over(before),
+    }).filter("date is not null AND bar is not null AND size(entries) > 0 AND held is not null")
+    close = F.col("bar.close")
     # a bar whose previous date had no buyer at all has no pressure, not a missing one
-    stepped = brokers.available_steps(nets).select("instrument_id", F.col("next_date").alias("date"))
-    main = brokers.broker_main_net(nets, top).select("instrument_id", "date", "main_net")
-    return (
-        rets.join(stepped, ["instrument_id", "date"]).join(overlap, ["instrument_id", "date"], "left").join(main, ["instrument_id", "date"])
-        .select(
-            "instrument_id", "date", (ratio(F.coalesce("overlap", F.lit(0.0)), "volume") * 100).alias("pressure"),
-            "main_net", "ret_same", "ret_next",
-        )
+    sales = brokers.bar_sales(F.col("held"), F.col("entries"), top)
+    overlap = F.aggregate(sales, F.lit(0.0), lambda total, x: total + brokers.dumped(x.bought, x.after))
+    return rows.select(
+        "instrument_id", "date", F.col("bar.volume").alias("volume"), overlap.alias("overlap"), brokers.bar_main_net(F.col("entries"), top).alias("main_net"),
+        pct_simple(close, F.col("prev.close")).alias("ret_same"), F.when(close > 0, ratio(F.col("next.close") - close, close) * 100).alias("ret_next"),
+    ).filter("ret_same is not null AND ret_next is not null AND volume > 0").select(
+        "instrument_id", "date", (ratio("overlap", "volume") * 100).alias("pressure"), "main_net", "ret_same", "ret_next",
     )
 
 

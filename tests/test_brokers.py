@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tapeframe.config import Broker, LockScreen
-from tapeframe.operators import brokers, report
+from tapeframe.functions.columns import pct_simple
+from tapeframe.functions.windows import ordered
+from tapeframe.operators import brokers, report, study
 from tapeframe.session import cut_lineage
 from tapeframe.sources import normalize, tables
 from tapeframe.sources.calendar import trading_calendar
@@ -187,3 +191,54 @@ def test_no_profile_no_pressure(frame):
     empty = brokers.broker_profile(nets, cal, Broker(min_ops=99))
     assert brokers.expected_pressure(nets, empty, price).count() == 0
     assert brokers.pit_expected_pressure(nets, price, cal, Broker(min_ops=99)).count() == 0
+
+
+PRICE = "instrument_id long, date date, open double, high double, low double, close double, volume double"
+
+
+def pressure_inputs(frame):
+    """Two instruments with gaps: dates with a bar alone, with broker rows alone, a missing name, a row without a date."""
+    d = days(30)
+    price = [(s, x, 1.0, 1.0, 1.0, float((i * 7 + (s or 0) * 5) % 11 + 1), float(i % 4) * 100) for s in (1, 2, None) for i, x in enumerate(d) if (i + (s or 0)) % 9]
+    nets = [(s, x, f"b{k}" if k else None, float((i * 5 + k * 11 + s) % 17 - 8)) for s in (1, 2) for i, x in enumerate(d) if (i + s) % 7 for k in range(18)]
+    nets += [(1, None, "b1", 9.0), (None, d[3], "b1", 9.0), (2, d[20], "b99", None)]
+    return d, frame(PRICE, *price, (1, None, 1.0, 1.0, 1.0, 5.0, 10.0)), frame(NETS, *nets)
+
+
+def same_rows(a, b):
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert key(a) == key(b) and a.count()
+
+
+def exchanges(df):
+    """Exchanges of rows by key in the plan; broadcasts are none."""
+    return len(re.findall(r"Exchange (?:hash|range)partitioning", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.mark.parametrize("top", (3, 15))
+def test_pressure_crosses_one_exchange(frame, top):
+    """Same rows as joins of the operators one by one give, from one exchange."""
+    _, price, nets = pressure_inputs(frame)
+    out = study.pressure_study(price, nets, top=top)
+    w = ordered("instrument_id")
+    rets = price.select(
+        "instrument_id", "date", "volume", pct_simple("close", F.lag("close").over(w)).alias("ret_same"), (F.lead("close").over(w) / F.col("close") * 100 - 100).alias("ret_next")
+    ).filter("ret_same is not null AND ret_next is not null AND volume > 0")
+    steps, bar = brokers.available_steps(nets), ["instrument_id", "date"]
+    overlap = brokers.follow_up(nets, steps, top).groupBy("instrument_id", F.col("sell_date").alias("date")).agg(F.sum("dumped").alias("overlap"))
+    want = (
+        rets.join(steps.select("instrument_id", F.col("next_date").alias("date")), bar).join(overlap, bar, "left")
+        .join(brokers.broker_main_net(nets, top).select(*bar, "main_net"), bar)
+        .select(*bar, (F.coalesce("overlap", F.lit(0.0)) / F.col("volume") * 100).alias("pressure"), "main_net", "ret_same", "ret_next")
+    )
+    digits = lambda df: df.select(*bar, *[(F.round(c, 6) + 0.0).alias(c) for c in ("pressure", "main_net", "ret_same", "ret_next")])
+    same_rows(digits(out), digits(want))
+    assert exchanges(out) == 1
+
+
+def test_follow_up_of_dates_crosses_one_exchange(frame):
+    d, _, nets = pressure_inputs(frame)
+    cal = trading_calendar(frame("date date", *[(x,) for x in d])).localCheckpoint()
+    out = brokers.buyer_follow_up(nets, cal, 15)
+    same_rows(out, brokers.follow_up(nets, brokers.adjacent_steps(nets, cal), 15))
+    assert exchanges(out) - exchanges(cal) <= 3  # rows by instrument; the calendar's join at most two
