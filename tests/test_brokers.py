@@ -9,6 +9,7 @@ from tapeframe.config import Broker, LockScreen
 from tapeframe.functions.columns import pct_simple
 from tapeframe.functions.windows import ordered
 from tapeframe.operators import brokers, report, study
+from tapeframe.operators.joins import panel_from_flows
 from tapeframe.session import cut_lineage
 from tapeframe.sources import normalize, tables
 from tapeframe.sources.calendar import trading_calendar
@@ -242,3 +243,18 @@ def test_follow_up_of_dates_crosses_one_exchange(frame):
     out = brokers.buyer_follow_up(nets, cal, 15)
     same_rows(out, brokers.follow_up(nets, brokers.adjacent_steps(nets, cal), 15))
     assert exchanges(out) - exchanges(cal) <= 3  # rows by instrument; the calendar's join at most two
+
+
+def test_flows_of_one_panel_are_not_joined(frame):
+    """Columns in the price rows give what joins with tables of their own give; a row without a key meets nothing."""
+    d = days(2)
+    panel = frame(
+        PRICE + ", foreign_net double, trust_net double, margin_balance double",
+        *[(s, x, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0 + (s or 0), None if s == 2 else 7.0, 8.0) for s in (1, 2, 3, None) for x in (*d, None)],
+    )
+    info = frame("instrument_id long, type string", (1, "tpex"), (2, "twse"))
+    price = panel.drop("foreign_net", "trust_net", "margin_balance")
+    out = panel_from_flows(panel, None, None, info)
+    want = panel_from_flows(price, panel, panel, info)
+    assert out.columns == want.columns
+    same_rows(out, want)
