@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeframe.config import Broker, LockScreen
 from tapeframe.functions.columns import pct_simple
 from tapeframe.functions.windows import ordered
-from tapeframe.operators import brokers, report, study
+from tapeframe.operators import brokers, report, study, technical
 from tapeframe.operators.joins import panel_from_flows
 from tapeframe.session import cut_lineage
 from tapeframe.sources import normalize, tables
@@ -258,3 +258,16 @@ def test_flows_of_one_panel_are_not_joined(frame):
     want = panel_from_flows(price, panel, panel, info)
     assert out.columns == want.columns
     same_rows(out, want)
+
+
+def test_small_sides_are_stored_before_they_meet_the_rest(frame, bars, monkeypatch):
+    """Levels and picks are made once; their size decides how large tables meet them."""
+    seen = []
+    for module in (report, technical):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, name, stored=module.cut_lineage: seen.append(name) or stored(df, name))
+    levels = frame("instrument_id long, close double, atr double", (1, 100.0, 2.0))
+    req = frame("account_id long, instrument_id long, account double", (1, 1, 10_000_000.0), (2, 9, 1000.0))
+    plan = technical.position_sizing(req, levels)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 2
+    test_lock_follow_up(frame, bars)
+    assert seen == ["levels", "picks"]
